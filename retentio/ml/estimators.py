@@ -364,16 +364,23 @@ class StackingClassifier(Estimator, _ClfParams, CompositeModelIO):
         data = df.select(F.col(self.getOrDefault(self.idCol)).alias("_key"), F.col(fcol).alias("_f"),
                          F.col(lcol).cast("double").alias("_y"))
         data = assign_folds(data, "_y", "_key", k, seed, exact=True).persist(StorageLevel.MEMORY_AND_DISK)
+        from concurrent.futures import ThreadPoolExecutor
+
+        def fit_on(tr):
+            return [(n, e.copy().setFeaturesCol("_f").setLabelCol("_y").fit(tr)) for n, e in _base_estimators(seed)]
+
+        # the k fold fits and the final refit are independent jobs: run them concurrently
+        with ThreadPoolExecutor(max_workers=k + 1) as ex:
+            futs = [ex.submit(fit_on, data.filter(F.col("fold") != f)) for f in range(k)]
+            full = ex.submit(fit_on, data)
+            fold_models = [fu.result() for fu in futs]
+            base = full.result()
         oof = None
-        for f in range(k):
-            tr = data.filter(F.col("fold") != f)
-            te = data.filter(F.col("fold") == f)
-            fitted = [(n, e.copy().setFeaturesCol("_f").setLabelCol("_y").fit(tr)) for n, e in _base_estimators(seed)]
-            part = _apply_base(fitted, te, "_f").select("_key", "_y", "_rf_p", "_gb_p", "_lr_p")
+        for f, fitted in enumerate(fold_models):
+            part = _apply_base(fitted, data.filter(F.col("fold") == f), "_f").select("_key", "_y", "_rf_p", "_gb_p", "_lr_p")
             oof = part if oof is None else oof.unionByName(part)
         meta_in = VectorAssembler(inputCols=["_rf_p", "_gb_p", "_lr_p"], outputCol="_meta").transform(oof)
         meta = LogisticRegression(featuresCol="_meta", labelCol="_y", maxIter=100).fit(meta_in)
-        base = [(n, e.copy().setFeaturesCol("_f").setLabelCol("_y").fit(data)) for n, e in _base_estimators(seed)]
         data.unpersist()
         model = StackingModel(featuresCol=fcol, predictionCol=self.getPredictionCol(), probabilityCol=self.getProbabilityCol())
         model._base, model._meta = base, meta

@@ -182,24 +182,25 @@ def key_factors(students: DataFrame, importance: DataFrame, threshold: float = 0
                 ("IntegerType()", "LongType()", "DoubleType()", "FloatType()", "ShortType()")}
     str_cols = [f.name for f in students.schema.fields if str(f.dataType) == "StringType()"]
     cands = []
-    for name in top:
+    base = students
+    for i, name in enumerate(top):
         if name in num_cols:
             x = F.col(name).cast("double")
-            med = students.agg(F.median(x)).scalar()
-            cands.append(F.when(x > med, F.concat(F.lit(f"{name} ("), F.format_string("%.2f", x), F.lit(")"))))
+            # the median enters as a column: a subquery may not sit inside the lambda below
+            base = base.withColumn(f"_med{i}", students.agg(F.median(x)).scalar())
+            cands.append(F.when(x > F.col(f"_med{i}"),
+                                F.concat(F.lit(f"{name} ("), F.format_string("%.2f", x), F.lit(")"))))
         else:
             for c in str_cols:
                 if name.startswith(f"{c}_"):
                     cands.append(F.when(F.col(c) == F.lit(name[len(c) + 1:]), F.lit(name)))
                     break
     p = F.col(prob)
-    if cands:
-        lst = F.slice(F.filter(F.array(*cands), lambda v: v.isNotNull()), 1, top_factors)
-        factors = F.when(p >= F.lit(threshold), F.concat_ws(", ", lst))
-    else:
-        factors = F.when(p >= F.lit(threshold), F.lit(""))
-    return students.select(key, p.alias("dropout_probability"), risk_level(p).alias("risk_level"),
-                           factors.alias("key_factors"))
+    base = base.withColumn("_cands", F.array(*cands) if cands else F.array().cast("array<string>"))
+    lst = F.slice(F.filter(F.col("_cands"), lambda v: v.isNotNull()), 1, top_factors)
+    factors = F.when(p >= F.lit(threshold), F.concat_ws(", ", lst))
+    return base.select(key, p.alias("dropout_probability"), risk_level(p).alias("risk_level"),
+                       factors.alias("key_factors"))
 
 
 def save_model(model: PipelineModel, path: str, model_name: str, info: dict | None = None) -> None:
