@@ -131,7 +131,7 @@ def build_feature_pipeline(df: DataFrame, target: str | None = DEFAULT_TARGET, i
         ohe = [f"{c}__ohe" for c in cat]
         stages += [ModeImputer(inputCols=cat, outputCols=imp),
                    StringIndexer(inputCols=imp, outputCols=idx, stringOrderType="alphabetAsc", handleInvalid="keep"),
-                   OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep")]
+                   OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True)]
     else:
         ohe = []
     scaled = [f"{c}__num" for c in num]
