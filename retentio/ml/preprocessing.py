@@ -1,5 +1,9 @@
 """Feature-pipeline Estimators: exact median impute + population-std scaling, mode impute.
 
+Medians and modes are computed with the distributed exact operators of
+:mod:`retentio.operators.running` (the built-in ``median``/``mode`` aggregates merge every
+distinct value of a column into one task).
+
 Spark's ``Imputer(strategy='median')`` is approximate and ``StandardScaler`` divides by the
 sample std; the reference semantics are the exact median and the population std, with
 the scaler fitted on the *imputed* column. Fitting runs two aggregate jobs (medians, then
@@ -18,6 +22,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retentio.operators.running import exact_modes, exact_quantiles
+
 
 class _StatsParams(HasInputCols, HasOutputCols):
     relativeError = Param(Params._dummy(), "relativeError", "0 = exact median, > 0 = approximate",
@@ -46,11 +52,11 @@ class MedianStandardScaler(Estimator, _StatsParams, DefaultParamsReadable, Defau
         x = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
         if rel > 0:
             acc = int(max(1, round(1.0 / rel)))
-            meds = [F.percentile_approx(x[c], 0.5, acc).alias(c) for c in cols]
+            mrow = df.agg(*[F.percentile_approx(x[c], 0.5, acc).alias(c) for c in cols]).first().asDict()
         else:
-            meds = [F.median(x[c]).alias(c) for c in cols]
-        mrow = df.agg(*meds).first()
-        med = [float(mrow[c]) if mrow[c] is not None else 0.0 for c in cols]
+            # exact and distributed: no task holds all distinct values of a column
+            mrow = {r["column_name"]: r["quantile"] for r in exact_quantiles(df, cols, 0.5).collect()}
+        med = [float(mrow[c]) if mrow.get(c) is not None else 0.0 for c in cols]
         imp = {c: F.coalesce(x[c], F.lit(m)) for c, m in zip(cols, med)}
         srow = df.agg(*[F.avg(imp[c]).alias(f"m{i}") for i, c in enumerate(cols)],
                       *[F.stddev_pop(imp[c]).alias(f"s{i}") for i, c in enumerate(cols)]).first()
@@ -95,8 +101,8 @@ class ModeImputer(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable,
 
     def _fit(self, df: DataFrame) -> "ModeImputerModel":
         cols = self.getInputCols()
-        row = df.agg(*[F.mode(F.col(c), True).alias(c) for c in cols]).first()
-        modes = [row[c] if row[c] is not None else "" for c in cols]
+        row = {r["column_name"]: r["mode"] for r in exact_modes(df, cols).collect()}
+        modes = [row.get(c) if row.get(c) is not None else "" for c in cols]
         return self._copyValues(ModeImputerModel(inputCols=cols, outputCols=self.getOutputCols(), modes=modes))
 
 

@@ -23,6 +23,7 @@ from retentio.ml.estimators import p1
 from retentio.ml.registry import grid_points, make_estimator
 from retentio.operators.evaluation import binary_metrics, roc_auc
 from retentio.operators.features import ID_NAMES, add_features, build_feature_pipeline, feature_kinds, feature_names
+from retentio.operators.running import exact_quantiles
 from retentio.operators.split import assign_folds, stratified_split
 
 HELPER_COLS = ("label", "row_id", "split", "fold")
@@ -39,14 +40,19 @@ def prepare(students: DataFrame, target: str = "dropout", key: str = "student_id
 def fit_pipeline(train_df: DataFrame, model: str = "random_forest", target: str = "dropout", key: str = "student_id",
                  seed: int = 42, params: dict | None = None) -> PipelineModel:
     """Fit features + model on ``train_df`` and return one PipelineModel."""
-    feats = build_feature_pipeline(train_df, target=target, ids=(*ID_NAMES, key, *HELPER_COLS)).fit(train_df)
-    x = feats.transform(train_df)
+    # iterative learners scan their input once per iteration / tree level: cache it
+    src = train_df.persist(StorageLevel.MEMORY_AND_DISK)
+    feats = build_feature_pipeline(src, target=target, ids=(*ID_NAMES, key, *HELPER_COLS)).fit(src)
+    x = feats.transform(src).persist(StorageLevel.MEMORY_AND_DISK)
     width = x.schema["features"].metadata.get("ml_attr", {}).get("num_attrs")
     if width is None:
         width = len(x.select("features").first()[0])
-    n_rows = train_df.count() if model == "logistic_regression" else 0
+    n_rows = x.count() if model == "logistic_regression" else 0
     est = make_estimator(model, n_features=int(width), n_rows=n_rows, key_col=key, seed=seed, **(params or {}))
     fitted = est.fit(x)
+    if model != "knn":  # the kNN model keeps referring to its training rows
+        x.unpersist()
+        src.unpersist()
     return PipelineModel(stages=[*feats.stages, fitted])
 
 
@@ -174,8 +180,8 @@ def key_factors(students: DataFrame, importance: DataFrame, threshold: float = 0
     Among the ``top_features`` most important features (importance order): a numeric column
     whose value is above that column's median (over all students) gives ``"name (value)"``;
     a one-hot feature ``column_category`` whose column equals the category gives its name.
-    Medians are scalar subqueries (one aggregate, broadcast as a literal); the factor list
-    is an array expression per row — no join, no shuffle.
+    Medians come from the distributed exact quantile operator and enter as literals; the
+    factor list is an array expression per row — no join, no shuffle.
     """
     top = [r["feature"] for r in importance.orderBy(F.desc("importance"), "feature").limit(top_features).collect()]
     num_cols = {f.name for f in students.schema.fields if str(f.dataType) in
@@ -183,12 +189,13 @@ def key_factors(students: DataFrame, importance: DataFrame, threshold: float = 0
     str_cols = [f.name for f in students.schema.fields if str(f.dataType) == "StringType()"]
     cands = []
     base = students
-    for i, name in enumerate(top):
+    num_top = [n for n in top if n in num_cols]
+    # medians over all students (exact, distributed); a handful of numbers like model parameters
+    meds = {r["column_name"]: r["quantile"] for r in exact_quantiles(students, num_top, 0.5).collect()} if num_top else {}
+    for name in top:
         if name in num_cols:
             x = F.col(name).cast("double")
-            # the median enters as a column: a subquery may not sit inside the lambda below
-            base = base.withColumn(f"_med{i}", students.agg(F.median(x)).scalar())
-            cands.append(F.when(x > F.col(f"_med{i}"),
+            cands.append(F.when(x > F.lit(meds.get(name)).cast("double"),
                                 F.concat(F.lit(f"{name} ("), F.format_string("%.2f", x), F.lit(")"))))
         else:
             for c in str_cols:

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from retentio.functions.bins import absence_rate, age_group, faculty_year, low_performance
 from retentio.ml.preprocessing import MedianStandardScaler, ModeImputer
+from retentio.operators.running import exact_modes, exact_quantiles
 
 # --- fixed values --------------------------------------------------------------------------
 ID_NAMES = ("id", "student_id", "identifier")
@@ -87,24 +88,35 @@ def add_features(df: DataFrame) -> DataFrame:
 def feature_stats(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
     """Per column: exact median, mean, population std (numeric) or mode (categorical).
 
-    One aggregate job for all columns; the single result row is unpivoted to one row per
-    column.
+    Means and stds come from one aggregate over all columns; medians and modes from the
+    distributed exact operators (value counts + running counts), so no task holds all
+    distinct values of a column.
     """
-    aggs = []
-    for i, c in enumerate(numeric):
-        x = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-        aggs += [F.median(x).alias(f"md{i}"), F.avg(x).alias(f"mu{i}"), F.stddev_pop(x).alias(f"sd{i}")]
-    for i, c in enumerate(categorical):
-        aggs.append(F.mode(F.col(c), True).alias(f"mo{i}"))
-    row = df.agg(*aggs)
-    none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
-    cells = [F.struct(F.lit(c).alias("column_name"), F.lit("numeric").alias("role"), F.col(f"md{i}").alias("median"),
-                      F.col(f"mu{i}").alias("mean"), F.col(f"sd{i}").alias("std"), none_s.alias("mode"))
-             for i, c in enumerate(numeric)]
-    cells += [F.struct(F.lit(c).alias("column_name"), F.lit("categorical").alias("role"), none_d.alias("median"),
-                       none_d.alias("mean"), none_d.alias("std"), F.col(f"mo{i}").alias("mode"))
-              for i, c in enumerate(categorical)]
-    return row.select(F.inline(F.array(*cells)))
+    spark = df.sparkSession
+    parts = []
+    if numeric:
+        aggs = []
+        for i, c in enumerate(numeric):
+            x = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+            aggs += [F.avg(x).alias(f"mu{i}"), F.stddev_pop(x).alias(f"sd{i}")]
+        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"mu{i}").alias("mean"),
+                                   F.col(f"sd{i}").alias("std")) for i, c in enumerate(numeric)])
+        moments = df.agg(*aggs).select(F.inline(cells))
+        meds = exact_quantiles(df, numeric, 0.5).withColumnRenamed("quantile", "median")
+        parts.append(meds.join(moments, "column_name").select(
+            "column_name", F.lit("numeric").alias("role"), "median", "mean", "std",
+            F.lit(None).cast("string").alias("mode")))
+    if categorical:
+        none_d = F.lit(None).cast("double")
+        parts.append(exact_modes(df, categorical).select(
+            "column_name", F.lit("categorical").alias("role"), none_d.alias("median"), none_d.alias("mean"),
+            none_d.alias("std"), "mode"))
+    if not parts:
+        return spark.createDataFrame([], "column_name string, role string, median double, mean double, std double, mode string")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def impute_scale(df: DataFrame, numeric: Sequence[str], keep: Sequence[str] = ("student_id",)) -> DataFrame:

@@ -26,6 +26,7 @@ from retentio.functions.bins import (
     change_class3,
     clean_double,
     risk_level,
+    risk_rank,
 )
 
 P = "dropout_probability"
@@ -114,33 +115,39 @@ def risk_summary(history: DataFrame, date=None, labels: Sequence[str] = RISK_LEV
                       "mean_risk", "extreme_risk_count", "model_version", "notes")
 
 
-def _paired(history: DataFrame, date_before, date_after) -> DataFrame:
+def _paired(history: DataFrame, date_before, date_after, labels: Sequence[str] = RISK_LEVELS) -> DataFrame:
     """One row per student seen on either date with its before/after values.
 
     This is the before/after self-join expressed as one aggregation on ``student_id``:
     a single scan of both dates and a single shuffle (with map-side partial aggregation),
     instead of two scans and two shuffles. It relies on one row per (date, student).
+    Levels travel as their integer rank so every aggregate buffer is fixed-width and the
+    plan stays a code-generated hash aggregate (a string max would force sort-based
+    aggregation); levels outside ``labels`` come back as null.
     """
     d1 = F.lit(date_before).cast("date")
     d2 = F.lit(date_after).cast("date")
     d = F.col(DATE)
     h = history.filter(d.isin(d1, d2))
     p = clean_double(P)
-    return h.groupBy("student_id").agg(
+    rank = risk_rank(F.col("risk_level"), labels)
+    g = h.groupBy("student_id").agg(
         F.max((d == d1).cast("int")).alias("_has_before"),
         F.max((d == d2).cast("int")).alias("_has_after"),
         F.max(F.when(d == d1, p)).alias("dropout_probability_before"),
-        F.max(F.when(d == d1, F.col("risk_level"))).alias("risk_level_before"),
+        F.max(F.when(d == d1, rank)).alias("_rank_before"),
         F.max(F.when(d == d2, p)).alias("dropout_probability_after"),
-        F.max(F.when(d == d2, F.col("risk_level"))).alias("risk_level_after"),
-        F.max(F.when(d == d1, F.col("model_version"))).alias("_model_before"),
-        F.max(F.when(d == d2, F.col("model_version"))).alias("_model_after"),
+        F.max(F.when(d == d2, rank)).alias("_rank_after"),
     )
+    lab = F.array(*[F.lit(x) for x in labels])
+    return g.select("*", F.try_element_at(lab, F.col("_rank_before")).alias("risk_level_before"),
+                    F.try_element_at(lab, F.col("_rank_after")).alias("risk_level_after"))
 
 
-def risk_changes(history: DataFrame, date_before, date_after) -> DataFrame:
+def risk_changes(history: DataFrame, date_before, date_after, labels: Sequence[str] = RISK_LEVELS) -> DataFrame:
     """Matched students of two assessments with change and five-way category."""
-    g = _paired(history, date_before, date_after).filter((F.col("_has_before") == 1) & (F.col("_has_after") == 1))
+    g = _paired(history, date_before, date_after, labels)
+    g = g.filter((F.col("_has_before") == 1) & (F.col("_has_after") == 1))
     change = F.col("dropout_probability_after") - F.col("dropout_probability_before")
     return g.select(
         "student_id", "dropout_probability_before", "risk_level_before",
@@ -150,21 +157,27 @@ def risk_changes(history: DataFrame, date_before, date_after) -> DataFrame:
 
 
 def risk_change_summary(history: DataFrame, date_before, date_after) -> DataFrame:
-    """One row: matched count, means over each *full* assessment, their change, model versions."""
+    """One row: matched count, means over each *full* assessment, their change, model versions.
+
+    Means and versions come from one global aggregate over the two dates; the matched
+    count is a scalar subquery over the per-student pairing (integer buffers only).
+    """
+    d1 = F.lit(date_before).cast("date")
+    d2 = F.lit(date_after).cast("date")
+    d = F.col(DATE)
+    p = clean_double(P)
     g = _paired(history, date_before, date_after)
-    both = (F.col("_has_before") == 1) & (F.col("_has_after") == 1)
-    row = g.agg(
-        F.count_if(both).alias("students_count"),
-        F.avg("dropout_probability_before").alias("mean_risk_before"),
-        F.avg("dropout_probability_after").alias("mean_risk_after"),
-        F.max("_model_before").alias("model_version_before"),
-        F.max("_model_after").alias("model_version_after"),
-        F.max("_has_before").alias("_b"), F.max("_has_after").alias("_a"),
-    ).filter((F.col("_b") == 1) & (F.col("_a") == 1))
+    matched = g.agg(F.count_if((F.col("_has_before") == 1) & (F.col("_has_after") == 1))).scalar()
+    row = history.filter(d.isin(d1, d2)).agg(
+        F.avg(F.when(d == d1, p)).alias("mean_risk_before"),
+        F.avg(F.when(d == d2, p)).alias("mean_risk_after"),
+        F.max(F.when(d == d1, F.col("model_version"))).alias("model_version_before"),
+        F.max(F.when(d == d2, F.col("model_version"))).alias("model_version_after"),
+        F.count_if(d == d1).alias("_b"), F.count_if(d == d2).alias("_a"),
+    ).filter((F.col("_b") > 0) & (F.col("_a") > 0))
     return row.select(
-        F.lit(date_before).cast("date").alias("date_before"),
-        F.lit(date_after).cast("date").alias("date_after"),
-        "students_count", "mean_risk_before", "mean_risk_after",
+        d1.alias("date_before"), d2.alias("date_after"), matched.alias("students_count"),
+        "mean_risk_before", "mean_risk_after",
         (F.col("mean_risk_after") - F.col("mean_risk_before")).alias("mean_risk_change"),
         "model_version_before", "model_version_after",
     )

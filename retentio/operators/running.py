@@ -2,11 +2,12 @@
 
 ``Window.orderBy(...)`` with no ``partitionBy`` moves every row into one task. The
 curve operators need running totals in descending score order over the per-score
-aggregate, whose size can approach the row count for continuous scores. Here the order
-key is cut into ``buckets`` ranges by approximate quantiles (a scalar subquery, computed
-once per query), running sums are computed inside each bucket (one task per bucket,
-balanced by construction), and each bucket gets the exact total of all buckets before it
-from a ``buckets``-row table that is broadcast back. Equal keys always fall into the same
+aggregate, whose size can approach the row count for continuous scores, and exact
+quantiles need running counts over the distinct values of a column. Here the order
+key is cut into ``buckets`` ranges by approximate quantiles (computed once per query and
+per group), running sums are computed inside each bucket (one task per bucket, balanced
+by construction), and each bucket gets the exact total of all buckets before it from a
+``groups x buckets`` table that is broadcast back. Equal keys always fall into the same
 bucket, so ties are kept together. Results are exact; the quantiles only balance work.
 """
 
@@ -19,35 +20,91 @@ from pyspark.sql import functions as F
 
 
 def running_sums(df: DataFrame, key: str, values: Sequence[str], descending: bool = True,
-                 buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
-    """Add ``cum_<v>`` = sum of ``v`` over rows with key before-or-equal in the given order.
+                 buckets: int | None = None, prefix: str = "cum_", group: Sequence[str] = ()) -> DataFrame:
+    """Add ``cum_<v>`` = sum of ``v`` over rows (of the same group) with key before-or-equal.
 
-    ``df`` should hold distinct keys (aggregate first); rows with equal keys would get
-    running sums in an arbitrary order among themselves.
+    ``df`` should hold distinct keys per group (aggregate first); rows with equal keys would
+    get running sums in an arbitrary order among themselves. ``group`` columns must have
+    few distinct values (the offsets table has one row per group and bucket).
     """
     spark = df.sparkSession
+    group = list(group)
     if buckets is None:
         buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
     k = F.col(key)
     if buckets > 1:
         probs = [i / buckets for i in range(1, buckets)]
-        bounds = df.agg(F.percentile_approx(k, probs, 10000).alias("b")).scalar()
-        # a subquery cannot sit inside a lambda: bring the bounds in as a column first
         bcol = F.col("_bounds")
         if descending:
             bucket = F.size(F.filter(bcol, lambda b: b > k))
         else:
             bucket = F.size(F.filter(bcol, lambda b: b < k))
-        b = df.withColumn("_bounds", bounds).withColumn("_bucket", bucket.cast("int")).drop("_bounds")
+        if group:
+            # one row of bounds per group: a small table joined back by broadcast
+            bounds = df.groupBy(*group).agg(F.percentile_approx(k, probs, 10000).alias("_bounds"))
+            b = df.join(F.broadcast(bounds), group, "left")
+        else:
+            # a subquery cannot sit inside a lambda: bring the bounds in as a column first
+            b = df.withColumn("_bounds", df.agg(F.percentile_approx(k, probs, 10000)).scalar())
+        b = b.withColumn("_bucket", bucket.cast("int")).drop("_bounds")
     else:
         b = df.withColumn("_bucket", F.lit(0))
     order = k.desc() if descending else k.asc()
-    w = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*group, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = b.select("*", *[F.sum(v).over(w).alias(f"_loc_{v}") for v in values])
-    totals = b.groupBy("_bucket").agg(*[F.sum(v).alias(f"_tot_{v}") for v in values])
-    # at most `buckets` rows: a window without partitioning is fine here
-    wt = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_bucket", *[F.coalesce(F.sum(f"_tot_{v}").over(wt), F.lit(0)).alias(f"_off_{v}")
-                                         for v in values])
-    out = local.join(F.broadcast(offsets), "_bucket", "left")
+    totals = b.groupBy(*group, "_bucket").agg(*[F.sum(v).alias(f"_tot_{v}") for v in values])
+    # at most groups x buckets rows
+    wt = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*group, "_bucket", *[F.coalesce(F.sum(f"_tot_{v}").over(wt), F.lit(0)).alias(f"_off_{v}")
+                                                 for v in values])
+    out = local.join(F.broadcast(offsets), [*group, "_bucket"], "left")
     return out.select(*df.columns, *[(F.col(f"_loc_{v}") + F.col(f"_off_{v}")).alias(f"{prefix}{v}") for v in values])
+
+
+def _long(df: DataFrame, cols: Sequence[str], cast: str) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast(cast).alias("value")) for c in cols])
+    return df.select(F.inline(cells))
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, buckets: int | None = None) -> DataFrame:
+    """Exact linear-interpolated quantile of several numeric columns: (column_name, quantile).
+
+    Same definition as Spark's ``percentile`` / ``median`` (position ``q * (n - 1)``), but
+    distributed: values are counted per (column, distinct value) with map-side partial
+    aggregation, running counts come from :func:`running_sums`, and the two values around
+    the position are picked by one grouped aggregate. No task ever holds all distinct
+    values of a column (the built-in aggregate merges them into one final task).
+    NaN counts as missing.
+    """
+    lg = _long(df, cols, "double").withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+    counts = lg.filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("c"))
+    rs = running_sums(counts, "value", ["c"], descending=False, buckets=buckets, group=["column_name"])
+    # n per column: a second small aggregate (one row per column), broadcast back
+    ns = counts.groupBy("column_name").agg(F.sum("c").alias("_n"))
+    j = rs.join(F.broadcast(ns), "column_name")
+    pos = F.lit(q) * (F.col("_n") - 1)
+    lo, hi = F.floor(pos), F.ceil(pos)
+    agg = j.groupBy("column_name").agg(
+        F.min(F.when(F.col("cum_c") > lo, F.col("value"))).alias("_vlo"),
+        F.min(F.when(F.col("cum_c") > hi, F.col("value"))).alias("_vhi"),
+        F.max(pos - lo).alias("_frac"))
+    res = agg.select("column_name", (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("quantile"))
+    # columns with no values at all still get a (null) row
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    return names.join(res, "column_name", "left")
+
+
+def exact_modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Most frequent non-null value of several columns, ties -> smallest: (column_name, mode).
+
+    Distributed: counts per (column, value) with partial aggregation, the top count per
+    column, then the smallest value among the values reaching it — no task holds all
+    distinct values of a column.
+    """
+    lg = _long(df, cols, "string")
+    counts = lg.filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("c"))
+    top = counts.groupBy("column_name").agg(F.max("c").alias("_top"))
+    best = (counts.join(F.broadcast(top), "column_name").filter(F.col("c") == F.col("_top"))
+            .groupBy("column_name").agg(F.min("value").alias("mode")))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    return names.join(best, "column_name", "left")
