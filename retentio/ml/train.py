@@ -88,24 +88,38 @@ def tune(train_df: DataFrame, model: str, k: int = 3, target: str = "dropout", k
          seed: int = 42, parallelism: int = 4) -> tuple[dict, DataFrame]:
     """Grid search scored by the positive-class F1 over k stratified folds.
 
-    Returns the best parameters and a DataFrame (params json, mean_f1). Grid points are
-    fitted concurrently (``parallelism`` Spark jobs at a time), like CrossValidator.
+    The feature pipeline is fitted once per fold (on that fold's training part) and both
+    sides are cached; each grid point then fits only the estimator. Grid points run
+    concurrently (``parallelism`` Spark jobs at a time), like CrossValidator. Returns the
+    best parameters and a DataFrame (params json, mean_f1).
     """
     spark = train_df.sparkSession
     grid = grid_points(model)
     if not grid:
         return {}, spark.createDataFrame([], "params string, mean_f1 double")
     d = assign_folds(train_df, "label", key, k, seed + 1, exact=True).persist(StorageLevel.MEMORY_AND_DISK)
+    folds = []
+    for f in range(k):
+        tr_f, te_f = d.filter(F.col("fold") != f), d.filter(F.col("fold") == f)
+        feats = build_feature_pipeline(tr_f, target=target, ids=(*ID_NAMES, key, *HELPER_COLS)).fit(tr_f)
+        xtr = feats.transform(tr_f).persist(StorageLevel.MEMORY_AND_DISK)
+        xte = feats.transform(te_f).persist(StorageLevel.MEMORY_AND_DISK)
+        width = xtr.schema["features"].metadata.get("ml_attr", {}).get("num_attrs") or len(xtr.first()["features"])
+        folds.append((xtr, xte, int(width), xtr.count()))
 
     def score(params):
         f1s = []
-        for f in range(k):
-            m = fit_pipeline(d.filter(F.col("fold") != f), model, target, key, seed, params)
-            f1s.append(float(evaluate(m, d.filter(F.col("fold") == f))["f1"]))
+        for xtr, xte, width, n in folds:
+            est = make_estimator(model, n_features=width, n_rows=n, key_col=key, seed=seed, **params)
+            m = PipelineModel(stages=[est.fit(xtr)])
+            f1s.append(float(evaluate(m, xte)["f1"]))
         return sum(f1s) / len(f1s)
 
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
         scores = list(ex.map(score, grid))
+    for xtr, xte, _, _ in folds:
+        xtr.unpersist()
+        xte.unpersist()
     d.unpersist()
     best = grid[max(range(len(grid)), key=lambda i: scores[i])]
     res = spark.createDataFrame([(json.dumps(g, default=str), s) for g, s in zip(grid, scores)],

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentio.functions.bins import clean_double, risk_level
+from retentio.operators.running import grouped_quantiles
 
 DATE = "assessment_date"
 P = "dropout_probability"
@@ -199,9 +200,10 @@ def model_performance_stats(evals: DataFrame, metrics: Sequence[str] = EVAL_METR
     """Per model and metric: mean, population std, min, max, median (missing counts as 0)."""
     lg = evaluations_long(evals, metrics, model)
     v = F.col("value")
-    return lg.groupBy("model_name", "metric").agg(
-        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"),
-        F.max(v).alias("max"), F.median(v).alias("median"))
+    moments = lg.groupBy("model_name", "metric").agg(
+        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    med = grouped_quantiles(lg, ["model_name", "metric"], "value", [0.5], ["median"])
+    return moments.join(med, ["model_name", "metric"], "left")
 
 
 def model_metric_matrix(evals: DataFrame, metrics: Sequence[str] = EVAL_METRICS, model: str = "model_name",
@@ -216,9 +218,9 @@ def model_metric_matrix(evals: DataFrame, metrics: Sequence[str] = EVAL_METRICS,
 
 
 def score_quartiles(long: DataFrame, metric_name: str, group: str = "model_version") -> DataFrame:
-    """Box-plot quartiles (min, q1, median, q3, max) of one metric per group (exact)."""
+    """Box-plot quartiles (min, q1, median, q3, max) of one metric per group (exact, distributed)."""
     v = F.col("metric_value")
     df = long.filter(F.col("metric_name") == F.lit(metric_name))
-    return df.groupBy(group).agg(
-        F.min(v).alias("q0"), F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.5).alias("q2"),
-        F.percentile(v, 0.75).alias("q3"), F.max(v).alias("q4"), F.count(v).alias("n"))
+    qs = grouped_quantiles(df, [group], "metric_value", [0.25, 0.5, 0.75], ["q1", "q2", "q3"])
+    ends = df.groupBy(group).agg(F.min(v).alias("q0"), F.max(v).alias("q4"), F.count(v).alias("n"))
+    return ends.join(qs, group, "left").select(group, "q0", "q1", "q2", "q3", "q4", "n")

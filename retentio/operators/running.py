@@ -66,30 +66,47 @@ def _long(df: DataFrame, cols: Sequence[str], cast: str) -> DataFrame:
     return df.select(F.inline(cells))
 
 
+def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float],
+                      names: Sequence[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles of ``value`` per group: (group..., <name> per prob).
+
+    Same definition as Spark's ``percentile`` (position ``p * (n - 1)``), but distributed:
+    values are counted per (group, distinct value) with map-side partial aggregation,
+    running counts come from :func:`running_sums`, and the values around each position are
+    picked by one grouped aggregate. No task holds all values of a group (the built-in
+    aggregate keeps a value map per group and merges it in one task), so a hot group
+    holding a third of the rows is spread like any other. NaN counts as missing.
+    """
+    group = list(group)
+    names = list(names or [f"q{i}" for i in range(len(probs))])
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    counts = (df.select(*group, v.alias("_v")).filter(F.col("_v").isNotNull())
+              .groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    rs = running_sums(counts, "_v", ["_c"], descending=False, buckets=buckets, group=group)
+    # n per group: one row per group, broadcast back
+    ns = counts.groupBy(*group).agg(F.sum("_c").alias("_n"))
+    j = rs.join(F.broadcast(ns), group) if group else rs.crossJoin(ns)
+    aggs = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        lo, hi = F.floor(pos), F.ceil(pos)
+        aggs += [F.min(F.when(F.col("cum__c") > lo, F.col("_v"))).alias(f"_lo{i}"),
+                 F.min(F.when(F.col("cum__c") > hi, F.col("_v"))).alias(f"_hi{i}"),
+                 F.max(pos - lo).alias(f"_fr{i}")]
+    agg = j.groupBy(*group).agg(*aggs)
+    return agg.select(*group, *[(F.col(f"_lo{i}") + F.col(f"_fr{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(n)
+                                for i, n in enumerate(names)])
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, buckets: int | None = None) -> DataFrame:
-    """Exact linear-interpolated quantile of several numeric columns: (column_name, quantile).
-
-    Same definition as Spark's ``percentile`` / ``median`` (position ``q * (n - 1)``), but
-    distributed: values are counted per (column, distinct value) with map-side partial
-    aggregation, running counts come from :func:`running_sums`, and the two values around
-    the position are picked by one grouped aggregate. No task ever holds all distinct
-    values of a column (the built-in aggregate merges them into one final task).
-    NaN counts as missing.
+    """Exact quantile ``q`` of several numeric columns at once: (column_name, quantile).
+
+    The columns are stacked into (column_name, value) and handled by
+    :func:`grouped_quantiles` with the column name as the group; a column without values
+    gets a null.
     """
-    lg = _long(df, cols, "double").withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
-    counts = lg.filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("c"))
-    rs = running_sums(counts, "value", ["c"], descending=False, buckets=buckets, group=["column_name"])
-    # n per column: a second small aggregate (one row per column), broadcast back
-    ns = counts.groupBy("column_name").agg(F.sum("c").alias("_n"))
-    j = rs.join(F.broadcast(ns), "column_name")
-    pos = F.lit(q) * (F.col("_n") - 1)
-    lo, hi = F.floor(pos), F.ceil(pos)
-    agg = j.groupBy("column_name").agg(
-        F.min(F.when(F.col("cum_c") > lo, F.col("value"))).alias("_vlo"),
-        F.min(F.when(F.col("cum_c") > hi, F.col("value"))).alias("_vhi"),
-        F.max(pos - lo).alias("_frac"))
-    res = agg.select("column_name", (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("quantile"))
-    # columns with no values at all still get a (null) row
+    lg = _long(df, cols, "double")
+    res = grouped_quantiles(lg, ["column_name"], "value", [q], ["quantile"], buckets)
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
     return names.join(res, "column_name", "left")
 
