@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentio.functions.bins import clean_double, risk_level
-from retentio.operators.running import grouped_quantiles
+from retentio.operators.running import grouped_quantiles, running_sums
 
 DATE = "assessment_date"
 P = "dropout_probability"
@@ -145,24 +145,32 @@ def metric_trend(long: DataFrame, metric_name: str, model_versions: Iterable[str
 
     Where ``window > 1`` and the model has at least ``window`` points, ``trend_value`` is the
     mean of the current and previous ``window-1`` points and null for the first ``window-1``;
-    otherwise it is the raw value. One model's history is one window partition (the number
-    of training runs, not the data size).
+    otherwise it is the raw value. Points are ordered by (timestamp, value).
+
+    No window is partitioned by the model (a model with a third of the history would be one
+    task): each point gets its exact rank r and prefix sum S(r) from :func:`running_sums`
+    (bucketed per model), the rolling mean is (S(r) - S(r - w)) / w, and S(r - w) comes from
+    an equi-join on (model, rank) — one match per row, hash-spread over all tasks.
     """
     df = metrics_history(long, metric_name=metric_name)
     if model_versions:
         df = df.filter(F.col("model_version").isin(list(model_versions)))
-    df = df.filter(F.col("model_version").isNotNull())
+    df = df.filter(F.col("model_version").isNotNull()).select("model_version", "timestamp", "metric_value")
     w = int(window)
-    order = Window.partitionBy("model_version").orderBy("timestamp", "metric_value")
     v = F.col("metric_value")
-    if w > 1:
-        rn = F.row_number().over(order)
-        cnt = F.count(F.lit(1)).over(Window.partitionBy("model_version"))
-        roll = F.avg(v).over(order.rowsBetween(-(w - 1), 0))
-        trend = F.when(cnt < w, v).when(rn < w, F.lit(None).cast("double")).otherwise(roll)
-    else:
-        trend = v
-    return df.select("model_version", "timestamp", "metric_value", trend.alias("trend_value"))
+    if w <= 1:
+        return df.select("model_version", "timestamp", "metric_value", v.alias("trend_value"))
+    keyed = df.withColumn("_k", F.unix_micros(F.col("timestamp").cast("timestamp")).cast("double")).withColumn("_one", F.lit(1))
+    rs = running_sums(keyed, "_k", ["_one", "metric_value"], descending=False, group=["model_version"],
+                      tiebreak=["metric_value"])
+    rs = rs.select("model_version", "timestamp", "metric_value", F.col("cum__one").alias("_r"),
+                   F.col("cum_metric_value").alias("_s"))
+    ns = df.groupBy("model_version").agg(F.count(F.lit(1)).alias("_n"))
+    prev = rs.select("model_version", (F.col("_r") + F.lit(w)).alias("_r"), F.col("_s").alias("_s_prev"))
+    j = (rs.join(prev, ["model_version", "_r"], "left").join(F.broadcast(ns), "model_version"))
+    roll = (F.col("_s") - F.coalesce(F.col("_s_prev"), F.lit(0.0))) / F.lit(float(w))
+    trend = (F.when(F.col("_n") < w, v).when(F.col("_r") < w, F.lit(None).cast("double")).otherwise(roll))
+    return j.select("model_version", "timestamp", "metric_value", trend.alias("trend_value"))
 
 
 def compare_models(long: DataFrame, model_versions: Iterable[str], metrics: Sequence[str] | None = None) -> DataFrame:

@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 
 
 def running_sums(df: DataFrame, key: str, values: Sequence[str], descending: bool = True,
-                 buckets: int | None = None, prefix: str = "cum_", group: Sequence[str] = ()) -> DataFrame:
+                 buckets: int | None = None, prefix: str = "cum_", group: Sequence[str] = (),
+                 tiebreak: Sequence[str] = ()) -> DataFrame:
     """Add ``cum_<v>`` = sum of ``v`` over rows (of the same group) with key before-or-equal.
 
     ``df`` should hold distinct keys per group (aggregate first); rows with equal keys would
-    get running sums in an arbitrary order among themselves. ``group`` columns must have
-    few distinct values (the offsets table has one row per group and bucket).
+    get running sums in an arbitrary order among themselves unless ``tiebreak`` columns
+    order them. ``group`` columns must have few distinct values (the offsets table has one
+    row per group and bucket).
     """
     spark = df.sparkSession
     group = list(group)
@@ -49,8 +51,8 @@ def running_sums(df: DataFrame, key: str, values: Sequence[str], descending: boo
         b = b.withColumn("_bucket", bucket.cast("int")).drop("_bounds")
     else:
         b = df.withColumn("_bucket", F.lit(0))
-    order = k.desc() if descending else k.asc()
-    w = Window.partitionBy(*group, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = [k.desc() if descending else k.asc()] + [F.col(t).desc() if descending else F.col(t).asc() for t in tiebreak]
+    w = Window.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = b.select("*", *[F.sum(v).over(w).alias(f"_loc_{v}") for v in values])
     totals = b.groupBy(*group, "_bucket").agg(*[F.sum(v).alias(f"_tot_{v}") for v in values])
     # at most groups x buckets rows
