@@ -68,8 +68,22 @@ def _long(df: DataFrame, cols: Sequence[str], cast: str) -> DataFrame:
     return df.select(F.inline(cells))
 
 
+# Above this many distinct values in any group the quantiles take the distributed path;
+# below it the built-in exact aggregate's value map is bounded (~40 MB per group).
+MAX_DISTINCT_IN_ONE_TASK = 1 << 20
+
+
+def _max_distinct(df: DataFrame, group: Sequence[str], value: str) -> int:
+    """Largest (HyperLogLog-estimated) number of distinct values in any group: one cheap job."""
+    g = df.groupBy(*group) if group else df
+    per = g.agg(F.approx_count_distinct(value, 0.02).alias("_d"))
+    m = per.agg(F.max("_d")).first()[0] if group else per.first()[0]
+    return int(m or 0)
+
+
 def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float],
-                      names: Sequence[str] | None = None, buckets: int | None = None) -> DataFrame:
+                      names: Sequence[str] | None = None, buckets: int | None = None,
+                      max_distinct: int | None = MAX_DISTINCT_IN_ONE_TASK) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` per group: (group..., <name> per prob).
 
     Same definition as Spark's ``percentile`` (position ``p * (n - 1)``), but distributed:
@@ -78,10 +92,20 @@ def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Se
     picked by one grouped aggregate. No task holds all values of a group (the built-in
     aggregate keeps a value map per group and merges it in one task), so a hot group
     holding a third of the rows is spread like any other. NaN counts as missing.
+
+    A HyperLogLog pass first bounds the distinct values per group; when every group has at
+    most ``max_distinct`` (with 10 % margin for the estimate) the built-in exact
+    ``percentile`` is used, since its per-group value map is then bounded. ``None`` always
+    takes the distributed path.
     """
     group = list(group)
     names = list(names or [f"q{i}" for i in range(len(probs))])
     v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    if max_distinct is not None and _max_distinct(df, group, value) * 1.1 <= max_distinct:
+        # size checked: every group's value map is bounded, the built-in exact aggregate is safe
+        base = df.select(*group, v.alias("_v"))
+        aggs = [F.percentile("_v", float(p)).alias(n) for p, n in zip(probs, names)]
+        return base.groupBy(*group).agg(*aggs) if group else base.agg(*aggs)
     counts = (df.select(*group, v.alias("_v")).filter(F.col("_v").isNotNull())
               .groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c")))
     rs = running_sums(counts, "_v", ["_c"], descending=False, buckets=buckets, group=group)
@@ -100,7 +124,8 @@ def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Se
                                 for i, n in enumerate(names)])
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, buckets: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, buckets: int | None = None,
+                    max_distinct: int | None = MAX_DISTINCT_IN_ONE_TASK) -> DataFrame:
     """Exact quantile ``q`` of several numeric columns at once: (column_name, quantile).
 
     The columns are stacked into (column_name, value) and handled by
@@ -108,7 +133,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, buckets:
     gets a null.
     """
     lg = _long(df, cols, "double")
-    res = grouped_quantiles(lg, ["column_name"], "value", [q], ["quantile"], buckets)
+    res = grouped_quantiles(lg, ["column_name"], "value", [q], ["quantile"], buckets, max_distinct)
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
     return names.join(res, "column_name", "left")
 

@@ -89,3 +89,22 @@ def test_average_precision(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.7), (0, 0.1)], "y_true int, score double")
     ap = ev.average_precision(df).first()["average_precision"]
     assert abs(ap - (0.5 * 1.0 + 0.5 * (2 / 3))) < 1e-12
+
+
+def test_exact_quantiles_both_paths(spark):
+    from retentio.operators.running import exact_modes, exact_quantiles, grouped_quantiles
+
+    rnd = random.Random(9)
+    rows = [(rnd.choice([None, rnd.random(), float(rnd.randint(0, 5))]), rnd.randint(0, 9), rnd.choice("abc"))
+            for _ in range(2001)]
+    df = spark.createDataFrame(rows, "x double, y int, g string")
+    for q in (0.1, 0.5, 0.75):
+        exp = df.agg(F.percentile("x", q), F.percentile("y", q)).first()
+        for md in (None, 1 << 20):  # distributed path and size-checked built-in path
+            got = {r[0]: r[1] for r in exact_quantiles(df, ["x", "y"], q, max_distinct=md).collect()}
+            assert abs(got["x"] - exp[0]) < 1e-12 and abs(got["y"] - exp[1]) < 1e-12
+    exp = {r[0]: r[1] for r in df.groupBy("g").agg(F.median("x")).collect()}
+    got = {r[0]: r[1] for r in grouped_quantiles(df, ["g"], "x", [0.5], ["m"], max_distinct=None).collect()}
+    assert all(abs(exp[k] - got[k]) < 1e-12 for k in exp)
+    modes = {r[0]: r[1] for r in exact_modes(df, ["g"]).collect()}
+    assert modes["g"] == df.agg(F.mode("g", True)).first()[0]
