@@ -159,6 +159,13 @@ def fit_features(df: DataFrame, target: str | None = DEFAULT_TARGET, ids: Sequen
     return build_feature_pipeline(df, target, ids, output).fit(df)
 
 
+def fit_transform_features(df: DataFrame, target: str | None = DEFAULT_TARGET, ids: Sequence[str] = ID_NAMES,
+                           output: str = "features") -> tuple[PipelineModel, DataFrame]:
+    """Fit the feature pipeline on ``df`` and apply it to the same rows."""
+    m = fit_features(df, target, ids, output)
+    return m, m.transform(df)
+
+
 def transform_features(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Apply a fitted feature pipeline (``model.transform``)."""
     return model.transform(df)

@@ -62,3 +62,33 @@ def risk_trends(history: DataFrame, students) -> dict[str, DataFrame]:
 
 def metric_trend_report(long: DataFrame, metric_name: str, model_versions=None, window: int = 1) -> dict[str, DataFrame]:
     return {"trend": hs.metric_trend(long, metric_name, model_versions, window)}
+
+
+def evaluation_frames(pred: DataFrame, label: str = "y_true", prediction: str = "y_pred",
+                      score: str | None = "score") -> dict[str, DataFrame]:
+    """The evaluation result as tables: metrics, confusion matrix, class report, curves, AUC, AP."""
+    out = {"metrics": ev.binary_metrics(pred, label, prediction),
+           "confusion_matrix": ev.confusion_matrix(pred, label, prediction),
+           "classification_report": ev.classification_report(pred, label, prediction)}
+    if score:
+        out.update({"roc_curve": ev.roc_curve(pred, label, score), "roc_auc": ev.roc_auc(pred, label, score),
+                    "pr_curve": ev.pr_curve(pred, label, score),
+                    "average_precision": ev.average_precision(pred, label, score)})
+    return out
+
+
+def model_diagnostics(model, data: DataFrame, model_name: str, target: str = "dropout",
+                      key: str = "student_id", folds: int = 5) -> dict[str, DataFrame]:
+    """Tables behind the all-in-one model chart: importances, confusion matrix, ROC, CV scores."""
+    from retentio.ml import train as tr
+    from retentio.ml.estimators import p1
+
+    prepared = tr.prepare(data, target, key)
+    pred = model.transform(prepared)
+    scored = pred.select(F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"),
+                         p1("probability").alias("score"))
+    return {"feature_importance": tr.feature_importance(model, pred),
+            "confusion_matrix": ev.confusion_matrix(scored),
+            "roc_curve": ev.roc_curve(scored),
+            "cv_scores": tr.cross_validate(prepared, model_name, folds, target, key)}
+

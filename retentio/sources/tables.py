@@ -177,3 +177,13 @@ def synthetic_students(spark: SparkSession, n: int = 1000, seed: int = 42) -> Da
         faculty.alias("faculty"),
         (F.lit(1.0) / (F.lit(1.0) + F.exp(-logit)) > u("y")).cast("int").alias("dropout"),
     )
+
+
+def write_evaluation(frames: Mapping[str, DataFrame], root: str, fmt: str = "json") -> list[str]:
+    """Save an evaluation result (see :func:`retentio.plans.reports.evaluation_frames`).
+
+    Each table is its own JSON-lines directory; curves can have one row per distinct
+    score, so they are never folded into a single document row.
+    """
+    return write_bundle(frames, root, fmt)
+

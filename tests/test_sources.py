@@ -76,3 +76,15 @@ def test_metrics_history_append_read(spark, tmp):
     assert lg.count() == 2 and lg.filter(F.col("metric_name") == "confusion_matrix").count() == 0
     row = m.read().filter(F.col("model_version") == "random_forest").first()
     assert row["timestamp"] == dt.datetime(2025, 5, 9, 18, 23, 54, 123456)
+
+
+def test_write_evaluation_and_reports(spark, tmp):
+    from retentio.plans import reports as rp
+
+    pred = spark.createDataFrame([(1, 1, 0.9), (0, 1, 0.6), (0, 0, 0.2), (1, 0, 0.4)], "y_true int, y_pred int, score double")
+    frames = rp.evaluation_frames(pred)
+    paths = tb.write_evaluation(frames, os.path.join(tmp, "eval"))
+    assert len(paths) == 7 and spark.read.json(paths[0]).count() == 1
+    risks = spark.createDataFrame([("a", 0.1, "Низкий"), ("b", 0.7, "Высокий")], "student_id string, dropout_probability double, risk_level string")
+    rep = rp.risk_report(risks, {"model_name": "rf", "accuracy": 0.9, "f1": 0.8})
+    assert rep["summary"].first()["total_students"] == 2 and rep["high_risk"].count() == 1
