@@ -88,9 +88,9 @@ def _totals(df: DataFrame, label: str, score: str) -> tuple[Column, Column]:
     y = F.col(label).cast("int")
     s = clean_double(score)
     base = df.filter(s.isNotNull())
-    P = base.agg(F.count_if(y == 1)).scalar()
-    N = base.agg(F.count_if(y == 0)).scalar()
-    return P, N
+    # one scalar subquery (one scan) for both totals
+    tot = base.agg(F.struct(F.count_if(y == 1).alias("P"), F.count_if(y == 0).alias("N"))).scalar()
+    return tot.getField("P"), tot.getField("N")
 
 
 def roc_curve(df: DataFrame, label: str = "y_true", score: str = "score") -> DataFrame:

@@ -167,7 +167,7 @@ def metric_trend(long: DataFrame, metric_name: str, model_versions: Iterable[str
                    F.col("cum_metric_value").alias("_s"))
     ns = df.groupBy("model_version").agg(F.count(F.lit(1)).alias("_n"))
     prev = rs.select("model_version", (F.col("_r") + F.lit(w)).alias("_r"), F.col("_s").alias("_s_prev"))
-    j = (rs.join(prev, ["model_version", "_r"], "left").join(F.broadcast(ns), "model_version"))
+    j = rs.join(prev, ["model_version", "_r"], "left").join(ns, "model_version")
     roll = (F.col("_s") - F.coalesce(F.col("_s_prev"), F.lit(0.0))) / F.lit(float(w))
     trend = (F.when(F.col("_n") < w, v).when(F.col("_r") < w, F.lit(None).cast("double")).otherwise(roll))
     return j.select("model_version", "timestamp", "metric_value", trend.alias("trend_value"))

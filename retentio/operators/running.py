@@ -26,8 +26,8 @@ def running_sums(df: DataFrame, key: str, values: Sequence[str], descending: boo
 
     ``df`` should hold distinct keys per group (aggregate first); rows with equal keys would
     get running sums in an arbitrary order among themselves unless ``tiebreak`` columns
-    order them. ``group`` columns must have few distinct values (the offsets table has one
-    row per group and bucket).
+    order them. With ``group`` columns the bounds and offsets tables have one row per group
+    (and bucket); they are joined normally so AQE decides on broadcasting from their size.
     """
     spark = df.sparkSession
     group = list(group)
@@ -42,9 +42,9 @@ def running_sums(df: DataFrame, key: str, values: Sequence[str], descending: boo
         else:
             bucket = F.size(F.filter(bcol, lambda b: b < k))
         if group:
-            # one row of bounds per group: a small table joined back by broadcast
+            # one row of bounds per group; AQE broadcasts it when its measured size is small
             bounds = df.groupBy(*group).agg(F.percentile_approx(k, probs, 10000).alias("_bounds"))
-            b = df.join(F.broadcast(bounds), group, "left")
+            b = df.join(bounds, group, "left")
         else:
             # a subquery cannot sit inside a lambda: bring the bounds in as a column first
             b = df.withColumn("_bounds", df.agg(F.percentile_approx(k, probs, 10000)).scalar())
@@ -59,7 +59,10 @@ def running_sums(df: DataFrame, key: str, values: Sequence[str], descending: boo
     wt = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group, "_bucket", *[F.coalesce(F.sum(f"_tot_{v}").over(wt), F.lit(0)).alias(f"_off_{v}")
                                                  for v in values])
-    out = local.join(F.broadcast(offsets), [*group, "_bucket"], "left")
+    # without groups the offsets table has exactly `buckets` rows: a proven bound, broadcast it;
+    # with groups it has groups x buckets rows and AQE picks the join from its real size
+    offs = offsets if group else F.broadcast(offsets)
+    out = local.join(offs, [*group, "_bucket"], "left")
     return out.select(*df.columns, *[(F.col(f"_loc_{v}") + F.col(f"_off_{v}")).alias(f"{prefix}{v}") for v in values])
 
 
@@ -109,9 +112,9 @@ def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Se
     counts = (df.select(*group, v.alias("_v")).filter(F.col("_v").isNotNull())
               .groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c")))
     rs = running_sums(counts, "_v", ["_c"], descending=False, buckets=buckets, group=group)
-    # n per group: one row per group, broadcast back
+    # n per group: one row per group (AQE broadcasts it when small)
     ns = counts.groupBy(*group).agg(F.sum("_c").alias("_n"))
-    j = rs.join(F.broadcast(ns), group) if group else rs.crossJoin(ns)
+    j = rs.join(ns, group) if group else rs.crossJoin(F.broadcast(ns))
     aggs = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("_n") - 1)
