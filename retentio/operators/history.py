@@ -160,7 +160,10 @@ def metric_trend(long: DataFrame, metric_name: str, model_versions: Iterable[str
     v = F.col("metric_value")
     if w <= 1:
         return df.select("model_version", "timestamp", "metric_value", v.alias("trend_value"))
-    keyed = df.withColumn("_k", F.unix_micros(F.col("timestamp").cast("timestamp")).cast("double")).withColumn("_one", F.lit(1))
+    # microseconds since the epoch without a time-zone conversion (exact in a double)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", epoch, F.col("timestamp").cast("timestamp_ntz")).cast("double")
+    keyed = df.withColumn("_k", micros).withColumn("_one", F.lit(1))
     rs = running_sums(keyed, "_k", ["_one", "metric_value"], descending=False, group=["model_version"],
                       tiebreak=["metric_value"])
     rs = rs.select("model_version", "timestamp", "metric_value", F.col("cum__one").alias("_r"),
