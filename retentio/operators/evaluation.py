@@ -93,13 +93,26 @@ def _totals(df: DataFrame, label: str, score: str) -> tuple[Column, Column]:
     return tot.getField("P"), tot.getField("N")
 
 
-def roc_curve(df: DataFrame, label: str = "y_true", score: str = "score") -> DataFrame:
-    """ROC points at every distinct score (descending), plus the origin with a null threshold.
+def roc_curve(df: DataFrame, label: str = "y_true", score: str = "score", drop_intermediate: bool = False) -> DataFrame:
+    """ROC points at the distinct scores (descending), plus the origin with a null threshold.
 
-    Every distinct threshold is kept (no dropping of collinear points).
+    ``drop_intermediate`` drops a point whose next point adds the same numbers of positives
+    and negatives (it lies on a straight segment): the library's default curve. The next
+    point is found by an equi-join on the point's rank (ranks from :func:`running_sums`),
+    not by an ordered window.
     """
-    t = score_table(df, label, score)
+    y = F.col(label).cast("int")
+    agg = (df.select(clean_double(score).alias("score"), y.alias("_y")).filter(F.col("score").isNotNull())
+           .groupBy("score").agg(F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg"))
+           .withColumn("_one", F.lit(1)))
+    t = running_sums(agg, "score", ["pos", "neg", "_one"], descending=True)
     P, N = _totals(df, label, score)
+    if drop_intermediate:
+        nxt = t.select((F.col("cum__one") - 1).alias("cum__one"), F.col("pos").alias("_npos"), F.col("neg").alias("_nneg"))
+        last = t.agg(F.max("cum__one")).scalar()
+        t = t.join(nxt, "cum__one", "left").filter(
+            (F.col("cum__one") == 1) | (F.col("cum__one") == last)
+            | (F.col("_npos") != F.col("pos")) | (F.col("_nneg") != F.col("neg")))
     pts = t.select(F.col("score").alias("threshold"), F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"))
     origin = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
                                               F.lit(0).cast("bigint").alias("tps"), F.lit(0).cast("bigint").alias("fps"))

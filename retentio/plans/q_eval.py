@@ -70,6 +70,18 @@ def q_roc_curve(spark, sf):
     return rounded(ev.roc_curve(fx.scored_labels(spark, sf)))
 
 
+@register("roc_curve_dropped", with_ctes(f"""
+SELECT round(score, 6) AS threshold, CAST(cum_pos AS BIGINT) AS tps, CAST(cum_neg AS BIGINT) AS fps,
+       round(CAST(cum_neg AS DOUBLE) / N, 6) AS fpr, round(CAST(cum_pos AS DOUBLE) / P, 6) AS tpr
+FROM (SELECT *, row_number() OVER (ORDER BY score DESC) AS rn, count(*) OVER () AS cnt,
+             lead(pos) OVER (ORDER BY score DESC) AS npos, lead(neg) OVER (ORDER BY score DESC) AS nneg
+      FROM {_CUM.replace(') t', ') t0')}) t, {_PN}
+WHERE rn = 1 OR rn = cnt OR npos <> pos OR nneg <> neg
+UNION ALL SELECT CAST(NULL AS DOUBLE), 0, 0, 0.0, 0.0""", "scored_labels"))
+def q_roc_curve_dropped(spark, sf):
+    return rounded(ev.roc_curve(fx.scored_labels(spark, sf), drop_intermediate=True))
+
+
 @register("roc_auc", with_ctes(f"""
 SELECT round((CAST(sum(pos) * sum(neg) AS DOUBLE) - sum(pos * cum_neg) + sum(pos * neg) * 0.5)
              / CAST(sum(pos) * sum(neg) AS DOUBLE), 6) AS roc_auc FROM {_CUM}""", "scored_labels"))
