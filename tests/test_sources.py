@@ -88,3 +88,22 @@ def test_write_evaluation_and_reports(spark, tmp):
     risks = spark.createDataFrame([("a", 0.1, "Низкий"), ("b", 0.7, "Высокий")], "student_id string, dropout_probability double, risk_level string")
     rep = rp.risk_report(risks, {"model_name": "rf", "accuracy": 0.9, "f1": 0.8})
     assert rep["summary"].first()["total_students"] == 2 and rep["high_risk"].count() == 1
+
+
+def test_metrics_history_documents_format(spark, tmp):
+    doc = """[
+  {"timestamp": "2025-01-02T10:11:12.345678", "model_version": "random_forest",
+   "metrics": {"accuracy": 0.9, "f1": 0.85, "confusion_matrix": [[5, 1], [2, 7]]},
+   "dataset_info": {"size": 100, "target_column": "dropout", "hyperparameter_tuning": false}},
+  {"timestamp": "2025-01-03T09:00:00.000001", "model_version": "knn",
+   "metrics": {"accuracy": 0.7}}
+]"""
+    p = _write(os.path.join(tmp, "history.json"), doc)
+    entries = MetricsHistory.read_documents(spark, p)
+    rows = {r["model_version"]: r for r in entries.collect()}
+    assert rows["random_forest"]["timestamp"] == dt.datetime(2025, 1, 2, 10, 11, 12, 345678)
+    assert rows["random_forest"]["dataset_info"]["hyperparameter_tuning"] == "false"
+    from retentio.operators.history import explode_metrics
+
+    lg = {(r["model_version"], r["metric_name"]): r["metric_value"] for r in explode_metrics(entries).collect()}
+    assert lg == {("random_forest", "accuracy"): 0.9, ("random_forest", "f1"): 0.85, ("knn", "accuracy"): 0.7}
