@@ -59,6 +59,7 @@ from retentio.plans import q_history  # noqa: E402,F401
 from retentio.plans import q_eval  # noqa: E402,F401
 from retentio.plans import q_features  # noqa: E402,F401
 from retentio.plans import q_ml  # noqa: E402,F401
+from retentio.plans import q_io  # noqa: E402,F401
 
 __all__ = ["QUERIES", "ORACLES", "register", "rounded", "fx", "q", "r6", "with_ctes",
            "risk_level_sql", "change_category_sql", "change_class3_sql", "age_group_sql"]

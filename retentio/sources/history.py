@@ -55,6 +55,13 @@ class RiskHistory:
         (rows.select(*cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("assessment_date").parquet(self.root))
 
+    def write_all(self, history: DataFrame) -> None:
+        """Store a whole history at once; only the dates present in ``history`` are replaced."""
+        cols = [f.name for f in RISK_SCHEMA.fields]
+        (history.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RISK_SCHEMA.fields])
+         .select(*cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("assessment_date").parquet(self.root))
+
     def read(self) -> DataFrame:
         try:
             return self.spark.read.schema(RISK_SCHEMA).parquet(self.root)
@@ -116,6 +123,11 @@ class MetricsHistory:
                                  m.alias("metrics"), info.alias("dataset_info"))
         out.coalesce(1).write.mode("append").option("timestampNTZFormat", TS_FORMAT).json(self.root)
 
+    def append_entries(self, entries: DataFrame) -> None:
+        """Append many entries (timestamp, model_version, metrics, dataset_info) in one job."""
+        cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in HISTORY_SCHEMA.fields]
+        entries.select(*cols).write.mode("append").option("timestampNTZFormat", TS_FORMAT).json(self.root)
+
     def read(self) -> DataFrame:
         try:
             return self.spark.read.schema(HISTORY_SCHEMA).json(self.root)

@@ -90,12 +90,12 @@ def read_csv_auto(spark: SparkSession, path: str, schema: T.StructType | str | N
     return r.csv(path)
 
 
-def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "overwrite") -> None:
+def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "overwrite", sep: str = ",") -> None:
     """CSV (header, UTF-8), JSON lines or Parquet directory; format from the extension if not given."""
     fmt = fmt or table_format(path)
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).option("encoding", "UTF-8").csv(path)
+        w.option("header", True).option("encoding", "UTF-8").option("sep", sep).csv(path)
     elif fmt == "json":
         w.json(path)
     else:
