@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from retentio.functions.bins import CHANGE_CATEGORIES, CHANGE_CLASSES, RISK_LEVELS
 from retentio.operators import risk as rk
-from retentio.plans.oracle import change_category_sql, change_class3_sql, q, r6, risk_level_sql, with_ctes
+from retentio.plans.oracle import change_category_sql, change_class3_sql, q, risk_level_sql, with_ctes
 from retentio.plans.queries import DATE_AFTER, DATE_BEFORE, register, rounded
 from retentio.sources import fixtures as fx
 
