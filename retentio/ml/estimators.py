@@ -5,8 +5,9 @@
   and checkpointed (reliably, in ``spark.checkpoint.dir``) every ``checkpointInterval``
   rounds so lineage stays short and a lost executor recomputes only a few rounds.
 * :class:`SVMClassifier` — ``LinearSVC`` plus Platt scaling (a one-feature logistic
-  regression on the margin) for probabilities; the rbf kernel is approximated with
-  random Fourier features (fixed seeded projection, applied by an Arrow pandas UDF).
+  regression on out-of-fold margins, 5 folds) for probabilities; the rbf kernel is
+  approximated with random Fourier features (fixed seeded projection, applied by an Arrow
+  pandas UDF).
 * :class:`KNNClassifier` — vote of the k nearest training rows via the exact
   :func:`retentio.operators.knn.knn_join`; needs a unique integer id column.
 * :class:`StackingClassifier` — out-of-fold probabilities of the base models
@@ -173,13 +174,15 @@ class SVMClassifier(Estimator, _ClfParams, CompositeModelIO):
     gamma = Param(Params._dummy(), "gamma", "'scale', 'auto' or a number", typeConverter=TypeConverters.toString)
     numFourierFeatures = Param(Params._dummy(), "numFourierFeatures", "rbf feature count", typeConverter=TypeConverters.toInt)
     maxIter = Param(Params._dummy(), "maxIter", "LinearSVC iterations", typeConverter=TypeConverters.toInt)
+    plattFolds = Param(Params._dummy(), "plattFolds", "folds for out-of-fold Platt scaling (1 = in-sample)",
+                       typeConverter=TypeConverters.toInt)
 
     @keyword_only
     def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction",
                  probabilityCol="probability", C=1.0, kernel="rbf", gamma="scale", numFourierFeatures=256,
-                 maxIter=100, seed=42):
+                 maxIter=100, plattFolds=5, seed=42):
         super().__init__()
-        self._setDefault(C=1.0, kernel="rbf", gamma="scale", numFourierFeatures=256, maxIter=100, seed=42)
+        self._setDefault(C=1.0, kernel="rbf", gamma="scale", numFourierFeatures=256, maxIter=100, plattFolds=5, seed=42)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "SVMModel":
@@ -210,12 +213,35 @@ class SVMClassifier(Estimator, _ClfParams, CompositeModelIO):
         model = SVMModel(featuresCol=fcol, predictionCol=self.getPredictionCol(), probabilityCol=self.getProbabilityCol())
         model._W, model._b = W, b
         x = model._kernel_features(data, "features")
+        k = self.getOrDefault(self.plattFolds)
+        # fold from a hash of the row's values: independent of partitioning and row order
+        x = x.withColumn("_fold", F.pmod(F.xxhash64(vector_to_array("features"), "label"), F.lit(k)).cast("int"))
+        x = x.persist(StorageLevel.MEMORY_AND_DISK)
         reg = 1.0 / (self.getOrDefault(self.C) * max(n, 1))
-        svc = LinearSVC(featuresCol="_kf", labelCol="label", regParam=reg, maxIter=self.getOrDefault(self.maxIter),
-                        standardization=False, rawPredictionCol="_raw", predictionCol="_svp").fit(x)
-        margins = svc.transform(x).select(array_to_vector(F.array(vector_to_array("_raw")[1])).alias("_m"), "label")
+
+        def fit_svc(part):
+            return LinearSVC(featuresCol="_kf", labelCol="label", regParam=reg, maxIter=self.getOrDefault(self.maxIter),
+                             standardization=False, rawPredictionCol="_raw", predictionCol="_svp").fit(part)
+
+        from concurrent.futures import ThreadPoolExecutor
+
+        # Platt scaling on out-of-fold margins; the k fold fits and the final fit run concurrently
+        with ThreadPoolExecutor(max_workers=k + 1) as ex:
+            full = ex.submit(fit_svc, x)
+            folds = [ex.submit(fit_svc, x.filter(F.col("_fold") != f)) for f in range(k)] if k > 1 else []
+            svc = full.result()
+            fold_models = [fu.result() for fu in folds]
+        if fold_models:
+            oof = None
+            for f, m in enumerate(fold_models):
+                part = m.transform(x.filter(F.col("_fold") == f))
+                oof = part if oof is None else oof.unionByName(part)
+        else:
+            oof = svc.transform(x)
+        margins = oof.select(array_to_vector(F.array(vector_to_array("_raw")[1])).alias("_m"), "label")
         platt = LogisticRegression(featuresCol="_m", labelCol="label", regParam=0.0, maxIter=100,
                                    predictionCol="_pp", probabilityCol="_ppr", rawPredictionCol="_praw").fit(margins)
+        x.unpersist()
         data.unpersist()
         model._svc, model._platt = svc, platt
         return model
