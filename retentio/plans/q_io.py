@@ -8,8 +8,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from retentio.ml import train as tr
+from retentio.operators import risk as rk
 from retentio.operators.features import add_features
-from retentio.plans import q_features, q_history, q_risk
+from retentio.operators.split import stratified_split
+from retentio.plans import q_eval, q_features, q_history, q_risk, reports
 from retentio.plans.queries import ORACLES, register, rounded
 from retentio.session import scratch_path
 from retentio.sources import fixtures as fx
@@ -54,4 +57,47 @@ def q_csv_roundtrip(spark, sf):
 
 
 # the oracles reused above are registered by these modules
-_ = (q_features, q_history)
+_ = (q_eval, q_features, q_history)
+
+
+@register("json_students_roundtrip", ORACLES["add_features"])
+def q_json_students_roundtrip(spark, sf):
+    """Students exported as JSON lines and loaded back with ``read_students`` (validated rows)."""
+    students = fx.students(spark, sf)
+    path = _scratch(spark, "students") + ".json"
+    tb.write_table(students, path)
+    ok, _bad = tb.read_students(spark, path, schema=students.schema)
+    return rounded(add_features(ok))
+
+
+@register("report_bundle_roundtrip", ORACLES["risk_level_counts"])
+def q_report_bundle_roundtrip(spark, sf):
+    """Risk report of one assessment exported as a Parquet bundle; level counts read back."""
+    a = rk.assessment(fx.risk_history(spark, sf), q_risk.DATE_AFTER)
+    root = _scratch(spark, "risk-report")
+    paths = tb.write_bundle(reports.risk_report(a), root)
+    back = spark.read.parquet(next(p for p in paths if p.endswith("level_counts")))
+    return rounded(back)
+
+
+@register("evaluation_roundtrip", ORACLES["roc_curve"])
+def q_evaluation_roundtrip(spark, sf):
+    """Evaluation tables saved as JSON lines; the ROC curve read back with its schema."""
+    frames = reports.evaluation_frames(fx.scored_labels(spark, sf))
+    root = _scratch(spark, "evaluation")
+    tb.write_evaluation(frames, root)
+    schema = frames["roc_curve"].schema
+    back = spark.read.schema(schema).json(f"{root}/{tb.bundle_name('roc_curve')}")
+    return rounded(back)
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    """A fitted pipeline saved to the shared folder, loaded back and used to score every student."""
+    d = tr.prepare(fx.students(spark, sf))
+    d = stratified_split(d, "label", "student_id", 0.2, 42, exact=True)
+    fitted = tr.fit_pipeline(d.filter(F.col("split") == "train"), "decision_tree")
+    path = _scratch(spark, "model")
+    tr.save_model(fitted, path, "decision_tree")
+    loaded, _meta = tr.load_model(path)
+    return tr.score_students(loaded, fx.students(spark, sf))

@@ -47,10 +47,26 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     if schema is not None:
         r = r.schema(schema)
     if fmt == "json":
-        return r.option("multiLine", True).json(path)
+        return r.option("multiLine", json_is_document(spark, path)).json(path)
     return r.format(fmt).load(path)
 
 
+def json_is_document(spark: SparkSession, path: str) -> bool:
+    """True for a JSON document (an array of records, or one record spread over lines),
+    False for JSON lines (one complete record per line, Spark's own output).
+
+    Decided from the first non-blank line of the input (a ``limit``, never the whole file).
+    """
+    head = [r[0] for r in spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()]
+    if not head:
+        return False
+    first = head[0].strip()
+    if first.startswith("["):
+        return True
+    # a complete record on the first line means one record per line
+    return not (first.startswith("{") and first.endswith("}"))
+
+
 def _field_counts(lines: Sequence[str], sep: str) -> list[int]:
     return [len(line.split(sep)) for line in lines if line.strip()]
 

@@ -39,6 +39,28 @@ def test_json_and_write_roundtrip(spark, tmp):
     assert os.path.basename(paths[0]) == "a" * 31
 
 
+@pytest.mark.parametrize("text", [
+    '[{"student_id": "S1", "gpa": 3.5},\n {"student_id": "S2", "gpa": 4.0},\n {"student_id": "S3", "gpa": 2.0}]',
+    '{"student_id": "S1", "gpa": 3.5}\n{"student_id": "S2", "gpa": 4.0}\n\n{"student_id": "S3", "gpa": 2.0}\n',
+])
+def test_json_layouts(spark, tmp, text):
+    p = _write(os.path.join(tmp, "s.json"), text)
+    df = tb.read_table(spark, p)
+    assert sorted(r["student_id"] for r in df.collect()) == ["S1", "S2", "S3"]
+
+
+def test_json_single_document(spark, tmp):
+    p = _write(os.path.join(tmp, "one.json"), '{\n  "student_id": "S1",\n  "gpa": 3.5\n}\n')
+    assert [r["student_id"] for r in tb.read_table(spark, p).collect()] == ["S1"]
+
+
+def test_json_lines_written_by_spark(spark, tmp):
+    df = spark.range(50).select(F.format_string("S%05d", "id").alias("student_id"))
+    p = os.path.join(tmp, "many.json")
+    tb.write_table(df.repartition(3), p)
+    assert tb.read_table(spark, p).count() == 50
+
+
 def test_read_students_rejects(spark, tmp):
     p = _write(os.path.join(tmp, "st.csv"), "student_id,dropout\nS1,1\n,0\nS3,7\n")
     ok, bad = tb.read_students(spark, p)
