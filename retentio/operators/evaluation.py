@@ -76,86 +76,114 @@ def classification_report(df: DataFrame, label: str = "y_true", pred: str = "y_p
     return c.select(F.inline(cells))
 
 
+def score_counts(df: DataFrame, label: str = "y_true", score: str = "score") -> DataFrame:
+    """(score, pos, neg): positives and negatives per distinct non-null score.
+
+    Every curve and area below is computed from this table, which has at most one row per
+    distinct score (partial aggregation in each task before the shuffle). Pass it to the
+    ``*_from_counts`` forms to derive several results from one scan of the scored rows.
+    """
+    y = F.col(label).cast("int")
+    return (df.select(clean_double(score).alias("score"), y.alias("_y")).filter(F.col("score").isNotNull())
+            .groupBy("score").agg(F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg")))
+
+
+def _running(counts: DataFrame) -> DataFrame:
+    """Running positives / negatives / points in descending score order (``cum_pos``, ``cum_neg``, ``cum__one``)."""
+    return running_sums(counts.withColumn("_one", F.lit(1)), "score", ["pos", "neg", "_one"], descending=True)
+
+
 def score_table(df: DataFrame, label: str = "y_true", score: str = "score") -> DataFrame:
     """Positives and negatives per distinct score, with running totals in descending score order."""
-    y = F.col(label).cast("int")
-    agg = (df.select(clean_double(score).alias("score"), y.alias("_y")).filter(F.col("score").isNotNull())
-           .groupBy("score").agg(F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg")))
-    return running_sums(agg, "score", ["pos", "neg"], descending=True)
+    return _running(score_counts(df, label, score))
 
 
-def _totals(df: DataFrame, label: str, score: str) -> tuple[Column, Column]:
-    y = F.col(label).cast("int")
-    s = clean_double(score)
-    base = df.filter(s.isNotNull())
-    # one scalar subquery (one scan) for both totals
-    tot = base.agg(F.struct(F.count_if(y == 1).alias("P"), F.count_if(y == 0).alias("N"))).scalar()
+def _totals(counts: DataFrame) -> tuple[Column, Column]:
+    # one scalar subquery over the per-score table (not another scan of the scored rows)
+    tot = counts.agg(F.struct(F.coalesce(F.sum("pos"), F.lit(0)).alias("P"),
+                              F.coalesce(F.sum("neg"), F.lit(0)).alias("N"))).scalar()
     return tot.getField("P"), tot.getField("N")
 
 
-def roc_curve(df: DataFrame, label: str = "y_true", score: str = "score", drop_intermediate: bool = False) -> DataFrame:
-    """ROC points at the distinct scores (descending), plus the origin with a null threshold.
-
-    ``drop_intermediate`` drops a point whose next point adds the same numbers of positives
-    and negatives (it lies on a straight segment): the library's default curve. The next
-    point is found by an equi-join on the point's rank (ranks from :func:`running_sums`),
-    not by an ordered window.
-    """
-    y = F.col(label).cast("int")
-    agg = (df.select(clean_double(score).alias("score"), y.alias("_y")).filter(F.col("score").isNotNull())
-           .groupBy("score").agg(F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg"))
-           .withColumn("_one", F.lit(1)))
-    t = running_sums(agg, "score", ["pos", "neg", "_one"], descending=True)
-    P, N = _totals(df, label, score)
+def roc_curve_from_counts(counts: DataFrame, drop_intermediate: bool = False) -> DataFrame:
+    """:func:`roc_curve` from a :func:`score_counts` table."""
+    t = _running(counts)
+    P, N = _totals(counts)
     if drop_intermediate:
         nxt = t.select((F.col("cum__one") - 1).alias("cum__one"), F.col("pos").alias("_npos"), F.col("neg").alias("_nneg"))
-        last = t.agg(F.max("cum__one")).scalar()
+        last = counts.agg(F.count(F.lit(1))).scalar()
         t = t.join(nxt, "cum__one", "left").filter(
             (F.col("cum__one") == 1) | (F.col("cum__one") == last)
             | (F.col("_npos") != F.col("pos")) | (F.col("_nneg") != F.col("neg")))
     pts = t.select(F.col("score").alias("threshold"), F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"))
-    origin = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
-                                              F.lit(0).cast("bigint").alias("tps"), F.lit(0).cast("bigint").alias("fps"))
+    origin = counts.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
+                                                 F.lit(0).cast("bigint").alias("tps"), F.lit(0).cast("bigint").alias("fps"))
     allp = pts.unionByName(origin)
     return allp.select("threshold", "tps", "fps",
                        F.try_divide(F.col("fps").cast("double"), N.cast("double")).alias("fpr"),
                        F.try_divide(F.col("tps").cast("double"), P.cast("double")).alias("tpr"))
 
 
-def roc_auc(df: DataFrame, label: str = "y_true", score: str = "score") -> DataFrame:
-    """Area under the ROC curve as one row ``roc_auc`` (ties count one half).
+def roc_curve(df: DataFrame, label: str = "y_true", score: str = "score", drop_intermediate: bool = False) -> DataFrame:
+    """ROC points at the distinct scores (descending), plus the origin with a null threshold.
 
-    AUC = sum over scores of pos * (#neg with a lower score + neg / 2) / (P * N), and
-    #neg lower = N - running negatives, so one aggregate over the score table suffices.
+    ``drop_intermediate`` drops a point whose next point adds the same numbers of positives
+    and negatives (it lies on a straight segment): the library's default curve. The next
+    point is found by an equi-join on the point's rank (ranks from :func:`running_sums`),
+    not by an ordered window.
     """
-    t = score_table(df, label, score)
+    return roc_curve_from_counts(score_counts(df, label, score), drop_intermediate)
+
+
+def roc_auc_from_counts(counts: DataFrame) -> DataFrame:
+    """:func:`roc_auc` from a :func:`score_counts` table."""
+    t = _running(counts)
     a = t.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
               F.sum(F.col("pos") * F.col("cum_neg")).alias("pc"), F.sum(F.col("pos") * F.col("neg")).alias("pn"))
     pn = (F.col("P") * F.col("N")).cast("double")
     return a.select(F.try_divide(pn - F.col("pc") + F.col("pn") * 0.5, pn).alias("roc_auc"))
 
 
-def pr_curve(df: DataFrame, label: str = "y_true", score: str = "score") -> DataFrame:
-    """Precision and recall at every distinct score, plus the end point (precision 1, recall 0)."""
-    t = score_table(df, label, score)
-    P, _ = _totals(df, label, score)
+def roc_auc(df: DataFrame, label: str = "y_true", score: str = "score") -> DataFrame:
+    """Area under the ROC curve as one row ``roc_auc`` (ties count one half).
+
+    AUC = sum over scores of pos * (#neg with a lower score + neg / 2) / (P * N), and
+    #neg lower = N - running negatives, so one aggregate over the score table suffices.
+    """
+    return roc_auc_from_counts(score_counts(df, label, score))
+
+
+def pr_curve_from_counts(counts: DataFrame) -> DataFrame:
+    """:func:`pr_curve` from a :func:`score_counts` table."""
+    t = _running(counts)
+    P, _ = _totals(counts)
     pts = t.select(
         F.col("score").alias("threshold"),
         _div0(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")).alias("precision"),
         F.coalesce(F.try_divide(F.col("cum_pos").cast("double"), P.cast("double")), F.lit(1.0)).alias("recall"))
-    end = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
-                                          F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    end = counts.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
+                                              F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return pts.unionByName(end)
 
 
-def average_precision(df: DataFrame, label: str = "y_true", score: str = "score") -> DataFrame:
-    """Average precision = sum over thresholds of (recall step) x precision, as one row."""
-    t = score_table(df, label, score)
+def pr_curve(df: DataFrame, label: str = "y_true", score: str = "score") -> DataFrame:
+    """Precision and recall at every distinct score, plus the end point (precision 1, recall 0)."""
+    return pr_curve_from_counts(score_counts(df, label, score))
+
+
+def average_precision_from_counts(counts: DataFrame) -> DataFrame:
+    """:func:`average_precision` from a :func:`score_counts` table."""
+    t = _running(counts)
     prec = _div0(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg"))
     a = t.agg(F.sum(F.col("pos") * prec).alias("_num"), F.sum("pos").alias("_P"))
     return a.select(F.try_divide(F.col("_num"), F.col("_P").cast("double")).alias("average_precision"))
 
 
+def average_precision(df: DataFrame, label: str = "y_true", score: str = "score") -> DataFrame:
+    """Average precision = sum over thresholds of (recall step) x precision, as one row."""
+    return average_precision_from_counts(score_counts(df, label, score))
+
+
 def probability_histogram(df: DataFrame, col: str = "dropout_probability", bins: int = 20) -> DataFrame:
     """Equal-width histogram between the column's min and max; every bin present (0 if empty)."""
     x = clean_double(col)

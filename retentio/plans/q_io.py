@@ -6,9 +6,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from retentio.ml import train as tr
+from retentio.operators import evaluation as ev
 from retentio.operators import risk as rk
 from retentio.operators.features import add_features
 from retentio.operators.split import stratified_split
@@ -82,11 +84,20 @@ def q_report_bundle_roundtrip(spark, sf):
 
 @register("evaluation_roundtrip", ORACLES["roc_curve"])
 def q_evaluation_roundtrip(spark, sf):
-    """Evaluation tables saved as JSON lines; the ROC curve read back with its schema."""
-    frames = reports.evaluation_frames(fx.scored_labels(spark, sf))
-    root = _scratch(spark, "evaluation")
-    tb.write_evaluation(frames, root)
-    schema = frames["roc_curve"].schema
+    """Evaluation tables saved as JSON lines; the ROC curve read back with its schema.
+
+    The per-score table is persisted once and shared by the four score-based tables, so
+    the scored rows are scanned once for all curves and areas.
+    """
+    scored = fx.scored_labels(spark, sf)
+    counts = ev.score_counts(scored).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        frames = reports.evaluation_frames(scored, counts=counts)
+        root = _scratch(spark, "evaluation")
+        tb.write_evaluation(frames, root)
+        schema = frames["roc_curve"].schema
+    finally:
+        counts.unpersist()
     back = spark.read.schema(schema).json(f"{root}/{tb.bundle_name('roc_curve')}")
     return rounded(back)
 

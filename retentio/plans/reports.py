@@ -65,15 +65,22 @@ def metric_trend_report(long: DataFrame, metric_name: str, model_versions=None,
 
 
 def evaluation_frames(pred: DataFrame, label: str = "y_true", prediction: str = "y_pred",
-                      score: str | None = "score") -> dict[str, DataFrame]:
-    """The evaluation result as tables: metrics, confusion matrix, class report, curves, AUC, AP."""
+                      score: str | None = "score", counts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The evaluation result as tables: metrics, confusion matrix, class report, curves, AUC, AP.
+
+    The four score-based tables all derive from one per-distinct-score table
+    (:func:`retentio.operators.evaluation.score_counts`). ``counts`` may pass it in
+    precomputed (e.g. persisted by the caller, who then owns and releases it); otherwise it
+    is built here and each table re-derives it with one scan of ``pred``.
+    """
     out = {"metrics": ev.binary_metrics(pred, label, prediction),
            "confusion_matrix": ev.confusion_matrix(pred, label, prediction),
            "classification_report": ev.classification_report(pred, label, prediction)}
     if score:
-        out.update({"roc_curve": ev.roc_curve(pred, label, score), "roc_auc": ev.roc_auc(pred, label, score),
-                    "pr_curve": ev.pr_curve(pred, label, score),
-                    "average_precision": ev.average_precision(pred, label, score)})
+        c = counts if counts is not None else ev.score_counts(pred, label, score)
+        out.update({"roc_curve": ev.roc_curve_from_counts(c), "roc_auc": ev.roc_auc_from_counts(c),
+                    "pr_curve": ev.pr_curve_from_counts(c),
+                    "average_precision": ev.average_precision_from_counts(c)})
     return out
 
 
