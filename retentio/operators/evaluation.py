@@ -184,20 +184,32 @@ def average_precision(df: DataFrame, label: str = "y_true", score: str = "score"
     return average_precision_from_counts(score_counts(df, label, score))
 
 
+def _scalar_stats(base: DataFrame, **aggs: Column) -> dict[str, Column]:
+    """Several one-row statistics as fields of ONE struct-valued scalar subquery.
+
+    Each ``.scalar()`` is its own subquery (its own scan of ``base``); packing the
+    statistics into one struct and reading its fields keeps it to one scan however often
+    the values are used in the outer plan.
+    """
+    st = base.agg(F.struct(*[v.alias(k) for k, v in aggs.items()]).alias("_st")).scalar()
+    return {k: st.getField(k) for k in aggs}
+
+
 def probability_histogram(df: DataFrame, col: str = "dropout_probability", bins: int = 20) -> DataFrame:
     """Equal-width histogram between the column's min and max; every bin present (0 if empty)."""
     x = clean_double(col)
     base = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
-    mn = base.agg(F.min("_x")).scalar()
-    mx = base.agg(F.max("_x")).scalar()
+    st = _scalar_stats(base, mn=F.min("_x"), mx=F.max("_x"))
+    mn, mx = st["mn"], st["mx"]
     width = mx - mn
     idx = F.least(F.lit(bins - 1), F.coalesce(F.floor(F.try_divide((F.col("_x") - mn) * F.lit(float(bins)), width)), F.lit(0)))
     b = base.select(idx.cast("int").alias("_b"))
+    # the bounds travel with the counts row, so the output needs no second look at them
     row = b.agg(*[F.count_if(F.col("_b") == i).alias(f"_n{i}") for i in range(bins)])
     cells = F.array(*[F.struct(F.lit(i).alias("bin"), F.col(f"_n{i}").alias("n")) for i in range(bins)])
-    out = row.select(F.inline(cells))
-    return out.select("bin", (mn + width * F.col("bin") / F.lit(float(bins))).alias("bin_start"),
-                      (mn + width * (F.col("bin") + 1) / F.lit(float(bins))).alias("bin_end"), "n")
+    out = row.select(F.inline(cells), mn.alias("_mn"), width.alias("_w"))
+    return out.select("bin", (F.col("_mn") + F.col("_w") * F.col("bin") / F.lit(float(bins))).alias("bin_start"),
+                      (F.col("_mn") + F.col("_w") * (F.col("bin") + 1) / F.lit(float(bins))).alias("bin_end"), "n")
 
 
 def probability_density(df: DataFrame, col: str = "dropout_probability", grid: int = 200) -> DataFrame:
@@ -206,22 +218,22 @@ def probability_density(df: DataFrame, col: str = "dropout_probability", grid: i
     Bandwidth is Scott's rule on the sample std (h = std * n^(-1/5)). Rows are first
     reduced to (distinct value, count); each distinct value then adds its kernel to every
     grid point and the per-point sums are partially aggregated in each task, so only
-    ``grid`` rows per task are shuffled.
+    ``grid`` rows per task are shuffled. min, max, n and std come from one scalar subquery.
     """
     x = clean_double(col)
     base = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
-    stats = base.agg(F.min("_x").alias("mn"), F.max("_x").alias("mx"), F.count(F.lit(1)).alias("n"),
-                     F.stddev_samp("_x").alias("sd"))
-    mn, mx = stats.select("mn").scalar(), stats.select("mx").scalar()
-    n, sd = stats.select("n").scalar(), stats.select("sd").scalar()
-    h = sd * F.pow(n.cast("double"), F.lit(-0.2))
     vals = base.groupBy("_x").agg(F.count(F.lit(1)).alias("_c"))
-    step = F.try_divide(mx - mn, F.lit(float(grid - 1)))
-    pts = vals.select("_x", "_c", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("grid_index"))
-    gx = mn + F.coalesce(step, F.lit(0.0)) * F.col("grid_index")
-    z = (gx - F.col("_x")) / h
+    st = _scalar_stats(base, mn=F.min("_x"), mx=F.max("_x"), n=F.count(F.lit(1)), sd=F.stddev_samp("_x"))
+    # the statistics enter the plan once, as columns, and are reused from there
+    s = vals.select("_x", "_c", st["mn"].alias("_mn"), st["mx"].alias("_mx"), st["n"].alias("_n"), st["sd"].alias("_sd"))
+    s = s.select("_x", "_c", "_mn", "_n",
+                 F.coalesce(F.try_divide(F.col("_mx") - F.col("_mn"), F.lit(float(grid - 1))), F.lit(0.0)).alias("_step"),
+                 (F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).alias("_h"))
+    pts = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("grid_index"))
+    gx = F.col("_mn") + F.col("_step") * F.col("grid_index")
+    z = (gx - F.col("_x")) / F.col("_h")
     k = F.col("_c") * F.exp(F.lit(-0.5) * z * z)
-    dens = pts.groupBy("grid_index").agg(F.sum(k).alias("_s"))
-    norm = n.cast("double") * h * F.lit((2 * 3.141592653589793) ** 0.5)
-    return dens.select("grid_index", (mn + F.coalesce(step, F.lit(0.0)) * F.col("grid_index")).alias("x"),
-                       (F.col("_s") / norm).alias("density"))
+    dens = pts.groupBy("grid_index").agg(F.sum(k).alias("_s"), F.first(gx).alias("x"),
+                                         F.first(F.col("_n").cast("double") * F.col("_h")).alias("_nh"))
+    norm = F.col("_nh") * F.lit((2 * 3.141592653589793) ** 0.5)
+    return dens.select("grid_index", "x", (F.col("_s") / norm).alias("density"))

@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 1024
+# numbers in one chunk's distance matrix (~32 MB of doubles), whatever the block size
+CELL_VALUES = 1 << 22
 
 
 def _as_array(col: str, df: DataFrame):
@@ -45,7 +46,9 @@ def _topk_cell(k: int, metric: str, exclude_self: bool):
         xx = (X * X).sum(axis=1)
         out_q, out_p, out_d = [], [], []
         kk = min(k + (1 if exclude_self else 0), len(pids))
-        step = CHUNK if metric == "euclidean" else max(1, (1 << 22) // max(1, X.size))
+        # queries per chunk so that one chunk's distance matrix holds ~CELL_VALUES numbers
+        per = len(pids) if metric == "euclidean" else X.size
+        step = max(1, CELL_VALUES // max(1, per))
         for s in range(0, len(qids), step):
             q = Q[s:s + step]
             if metric == "euclidean":
@@ -56,14 +59,22 @@ def _topk_cell(k: int, metric: str, exclude_self: bool):
             if exclude_self:
                 d = np.where(qids[s:s + step, None] == pids[None, :], np.inf, d)
             # every point within the k-th distance (plus rounding slack) is a candidate, so
-            # ties at the boundary are all kept; exact distances are recomputed below
+            # ties at the boundary are all considered; exact distances are recomputed below
             kth = np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]
             rows, cols = np.nonzero((d <= kth + 1e-9 * (1.0 + kth)) & np.isfinite(d))
             diff = q[rows] - X[cols]
             dist = np.sqrt((diff * diff).sum(axis=1)) if metric == "euclidean" else np.abs(diff).sum(axis=1)
-            out_q.append(qids[s:s + step][rows])
-            out_p.append(pids[cols])
-            out_d.append(dist)
+            # keep exactly the k best per query by (exact distance, neighbour id): the final
+            # ranking uses the same order, so the union over cells still holds the global k
+            # best, and a block of identical points cannot multiply the output
+            cand_p = pids[cols]
+            order = np.lexsort((cand_p, dist, rows))
+            rows, cand_p, dist = rows[order], cand_p[order], dist[order]
+            rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+            keep = rank < k
+            out_q.append(qids[s:s + step][rows[keep]])
+            out_p.append(cand_p[keep])
+            out_d.append(dist[keep])
         return pd.DataFrame({"query_id": np.concatenate(out_q).astype("int64"),
                              "neighbor_id": np.concatenate(out_p).astype("int64"),
                              "distance": np.concatenate(out_d).astype("float64")})

@@ -24,6 +24,24 @@ def test_knn_join_matches_brute_force(spark):
         assert [got[(i, r + 1)] for r in range(3)] == [j for _, j in order]
 
 
+def test_knn_join_hot_copies_bounded(spark):
+    # a third of the points are copies of one vector: every query still gets exactly k
+    # neighbours (ties by smaller id), and each cell emits at most k candidates per query
+    rnd = random.Random(7)
+    pts = [(i, [1.0, 1.0] if i % 3 == 0 else [float(rnd.randint(0, 9)), float(rnd.randint(0, 9))]) for i in range(90)]
+    df = spark.createDataFrame(pts, "id long, v array<double>")
+    got = knn_join(df, df, k=4, query_id="id", point_id="id", features="v", exclude_self=True, q_blocks=2, p_blocks=3)
+    rows = got.collect()
+    assert len(rows) == 90 * 4
+    got = {(r["query_id"], r["rank"]): (r["neighbor_id"], r["distance"]) for r in rows}
+    X = np.array([p[1] for p in pts])
+    for i in range(90):
+        d = np.sqrt(((X - X[i]) ** 2).sum(1))
+        order = sorted((d[j], j) for j in range(90) if j != i)[:4]
+        assert [got[(i, r + 1)][0] for r in range(4)] == [j for _, j in order]
+        assert np.allclose([got[(i, r + 1)][1] for r in range(4)], [x for x, _ in order])
+
+
 def _data(spark, n=240):
     return tr.prepare(synthetic_students(spark, n, 3))
 
