@@ -113,8 +113,11 @@ def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Se
               .groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c")))
     rs = running_sums(counts, "_v", ["_c"], descending=False, buckets=buckets, group=group)
     # n per group: one row per group (AQE broadcasts it when small)
-    ns = counts.groupBy(*group).agg(F.sum("_c").alias("_n"))
-    j = rs.join(ns, group) if group else rs.crossJoin(F.broadcast(ns))
+    if group:
+        ns = counts.groupBy(*group).agg(F.sum("_c").alias("_n"))
+        j = rs.join(ns, group)
+    else:  # the global n is one scalar subquery
+        j = rs.withColumn("_n", counts.agg(F.sum("_c")).scalar())
     aggs = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("_n") - 1)

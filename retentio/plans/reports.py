@@ -21,13 +21,13 @@ TREND_REFERENCE_LINES = (RISK_EDGES[1], RISK_EDGES[2], EXTREME_RISK)
 
 def risk_report(risks: DataFrame, model_info: Mapping | None = None, bins: int = 20) -> dict[str, DataFrame]:
     """Risk report tables: summary, level counts, probability histogram, high and medium lists."""
-    spark = risks.sparkSession
     info = dict(model_info or {})
     counts = rk.risk_level_counts(risks)
-    model = spark.createDataFrame([(info.get("model_name"), info.get("accuracy"), info.get("f1"))],
-                                  "model_name string, accuracy double, f1 double")
     totals = risks.agg(F.count(F.lit(1)).alias("total_students"))
-    summary = totals.crossJoin(F.broadcast(model))  # one row x one row
+    # the model information is a handful of given values: literals on the one-row total
+    summary = totals.select("total_students", F.lit(info.get("model_name")).cast("string").alias("model_name"),
+                            F.lit(info.get("accuracy")).cast("double").alias("accuracy"),
+                            F.lit(info.get("f1")).cast("double").alias("f1"))
     return {
         "summary": summary,
         "level_counts": counts,

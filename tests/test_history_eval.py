@@ -106,5 +106,10 @@ def test_exact_quantiles_both_paths(spark):
     exp = {r[0]: r[1] for r in df.groupBy("g").agg(F.median("x")).collect()}
     got = {r[0]: r[1] for r in grouped_quantiles(df, ["g"], "x", [0.5], ["m"], max_distinct=None).collect()}
     assert all(abs(exp[k] - got[k]) < 1e-12 for k in exp)
+    # no group: one global set of quantiles, n from a scalar subquery
+    exp = df.agg(*[F.percentile("x", q) for q in (0.0, 0.25, 0.9, 1.0)]).first()
+    for md in (None, 1 << 20):
+        got = grouped_quantiles(df, [], "x", [0.0, 0.25, 0.9, 1.0], ["a", "b", "c", "d"], buckets=4, max_distinct=md).first()
+        assert all(abs(got[i] - exp[i]) < 1e-12 for i in range(4))
     modes = {r[0]: r[1] for r in exact_modes(df, ["g"]).collect()}
     assert modes["g"] == df.agg(F.mode("g", True)).first()[0]
