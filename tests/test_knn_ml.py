@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from retentio.ml import train as tr
-from retentio.ml.estimators import AdaBoostClassifier, KNNClassifier, SVMClassifier, p1
+from retentio.ml.estimators import AdaBoostClassifier, KNNClassifier, StackingClassifier, SVMClassifier, p1
 from retentio.operators.knn import knn_join
 from retentio.sources.tables import synthetic_students
 
@@ -69,6 +69,20 @@ def test_custom_models_save_load(spark, tmp):
         assert [round(r["p"], 9) for r in a] == [round(r["p"], 9) for r in b]
 
 
+def test_stacking_fit_score_save_load(spark, tmp):
+    d = _data(spark, 160)
+    feats = tr.fit_pipeline(d, "logistic_regression")
+    x = PipelineModel(stages=feats.stages[:-1]).transform(d)
+    m = StackingClassifier(numFolds=2, idCol="student_id").fit(x)
+    a = m.transform(x).select("row_id", p1("probability").alias("p"), "prediction").orderBy("row_id").collect()
+    assert len(a) == 160 and all(0.0 <= r["p"] <= 1.0 for r in a)
+    assert all(r["prediction"] == (1.0 if r["p"] > 0.5 else 0.0) for r in a if abs(r["p"] - 0.5) > 1e-9)
+    path = os.path.join(tmp, "stacking")
+    PipelineModel(stages=[m]).write().overwrite().save(path)
+    b = PipelineModel.load(path).transform(x).select("row_id", p1("probability").alias("p")).orderBy("row_id").collect()
+    assert [round(r["p"], 9) for r in a] == [round(r["p"], 9) for r in b]
+
+
 def test_save_load_full_pipeline(spark, tmp):
     d = _data(spark)
     m = tr.fit_pipeline(d, "random_forest")
