@@ -11,7 +11,7 @@ on partitioning or row order, and the same value can be computed in SQL.
   without a window partitioned by the label (that would be one task per label): rows are
   spread over ``buckets`` ranges of ``u`` (uniform, so balanced), ranked inside
   (label, bucket), and offset by the counts of earlier buckets of the same label — a
-  ``labels x buckets`` table that is broadcast back.
+  ``labels x buckets`` table joined back (AQE broadcasts it from its measured size).
 """
 
 from __future__ import annotations
@@ -48,7 +48,9 @@ def rank_within_label(df: DataFrame, label: str, key: str, seed: int = 42, bucke
     offs = counts.select(label, "_bucket",
                          F.coalesce(F.sum("_c").over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
                          F.sum("_c").over(Window.partitionBy(label)).alias("_n_label"))
-    out = local.join(F.broadcast(offs), [label, "_bucket"], "left")
+    # labels x buckets rows: small for a class label, but not bounded for any label, so AQE
+    # broadcasts it from its measured size; joined on (label, bucket), a hot label stays spread
+    out = local.join(offs, [label, "_bucket"], "left")
     return out.withColumn("_rank", F.col("_lrank") + F.col("_off")).drop("_bucket", "_lrank", "_off")
 
 
