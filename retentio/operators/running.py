@@ -17,6 +17,51 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _bucketed(df: DataFrame, key: str, group: Sequence[str], buckets: int, descending: bool,
+              tiebreak: Sequence[str] = ()) -> DataFrame:
+    """Add ``_bucket``: ranges of the order key cut at approximate quantiles, monotone in the order.
+
+    A key value equal to two or more cut points is hot (it holds over a bucket's worth of rows).
+    With a numeric first ``tiebreak`` column its rows are spread over those buckets by
+    approximate quantiles of the tiebreak among them, so the bucket stays monotone in
+    (key, tiebreak) and the running sums stay exact. Rows equal in both stay together.
+    """
+    group = list(group)
+    k = F.col(key)
+    probs = [i / buckets for i in range(1, buckets)]
+    bcol = F.col("_bounds")
+    if descending:
+        lo, hi = F.size(F.filter(bcol, lambda b: b > k)), F.size(F.filter(bcol, lambda b: b >= k))
+    else:
+        lo, hi = F.size(F.filter(bcol, lambda b: b < k)), F.size(F.filter(bcol, lambda b: b <= k))
+    if group:
+        # one row of bounds per group; AQE broadcasts it when its measured size is small
+        bounds = df.groupBy(*group).agg(F.percentile_approx(k, probs, 10000).alias("_bounds"))
+        b = df.join(bounds, group, "left")
+    else:
+        # a subquery cannot sit inside a lambda: bring the bounds in as a column first
+        b = df.withColumn("_bounds", df.agg(F.percentile_approx(k, probs, 10000)).scalar())
+    b = b.withColumn("_lo", lo.cast("int")).withColumn("_hi", hi.cast("int")).drop("_bounds")
+    numeric_tb = bool(tiebreak) and isinstance(df.schema[tiebreak[0]].dataType, T.NumericType)
+    if not numeric_tb:
+        return b.withColumnRenamed("_lo", "_bucket").drop("_hi")
+    t = F.col(tiebreak[0])
+    # hot: the key spans two or more cut points (>= ~1/buckets of the group's rows); a key that
+    # merely equals one cut point stays in its bucket. At most groups x buckets / 2 rows.
+    tq = (b.filter(F.col("_hi") - F.col("_lo") >= 2).groupBy(*group, key)
+          .agg(F.percentile_approx(t.cast("double"), probs, 10000).alias("_tq")))
+    j = b.join(tq, [*group, key], "left")
+    tqc = F.col("_tq")
+    n_before = F.size(F.filter(tqc, lambda q: q > t)) if descending else F.size(F.filter(tqc, lambda q: q < t))
+    m = F.col("_hi") - F.col("_lo")
+    sub = F.least(F.floor(n_before * (m + 1) / F.lit(buckets)), m)
+    # nulls sort first ascending and last descending
+    sub = F.when(t.isNull(), m if descending else F.lit(0)).otherwise(sub)
+    bucket = F.when(tqc.isNull(), F.col("_lo")).otherwise(F.col("_lo") + sub)
+    return j.withColumn("_bucket", bucket.cast("int")).drop("_lo", "_hi", "_tq")
 
 
 def running_sums(df: DataFrame, key: str, values: Sequence[str], descending: bool = True,
@@ -34,23 +79,7 @@ def running_sums(df: DataFrame, key: str, values: Sequence[str], descending: boo
     if buckets is None:
         buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
     k = F.col(key)
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        bcol = F.col("_bounds")
-        if descending:
-            bucket = F.size(F.filter(bcol, lambda b: b > k))
-        else:
-            bucket = F.size(F.filter(bcol, lambda b: b < k))
-        if group:
-            # one row of bounds per group; AQE broadcasts it when its measured size is small
-            bounds = df.groupBy(*group).agg(F.percentile_approx(k, probs, 10000).alias("_bounds"))
-            b = df.join(bounds, group, "left")
-        else:
-            # a subquery cannot sit inside a lambda: bring the bounds in as a column first
-            b = df.withColumn("_bounds", df.agg(F.percentile_approx(k, probs, 10000)).scalar())
-        b = b.withColumn("_bucket", bucket.cast("int")).drop("_bounds")
-    else:
-        b = df.withColumn("_bucket", F.lit(0))
+    b = _bucketed(df, key, group, buckets, descending, tiebreak) if buckets > 1 else df.withColumn("_bucket", F.lit(0))
     order = [k.desc() if descending else k.asc()] + [F.col(t).desc() if descending else F.col(t).asc() for t in tiebreak]
     w = Window.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = b.select("*", *[F.sum(v).over(w).alias(f"_loc_{v}") for v in values])

@@ -113,3 +113,35 @@ def test_exact_quantiles_both_paths(spark):
         assert all(abs(got[i] - exp[i]) < 1e-12 for i in range(4))
     modes = {r[0]: r[1] for r in exact_modes(df, ["g"]).collect()}
     assert modes["g"] == df.agg(F.mode("g", True)).first()[0]
+
+
+def test_running_sums_hot_key_split_exact(spark):
+    # one key holds a third of each group's rows (distinct tiebreaks): it is spread over
+    # several buckets and the running sums still equal a brute-force ordered cumsum
+    from retentio.operators.running import _bucketed, running_sums
+
+    rnd = random.Random(5)
+    rows = []
+    for g in ("a", "b"):
+        for i in range(600):
+            k = 50.0 if i % 3 == 0 else float(rnd.randint(0, 100))
+            tb = None if i in (0, 97, 194) else float(i)  # one null on the hot key (i = 0)
+            rows.append((g, k, tb, rnd.randint(1, 9)))
+    df = spark.createDataFrame(rows, "g string, k double, tb double, v long")
+    for desc in (False, True):
+        got = running_sums(df, "k", ["v"], descending=desc, buckets=8, group=["g"], tiebreak=["tb"]).collect()
+        got = {(r["g"], r["k"], r["tb"], r["v"]): r["cum_v"] for r in got}
+        for g in ("a", "b"):
+            mine = [r for r in rows if r[0] == g]
+            nulls_first = not desc
+
+            def sk(r):
+                tb_key = (0 if (r[2] is None) == nulls_first else 1, 0.0 if r[2] is None else r[2])
+                return (r[1], tb_key) if not desc else (-r[1], (tb_key[0], -tb_key[1]))
+            acc = 0
+            for r in sorted(mine, key=sk):
+                acc += r[3]
+                assert got[r] == acc
+        hot = _bucketed(df, "k", ["g"], 8, desc, ["tb"]).filter("k = 50.0").groupBy("g").agg(
+            F.count_distinct("_bucket").alias("n")).collect()
+        assert all(r["n"] > 1 for r in hot)
