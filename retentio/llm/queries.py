@@ -5,29 +5,61 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from retentio.llm import backoff_lm, simhash, substring_dedup
+from retentio.llm import backoff_lm, decontam, simhash, substring_dedup
 from retentio.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = fn
-    return fn
+def register(sql: str | None = None):
+    """Adds a query under the function's name, with its DuckDB SQL where SQL can express it."""
+    def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+    return add
 
 
-@register
+@register()
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).drop("removed")
 
 
-@register
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+ITEM_WORDS = "coalesce(regexp_extract_all(" + LOWER("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+
+@register(f"""
+with d as (select doc_id, {ITEM_WORDS} as ws from documents),
+b as (select item_id, {ITEM_WORDS} as ws from benchmark where item_id is not null),
+p as (select distinct item_id, least(len(ws), 10) as n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') as win
+      from b, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) as r(i) where len(ws) > 0),
+dw as (select doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') as win
+       from d, (select distinct n from p) as sizes, unnest(range(1, len(ws) - n + 2)) as r(i)),
+h as (select doc_id, item_id, dw.i, dw.n from dw join p on dw.win = p.win and dw.n = p.n),
+hw as (select doc_id, count(distinct w) as n_hit from h, unnest(range(i, i + n)) as r(w) group by doc_id),
+hi as (select doc_id, count(distinct item_id) as n_items,
+       string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items from h group by doc_id)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hw using (doc_id) left join hi using (doc_id)""")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end_word"] - s["first_word"])
+    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(ids, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+@register()
 def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
-@register
+@register()
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
