@@ -29,10 +29,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import BLOCK_BYTES, answers_of, ask_and_answer, block_count, blocks, buckets_of, documents_of, held_out
+from retentio.llm.common import (
+    BLOCK_BYTES,
+    COUNTS,
+    answers_of,
+    ask_and_answer,
+    block_count,
+    blocks,
+    buckets_of,
+    documents_of,
+    held_out,
+)
 
 END, START = b"", b" "  # neither can be a word
-ASKED = {"w64": "<u8", "w32": "<u4", "wn": "<i8", "b64": "<u8", "bn": "<i8"}
+ASKED = {"w64": "<u8", "w32": "<u4", "wn": COUNTS, "b64": "<u8", "bn": COUNTS}
 
 
 def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -124,7 +134,7 @@ def _totals(asked: list[dict[str, np.ndarray]]) -> list[np.ndarray]:
 
 def _score(n: int, mu: float, t: pa.Table, answers: pa.Table) -> pa.Table:
     k = Tokens(t)
-    got = answers_of(answers, "<i8")
+    got = answers_of(answers, COUNTS)
     total, distinct = (int(sum(int(a[i]) for a in got)) for i in (0, 1))
     cut = np.subtract(*buckets_of(k.digests["w64"], n)[::-1])  # words asked per bucket
     words = np.concatenate([a[2 : 2 + c] for a, c in zip(got, cut, strict=True)])
@@ -158,7 +168,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = documents_of(docs, id_col, text_col).withColumn("held_out", held_out("doc_id", parts, remainder))
     n = block_count(texts, block_bytes)
     dealt = blocks(texts, n)
-    answers = ask_and_answer(dealt, n, partial(_ask, n), _totals, ASKED)
+    answers = ask_and_answer(dealt, n, partial(_ask, n), _totals, ASKED, COUNTS)
     return (dealt.groupBy("block").cogroup(answers.groupBy("block"))
             .applyInArrow(partial(_score, n, mu), "doc_id long, held_out boolean, n_tokens long, n_known long, "
                           "train_tokens long, base_score double, score double"))

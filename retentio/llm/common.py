@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from retentio.session import checkpoint_dir
 
-#: Text bytes of one block: bounds what one task holds (a longer single text is a block of its own size).
-BLOCK_BYTES = 16 << 20
+#: Text bytes of one block, at least: bounds what one task holds (a longer single text is a block of its own size).
+BLOCK_BYTES = 8 << 20
+#: Text bytes per packed message between a block and a bucket, at least: blocks grow with the root of the corpus.
+MESSAGE_BYTES = 4 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,9 +68,40 @@ def text_bytes(col: pa.ChunkedArray | pa.Array) -> list[bytes]:
 
 
 def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    """How many blocks of about ``block_bytes`` the texts make (one aggregate over all rows)."""
+    """How many blocks the texts make (one aggregate over all rows).
+
+    n blocks exchange n * n messages, so a block holds ``block_bytes`` or, if that is more, as
+    much as keeps a message at ``MESSAGE_BYTES`` of text: 8 MB up to 16 GB, 650 MB at 100 TB.
+    """
     total, rows = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    return max(1, math.ceil((int(total or 0) + 64 * int(rows)) / block_bytes))
+    size = int(total or 0) + 64 * int(rows)
+    return max(1, math.ceil(size / max(block_bytes, math.isqrt(size * MESSAGE_BYTES))))
+
+
+def pack_counts(n: np.ndarray) -> bytes:
+    """Non-negative numbers, mostly small, at a byte each; those of 255 and more follow in full."""
+    big = np.flatnonzero(n >= 255)
+    return np.int64(len(big)).tobytes() + big.astype("<i8").tobytes() + n[big].astype("<i8").tobytes() + np.minimum(n, 255).astype("u1").tobytes()
+
+
+def unpack_counts(packed: bytes) -> np.ndarray:
+    k = int(np.frombuffer(packed, "<i8", 1)[0])
+    at, full = np.frombuffer(packed, "<i8", 2 * k, 8).reshape(2, k)
+    n = np.frombuffer(packed, "u1", offset=8 + 16 * k).astype(np.int64)
+    n[at] = full
+    return n
+
+
+def _pack(a: np.ndarray, dtype: str) -> bytes:
+    return pack_counts(a) if dtype == COUNTS else np.ascontiguousarray(a, dtype).tobytes()
+
+
+def _unpack(packed: bytes, dtype: str) -> np.ndarray:
+    return unpack_counts(packed) if dtype == COUNTS else np.frombuffer(packed, dtype)
+
+
+#: In place of a numpy type: numbers sent by ``pack_counts``.
+COUNTS = "counts"
 
 
 def blocks(docs: DataFrame, n: int) -> DataFrame:
@@ -101,12 +134,13 @@ def ask_and_answer(
     ask: Callable[[pa.Table], list[dict[str, np.ndarray]]],
     answer: Callable[[list[dict[str, np.ndarray]]], list[np.ndarray]],
     dtypes: dict[str, str],
+    answer_dtype: str,
 ) -> DataFrame:
     """(block, bucket, answer) for documents that ``blocks`` has dealt out.
 
     ask      documents of one block -> one dict of packed arrays per bucket (``n_blocks`` buckets)
     answer   the asked arrays of one bucket, one dict per block -> one array per block
-    dtypes   numpy types of the asked arrays, by name
+    dtypes   numpy types (or ``COUNTS``) of the asked arrays by name, and of the answers
     """
     names = list(dtypes)
     asked = "bucket int, block int, " + ", ".join(f"{n} binary" for n in names)
@@ -117,15 +151,15 @@ def ask_and_answer(
             for bucket, arrays in enumerate(ask(t)):
                 yield pa.RecordBatch.from_pydict(
                     {"bucket": pa.array([bucket], pa.int32()), "block": pa.array([block], pa.int32())}
-                    | {n: pa.array([np.ascontiguousarray(arrays[n], dtypes[n]).tobytes()], pa.binary()) for n in names})
+                    | {n: pa.array([_pack(arrays[n], dtypes[n])], pa.binary()) for n in names})
 
     def answering(t: pa.Table) -> pa.Table:
         who = t.column("block").to_numpy()
         order = np.argsort(who, kind="stable")
         parts = [t.column(n).to_pylist() for n in names]
-        got = answer([{n: np.frombuffer(p[i], dtypes[n]) for n, p in zip(names, parts, strict=True)} for i in order])
-        return pa.table({"block": pa.array(who[order], pa.int32()), "bucket": t.column("bucket").cast(pa.int32()),
-                         "answer": pa.array([a.tobytes() for a in got], pa.binary())})
+        got = answer([{n: _unpack(p[i], dtypes[n]) for n, p in zip(names, parts, strict=True)} for i in order])
+        return pa.table({"block": pa.array(who[order], pa.int32()), "bucket": t.column("bucket"),
+                         "answer": pa.array([_pack(a, answer_dtype) for a in got], pa.binary())})
 
     return (docs.sortWithinPartitions("block").mapInArrow(asking, asked)
             .groupBy("bucket").applyInArrow(answering, "block int, bucket int, answer binary"))
@@ -135,7 +169,7 @@ def answers_of(t: pa.Table, dtype: str) -> list[np.ndarray]:
     """The answers to one block in the order of buckets."""
     bucket = t.column("bucket").to_numpy()
     raw = t.column("answer").to_pylist()
-    return [np.frombuffer(raw[i], dtype) for i in np.argsort(bucket, kind="stable")]
+    return [_unpack(raw[i], dtype) for i in np.argsort(bucket, kind="stable")]
 
 
 def buckets_of(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

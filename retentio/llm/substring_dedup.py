@@ -183,7 +183,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = docs.select(*picked, *([F.struct(*keep).alias("row")] if keep else []))
     n = block_count(texts, block_bytes)
     dealt = blocks(texts, n)
-    answers = ask_and_answer(dealt, n, partial(_ask, n, bits, longest), _owned_elsewhere, ASKED)
+    answers = ask_and_answer(dealt, n, partial(_ask, n, bits, longest), _owned_elsewhere, ASKED, "u1")
     schema = ("doc_id long, text string, n_chunks long, n_repeated long, removed_bytes long, "
               "removed array<struct<start:long,end:long>>" + (f", row {kept.simpleString()}" if keep else ""))
     out = (dealt.groupBy("block").cogroup(answers.groupBy("block"))
