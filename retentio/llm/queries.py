@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import backoff_lm, decontam, langid, simhash, substring_dedup, toxicity
+from retentio.llm import backoff_lm, decontam, langid, piece_fst, simhash, substring_dedup, toxicity
 from retentio.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register()
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_fst.encode(table(spark, sf_dir, "documents"))
+
+
 @register()
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(table(spark, sf_dir, "documents"))
