@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import backoff_lm, decontam, langid, piece_fst, simhash, substring_dedup, toxicity
-from retentio.llm.common import table
+from retentio.llm import backoff_lm, decontam, langid, piece_fst, simhash, substring_dedup, toxicity, warc
+from retentio.llm.common import materialise, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,28 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def digests_of_archives(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of the archives that ``warc.write_archives`` made."""
+    page = lambda c: F.try_to_number(F.split(c, ":")[2], F.lit("S" + "9" * 19)).cast("long")
+    records = warc.read_archives(spark, path).select(
+        "record_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha1("payload").alias("payload_digest"))
+    whole = warc.resolved(materialise(records, "warc"))
+    return whole.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+@register("""
+with p as (select page_id, coalesce(html, '') as html from pages),
+f as (select html, max(page_id) as first from p where strlen(html) >= 1000 group by html),
+j as (select p.*, first, first is not null and page_id is distinct from first as back from p left join f using (html))
+select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as payload_digest,
+       case when back then 'revisit' else 'response' end as record_type, case when back then first end as refers_to from j""")
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return digests_of_archives(spark, path)
+
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
 ITEM_WORDS = "coalesce(regexp_extract_all(" + LOWER("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
