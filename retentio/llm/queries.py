@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import backoff_lm, decontam, langid, piece_fst, simhash, substring_dedup, toxicity, warc
+from retentio.llm import backoff_lm, decontam, langid, piece_fst, simhash, substring_dedup, toxicity, url_filter, warc
 from retentio.llm.common import materialise, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,33 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests_of_archives(spark, path)
 
 
+#: The rules of op4: host, path, verdict.
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+# The SQL follows conventional redirects; the given pages hold no canonical or refresh links,
+# which tests/llm/test_url_filter.py covers.
+@register(rf"""
+with recursive rules(host, path, verdict) as (values {", ".join(map(str, URL_RULES))}),
+e as (select distinct url as src, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''),
+        '([?&])utm_[^&]*(&|$)', '\1', 'g'), '[?&]+$', ''), '^(?i:https?)://(?i:www\.|m\.)?', 'https://'), '/$', '') as dst from pages where contains(url, '://')),
+u as (select src as url from e union select dst from e),
+p as (select url, translate(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') as host,
+      regexp_extract(url, '://([^/?#]*)([^?#]*)', 2) as path from u),
+b as (select url, arg_max(r.host || r.path, length(r.host || r.path)) as rule, arg_max(verdict, length(r.host || r.path)) as verdict
+      from p join rules r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path) group by url),
+reach(url, other) as (select url, url from u union select reach.url, case when e.src = other then e.dst else e.src end from reach join e on other in (e.src, e.dst)),
+i as (select reach.url, bool_or(verdict = 'allow') as allowed from reach join b on other = b.url group by reach.url)
+select page_id, translate(regexp_extract(coalesce(pages.url, ''), '://([^/?#]*)([^?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') as host,
+       regexp_extract(coalesce(pages.url, ''), '://([^/?#]*)([^?#]*)', 2) as path, rule,
+       coalesce(b.verdict, case when allowed then 'allow' when not allowed then 'block' end, 'allow') as verdict
+from pages left join b on pages.url = b.url left join i on pages.url = i.url""")
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(pages, url_filter.alias_edges(pages), rules)
+
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
 ITEM_WORDS = "coalesce(regexp_extract_all(" + LOWER("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
