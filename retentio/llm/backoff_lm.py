@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from retentio.llm.common import (
     BLOCK_BYTES,
     COUNTS,
+    KEYS,
     answers_of,
     ask_and_answer,
     block_count,
@@ -42,7 +43,7 @@ from retentio.llm.common import (
 )
 
 END, START = b"", b" "  # neither can be a word
-ASKED = {"w64": "<u8", "w32": "<u4", "wn": COUNTS, "b64": "<u8", "bn": COUNTS}
+ASKED = {"w64": KEYS, "w32": "<u4", "wn": COUNTS, "b64": KEYS, "bn": COUNTS}
 
 
 def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:

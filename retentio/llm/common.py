@@ -92,16 +92,26 @@ def unpack_counts(packed: bytes) -> np.ndarray:
     return n
 
 
-def _pack(a: np.ndarray, dtype: str) -> bytes:
-    return pack_counts(a) if dtype == COUNTS else np.ascontiguousarray(a, dtype).tobytes()
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as differences, byte plane by byte plane: the upper planes are zero and compress away."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view("u1").reshape(-1, 8).T.tobytes()
 
 
-def _unpack(packed: bytes, dtype: str) -> np.ndarray:
-    return unpack_counts(packed) if dtype == COUNTS else np.frombuffer(packed, dtype)
+def unpack_keys(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, "u1").reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+#: In place of a numpy type: numbers sent by ``pack_counts``, sorted keys sent by ``pack_keys``.
+COUNTS, KEYS = "counts", "keys"
 
 
-#: In place of a numpy type: numbers sent by ``pack_counts``.
-COUNTS = "counts"
+def _pack(a: np.ndarray, dtype: str) -> bytes:
+    return pack_counts(a) if dtype == COUNTS else pack_keys(a) if dtype == KEYS else np.ascontiguousarray(a, dtype).tobytes()
+
+
+def _unpack(packed: bytes, dtype: str) -> np.ndarray:
+    return unpack_counts(packed) if dtype == COUNTS else unpack_keys(packed) if dtype == KEYS else np.frombuffer(packed, dtype)
 
 
 def blocks(docs: DataFrame, n: int) -> DataFrame:
@@ -140,7 +150,7 @@ def ask_and_answer(
 
     ask      documents of one block -> one dict of packed arrays per bucket (``n_blocks`` buckets)
     answer   the asked arrays of one bucket, one dict per block -> one array per block
-    dtypes   numpy types (or ``COUNTS``) of the asked arrays by name, and of the answers
+    dtypes   numpy types (or ``COUNTS``, ``KEYS``) of the asked arrays by name, and of the answers
     """
     names = list(dtypes)
     asked = "bucket int, block int, " + ", ".join(f"{n} binary" for n in names)

@@ -22,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import BLOCK_BYTES, answers_of, ask_and_answer, block_count, blocks, buckets_of
+from retentio.llm.common import BLOCK_BYTES, KEYS, answers_of, ask_and_answer, block_count, blocks, buckets_of
 
 WINDOW = 16
 #: The gear table: 256 pseudo-random 16-bit numbers, the same in every run.
 GEAR = np.random.default_rng(0x6EA2).integers(0, 1 << 16, 256, dtype=np.uint16)
 NO_ID = np.iinfo(np.int64).max
-ASKED = {"d64": "<u8", "d32": "<u4", "doc": "<i8"}
+ASKED = {"d64": KEYS, "d32": "<u4", "doc": "<i8"}
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
