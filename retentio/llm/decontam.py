@@ -145,6 +145,21 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     return merged.select("doc_id", "n_words", "items", _united("spans").alias("spans"), F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
 
 
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 10, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows of ``docs`` in which no item occurs, all columns as they are; null texts stay."""
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    sc, left = docs.sparkSession.sparkContext, docs
+    for g in _batches_of_items(bench, max(1, automaton_bytes // window)):
+        left = left.mapInArrow(partial(_clean, sc.broadcast((g, window)), text_col), left.schema)
+    return left
+
+
+def _clean(shared, text_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    m = Matcher(*shared.value)
+    for b in batches:
+        yield b.filter(pa.array([not m.scan(t)[1] for t in text_bytes(b.column(text_col))], pa.bool_()))
+
+
 def _united(col: str):
     """Sorted spans with overlapping or touching ones joined."""
     def step(acc, x):
