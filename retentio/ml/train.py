@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -239,9 +240,11 @@ def load_model(path: str) -> tuple[PipelineModel, dict]:
     spark = SparkSession.active()
     try:
         meta = spark.read.json(f"{path}/metadata").first().asDict()
-        return PipelineModel.load(f"{path}/model"), meta
-    except Exception:  # noqa: BLE001 - no metadata: a bare model directory
-        return PipelineModel.load(path), {"model_name": os.path.basename(path.rstrip("/"))}
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return PipelineModel.load(path), {"model_name": os.path.basename(path.rstrip("/"))}  # a bare model directory
+    return PipelineModel.load(f"{path}/model"), meta
 
 
 __all__ = ["prepare", "fit_pipeline", "evaluate", "cross_validate", "tune", "train", "score_students",

@@ -138,10 +138,13 @@ def roc_curve(df: DataFrame, label: str = "y_true", score: str = "score", drop_i
 def roc_auc_from_counts(counts: DataFrame) -> DataFrame:
     """:func:`roc_auc` from a :func:`score_counts` table."""
     t = _running(counts)
-    a = t.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-              F.sum(F.col("pos") * F.col("cum_neg")).alias("pc"), F.sum(F.col("pos") * F.col("neg")).alias("pn"))
-    pn = (F.col("P") * F.col("N")).cast("double")
-    return a.select(F.try_divide(pn - F.col("pc") + F.col("pn") * 0.5, pn).alias("roc_auc"))
+    # products of counts leave the range of a long at a few billion rows: exact decimals
+    big = lambda c: F.col(c).cast("decimal(19,0)")
+    a = t.agg(F.sum("pos").cast("double").alias("P"), F.sum("neg").cast("double").alias("N"),
+              F.sum((big("pos") * big("cum_neg")).cast("decimal(38,0)")).alias("pc"),
+              F.sum((big("pos") * big("neg")).cast("decimal(38,0)")).alias("pn"))
+    pn = F.col("P") * F.col("N")
+    return a.select(F.try_divide(pn - F.col("pc").cast("double") + F.col("pn").cast("double") * 0.5, pn).alias("roc_auc"))
 
 
 def roc_auc(df: DataFrame, label: str = "y_true", score: str = "score") -> DataFrame:

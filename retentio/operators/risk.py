@@ -128,7 +128,8 @@ def _paired(history: DataFrame, date_before, date_after, labels: Sequence[str] =
     d1 = F.lit(date_before).cast("date")
     d2 = F.lit(date_after).cast("date")
     d = F.col(DATE)
-    h = history.filter(d.isin(d1, d2))
+    # a null id is no student: it matches nobody, as in a join
+    h = history.filter(d.isin(d1, d2) & F.col("student_id").isNotNull())
     p = clean_double(P)
     rank = risk_rank(F.col("risk_level"), labels)
     g = h.groupBy("student_id").agg(

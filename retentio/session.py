@@ -20,19 +20,21 @@ DEFAULT_CONF = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "retentio",
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "retentio",
               extra: dict | None = None) -> SparkSession:
     """Create (or return) a session with the library defaults.
 
-    On a cluster the master and sizing come from ``spark-submit``; ``master`` is only
-    for local runs. ``spark.sql.shuffle.partitions`` should be sized so one shuffle
-    partition holds ~128-256 MB at the target scale; AQE coalesces small ones.
+    On a cluster the master and sizing come from ``spark-submit``: ``master`` and
+    ``shuffle_partitions`` are set only when given (local runs). ``spark.sql.shuffle.partitions``
+    should be sized so one shuffle partition holds ~128-256 MB at the target scale; AQE
+    coalesces small ones.
     """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -42,16 +44,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 
 
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder: ``spark.checkpoint.dir``, else the one the context already has.
 
-    The cluster names this folder; it is only set here when it is unset (tests and local
-    runs), to ``fallback`` or a fresh temporary folder.
+    Only where neither is set, ``fallback`` is used; without one, a fresh temporary folder in
+    local mode, and an error on a cluster, whose executors could not see a folder of the driver's.
     """
-    cur = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    cur = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not cur:
+        one_machine = sc.master == "local" or sc.master.startswith("local[")
+        if not fallback and not one_machine:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         cur = fallback or tempfile.mkdtemp(prefix="retentio-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(cur)
     return cur

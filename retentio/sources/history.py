@@ -14,14 +14,17 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from retentio.functions.bins import RISK_LEVELS
 from retentio.operators import history as hs
 from retentio.operators import risk as rk
+from retentio.session import checkpoint_dir
 
 RISK_SCHEMA = T.StructType([
     T.StructField("student_id", T.StringType()),
@@ -44,34 +47,62 @@ HISTORY_SCHEMA = T.StructType([
 ])
 
 
+def stored(spark: SparkSession, schema: T.StructType, load: Callable[[DataFrameReader], DataFrame]) -> DataFrame:
+    """A stored table, empty where nothing has been stored yet; any other failure to open it is raised."""
+    try:
+        return load(spark.read.schema(schema))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 class RiskHistory:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
     def upsert(self, risks: DataFrame, date, model_version: str, notes: str | None = None) -> None:
-        """Store one assessment; an existing assessment of the same date is replaced."""
+        """Store one assessment; an existing assessment of the same date is replaced, also by an empty one."""
         rows = hs.as_assessment(risks, date, model_version, notes)
         cols = [f.name for f in RISK_SCHEMA.fields]
+        if rows.isEmpty():
+            self._drop(date)
+            return
         (rows.select(*cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("assessment_date").parquet(self.root))
 
+    def merge(self, risks: DataFrame, date, model_version: str, notes: str | None = None) -> None:
+        """Add students to an assessment: rows of the same student are replaced, others of that date stay."""
+        cols = [f.name for f in RISK_SCHEMA.fields]
+        new = hs.as_assessment(risks, date, model_version, notes).select(*cols)
+        old = self.get(date).join(new.select("student_id"), "student_id", "left_anti").select(*cols)
+        both = old.unionByName(new)
+        checkpoint_dir(self.spark)
+        (both.checkpoint().write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("assessment_date").parquet(self.root))
+
+    def _drop(self, date) -> None:
+        """Remove one assessment's directory, if it is there."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/assessment_date={str(date)[:10]}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def write_all(self, history: DataFrame) -> None:
         """Store a whole history at once; only the dates present in ``history`` are replaced.
 
-        Rows are rebalanced on the date before the partitioned write: AQE clusters each
-        date into files of the advisory partition size and splits a hot date over several
-        tasks, instead of one small file per (input task, date).
+        Of several rows of one student and date the one with the largest probability stays
+        (the comparisons need one). Rows are rebalanced on the date before the partitioned write: AQE
+        clusters each date into files of the advisory partition size and splits a hot date
+        over several tasks, instead of one small file per (input task, date).
         """
-        cols = [f.name for f in RISK_SCHEMA.fields]
-        (history.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RISK_SCHEMA.fields])
-         .select(*cols).hint("rebalance", "assessment_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        typed = history.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RISK_SCHEMA.fields])
+        rest = [f.name for f in RISK_SCHEMA.fields if f.name not in ("student_id", "assessment_date")]
+        one = typed.groupBy("assessment_date", "student_id").agg(F.max(F.struct(*rest)).alias("r"))
+        (one.select("student_id", *[F.col(f"r.{c}").alias(c) for c in rest], "assessment_date")
+         .hint("rebalance", "assessment_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("assessment_date").parquet(self.root))
 
     def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(RISK_SCHEMA).parquet(self.root)
-        except Exception:  # noqa: BLE001 - nothing stored yet
-            return self.spark.createDataFrame([], RISK_SCHEMA)
+        return stored(self.spark, RISK_SCHEMA, lambda r: r.parquet(self.root))
 
     def get(self, date) -> DataFrame:
         """One assessment (partition-pruned); empty when the date is missing."""
@@ -83,8 +114,8 @@ class RiskHistory:
     def summary(self, date=None) -> DataFrame:
         return rk.risk_summary(self.read(), date)
 
-    def changes(self, date_before, date_after) -> DataFrame:
-        return rk.risk_changes(self.read(), date_before, date_after)
+    def changes(self, date_before, date_after, labels: Sequence[str] = RISK_LEVELS) -> DataFrame:
+        return rk.risk_changes(self.read(), date_before, date_after, labels)
 
     def change_summary(self, date_before, date_after) -> DataFrame:
         return rk.risk_change_summary(self.read(), date_before, date_after)
@@ -134,10 +165,7 @@ class MetricsHistory:
         entries.select(*cols).write.mode("append").option("timestampNTZFormat", TS_FORMAT).json(self.root)
 
     def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(HISTORY_SCHEMA).json(self.root)
-        except Exception:  # noqa: BLE001 - nothing stored yet
-            return self.spark.createDataFrame([], HISTORY_SCHEMA)
+        return stored(self.spark, HISTORY_SCHEMA, lambda r: r.json(self.root))
 
     def long(self) -> DataFrame:
         return hs.explode_metrics(self.read())

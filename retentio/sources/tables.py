@@ -11,14 +11,13 @@ import os
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # --- fixed values ----------------------------------------------------------------------------
-CSV_ENCODINGS = ("utf-8", "cp1251", "latin1")
 CSV_SEPARATORS = (",", ";", "\t")
-SHEET_NAME_LIMIT = 31
+CP1251_UNDEFINED = "\x98"
 FACULTIES = ("Economics", "Law", "Computer Science", "Management", "Psychology")
 REQUIRED_STUDENT_COLUMNS = ("student_id",)
 # -------------------------------------------------------------------------------------------------
@@ -43,67 +42,100 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     fmt = table_format(path)
     if fmt == "csv":
         return read_csv_auto(spark, path, schema)
-    r = spark.read
-    if schema is not None:
-        r = r.schema(schema)
     if fmt == "json":
-        return r.option("multiLine", json_is_document(spark, path)).json(path)
+        return read_json_auto(spark, path, schema)
+    r = spark.read if schema is None else spark.read.schema(schema)
     return r.format(fmt).load(path)
 
 
-def json_is_document(spark: SparkSession, path: str) -> bool:
-    """True for a JSON document (an array of records, or one record spread over lines),
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def json_layouts(spark: SparkSession, path: str) -> dict[str, bool]:
+    """File -> True for a JSON document (an array of records, or one record spread over lines),
     False for JSON lines (one complete record per line, Spark's own output).
 
-    Decided from the first non-blank line of the input (a ``limit``, never the whole file).
+    Each file is judged by its own first non-blank line, found by one aggregate over the files.
     """
-    head = [r[0] for r in spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()]
-    if not head:
-        return False
-    first = head[0].strip()
-    if first.startswith("["):
-        return True
-    # a complete record on the first line means one record per line
-    return not (first.startswith("{") and first.endswith("}"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                         F.monotonically_increasing_id().alias("line"), F.trim("value").alias("value"))
+    heads = lines.filter("value <> ''").groupBy("file").agg(F.min_by("value", F.struct("block", "line")).alias("head")).collect()
+    return {r["file"]: r["head"].startswith("[") or not (r["head"].startswith("{") and r["head"].endswith("}"))
+            for r in heads}
 
 
-def _field_counts(lines: Sequence[str], sep: str) -> list[int]:
-    return [len(line.split(sep)) for line in lines if line.strip()]
+def read_json_auto(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+                   document: bool | None = None) -> DataFrame:
+    """JSON lines and JSON documents, told apart file by file; ``document`` skips that.
 
+    A document is parsed by one task; large inputs should be JSON lines.
+    """
+    r = spark.read if schema is None else spark.read.schema(schema)
+    if document is not None:
+        return r.option("multiLine", document).json(path)
+    layouts = json_layouts(spark, path)
+    if len(set(layouts.values())) <= 1:
+        return r.option("multiLine", any(layouts.values())).json(path)
+    return _union([r.option("multiLine", kind).json([f for f, k in layouts.items() if k == kind]) for kind in (False, True)])
 
-def detect_csv_dialect(spark: SparkSession, path: str, head_lines: int = 50) -> tuple[str, str]:
-    """(encoding, separator) from the first lines of the file(s).
 
-    Encoding: the head is decoded as UTF-8; replacement characters mean it is not UTF-8,
-    and cp1251 is tried (then latin1, which never fails). Separator: the candidate that
-    gives the same field count (> 1) on every head line, most fields first; ',' otherwise.
-    Only ``head_lines`` lines are read (a ``limit``), never the whole file.
+def csv_dialects(spark: SparkSession, path: str) -> dict[str, tuple[str, str]]:
+    """File -> (encoding, separator), from one aggregate over all lines of all files.
+
+    Encoding: UTF-8 if every line is valid UTF-8; else cp1251, or latin1 if a byte is not
+    defined in cp1251. Separator: the candidate that cuts the most lines into the same number
+    (> 1) of fields, more fields first, ',' if none does; separators between quotes do not count.
+    """
+    raw = F.col("value").cast("binary")
+    undefined = F.decode(raw, "ISO-8859-1").contains(CP1251_UNDEFINED)
+    plain = F.regexp_replace(F.decode(raw, "ISO-8859-1"), '"(?:[^"]|"")*"', "")
+    counts = F.array(*[F.struct(F.lit(i).alias("sep"), (F.length(plain) - F.length(F.translate(plain, s, ""))).alias("n"))
+                       for i, s in enumerate(CSV_SEPARATORS)])
+    lines = (spark.read.text(path).filter(F.length("value") > 0)
+             .select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("utf8"), undefined.alias("odd"),
+                     F.explode(counts).alias("c")))
+    shapes = lines.groupBy("file", "c").agg(F.count(F.lit(1)).alias("lines"), F.min("utf8").alias("utf8"), F.max("odd").alias("odd"))
+    best = (shapes.groupBy("file").agg(F.min("utf8").alias("utf8"), F.max("odd").alias("odd"),
+                                       F.max(F.when(F.col("c.n") > 0, F.struct("lines", "c.n", (-F.col("c.sep")).alias("sep")))).alias("best"))
+            .collect())
+    return {r["file"]: ("utf-8" if r["utf8"] else "latin1" if r["odd"] else "cp1251",
+                        CSV_SEPARATORS[-r["best"]["sep"]] if r["best"] else ",") for r in best}
+
+
+def _from_cp1251(text: Column) -> Column:
+    """Text read byte for byte (latin1) to the characters its bytes have in cp1251."""
+    upper = bytes(b for b in range(128, 256) if chr(b) != CP1251_UNDEFINED)
+    return F.translate(text, upper.decode("latin1"), upper.decode("cp1251"))
+
+
+def read_csv_auto(spark: SparkSession, path: str, schema: T.StructType | str | None = None, infer_schema: bool = True,
+                  encoding: str | None = None, sep: str | None = None) -> DataFrame:
+    """CSV with a header, encoding and separator detected file by file unless both are given.
+
+    Files of different dialects are read apart and united by column name.
     """
-    head = [r[0] for r in spark.read.text(path).limit(head_lines).collect()]
-    encoding = "utf-8"
-    if any("\ufffd" in line for line in head):
-        encoding = "cp1251"
-    best, best_n = ",", 1
-    for sep in CSV_SEPARATORS:
-        counts = _field_counts(head, sep)
-        if counts and len(set(counts)) == 1 and counts[0] > best_n:
-            best, best_n = sep, counts[0]
-    return encoding, best
-
-
-def read_csv_auto(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-                  infer_schema: bool = True) -> DataFrame:
-    """CSV with a header, encoding and separator detected from the head of the file."""
-    encoding, sep = detect_csv_dialect(spark, path)
-    if encoding == "cp1251":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        encoding = "windows-1251"
-    r = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-    if schema is not None:
-        r = r.schema(schema)
-    elif infer_schema:
-        r = r.option("inferSchema", True)
-    return r.csv(path)
+    found = csv_dialects(spark, path) if encoding is None or sep is None else {}
+    groups: dict[tuple[str, str], list[str]] = {}
+    for file, (e, s) in found.items():
+        groups.setdefault((encoding or e, sep or s), []).append(file)
+    if len(groups) <= 1:
+        groups = {next(iter(groups), (encoding or "utf-8", sep or ",")): [path]}
+    parts = []
+    for (e, s), files in sorted(groups.items()):
+        r = spark.read.option("header", True).option("sep", s).option("encoding", "UTF-8" if e == "utf-8" else "ISO-8859-1")
+        r = r.schema(schema) if schema is not None else r.option("inferSchema", infer_schema)
+        df = r.csv(files)
+        if e == "cp1251":  # by a translation: the JVM's own decoder needs a session-wide setting
+            names = [n.encode("latin1").decode("cp1251") if schema is None else n for n in df.columns]
+            df = df.toDF(*names)
+            df = df.select(*[_from_cp1251(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
+                             for f in df.schema.fields])
+        parts.append(df)
+    return _union(parts)
 
 
 def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "overwrite", sep: str = ",") -> None:
@@ -119,8 +151,8 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "o
 
 
 def bundle_name(name: str) -> str:
-    """Directory-safe table name cut to 31 characters (the spreadsheet sheet limit)."""
-    return re.sub(r"[^0-9A-Za-z_.-]+", "_", name)[:SHEET_NAME_LIMIT]
+    """Directory-safe table name: letters (of any script), digits, ``_``, ``.`` and ``-`` stay."""
+    return re.sub(r"[^\w.-]+", "_", name)
 
 
 def write_bundle(tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet", mode: str = "overwrite",
@@ -129,10 +161,18 @@ def write_bundle(tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet
 
     The writes are independent jobs and are submitted concurrently (up to ``parallel``
     at a time) so small report tables do not leave the cluster idle one after another;
-    the first failure is raised.
+    the first failure is raised. Names that would share a directory are an error, raised
+    before anything is written.
     """
     from concurrent.futures import ThreadPoolExecutor
 
+    taken: dict[str, str] = {}
+    for name in tables:
+        # directories may be case-insensitive; a name without any safe character has no directory
+        key = bundle_name(name).casefold()
+        if not key.strip("._") or key in taken:
+            raise ValueError(f"table name {name!r} has no directory of its own" + (f" beside {taken[key]!r}" if key in taken else ""))
+        taken[key] = name
     paths = [os.path.join(root, bundle_name(name)) for name in tables]
     with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(paths)))) as ex:
         futs = [ex.submit(write_table, df, p, fmt, mode) for df, p in zip(tables.values(), paths)]
@@ -145,7 +185,8 @@ def read_students(spark: SparkSession, path: str, schema: T.StructType | str | N
                   target: str = "dropout") -> tuple[DataFrame, DataFrame]:
     """Student table split into (valid rows, rejected rows with a ``reason``).
 
-    A row is rejected when its ``student_id`` is null or the target is present but not 0/1.
+    A row is rejected when its ``student_id`` is null, or the target is there but is not 0 or 1
+    (a null, a fraction or a text among them).
     """
     df = read_table(spark, path, schema)
     missing = [c for c in REQUIRED_STUDENT_COLUMNS if c not in df.columns]
@@ -153,7 +194,8 @@ def read_students(spark: SparkSession, path: str, schema: T.StructType | str | N
         raise ValueError(f"missing required columns: {missing}")
     reason = F.when(F.col("student_id").isNull(), F.lit("null student_id"))
     if target in df.columns:
-        reason = reason.when(F.col(target).isNotNull() & ~F.col(target).cast("int").isin(0, 1), F.lit("bad target"))
+        good = F.col(target).try_cast("double").isin(0.0, 1.0)
+        reason = reason.when(~F.coalesce(good, F.lit(False)), F.lit("bad target"))
     tagged = df.withColumn("_reason", reason)
     ok = tagged.filter(F.col("_reason").isNull()).drop("_reason")
     bad = tagged.filter(F.col("_reason").isNotNull()).withColumnRenamed("_reason", "reason")

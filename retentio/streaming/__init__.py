@@ -24,11 +24,14 @@ def score_stream(model: PipelineModel, students_stream: DataFrame) -> DataFrame:
 
 def store_scores(scored_stream: DataFrame, history: RiskHistory, model_version: str, checkpoint: str,
                  trigger_once: bool = True):
-    """Write each micro-batch as the assessment of its processing date (same-day batches upsert)."""
+    """Merge each micro-batch into the assessment of its processing date, student by student.
+
+    A batch of a day adds to the earlier ones; a repeated batch changes nothing.
+    """
 
     def batch(df: DataFrame, _epoch: int) -> None:
         day = df.sparkSession.range(1).select(F.current_date()).first()[0]
-        history.upsert(df, day, model_version)
+        history.merge(df, day, model_version)
 
     w = scored_stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     if trigger_once:

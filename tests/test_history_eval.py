@@ -145,3 +145,21 @@ def test_running_sums_hot_key_split_exact(spark):
         hot = _bucketed(df, "k", ["g"], 8, desc, ["tb"]).filter("k = 50.0").groupBy("g").agg(
             F.count_distinct("_bucket").alias("n")).collect()
         assert all(r["n"] > 1 for r in hot)
+
+
+def test_roc_auc_of_billions_of_rows(spark):
+    from retentio.operators import evaluation as ev
+
+    n = 4_000_000_000
+    counts = spark.createDataFrame([(0.9, n, 0), (0.5, n, n), (0.1, 0, n)], "score double, pos long, neg long")
+    assert abs(ev.roc_auc_from_counts(counts).first()[0] - 0.875) < 1e-12
+
+
+def test_changes_leave_null_ids_out(spark):
+    from retentio.operators import risk as rk
+
+    rows = [(None, 0.1, "2024-01-01"), (None, 0.9, "2024-01-08"), ("a", 0.1, "2024-01-01"), ("a", 0.2, "2024-01-08")]
+    h = spark.createDataFrame(rows, "student_id string, dropout_probability double, d string").selectExpr(
+        "student_id", "dropout_probability", "cast(null as string) risk_level", "'m' model_version", "cast(d as date) assessment_date")
+    assert [r["student_id"] for r in rk.risk_changes(h, "2024-01-01", "2024-01-08").collect()] == ["a"]
+    assert rk.risk_change_summary(h, "2024-01-01", "2024-01-08").first()["students_count"] == 1

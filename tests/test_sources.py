@@ -36,7 +36,69 @@ def test_json_and_write_roundtrip(spark, tmp):
     back = spark.read.option("header", True).csv(os.path.join(tmp, "out.csv"))
     assert back.count() == 1
     paths = tb.write_bundle({"a" * 40: df}, tmp, "json")
-    assert os.path.basename(paths[0]) == "a" * 31
+    assert os.path.basename(paths[0]) == "a" * 40
+
+
+def test_bundle_names_never_share_a_directory(spark, tmp):
+    df = spark.createDataFrame([("S1", 0.4)], "student_id string, p double")
+    paths = tb.write_bundle({"Сводка": df, "Отчёт": df.select("p"), "a b": df}, tmp)
+    assert [os.path.basename(p) for p in paths] == ["Сводка", "Отчёт", "a_b"]
+    assert spark.read.parquet(paths[0]).columns == ["student_id", "p"] and spark.read.parquet(paths[1]).columns == ["p"]
+    for names in (("a b", "a_b"), ("X", "x"), ("..",), ("",)):
+        with pytest.raises(ValueError):
+            tb.write_bundle({n: df for n in names}, os.path.join(tmp, "no"))
+    assert not os.path.exists(os.path.join(tmp, "no"))
+
+
+def _csv(tmp, name, rows, sep=",", enc="utf-8"):
+    return _write(os.path.join(tmp, name), "".join(sep.join(r) + "\n" for r in rows), enc)
+
+
+def test_csv_dialect_sees_the_whole_file(spark, tmp):
+    rows = [["student_id", "faculty"], *([f"S{i}", "Law"] for i in range(200)), ["S200", "Право"]]
+    df = tb.read_table(spark, _csv(tmp, "late.csv", rows, ";", "cp1251"))
+    assert [r["faculty"] for r in df.filter("student_id = 'S200'").collect()] == ["Право"]
+
+
+def test_csv_separator_between_quotes_does_not_count(spark, tmp):
+    df = tb.read_table(spark, _write(os.path.join(tmp, "q.csv"), 'student_id;name\nS1;"a,b,c"\nS2;"x;y"\n'))
+    assert df.columns == ["student_id", "name"] and sorted(r["name"] for r in df.collect()) == ["a,b,c", "x;y"]
+
+
+def test_csv_latin1_and_explicit_dialect(spark, tmp):
+    p = _write(os.path.join(tmp, "l.csv"), "student_id,name\nS1,caf\xe9\nS2,\x98x\n", "latin1")
+    assert tb.csv_dialects(spark, p) == {next(iter(tb.csv_dialects(spark, p))): ("latin1", ",")}
+    assert sorted(r["name"] for r in tb.read_table(spark, p).collect()) == ["caf\xe9", "\x98x"]
+    q = _write(os.path.join(tmp, "e.csv"), "a;b\n1;é\n", "latin1")
+    assert [tuple(r) for r in tb.read_csv_auto(spark, q, encoding="latin1", sep=";").collect()] == [(1, "é")]
+
+
+def test_csv_directory_of_mixed_dialects(spark, tmp):
+    d = os.path.join(tmp, "mixed.csv")
+    os.makedirs(d)
+    _csv(d, "a.csv", [["student_id", "faculty"], ["S1", "Право"]], ";", "cp1251")
+    _csv(d, "b.csv", [["faculty", "student_id"], ["Экономика", "S2"]])
+    assert sorted((r["student_id"], r["faculty"]) for r in tb.read_table(spark, d).collect()) == [("S1", "Право"), ("S2", "Экономика")]
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "false"
+
+
+def test_json_directory_of_both_layouts(spark, tmp):
+    d = os.path.join(tmp, "both.json")
+    os.makedirs(d)
+    _write(os.path.join(d, "a.json"), '\n[{"student_id": "S1"},\n {"student_id": "S2"}]')
+    _write(os.path.join(d, "b.json"), '{"student_id": "S3"}\n{"student_id": "S4", "gpa": 2.0}\n')
+    assert sorted(r["student_id"] for r in tb.read_table(spark, d).collect()) == ["S1", "S2", "S3", "S4"]
+
+
+def test_a_store_that_cannot_be_opened_is_no_empty_store(spark, tmp):
+    bad = os.path.join(tmp, "bad")
+    os.makedirs(bad)
+    _write(os.path.join(bad, "part-0.parquet"), "no parquet")
+    assert RiskHistory(spark, os.path.join(tmp, "none")).read().count() == 0
+    with pytest.raises(Exception):
+        RiskHistory(spark, bad).read().count()
+    with pytest.raises(Exception):
+        MetricsHistory(spark, "nosuchscheme://x/y").read()
 
 
 @pytest.mark.parametrize("text", [
@@ -67,6 +129,13 @@ def test_read_students_rejects(spark, tmp):
     assert ok.count() == 1 and sorted(r["reason"] for r in bad.collect()) == ["bad target", "null student_id"]
 
 
+@pytest.mark.parametrize("values,good", [(("0.7", "1.9", "1", "0"), 2), (("yes", "no", "1", ""), 1), (("1.0", "0.0", "-1", "2"), 2)])
+def test_read_students_takes_only_0_and_1(spark, tmp, values, good):
+    p = _write(os.path.join(tmp, "st.csv"), "student_id,dropout\n" + "".join(f"S{i},{v}\n" for i, v in enumerate(values)))
+    ok, bad = tb.read_students(spark, p)
+    assert ok.count() == good and bad.count() == len(values) - good
+
+
 def test_synthetic_students_partition_independent(spark):
     a = tb.synthetic_students(spark, 200, 7)
     b = tb.synthetic_students(spark, 200, 7).repartition(5)
@@ -87,6 +156,22 @@ def test_risk_history_upsert_last_write_wins(spark, tmp):
     assert len(got) == 1 and got[0]["model_version"] == "m2" and got[0]["notes"] == "again"
     assert h.get("2024-01-01").count() == 2 and h.get("2023-01-01").count() == 0
     assert h.changes("2024-01-01", "2024-01-08").count() == 1
+    h.upsert(r1.limit(0), "2024-01-08", "m3")
+    assert h.get("2024-01-08").count() == 0 and h.get("2024-01-01").count() == 2
+    h.upsert(r1.limit(0), "2030-01-01", "m3")
+    h.merge(r1, "2024-01-08", "m4")
+    h.merge(r2, "2024-01-08", "m5")
+    assert sorted((r["student_id"], r["model_version"]) for r in h.get("2024-01-08").collect()) == [("a", "m5"), ("b", "m4")]
+
+
+def test_write_all_keeps_one_row_per_student_and_date(spark, tmp):
+    h = RiskHistory(spark, os.path.join(tmp, "risk"))
+    rows = [("a", 0.2, "2024-01-01"), ("a", 0.6, "2024-01-01"), ("a", 0.9, "2024-01-08"), (None, 0.4, "2024-01-01"), (None, 0.5, "2024-01-08")]
+    df = spark.createDataFrame(rows, "student_id string, dropout_probability double, assessment_date string")
+    h.write_all(df.selectExpr("student_id", "dropout_probability", "1 as prediction", "'own' as risk_level", "'m' as model_version", "null as notes", "assessment_date"))
+    assert h.read().count() == 4
+    got = h.changes("2024-01-01", "2024-01-08", labels=("own", "b", "c")).collect()
+    assert [(r["student_id"], r["dropout_probability_before"], r["risk_level_before"]) for r in got] == [("a", 0.6, "own")]
 
 
 def test_metrics_history_append_read(spark, tmp):

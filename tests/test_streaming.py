@@ -21,3 +21,14 @@ def test_stream_scores_are_stored_as_assessment(spark, tmp):
     q.awaitTermination(120)
     got = hist.read()
     assert got.count() == 200 and got.filter(F.col("model_version") == "dt_v1").count() == 200
+
+
+def test_batches_of_one_day_add_up(spark, tmp):
+    src = os.path.join(tmp, "in")
+    rows = synthetic_students(spark, 30, 5).select("student_id", F.lit(0.4).alias("dropout_probability"))
+    rows.repartition(3).write.parquet(src)
+    hist = RiskHistory(spark, os.path.join(tmp, "risk"))
+    for attempt in ("a", "b"):  # the second stream delivers everything again
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        store_scores(stream, hist, "m", os.path.join(tmp, attempt)).awaitTermination(120)
+        assert hist.read().count() == 30
