@@ -36,6 +36,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol, HasSeed
 from pyspark.sql import DataFrame, Window
@@ -110,6 +111,7 @@ class AdaBoostClassifier(Estimator, _ClfParams, CompositeModelIO):
             if (m + 1) % self.getOrDefault(self.checkpointInterval) == 0:
                 nxt = nxt.checkpoint(eager=True)
             nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
+            nxt.count()  # held before the round it is made from is released
             cur = nxt
             prev.unpersist()
             prev = cur
@@ -137,6 +139,12 @@ class AdaBoostModel(Model, _ClfParams, CompositeModelIO):
     def _restore(self, subs, payload, path):
         self._trees, self._alphas = subs, payload["alphas"]
 
+    @property
+    def featureImportances(self) -> DenseVector:
+        """The trees' importances, weighted by the trees' votes."""
+        total = sum(self._alphas) or 1.0
+        return Vectors.dense(sum(a / total * t.featureImportances.toArray() for a, t in zip(self._alphas, self._trees)))
+
     def _transform(self, df: DataFrame) -> DataFrame:
         out = df
         names = []
@@ -258,6 +266,12 @@ class SVMModel(Model, _ClfParams, CompositeModelIO):
     def _sub_models(self):
         return [self._svc, self._platt]
 
+    def __getattr__(self, name):
+        # only a linear kernel has coefficients of the features
+        if name == "coefficients" and self.__dict__.get("_svc") is not None and self.__dict__.get("_W") is None:
+            return self._svc.coefficients
+        raise AttributeError(name)
+
     def _payload(self):
         return {"W": None if self._W is None else self._W.tolist(), "b": None if self._b is None else self._b.tolist()}
 

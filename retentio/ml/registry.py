@@ -10,6 +10,7 @@ stacking (rf + gb + lr -> lr).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from itertools import product
 
@@ -24,6 +25,7 @@ from pyspark.ml.classification import (
 
 from retentio.ml.estimators import AdaBoostClassifier, KNNClassifier, SVMClassifier, StackingClassifier
 
+# --- fixed values: model names, grids and defaults -----------------------------------------------
 MAX_DEPTH = 30  # Spark's limit; stands for "unlimited"
 
 MODEL_NAMES = ("logistic_regression", "random_forest", "gradient_boosting", "adaboost", "svm", "knn",
@@ -87,7 +89,16 @@ def grid_points(name: str) -> list[dict]:
     if not g:
         return []
     keys = list(g)
-    return [dict(zip(keys, vals)) for vals in product(*(g[k] for k in keys))]
+    points = [dict(zip(keys, vals)) for vals in product(*(g[k] for k in keys))]
+    # "unlimited" depth is Spark's largest one, and only half of min_samples_split counts: equal fits once
+    same = {json.dumps({k: _effective(k, v) for k, v in p.items()}): p for p in reversed(points)}
+    return [p for p in points if any(p is x for x in same.values())]
+
+
+def _effective(name: str, value):
+    if name == "max_depth":
+        return value or MAX_DEPTH
+    return max(1, value // 2) if name == "min_samples_split" else value
 
 
 def registry() -> dict[str, Callable[..., Estimator]]:

@@ -51,9 +51,9 @@ def fit_pipeline(train_df: DataFrame, model: str = "random_forest", target: str
     n_rows = x.count() if model == "logistic_regression" else 0
     est = make_estimator(model, n_features=int(width), n_rows=n_rows, key_col=key, seed=seed, **(params or {}))
     fitted = est.fit(x)
-    if model != "knn":  # the kNN model keeps referring to its training rows
-        x.unpersist()
-        src.unpersist()
+    # a kNN model refers to its training rows: it derives them again when it is used, so no fit keeps a cache
+    x.unpersist()
+    src.unpersist()
     return PipelineModel(stages=[*feats.stages, fitted])
 
 
@@ -161,18 +161,21 @@ def train(students: DataFrame, model: str = "random_forest", target: str = "drop
 
 def score_students(model: PipelineModel, students: DataFrame, target: str = "dropout", key: str = "student_id",
                    labels: Sequence[str] = RISK_LEVELS) -> DataFrame:
-    """student_id, dropout_probability, prediction and risk level for every student."""
+    """student_id, dropout_probability, prediction and risk level for every student (and ``split``, if it is there)."""
     pred = model.transform(prepare(students, target, key))
     p = p1("probability")
+    split = ["split"] if "split" in students.columns else []
     return pred.select(F.col(key).alias("student_id"), p.alias("dropout_probability"),
-                       F.col("prediction").cast("int").alias("prediction"), risk_level(p, labels).alias("risk_level"))
+                       F.col("prediction").cast("int").alias("prediction"), risk_level(p, labels).alias("risk_level"), *split)
 
 
-def feature_importance(model: PipelineModel, transformed: DataFrame, col: str = "features") -> DataFrame:
-    """(feature, importance, kind) from the fitted model, largest absolute value first.
+def feature_importance(model: PipelineModel, transformed: DataFrame, col: str = "features",
+                       top_n: int | None = None) -> DataFrame:
+    """(feature, importance, kind) from the fitted model, largest absolute value first; the first ``top_n`` if given.
 
-    Tree models give importances, logistic regression its coefficients; other models have
-    none (empty result). ``transformed`` supplies the vector's slot names.
+    Tree models (boosted stumps among them) give importances, logistic regression and the
+    linear SVM their coefficients; other models have none (empty result). ``transformed``
+    supplies the vector's slot names.
     """
     spark = transformed.sparkSession
     last = model.stages[-1]
@@ -185,20 +188,22 @@ def feature_importance(model: PipelineModel, transformed: DataFrame, col: str =
         return spark.createDataFrame([], "feature string, importance double, kind string")
     rows = [(n, float(v), kind) for n, v in zip(names, vals)]
     df = spark.createDataFrame(rows, "feature string, importance double, kind string")
-    return df.orderBy(F.abs("importance").desc(), "feature")
+    df = df.orderBy(F.abs("importance").desc(), "feature")
+    return df if top_n is None else df.limit(top_n)
 
 
 def key_factors(students: DataFrame, importance: DataFrame, threshold: float = 0.5, top_features: int = 10,
                 top_factors: int = 3, prob: str = "dropout_probability", key: str = "student_id") -> DataFrame:
     """Up to ``top_factors`` reasons per student with probability >= threshold.
 
-    Among the ``top_features`` most important features (importance order): a numeric column
-    whose value is above that column's median (over all students) gives ``"name (value)"``;
-    a one-hot feature ``column_category`` whose column equals the category gives its name.
+    Among the ``top_features`` most important features (largest absolute importance first): a
+    numeric column whose value is above that column's median (over all students) gives
+    ``"name (value)"``; a one-hot feature ``column_category`` whose column (the longest that fits)
+    equals the category gives its name.
     Medians come from the distributed exact quantile operator and enter as literals; the
     factor list is an array expression per row — no join, no shuffle.
     """
-    top = [r["feature"] for r in importance.orderBy(F.desc("importance"), "feature").limit(top_features).collect()]
+    top = [r["feature"] for r in importance.orderBy(F.abs("importance").desc(), "feature").limit(top_features).collect()]
     num_cols = {f.name for f in students.schema.fields if str(f.dataType) in
                 ("IntegerType()", "LongType()", "DoubleType()", "FloatType()", "ShortType()")}
     str_cols = [f.name for f in students.schema.fields if str(f.dataType) == "StringType()"]
@@ -213,10 +218,9 @@ def key_factors(students: DataFrame, importance: DataFrame, threshold: float = 0
             cands.append(F.when(x > F.lit(meds.get(name)).cast("double"),
                                 F.concat(F.lit(f"{name} ("), F.format_string("%.2f", x), F.lit(")"))))
         else:
-            for c in str_cols:
-                if name.startswith(f"{c}_"):
-                    cands.append(F.when(F.col(c) == F.lit(name[len(c) + 1:]), F.lit(name)))
-                    break
+            c = max((c for c in str_cols if name.startswith(f"{c}_")), key=len, default=None)
+            if c is not None:
+                cands.append(F.when(F.col(c) == F.lit(name[len(c) + 1:]), F.lit(name)))
     p = F.col(prob)
     base = base.withColumn("_cands", F.array(*cands) if cands else F.array().cast("array<string>"))
     lst = F.slice(F.filter(F.col("_cands"), lambda v: v.isNotNull()), 1, top_factors)

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentio.functions.bins import clean_double, risk_level
-from retentio.operators.running import grouped_quantiles, running_sums
+from retentio.operators.running import grouped_quantiles
 
 DATE = "assessment_date"
 P = "dropout_probability"
@@ -140,17 +140,18 @@ def history_dimensions(long: DataFrame) -> DataFrame:
 
 
 def metric_trend(long: DataFrame, metric_name: str, model_versions: Iterable[str] | None = None,
-                 window: int = 1) -> DataFrame:
-    """Time series of one metric per model with an optional rolling mean of ``window`` rows.
+                 window: int = 1, buckets: int | None = None) -> DataFrame:
+    """Time series of one metric per model, in time order, with an optional rolling mean of ``window`` rows.
 
     Where ``window > 1`` and the model has at least ``window`` points, ``trend_value`` is the
     mean of the current and previous ``window-1`` points and null for the first ``window-1``;
-    otherwise it is the raw value. Points are ordered by (timestamp, value).
+    otherwise it is the raw value. Points are ordered by (timestamp, value). A NaN reaches only the
+    windows that hold it.
 
-    No window is partitioned by the model (a model with a third of the history would be one
-    task): each point gets its exact rank r and prefix sum S(r) from :func:`running_sums`
-    (bucketed per model), the rolling mean is (S(r) - S(r - w)) / w, and S(r - w) comes from
-    an equi-join on (model, rank) — one match per row, hash-spread over all tasks.
+    A model with a third of the history is no single task: time is cut into ``buckets`` at
+    approximate quantiles, the mean is a bounded row window inside (model, bucket), and the first
+    ``window-1`` points of a bucket also take the last points before it, which come from a table
+    of the last ``window-1`` values of each (model, bucket).
     """
     df = metrics_history(long, metric_name=metric_name)
     if model_versions:
@@ -158,22 +159,40 @@ def metric_trend(long: DataFrame, metric_name: str, model_versions: Iterable[str
     df = df.filter(F.col("model_version").isNotNull()).select("model_version", "timestamp", "metric_value")
     w = int(window)
     v = F.col("metric_value")
+    order = [F.col("model_version"), F.col("timestamp"), v]
     if w <= 1:
-        return df.select("model_version", "timestamp", "metric_value", v.alias("trend_value"))
+        return df.select("model_version", "timestamp", "metric_value", v.alias("trend_value")).orderBy(*order)
+    if buckets is None:
+        buckets = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
     # microseconds since the epoch without a time-zone conversion (exact in a double)
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     micros = F.timestamp_diff("MICROSECOND", epoch, F.col("timestamp").cast("timestamp_ntz")).cast("double")
-    keyed = df.withColumn("_k", micros).withColumn("_one", F.lit(1))
-    rs = running_sums(keyed, "_k", ["_one", "metric_value"], descending=False, group=["model_version"],
-                      tiebreak=["metric_value"])
-    rs = rs.select("model_version", "timestamp", "metric_value", F.col("cum__one").alias("_r"),
-                   F.col("cum_metric_value").alias("_s"))
-    ns = df.groupBy("model_version").agg(F.count(F.lit(1)).alias("_n"))
-    prev = rs.select("model_version", (F.col("_r") + F.lit(w)).alias("_r"), F.col("_s").alias("_s_prev"))
-    j = rs.join(prev, ["model_version", "_r"], "left").join(ns, "model_version")
-    roll = (F.col("_s") - F.coalesce(F.col("_s_prev"), F.lit(0.0))) / F.lit(float(w))
-    trend = (F.when(F.col("_n") < w, v).when(F.col("_r") < w, F.lit(None).cast("double")).otherwise(roll))
-    return j.select("model_version", "timestamp", "metric_value", trend.alias("trend_value"))
+    cuts = [i / buckets for i in range(1, buckets)]
+    keyed = df.withColumn("_k", micros)
+    if cuts:
+        keyed = keyed.withColumn("_cuts", keyed.agg(F.percentile_approx("_k", cuts, 10000)).scalar())
+        keyed = keyed.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_k")))).drop("_cuts")
+    else:
+        keyed = keyed.withColumn("_b", F.lit(0))
+    inside = Window.partitionBy("model_version", "_b")
+    rows = inside.orderBy("timestamp", "metric_value")
+    number = F.coalesce(v, F.lit(float("nan")))  # a missing value is missing in every window that holds it
+    latest = F.collect_list(number).over(rows.rowsBetween(-(w - 1), Window.currentRow))
+    r = keyed.select("model_version", "timestamp", "metric_value", "_b", latest.alias("_w"),
+                     F.row_number().over(rows).alias("_r"), F.count(F.lit(1)).over(inside).alias("_size"))
+    # one row per (model, bucket): its last w - 1 values, latest first
+    ends = (r.filter(F.col("_r") == F.col("_size"))
+            .select("model_version", "_b", "_size", F.slice(F.reverse("_w"), 1, w - 1).alias("_tail")))
+    whole = Window.partitionBy("model_version")
+    # the w - 1 values before a bucket lie in at most w - 1 earlier buckets
+    earlier = F.collect_list("_tail").over(whole.orderBy(F.col("_b").desc()).rowsBetween(1, w - 1))
+    halo = ends.select("model_version", "_b", F.slice(F.flatten(earlier), 1, w - 1).alias("_halo"),
+                       F.sum("_size").over(whole).alias("_n"))
+    j = r.drop("_r", "_size").join(halo, ["model_version", "_b"])
+    values = F.concat("_w", F.slice("_halo", 1, F.lit(w) - F.size("_w")))
+    mean = F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.lit(float(w))
+    trend = F.when(F.col("_n") < w, v).when(F.size(values) == w, mean)
+    return j.select("model_version", "timestamp", "metric_value", trend.alias("trend_value")).orderBy(*order)
 
 
 def compare_models(long: DataFrame, model_versions: Iterable[str], metrics: Sequence[str] | None = None) -> DataFrame:

@@ -6,9 +6,9 @@ into ``p_blocks``; every (query block, point block) cell is one task
 (``cogroup`` + ``applyInPandas``) that computes distances in vectorised NumPy chunks and
 emits only its k best points per query — pairs are never materialised as rows. A final
 shuffle on the query id keeps the k best of the ``p_blocks * k`` candidates per query.
-Block counts follow the data size (``block_rows`` rows per block), so one cell holds at
-most ``block_rows`` queries and ``block_rows`` points whatever the total size; a hot key
-cannot form because blocks are assigned by hashing unique ids.
+A block holds at most ``block_rows`` rows, and queries are cut further until there are a few
+cells per cluster slot, so a small search uses all slots; a hot key cannot form because
+blocks are assigned by hashing unique ids.
 """
 
 from __future__ import annotations
@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 
 # numbers in one chunk's distance matrix (~32 MB of doubles), whatever the block size
 CELL_VALUES = 1 << 22
+# cells per cluster slot, and queries in a cell, at least
+CELLS_PER_SLOT, MIN_QUERIES = 2, 64
+# tasks of one search; beyond that a task handles several cells, one after another
+MAX_TASKS = 50_000
 
 
 def _as_array(col: str, df: DataFrame):
@@ -34,47 +38,68 @@ def _as_array(col: str, df: DataFrame):
     return F.col(col).cast("array<double>")
 
 
+def _first_k(rows: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row its k smallest by (distance, id)."""
+    order = np.lexsort((ids, dist, rows))
+    rows, ids, dist = rows[order], ids[order], dist[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+    return rows[keep], ids[keep], dist[keep]
+
+
 def _topk_cell(k: int, metric: str, exclude_self: bool):
     def fn(qp: pd.DataFrame, pp: pd.DataFrame) -> pd.DataFrame:
         if qp.empty or pp.empty:
-            return pd.DataFrame({"query_id": pd.Series([], "int64"), "neighbor_id": pd.Series([], "int64"),
-                                 "distance": pd.Series([], "float64")})
+            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "neighbor_id": pd.Series([], dtype="int64"),
+                                 "distance": pd.Series([], dtype="float64")})
         Q = np.stack(qp["_v"].to_numpy()).astype(np.float64)
         X = np.stack(pp["_v"].to_numpy()).astype(np.float64)
         qids = qp["_id"].to_numpy()
         pids = pp["_id"].to_numpy()
-        xx = (X * X).sum(axis=1)
+        # distances do not change with the origin: near the data's centre the expansion loses least
+        centre = X.mean(axis=0)
+        Qc, Xc = Q - centre, X - centre
+        xx = (Xc * Xc).sum(axis=1)
         out_q, out_p, out_d = [], [], []
         kk = min(k + (1 if exclude_self else 0), len(pids))
         # queries per chunk so that one chunk's distance matrix holds ~CELL_VALUES numbers
         per = len(pids) if metric == "euclidean" else X.size
         step = max(1, CELL_VALUES // max(1, per))
         for s in range(0, len(qids), step):
-            q = Q[s:s + step]
+            q, qc = Q[s:s + step], Qc[s:s + step]
             if metric == "euclidean":
-                d2 = (q * q).sum(axis=1)[:, None] + xx[None, :] - 2.0 * q @ X.T
-                d = np.sqrt(np.maximum(d2, 0.0))
+                qq = (qc * qc).sum(axis=1)
+                d = np.maximum(qq[:, None] + xx[None, :] - 2.0 * qc @ Xc.T, 0.0)  # squared
+                # bound of what rounding the expansion can lose
+                slack = 8.0 * np.finfo(np.float64).eps * (X.shape[1] + 4) * (qq + xx.max())[:, None]
             else:  # manhattan
                 d = np.abs(q[:, None, :] - X[None, :, :]).sum(axis=2)
+                slack = 1e-12 * (1.0 + np.abs(d).max(axis=1, keepdims=True))
             if exclude_self:
                 d = np.where(qids[s:s + step, None] == pids[None, :], np.inf, d)
-            # every point within the k-th distance (plus rounding slack) is a candidate, so
-            # ties at the boundary are all considered; exact distances are recomputed below
+            # every point that may be within the k-th distance is a candidate; exact distances are
+            # taken of a bounded number of candidates at a time, and of each query the k best by
+            # (distance, neighbour id) stay, the order of the final ranking
             kth = np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]
-            rows, cols = np.nonzero((d <= kth + 1e-9 * (1.0 + kth)) & np.isfinite(d))
-            diff = q[rows] - X[cols]
-            dist = np.sqrt((diff * diff).sum(axis=1)) if metric == "euclidean" else np.abs(diff).sum(axis=1)
-            # keep exactly the k best per query by (exact distance, neighbour id): the final
-            # ranking uses the same order, so the union over cells still holds the global k
-            # best, and a block of identical points cannot multiply the output
-            cand_p = pids[cols]
-            order = np.lexsort((cand_p, dist, rows))
-            rows, cand_p, dist = rows[order], cand_p[order], dist[order]
-            rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-            keep = rank < k
-            out_q.append(qids[s:s + step][rows[keep]])
-            out_p.append(cand_p[keep])
-            out_d.append(dist[keep])
+            rows, cols = np.nonzero((d <= kth + 2.0 * slack) & np.isfinite(d))
+            del d
+            n = np.bincount(rows, minlength=len(q))
+            ends = np.cumsum(n)
+            most = max(1, CELL_VALUES // (4 * X.shape[1]))
+            lo = 0
+            while lo < len(q):
+                first = ends[lo] - n[lo]
+                hi = max(lo + 1, int(np.searchsorted(ends, first + most, side="right")))
+                best = []
+                for c in range(first, ends[hi - 1], most):  # more than one turn only for a single query
+                    r, p = rows[c:min(c + most, ends[hi - 1])], cols[c:min(c + most, ends[hi - 1])]
+                    diff = q[r] - X[p]
+                    dist = np.sqrt((diff * diff).sum(axis=1)) if metric == "euclidean" else np.abs(diff).sum(axis=1)
+                    best.append(_first_k(r, pids[p], dist, k))
+                r, p, dist = _first_k(*(np.concatenate(x) for x in zip(*best)), k) if best else (rows[:0], pids[:0], np.empty(0))
+                out_q.append(qids[s:s + step][r])
+                out_p.append(p)
+                out_d.append(dist)
+                lo = hi
         return pd.DataFrame({"query_id": np.concatenate(out_q).astype("int64"),
                              "neighbor_id": np.concatenate(out_p).astype("int64"),
                              "distance": np.concatenate(out_d).astype("float64")})
@@ -93,18 +118,25 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int = 5, query_id: str =
     """
     if metric not in ("euclidean", "manhattan"):
         raise ValueError("metric must be 'euclidean' or 'manhattan'")
-    if q_blocks is None:
-        q_blocks = max(1, math.ceil(queries.count() / block_rows))
-    if p_blocks is None:
-        p_blocks = max(1, math.ceil(points.count() / block_rows))
+    if q_blocks is None or p_blocks is None:
+        n_q, n_p = queries.count(), points.count()
+        slots = queries.sparkSession.sparkContext.defaultParallelism
+        p_blocks = p_blocks or max(1, math.ceil(n_p / block_rows))
+        # a few cells per slot, of at least MIN_QUERIES queries each
+        spread = min(math.ceil(CELLS_PER_SLOT * slots / p_blocks), math.ceil(n_q / MIN_QUERIES))
+        q_blocks = q_blocks or max(1, math.ceil(n_q / block_rows), spread)
     q = queries.select(F.col(query_id).cast("bigint").alias("_id"), _as_array(features, queries).alias("_v"))
     pf = point_features or features
     p = points.select(F.col(point_id).cast("bigint").alias("_id"), _as_array(pf, points).alias("_v"))
-    q = (q.withColumn("_qb", F.pmod(F.xxhash64("_id"), F.lit(q_blocks)))
+    # block numbers have one type on both sides: an int and a long of equal value hash apart
+    q = (q.withColumn("_qb", F.pmod(F.xxhash64("_id"), F.lit(q_blocks)).cast("int"))
          .withColumn("_pb", F.explode(F.sequence(F.lit(0), F.lit(p_blocks - 1)))))
-    p = (p.withColumn("_pb", F.pmod(F.xxhash64("_id"), F.lit(p_blocks)))
+    p = (p.withColumn("_pb", F.pmod(F.xxhash64("_id"), F.lit(p_blocks)).cast("int"))
          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
     schema = "query_id bigint, neighbor_id bigint, distance double"
+    # a given number of partitions: adaptive execution would join small cells into one task
+    cells = min(q_blocks * p_blocks, MAX_TASKS)
+    q, p = q.repartition(cells, "_qb", "_pb"), p.repartition(cells, "_qb", "_pb")
     cand = (q.groupBy("_qb", "_pb").cogroup(p.groupBy("_qb", "_pb"))
             .applyInPandas(_topk_cell(k, metric, exclude_self), schema))
     w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")

@@ -143,6 +143,28 @@ def q_metric_trend(spark, sf):
     return rounded(hs.metric_trend(_long(spark, sf), TREND_METRIC, None, TREND_WINDOW))
 
 
+_ODD = ("CASE WHEN dayofmonth(timestamp) = 5 THEN CAST('NaN' AS DOUBLE) WHEN dayofmonth(timestamp) = 11 THEN CAST(1e8 AS DOUBLE) "
+        "ELSE metric_value END")
+
+
+@register("metric_trend_odd_values", with_ctes(f"""
+SELECT model_version, timestamp, round(metric_value, 6) AS metric_value,
+       round(CASE WHEN cnt < {TREND_WINDOW} THEN metric_value WHEN rn < {TREND_WINDOW} THEN NULL
+                  WHEN bad > 0 THEN CAST('NaN' AS DOUBLE) ELSE total / {TREND_WINDOW} END, 6) AS trend_value
+FROM (SELECT *, row_number() OVER (PARTITION BY model_version ORDER BY timestamp, metric_value) AS rn,
+             count(*) OVER (PARTITION BY model_version) AS cnt,
+             sum(CASE WHEN isnan(metric_value) THEN 1 ELSE 0 END) OVER w AS bad,
+             sum(CASE WHEN isnan(metric_value) THEN 0 ELSE metric_value END) OVER w AS total
+      FROM (SELECT model_version, timestamp, {_ODD} AS metric_value FROM metrics_long WHERE metric_name = {q(TREND_METRIC)}) o
+      WINDOW w AS (PARTITION BY model_version ORDER BY timestamp, metric_value ROWS BETWEEN {TREND_WINDOW - 1} PRECEDING AND CURRENT ROW)) t""",
+          "metrics_long"))
+def q_metric_trend_odd_values(spark, sf):
+    """The trend over a series with NaN and huge values: only the windows that hold them change."""
+    day = F.dayofmonth("timestamp")
+    odd = (F.when(day == 5, F.lit(float("nan"))).when(day == 11, F.lit(1e8)).otherwise(F.col("metric_value")))
+    return rounded(hs.metric_trend(_long(spark, sf).withColumn("metric_value", odd), TREND_METRIC, None, TREND_WINDOW))
+
+
 @register("compare_models", with_ctes("SELECT model_version, " + ", ".join(
     f"round(avg(metric_value) FILTER (WHERE metric_name = {q(m)}), 6) AS {m}" for m in COMPARE_METRICS)
     + " FROM metrics_long WHERE model_version IN (" + ", ".join(q(m) for m in COMPARE_MODELS)

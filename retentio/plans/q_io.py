@@ -15,6 +15,7 @@ from retentio.operators import risk as rk
 from retentio.operators.features import add_features
 from retentio.operators.split import stratified_split
 from retentio.plans import q_eval, q_features, q_history, q_risk, reports
+from retentio.plans.oracle import with_ctes
 from retentio.plans.queries import ORACLES, register, rounded
 from retentio.session import scratch_path
 from retentio.sources import fixtures as fx
@@ -53,9 +54,8 @@ def q_metrics_store_roundtrip(spark, sf):
 def q_csv_roundtrip(spark, sf):
     path = _scratch(spark, "students") + ".csv"
     tb.write_table(fx.students(spark, sf), path, sep=";")
-    back = tb.read_table(spark, path)
-    typed = back.select(*[F.col(c).cast(t).alias(c) for c, t in fx.students(spark, sf).dtypes])
-    return rounded(add_features(typed))
+    schema = fx.students(spark, sf).schema
+    return rounded(add_features(tb.read_table(spark, path, schema)))
 
 
 # the oracles reused above are registered by these modules
@@ -112,3 +112,86 @@ def q_model_roundtrip(spark, sf):
     tr.save_model(fitted, path, "decision_tree")
     loaded, _meta = tr.load_model(path)
     return tr.score_students(loaded, fx.students(spark, sf))
+
+
+# --- store semantics, validation and dialects ------------------------------------------------------
+_HALVED = (f"SELECT assessment_date, student_id, CASE WHEN assessment_date = DATE '{q_risk.DATE_AFTER}' THEN dropout_probability * 0.5 "
+           "ELSE dropout_probability END AS p FROM risk_history")
+
+
+@register("risk_store_upsert", with_ctes(f"""
+SELECT assessment_date, count(*) AS n_students, round(avg(p), 6) AS mean_risk, count_if(p > 0.25) AS n_over
+FROM ({_HALVED}) h GROUP BY 1""", "risk_history"))
+def q_risk_store_upsert(spark, sf):
+    """A stored history in which one date is written again (and another one twice with the same rows)."""
+    history = fx.risk_history(spark, sf)
+    store = RiskHistory(spark, _scratch(spark, "risk-history"))
+    store.write_all(history)
+    again = rk.assessment(history, q_risk.DATE_AFTER).withColumn("dropout_probability", F.col("dropout_probability") * 0.5)
+    store.upsert(again, q_risk.DATE_AFTER, "halved")
+    store.upsert(rk.assessment(history, q_risk.DATE_BEFORE), q_risk.DATE_BEFORE, "same")
+    p = F.col("dropout_probability")
+    return rounded(store.read().groupBy("assessment_date").agg(F.count(F.lit(1)).alias("n_students"), F.avg(p).alias("mean_risk"),
+                                                               F.count_if(p > 0.25).alias("n_over")))
+
+
+@register("risk_store_get", with_ctes(f"""
+SELECT student_id, round(dropout_probability, 6) AS dropout_probability, risk_level FROM risk_history
+WHERE assessment_date = DATE '{q_risk.DATE_BEFORE}'""", "risk_history"))
+def q_risk_store_get(spark, sf):
+    """One assessment of a stored history; an emptied date and a missing date add nothing."""
+    history = fx.risk_history(spark, sf)
+    store = RiskHistory(spark, _scratch(spark, "risk-history"))
+    store.write_all(history)
+    store.upsert(history.limit(0), q_risk.DATE_AFTER, "none")
+    cols = ["student_id", "dropout_probability", "risk_level"]
+    found = store.get(q_risk.DATE_BEFORE).select(*cols)
+    for day in (q_risk.DATE_AFTER, "1999-01-01"):
+        found = found.unionByName(store.get(day).select(*cols))
+    return rounded(found)
+
+
+@register("risk_changes_null_ids", with_ctes(f"""
+SELECT b.student_id, round(a.dropout_probability - b.dropout_probability, 6) AS risk_change
+FROM (SELECT * FROM risk_history WHERE assessment_date = DATE '{q_risk.DATE_BEFORE}' AND student_id NOT LIKE '%7') b
+JOIN (SELECT * FROM risk_history WHERE assessment_date = DATE '{q_risk.DATE_AFTER}' AND student_id NOT LIKE '%7') a USING (student_id)""",
+                                           "risk_history"))
+def q_risk_changes_null_ids(spark, sf):
+    """Changes of a history in which some students have lost their id: a null id matches nobody."""
+    lost = fx.risk_history(spark, sf).withColumn("student_id", F.when(~F.col("student_id").endswith("7"), F.col("student_id")))
+    return rounded(rk.risk_changes(lost, q_risk.DATE_BEFORE, q_risk.DATE_AFTER).select("student_id", "risk_change"))
+
+
+_NUMBER = "CAST(substr(student_id, 2) AS BIGINT)"
+
+
+@register("read_students_rejects", with_ctes(f"""
+SELECT CASE WHEN {_NUMBER} % 17 = 0 THEN 'null student_id'
+            WHEN {_NUMBER} % 7 = 0 OR {_NUMBER} % 11 = 0 OR {_NUMBER} % 13 = 0 THEN 'bad target' ELSE 'ok' END AS reason,
+       count(*) AS n FROM students GROUP BY 1""", "students"))
+def q_read_students_rejects(spark, sf):
+    """Students as CSV with lost ids and with fractions, texts and blanks as targets: rows by verdict."""
+    s = fx.students(spark, sf)
+    n = F.substring("student_id", 2, 20).cast("long")
+    target = (F.when(n % 7 == 0, F.lit("0.7")).when(n % 11 == 0, F.lit("yes")).when(n % 13 == 0, F.lit(None).cast("string"))
+              .otherwise(F.col("dropout").cast("string")))
+    path = _scratch(spark, "students") + ".csv"
+    tb.write_table(s.select(F.when(n % 17 != 0, F.col("student_id")).alias("student_id"), "age", target.alias("dropout")), path)
+    ok, bad = tb.read_students(spark, path, schema="student_id string, age int, dropout string")
+    both = ok.select(F.lit("ok").alias("reason")).unionByName(bad.select("reason"))
+    return both.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("csv_dialects", with_ctes("""
+SELECT student_id, CASE WHEN faculty IS NULL THEN NULL ELSE 'Факультет; ' || faculty END AS faculty, age FROM students""", "students"))
+def q_csv_dialects(spark, sf):
+    """Students in one directory of two dialects, cp1251 with ``;`` and UTF-8 with ``,``: read back as one table."""
+    s = fx.students(spark, sf).select("student_id", F.concat(F.lit("Факультет; "), "faculty").alias("faculty"), "age")
+    path = _scratch(spark, "students") + ".csv"
+    odd = F.substring("student_id", -1, 1).isin(*"13579")
+    upper = bytes(b for b in range(128, 256) if chr(b) != tb.CP1251_UNDEFINED)
+    bytewise = F.translate("faculty", upper.decode("cp1251"), upper.decode("latin1"))  # one byte per letter
+    (s.filter(odd).withColumn("faculty", bytewise).write.option("header", True).option("sep", ";")
+     .option("encoding", "ISO-8859-1").csv(path))
+    s.filter(~odd).write.mode("append").option("header", True).csv(path)
+    return tb.read_table(spark, path, schema="student_id string, faculty string, age int")

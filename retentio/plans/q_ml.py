@@ -43,6 +43,23 @@ def q_key_factors(spark, sf):
     return rounded(tr.key_factors(s, fx.importance(spark), KEY_FACTOR_THRESHOLD))
 
 
+# slot names as the one-hot encoder gives them, and a negative coefficient of large size
+ONE_HOT_IMPORTANCE = (("faculty_year_BUILDING_2", 0.3), ("gpa", -5.0), ("age", 0.1), ("credits", 0.2))
+
+
+@register("key_factors_onehot", with_ctes(f"""
+SELECT student_id, round(p, 6) AS dropout_probability, {risk_level_sql('p')} AS risk_level,
+       CASE WHEN p >= {KEY_FACTOR_THRESHOLD} THEN array_to_string(list_filter([{_factor_sql('gpa')},
+            CASE WHEN faculty = 'BUILDING' AND year_of_study = 2 THEN 'faculty_year_BUILDING_2' END, {_factor_sql('credits')}
+       ], lambda x: x IS NOT NULL), ', ') END AS key_factors
+FROM (SELECT *, coalesce(CASE WHEN total_classes = 0 THEN NULL ELSE CAST(absences AS DOUBLE) / total_classes END, 0.0) AS p
+      FROM students) s""", "students"))
+def q_key_factors_onehot(spark, sf):
+    """Factors from signed coefficients and from a slot of ``faculty_year``, whose name also starts with ``faculty_``."""
+    imp = spark.createDataFrame(list(ONE_HOT_IMPORTANCE), "feature string, importance double")
+    return rounded(tr.key_factors(_students_scored(spark, sf), imp, KEY_FACTOR_THRESHOLD, top_features=3))
+
+
 @register("knn_join", with_ctes(f"""
 SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(distance, 6) AS distance FROM (
   SELECT query_id, neighbor_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank

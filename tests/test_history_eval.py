@@ -100,17 +100,15 @@ def test_exact_quantiles_both_paths(spark):
     df = spark.createDataFrame(rows, "x double, y int, g string")
     for q in (0.1, 0.5, 0.75):
         exp = df.agg(F.percentile("x", q), F.percentile("y", q)).first()
-        for md in (None, 1 << 20):  # distributed path and size-checked built-in path
-            got = {r[0]: r[1] for r in exact_quantiles(df, ["x", "y"], q, max_distinct=md).collect()}
-            assert abs(got["x"] - exp[0]) < 1e-12 and abs(got["y"] - exp[1]) < 1e-12
+        got = {r[0]: r[1] for r in exact_quantiles(df, ["x", "y"], q).collect()}
+        assert abs(got["x"] - exp[0]) < 1e-12 and abs(got["y"] - exp[1]) < 1e-12
     exp = {r[0]: r[1] for r in df.groupBy("g").agg(F.median("x")).collect()}
-    got = {r[0]: r[1] for r in grouped_quantiles(df, ["g"], "x", [0.5], ["m"], max_distinct=None).collect()}
+    got = {r[0]: r[1] for r in grouped_quantiles(df, ["g"], "x", [0.5], ["m"]).collect()}
     assert all(abs(exp[k] - got[k]) < 1e-12 for k in exp)
     # no group: one global set of quantiles, n from a scalar subquery
     exp = df.agg(*[F.percentile("x", q) for q in (0.0, 0.25, 0.9, 1.0)]).first()
-    for md in (None, 1 << 20):
-        got = grouped_quantiles(df, [], "x", [0.0, 0.25, 0.9, 1.0], ["a", "b", "c", "d"], buckets=4, max_distinct=md).first()
-        assert all(abs(got[i] - exp[i]) < 1e-12 for i in range(4))
+    got = grouped_quantiles(df, [], "x", [0.0, 0.25, 0.9, 1.0], ["a", "b", "c", "d"], buckets=4).first()
+    assert all(abs(got[i] - exp[i]) < 1e-12 for i in range(4))
     modes = {r[0]: r[1] for r in exact_modes(df, ["g"]).collect()}
     assert modes["g"] == df.agg(F.mode("g", True)).first()[0]
 
@@ -163,3 +161,53 @@ def test_changes_leave_null_ids_out(spark):
         "student_id", "dropout_probability", "cast(null as string) risk_level", "'m' model_version", "cast(d as date) assessment_date")
     assert [r["student_id"] for r in rk.risk_changes(h, "2024-01-01", "2024-01-08").collect()] == ["a"]
     assert rk.risk_change_summary(h, "2024-01-01", "2024-01-08").first()["students_count"] == 1
+
+
+def _slow_trend(rows, w):
+    import math
+
+    out = []
+    for m in sorted({m for m, _, _ in rows if m is not None}):
+        series = sorted(((t, v) for k, t, v in rows if k == m), key=lambda x: (x[0], math.isnan(x[1]), x[1]))
+        for i, (t, v) in enumerate(series):
+            vals = [x for _, x in series[max(0, i - w + 1):i + 1]]
+            out.append((m, t, v, v if len(series) < w or w <= 1 else sum(vals) / w if len(vals) == w else None))
+    return out
+
+
+def test_metric_trend_in_any_number_of_buckets(spark):
+    import datetime as dt
+    import math
+    import random
+
+    from retentio.operators.history import metric_trend
+
+    rng = random.Random(1)
+    start = dt.datetime(2024, 1, 1)
+    rows = [("hot", start + dt.timedelta(minutes=rng.randrange(300)), rng.random()) for _ in range(200)]
+    rows += [("hot", start + dt.timedelta(minutes=40), rng.random()) for _ in range(60)]
+    rows += [("bad", start + dt.timedelta(hours=i), x) for i, x in enumerate([0.5, float("nan"), 0.7, 1e17, 0.5, 0.7, 0.8, 0.9, 1.0])]
+    rows += [("few", start, 0.1), ("few", start + dt.timedelta(days=900), 0.2), (None, start, 0.3)]
+    df = spark.createDataFrame([(*r, "f1") for r in rows], "model_version string, timestamp timestamp_ntz, metric_value double, metric_name string")
+
+    def clean(x):
+        return None if x is None else "nan" if math.isnan(x) else x
+
+    for w in (1, 3, 7):
+        want = [(m, t, clean(v), clean(x)) for m, t, v, x in _slow_trend(rows, w)]
+        for buckets in (1, 5, 64):
+            got = [(r[0], r[1], clean(r[2]), clean(r[3])) for r in metric_trend(df, "f1", None, w, buckets).collect()]
+            assert [g[:3] for g in got] == [x[:3] for x in want]  # time order
+            for g, x in zip(got, want):
+                assert g[3] == x[3] or abs(g[3] - x[3]) <= 1e-9 * max(1.0, abs(x[3]))
+
+
+def test_metric_trend_exchanges(spark):
+    from retentio.operators.history import metric_trend
+
+    df = spark.createDataFrame([("a", None, 0.1, "f1")], "model_version string, timestamp timestamp_ntz, metric_value double, metric_name string")
+    plan = metric_trend(df, "f1", None, 3)._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" in plan
+    plan = metric_trend(df, "f1", None, 3)._jdf.queryExecution().executedPlan().toString()
+    # the window, the values before each bucket by model, and their join back; the time order is one more
+    assert plan.count("Exchange hashpartitioning") <= 4 and plan.count("Exchange rangepartitioning") == 1

@@ -94,3 +94,61 @@ def test_save_load_full_pipeline(spark, tmp):
     kf = tr.key_factors(tr.prepare(synthetic_students(spark, 240, 3)).withColumn("dropout_probability", F.lit(0.9)),
                         imp, 0.5)
     assert kf.filter(F.col("key_factors").isNull()).count() == 0
+
+
+def _slow_neighbours(v, k):
+    import numpy as np
+
+    x = np.array(v)
+    out = []
+    for i in range(len(x)):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        out += [(i, j) for j in sorted((j for j in range(len(x)) if j != i), key=lambda j: (d[j], j))[:k]]
+    return sorted(out)
+
+
+def _neighbours(spark, v, k=3, **kw):
+    from retentio.operators.knn import knn_join
+
+    df = spark.createDataFrame([(i, [float(a) for a in x]) for i, x in enumerate(v)], "id long, features array<double>")
+    return sorted((r["query_id"], r["neighbor_id"]) for r in knn_join(df, df, k, exclude_self=True, **kw).collect())
+
+
+def test_knn_far_from_the_origin(spark):
+    import numpy as np
+
+    for centre, spread in ((1e4, 1e-3), (0.0, 1e6), (1e8, 1.0)):
+        v = np.random.default_rng(1).normal(centre, spread, (120, 16))
+        assert _neighbours(spark, v) == _slow_neighbours(v, 3)
+
+
+def test_knn_of_copies_is_bounded(spark, monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from retentio.operators.knn import _topk_cell
+
+    v = [np.ones(64)] * 2000
+    cell = pd.DataFrame({"_id": range(2000), "_v": v})
+    tracemalloc.start()
+    got = _topk_cell(5, "euclidean", True)(cell, cell)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6 and len(got) == 10_000
+    assert sorted(got["neighbor_id"].unique()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_knn_search_uses_several_tasks(spark):
+    import numpy as np
+
+    from retentio.operators.knn import knn_join
+
+    v = np.random.default_rng(2).normal(size=(2000, 4))
+    df = spark.createDataFrame([(i, [float(a) for a in x]) for i, x in enumerate(v)], "id long, features array<double>")
+    plan = knn_join(df, df, 3)._jdf.queryExecution().executedPlan().toString()
+    import re
+
+    n = {int(x) for x in re.findall(r"hashpartitioning\(_qb#\d+L?, _pb#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)}
+    assert n and min(n) > 1
