@@ -111,10 +111,12 @@ def fit_prototypes(docs: DataFrame, rows: int = TRAIN_ROWS, dim: int = 1024, id_
     """
     known = (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
              .filter(~held_out("doc_id", parts, remainder) & F.col("lang").isNotNull() & F.col("text").isNotNull()))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    share = F.least(F.lit(1.0), F.lit(float(rows)) / F.col("rows"))
-    pick = F.pmod(F.xxhash64(F.lit(8), "doc_id", F.xxhash64("text")), F.lit(1 << 30)) < share * F.lit(float(1 << 30))
-    sample = known.join(counts, "lang").filter(pick).select("lang", "text")
+    counts = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return {}
+    limit = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, rows / n) * (1 << 30)))))
+    pick = F.pmod(F.xxhash64(F.lit(8), "doc_id", F.xxhash64("text")), F.lit(1 << 30)) < limit[F.col("lang")]
+    sample = known.filter(pick).select("lang", "text")
     sums = (sample.mapInArrow(partial(_sums, dim), "lang string, v binary").groupBy("lang")
             .applyInArrow(_add, "lang string, v binary").collect())
     found = {r.lang: np.frombuffer(r.v, np.float64) for r in sums}
