@@ -11,8 +11,8 @@ Three transducers are compiled from a model file and composed with each input:
   one path has finite weight. For a unigram model arcs weigh the negative score instead.
 
 Encoding takes the shortest path in the tropical semiring (costs add along a path, the minimum
-is taken where paths meet), built position by position and never beyond the arcs the input
-reaches. The input is cut where no piece can reach across: the lattice has a single state
+is taken where paths meet), composing only the arcs the input reaches; where weights are 0 and
+infinity it is the one finite path, found depth first. The input is cut where no piece can reach across: the lattice has a single state
 there, so the parts' shortest paths join to that of the whole. Words that occur again are
 looked up.
 """
@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words whose paths a worker remembers, and pairs of pieces.
-WORDS, PAIRS = 1 << 20, 1 << 20
+#: Words of one generation of remembered paths (a worker holds two), and pairs of pieces.
+WORDS, PAIRS = 1 << 19, 1 << 19
+NO_PAIRS: dict[str, bool] = {}
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # fixed values: piece types of the file format
 UNIGRAM, BPE = 1, 2  # fixed values: model types of the file format
 
@@ -42,16 +43,38 @@ codecs.register_error("piece", lambda e: ("�" * (e.end - e.start), e.end))
 
 
 class _Paths(dict):
-    """word -> number of its path, found when it is first asked for."""
+    """word -> number of its path in this generation's arrays, found when it is first asked for.
 
-    def __init__(self, fst: PieceTransducer):
+    A full generation becomes the former one: a word that is asked for again is copied from
+    it, the others are forgotten with it.
+    """
+
+    def __init__(self, fst: PieceTransducer, former: _Paths | None = None):
         super().__init__()
-        self.fst = fst
+        self.fst, self.former = fst, former
+        if former is not None:
+            former.former = None
+        self.flat, self.at, self.size = array("i"), array("q"), array("q")
+
+    def ids(self, word: str) -> array:
+        n = self[word]
+        return self.flat[self.at[n] : self.at[n] + self.size[n]]
 
     def __missing__(self, word: str) -> int:
-        self[word] = n = self.fst._remember(word)
+        if self.former is not None and word in self.former:
+            ids = self.former.ids(word)
+        else:
+            ids = self.fst._found(word)
+        self.at.append(len(self.flat))
+        self.size.append(len(ids))
+        self.flat.extend(ids)
+        self[word] = n = len(self.at) - 1
         return n
 
+    def paths(self, words: list[str]) -> np.ndarray:
+        which = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return ragged(*(np.frombuffer(a, t) for a, t in ((self.flat, np.int32), (self.at, np.int64), (self.size, np.int64))), which)
+
 
 class PieceTransducer:
     """Compiled from (piece, score, type) triples; ids are places in the list."""
@@ -65,19 +88,21 @@ class PieceTransducer:
         self.byte_ids = [bytes_[b] for b in range(256)] if len(bytes_) == 256 else None
         self.unknown = next((i for i, (_, _, t) in enumerate(pieces) if t == UNKNOWN), 0)
         self.unknown_cost = max(self.cost.values(), default=0.0) + 10.0
-        self.trie: dict = {}
+        self.trie: list = [{}, None]  # arcs by character, and the piece that ends here
         for p in self.ids:
             node = self.trie
             for ch in p:
-                node = node.setdefault(ch, {})
-            node[""] = p
+                node = node[0].setdefault(ch, [{}, None])
+            node[1] = p
         longer = [p for p in self.ids if len(p) > 1]
         alone = "".join(re.escape(chr(c)) for c in range(32) if not any(chr(c) in p for p in longer))  # control characters
         inner = any(SPACE in p.lstrip(SPACE) for p in longer)
         self.cut = None if inner or not alone else re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]")
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
-        self._forget()
+        self.longest = max(map(len, self.ids), default=1)
+        self.joints = {p[i : i + 2] for p in longer for i in range(len(p) - 1)}
+        self.paths = _Paths(self)
         raw = [bytes([int(p[1:-1], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() if t in (NORMAL, USER) else unknown_text.encode() if t == UNKNOWN else b""
                for p, _, t in pieces]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
@@ -85,15 +110,16 @@ class PieceTransducer:
         self.raw_at = np.cumsum(self.raw_len) - self.raw_len
         self.is_byte = np.array([t == BYTE for _, _, t in pieces])
 
-    def _forget(self) -> None:
-        self.paths, self.flat, self.at, self.size = _Paths(self), array("i"), array("q"), array("q")
-
-    def _remember(self, word: str) -> int:
-        ids = self._ids(self.shortest_path(word))
-        self.at.append(len(self.flat))
-        self.size.append(len(ids))
-        self.flat.extend(ids)
-        return len(self.at) - 1
+    def _found(self, word: str) -> list[int]:
+        """The ids of a word, cut further where two neighbouring characters are in no piece together."""
+        parts, at = [], 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in self.joints:
+                parts.append(word[at:i])
+                at = i
+        if not parts:
+            return self._ids(self.shortest_path(word))
+        return [i for p in (*parts, word[at:]) for i in self.paths.ids(p)]
 
     # ---- composition and shortest path ------------------------------------------------------
     def normalise(self, text: str) -> str:
@@ -121,37 +147,61 @@ class PieceTransducer:
         self.pairs.setdefault(left, {})[right] = ok
         return ok
 
+    def arcs(self, text: str, i: int) -> list[str]:
+        """What the composed transducer can read at ``i``, shortest first: pieces, or by byte fallback the character."""
+        out, node = [], self.trie
+        for ch in text[i : i + self.longest]:
+            node = node[0].get(ch)
+            if node is None:
+                break
+            if node[1] is not None:
+                out.append(node[1])
+        if not out or len(out[0]) > 1:
+            out.insert(0, text[i])
+        return out
+
     def shortest_path(self, text: str) -> list[str]:
         """The pieces (or single uncovered characters) on the shortest path over normalised ``text``."""
-        n, trie, weight, rows, merges = len(text), self.trie, self.cost, self.pairs, self.kind == BPE
-        cost: list[float | None] = [None] * (n + 1)
-        last = [""] * (n + 1)
-        cost[0] = 0.0
-        for i in range(n):
-            here = cost[i]
-            if here is None:
-                continue
-            left = last[i]
-            row = rows.get(left, {}) if merges else None
-            node, j, single = trie, i, False
-            while j < n and (node := node.get(text[j])) is not None:
-                j += 1
-                p = node.get("")
-                if p is None:
+        if not text:
+            return []
+        return self._finite_path(text) if self.kind == BPE else self._cheapest_path(text)
+
+    def _finite_path(self, text: str) -> list[str]:
+        """With weights 0 and infinity: the one finite path, depth first, longest pieces first.
+
+        The start of a finite path is the encoding of what it has read, so no two states at one
+        position are reached over finite arcs, and the search takes at most one state a position.
+        """
+        n, pairs = len(text), self.pairs
+        path, i, left, dead = [], 0, "", set()
+        options = [self.arcs(text, 0)]
+        while i < n:
+            if options[-1]:
+                p = options[-1].pop()
+                j = i + len(p)
+                if j in dead:
                     continue
-                single = single or j == i + 1
-                to, best = here + weight[p], cost[j]
-                if best is not None and to >= best:
-                    continue
-                ok = True if row is None else row.get(p)
-                if ok is None:
-                    ok = self.passes(left, p)
-                if ok:
-                    cost[j], last[j] = to, p
-            if not single:  # byte fallback reads one character that is no piece
-                to = here + self.unknown_cost
-                if (cost[i + 1] is None or to < cost[i + 1]) and (row is None or self.passes(left, text[i])):
-                    cost[i + 1], last[i + 1] = to, text[i]
+                ok = pairs.get(left, NO_PAIRS).get(p)
+                if ok or (ok is None and self.passes(left, p)):
+                    path.append(p)
+                    i, left = j, p
+                    if i < n:
+                        options.append(self.arcs(text, i))
+            else:
+                options.pop()
+                dead.add(i)
+                i -= len(path.pop())
+                left = path[-1] if path else ""
+        return path
+
+    def _cheapest_path(self, text: str) -> list[str]:
+        n = len(text)
+        cost, last = [0.0] + [np.inf] * n, [""] * (n + 1)
+        for i in range(n):
+            for p in self.arcs(text, i):
+                to = cost[i] + self.cost.get(p, self.unknown_cost)
+                if to < cost[i + len(p)]:
+                    cost[i + len(p)], last[i + len(p)] = to, p
         path, j = [], n
         while j:
             path.append(last[j])
@@ -178,10 +228,8 @@ class PieceTransducer:
         if self.cut is None:
             return np.array(self._ids(self.shortest_path(whole)), np.int32)
         if len(self.paths) > WORDS:
-            self._forget()
-        words = self.cut.findall(whole)
-        which = np.fromiter(map(self.paths.__getitem__, words), np.int64, len(words))
-        out = ragged(*(np.frombuffer(a, t) for a, t in ((self.flat, np.int32), (self.at, np.int64), (self.size, np.int64))), which)
+            self.paths = _Paths(self, self.paths)
+        out = self.paths.paths(self.cut.findall(whole))
         if not self.byte_ids and len(out):  # neighbouring unknown characters count once
             out = out[np.concatenate(([True], (out[1:] != self.unknown) | (out[:-1] != self.unknown)))]
         return out
