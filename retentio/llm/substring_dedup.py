@@ -35,9 +35,7 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     """h[i] = 2 * h[i-1] + GEAR[data[i]] mod 2^16 for all i at once, by doubling the window."""
     h = GEAR[data]
     for s in (1, 2, 4, 8):
-        longer = h.copy()
-        longer[s:] += h[:-s] << np.uint16(s)
-        h = longer
+        h[s:] += h[:-s] << np.uint16(s)
     return h
 
 
@@ -118,7 +116,8 @@ class Chunks:
         word = ~space
         word[1:] &= space[:-1]
         word[self.offsets[:-1][np.diff(self.offsets) > 0]] = ~space[self.offsets[:-1][np.diff(self.offsets) > 0]]
-        words = np.concatenate(([0], np.cumsum(word)))
+        words = np.zeros(len(word) + 1, np.int32)
+        np.cumsum(word, out=words[1:])
         s, e = self.starts[heads], self.ends[tails]
         goes = (words[e] - words[s] >= min_words) | (e - s >= min_bytes)
         return s[goes], e[goes], (tails - heads + 1)[goes]
