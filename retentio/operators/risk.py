@@ -184,9 +184,11 @@ def risk_change_summary(history: DataFrame, date_before, date_after) -> DataFram
     )
 
 
-def top_changes(changes: DataFrame, n: int = 5, change: str = "risk_change") -> DataFrame:
+def top_changes(changes: DataFrame, n: int = 5, change: str = "risk_change", places: int | None = None) -> DataFrame:
     """The n most improved (most negative change first) and the n most deteriorated.
 
+    ``places`` rounds the changes shown (3 in the reports); the order is that of the exact values.
+
     The deteriorated list is the tail of the ascending order, so its ``position`` runs from
     the least to the most worsened (worst last). Ties break on ``student_id``.
     """
@@ -201,7 +203,8 @@ def top_changes(changes: DataFrame, n: int = 5, change: str = "risk_change") ->
     from pyspark.sql import Window
 
     w = Window.partitionBy("direction").orderBy(c.asc(), F.col("student_id").asc())
-    return both.withColumn("position", F.row_number().over(w)).select("direction", "position", *cols)
+    shown = c if places is None else F.round(c, places)
+    return both.withColumn("position", F.row_number().over(w)).select("direction", "position", "student_id", shown.alias(change))
 
 
 def comparative_frames(before: DataFrame, after: DataFrame, top_n: int = 10,

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from retentio.functions.bins import risk_level
 from retentio.ml import train as tr
 from retentio.operators import features as fe
 from retentio.operators.knn import knn_join
-from retentio.operators.split import stratified_split
-from retentio.plans.oracle import q, risk_level_sql, with_ctes
+from retentio.operators.split import hash_unit_sql, stratified_split
+from retentio.plans.oracle import age_group_sql, q, risk_level_sql, with_ctes
 from retentio.plans.queries import register, rounded
 from retentio.sources import fixtures as fx
 
@@ -72,28 +73,74 @@ def q_knn_join(spark, sf):
                             exclude_self=True))
 
 
-# --- rows-only ML queries ------------------------------------------------------------------
+# --- the fitted feature matrix ---------------------------------------------------------------
+FEATURE_NUMERIC = ("age", "gpa", "credits", "absences", "total_classes", "scholarship", "employment", "year_of_study",
+                   "absence_rate", "low_performance")
+FEATURE_CATEGORICAL = ("gender", "faculty", "age_group", "faculty_year")
+
+
+def _feature_ctes(fit: str) -> str:
+    """CTEs: f (derived columns and split), st (medians, means, deviations of the rows that ``fit`` holds for), m and c (modes, categories)."""
+    med = ", ".join(f"median({n}) AS {n}" for n in FEATURE_NUMERIC)
+    stats = ", ".join(f"any_value(md.{n}) AS med_{n}, avg(coalesce(f.{n}, md.{n})) AS mu_{n}, stddev_pop(coalesce(f.{n}, md.{n})) AS sd_{n}"
+                      for n in FEATURE_NUMERIC)
+    modes = ", ".join(f"(SELECT {c} FROM f WHERE {fit} AND {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS {c}"
+                      for c in FEATURE_CATEGORICAL)
+    cats = ", ".join(f"list_sort(list(DISTINCT coalesce(f.{c}, m.{c}))) AS {c}" for c in FEATURE_CATEGORICAL)
+    u = hash_unit_sql("student_id", 42)
+    return f""",
+f AS (SELECT s.*, CASE WHEN total_classes = 0 THEN NULL ELSE CAST(absences AS DOUBLE) / total_classes END AS absence_rate,
+             coalesce(CAST(gpa < 3.0 AS INTEGER), 0) AS low_performance, {age_group_sql('age')} AS age_group,
+             faculty || '_' || CAST(year_of_study AS VARCHAR) AS faculty_year,
+             CASE WHEN row_number() OVER (PARTITION BY dropout ORDER BY {u}, student_id) <= floor(count(*) OVER (PARTITION BY dropout) * 0.2 + 0.5)
+                  THEN 'test' ELSE 'train' END AS split FROM students s),
+md AS (SELECT {med} FROM f WHERE {fit}),
+st AS (SELECT {stats} FROM f, md WHERE {fit}),
+m AS (SELECT {modes}),
+c AS (SELECT {cats} FROM f, m WHERE {fit})
+"""
+
+
+def _features_sql(fit: str, rows: str) -> str:
+    num = ", ".join(f"round((coalesce(f.{n}, med_{n}) - mu_{n}) / CASE WHEN sd_{n} > 0 THEN sd_{n} ELSE 1.0 END, 6)" for n in FEATURE_NUMERIC)
+    hot = ", ".join(f"list_transform(c.{k}, lambda v: CAST(v = coalesce(f.{k}, m.{k}) AS DOUBLE))" for k in FEATURE_CATEGORICAL)
+    return with_ctes("", "students").rstrip() + _feature_ctes(fit) + (
+        f"SELECT student_id, flatten([[{num}], {hot}]) AS features FROM f, st, m, c WHERE {rows}")
+
+
+def _names_sql() -> str:
+    numeric = " UNION ALL ".join(f"SELECT {i} AS slot, {q(n)} AS feature, 'numeric' AS kind" for i, n in enumerate(FEATURE_NUMERIC))
+    hot = " UNION ALL ".join(f"SELECT {i} AS col, {q(k + '_')} || v AS feature, v FROM (SELECT unnest({k}) AS v FROM c) t"
+                             for i, k in enumerate(FEATURE_CATEGORICAL))
+    return with_ctes("", "students").rstrip() + _feature_ctes("true") + (
+        f"{numeric} UNION ALL SELECT CAST(row_number() OVER (ORDER BY col, v) + {len(FEATURE_NUMERIC) - 1} AS INTEGER), feature, 'onehot' FROM ({hot}) h")
+
+
+def _rounded_vector(col: str = "features"):
+    return F.transform(vector_to_array(col), lambda x: F.round(x, 6)).alias(col)
+
+
 def _split(spark, sf):
     d = tr.prepare(fx.students(spark, sf))
     return stratified_split(d, "label", "student_id", 0.2, 42, exact=True)
 
 
-@register("fit_features")
+@register("fit_features", _features_sql("true", "true"))
 def q_fit_features(spark, sf):
     d = tr.prepare(fx.students(spark, sf))
     m = fe.fit_features(d, ids=(*fe.ID_NAMES, *tr.HELPER_COLS))
-    return m.transform(d).select("student_id", vector_to_array("features").alias("features"))
+    return m.transform(d).select("student_id", _rounded_vector())
 
 
-@register("transform_features")
+@register("transform_features", _features_sql("split = 'train'", "split = 'test'"))
 def q_transform_features(spark, sf):
     d = _split(spark, sf)
     m = fe.fit_features(d.filter(F.col("split") == "train"), ids=(*fe.ID_NAMES, *tr.HELPER_COLS))
     test = d.filter(F.col("split") == "test")
-    return fe.transform_features(m, test).select("student_id", vector_to_array("features").alias("features"))
+    return fe.transform_features(m, test).select("student_id", _rounded_vector())
 
 
-@register("feature_names")
+@register("feature_names", _names_sql())
 def q_feature_names(spark, sf):
     d = tr.prepare(fx.students(spark, sf))
     x = fe.fit_features(d, ids=(*fe.ID_NAMES, *tr.HELPER_COLS)).transform(d)
@@ -103,6 +150,7 @@ def q_feature_names(spark, sf):
                                  "slot int, feature string, kind string")
 
 
+# --- rows-only ML queries ------------------------------------------------------------------
 @register("score_students")
 def q_score_students(spark, sf):
     d = _split(spark, sf)
@@ -142,3 +190,40 @@ def _train_query(name):
 
 for _m in TRAINED_MODELS:
     register(f"train_{_m}")(_train_query(_m))
+
+
+# --- exact facts of fits, whatever the model learned ----------------------------------------------
+@register("score_facts", with_ctes("SELECT student_id, true AS level_fits, true AS prediction_fits, true AS in_range FROM students", "students"))
+def q_score_facts(spark, sf):
+    """Every student is scored once, with the level of its probability and the likelier class."""
+    d = _split(spark, sf)
+    model = tr.fit_pipeline(d.filter(F.col("split") == "train"), "decision_tree")
+    s = tr.score_students(model, fx.students(spark, sf))
+    p = F.col("dropout_probability")
+    return s.select("student_id", F.col("risk_level").eqNullSafe(risk_level(p)).alias("level_fits"),
+                    (F.col("prediction") == (p > 0.5).cast("int")).alias("prediction_fits"), p.between(0.0, 1.0).alias("in_range"))
+
+
+@register("train_facts", with_ctes("""
+SELECT sum(n - test) AS train_rows, sum(test) AS test_rows, true AS metrics_in_range
+FROM (SELECT count(*) AS n, CAST(floor(count(*) * 0.2 + 0.5) AS BIGINT) AS test FROM students GROUP BY dropout) t""", "students"))
+def q_train_facts(spark, sf):
+    """Row counts of the stratified split behind a fitted model, and metrics within 0 and 1."""
+    _, m = tr.train(fx.students(spark, sf), "decision_tree", cv_folds=0)
+    ok = F.lit(True)
+    for c in ("accuracy", "precision", "recall", "f1", "roc_auc"):
+        ok = ok & F.col(c).between(0.0, 1.0)
+    return m.select("train_rows", "test_rows", ok.alias("metrics_in_range"))
+
+
+@register("split_scored", with_ctes(f"""
+SELECT split, count(*) AS n FROM (
+  SELECT CASE WHEN row_number() OVER (PARTITION BY dropout ORDER BY {hash_unit_sql('student_id', 42)}, student_id)
+                   <= floor(count(*) OVER (PARTITION BY dropout) * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split FROM students) t
+GROUP BY 1""", "students"))
+def q_split_scored(spark, sf):
+    """Scored students keep the part of the split they belong to."""
+    d = _split(spark, sf)
+    model = tr.fit_pipeline(d.filter(F.col("split") == "train"), "decision_tree")
+    raw = fx.students(spark, sf).join(d.select("student_id", "split"), "student_id")
+    return tr.score_students(model, raw).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
