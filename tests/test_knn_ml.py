@@ -152,3 +152,20 @@ def test_knn_search_uses_several_tasks(spark):
 
     n = {int(x) for x in re.findall(r"hashpartitioning\(_qb#\d+L?, _pb#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)}
     assert n and min(n) > 1
+
+
+def test_boosted_stumps_and_linear_svm_have_importances(spark):
+    d = _data(spark, 120)
+    x = tr.build_feature_pipeline(d, ids=(*tr.ID_NAMES, "student_id", *tr.HELPER_COLS)).fit(d).transform(d)
+    ada = PipelineModel(stages=[AdaBoostClassifier(numRounds=2).fit(x)])
+    got = tr.feature_importance(ada, x, top_n=3).collect()
+    assert len(got) == 3 and got[0]["importance"] > 0 and abs(sum(ada.stages[0].featureImportances) - 1.0) < 1e-9
+    svm = PipelineModel(stages=[SVMClassifier(kernel="linear", plattFolds=1, maxIter=5).fit(x)])
+    rows = tr.feature_importance(svm, x).collect()
+    assert {r["kind"] for r in rows} == {"coefficient"} and any(r["importance"] for r in rows)
+
+
+def test_grids_hold_no_equal_points():
+    from retentio.ml.registry import grid_points
+
+    assert len(grid_points("random_forest")) == 27 and len(grid_points("decision_tree")) == 18 and len(grid_points("knn")) == 8
