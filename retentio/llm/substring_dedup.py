@@ -1,7 +1,9 @@
 """Substring deduplication: content-defined chunks, deduplicated by digest.
 
 A gear rolling hash over the bytes (16 bits wide, so it depends on the last 16 bytes only)
-declares a chunk boundary after a white-space byte where its top bits are zero. Boundaries
+declares a chunk boundary after a white-space byte where its top bits are zero. Where the last
+``STRETCH`` bytes hold no white space (scripts without spaces, encoded or minified runs), it may
+declare one before any character, with more zero bits. Boundaries
 depend on nearby content alone, so an insertion moves the chunks around it and no others.
 A chunk whose digest occurs earlier (in the order of doc_id, then position) is a repeat; a run
 of repeats that is long enough (``min_words`` words, or ``min_bytes`` bytes for text without
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from retentio.llm.common import BLOCK_BYTES, KEYS, answers_of, ask_and_answer, block_count, blocks, buckets_of
 
 WINDOW = 16
+#: Bytes without white space (a power of two) after which a boundary needs none.
+STRETCH = 64
 #: The gear table: 256 pseudo-random 16-bit numbers, the same in every run.
 GEAR = np.random.default_rng(0x6EA2).integers(0, 1 << 16, 256, dtype=np.uint16)
 NO_ID = np.iinfo(np.int64).max
@@ -39,19 +43,44 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def trailing(found: np.ndarray, n: int) -> np.ndarray:
+    """Whether all of the last n flags (a power of two) are set; before the n-th, all so far."""
+    all_set, s = found.copy(), 1
+    while s < n:
+        all_set[s:] &= all_set[:-s]
+        s *= 2
+    return all_set
+
+
+def stretch_cuts(data: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """Ends of chunks inside stretches without white space: before a character, where the top
+    ``bits`` + 2 bits of the hash are zero here and at no character of the ``WINDOW`` bytes
+    before, so that a run of one character has no cut and cuts are over ``WINDOW`` bytes apart.
+    """
+    low = np.zeros(len(data), bool)
+    low[:-1] = (h[:-1] < (1 << (WINDOW - bits - 2))) & ((data[1:] & 0xC0) != 0x80)
+    first = low.copy()
+    first[1:] &= trailing(~low, WINDOW)[:-1]
+    return first & trailing(data > 32, STRETCH)
+
+
 def chunk_starts(data: np.ndarray, offsets: np.ndarray, bits: int = 2, longest: int = 256) -> np.ndarray:
     """Sorted start positions of the chunks of texts that lie one after another in ``data``.
 
-    On average every 2^bits-th word ends a chunk; beyond ``longest`` bytes a chunk is cut at
-    the next character.
+    On average every 2^bits-th word ends a chunk, and in a stretch without white space about
+    every 40 to 70 bytes (with 2 bits); beyond ``longest`` bytes without either, as in a run of one
+    character, a chunk is cut at the next character.
     """
     begin = offsets[:-1][np.diff(offsets) > 0]
     if not len(begin):
         return begin
-    at = np.flatnonzero((data <= 32) & (gear_hash(data) < (1 << (WINDOW - bits)))) + 1
+    h = gear_hash(data)
+    inside = stretch_cuts(data, h, bits)
+    at = np.flatnonzero(inside | (data <= 32) & (h < (1 << (WINDOW - bits)))) + 1
     at = at[at < offsets[-1]]
     doc = np.searchsorted(begin, at, "right") - 1
-    at = at[at - begin[doc] >= WINDOW]  # before that the window holds bytes of another text
+    # before that the window holds bytes of another text
+    at = at[at - begin[doc] >= np.where(inside[at - 1], STRETCH, WINDOW)]
     starts = np.union1d(begin, at)
     ends = np.append(starts[1:], offsets[-1])
     over = ends - starts > longest

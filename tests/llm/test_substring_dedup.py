@@ -142,3 +142,56 @@ def test_insertion_moves_only_nearby_chunks():
 
 def test_empty_table(spark, docs):
     assert D.dedup_substrings(docs([])).collect() == []
+
+
+def cjk(rng, n):
+    return "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+
+
+def spans(texts):
+    c = D.Chunks(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}), 2, 256)
+    got = [[] for _ in texts]
+    for s, e, d in zip(c.starts.tolist(), c.ends.tolist(), c.doc.tolist()):
+        got[d].append((s - int(c.offsets[d]), e - int(c.offsets[d])))
+    return got
+
+
+def test_cuts_of_stretches_match_the_rolling_definition():
+    rng = random.Random(7)
+    base64 = "".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=4000))
+    texts = [cjk(rng, 1500), base64, words(rng, 50) + " " + cjk(rng, 300) + "\u3000" + cjk(rng, 300) + " " + words(rng, 50), "é" * 2000, "z" * 3000, cjk(rng, 40) + "y" * 63]
+    for t, got in zip(texts, spans(texts)):
+        data, h = t.encode(), slow_gear(t.encode())
+        low = [i + 1 < len(data) and h[i] < 1 << 12 and data[i + 1] & 0xC0 != 0x80 for i in range(len(data))]
+        cuts = [0]
+        for i in range(15, len(data) - 1):
+            space = data[i] <= 32 and h[i] < 1 << 14
+            inside = i >= 63 and low[i] and not any(low[i - 16:i]) and all(b > 32 for b in data[i - 63:i + 1])
+            if space or inside:
+                cuts.append(i + 1)
+        assert [s for s, _ in got if s in cuts] == cuts
+        for s, e in got:
+            assert s in cuts or (s - max(c for c in cuts if c <= s)) >= 256  # a last resort
+            assert e - s <= 256 + 3 and "".join([data[s:e].decode()])
+    assert len(spans(texts)[3]) <= 4000 // 256 + 1 and len(spans(texts)[4]) <= 3000 // 256 + 1
+
+
+def test_insertion_in_front_of_text_without_spaces_moves_only_nearby_chunks():
+    rng = random.Random(8)
+    base64 = "".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=6000))
+    for text in (cjk(rng, 2000), base64):
+        for front in ("x", "漢", "漢字" * 30 + "q"):
+            a, b = ({t.encode()[s:e] for s, e in got} for t, got in zip((text, front + text), spans([text, front + text])))
+            assert len(a) > 60 and len(a - b) <= 4
+
+
+def test_passage_without_spaces_goes_at_any_offset(spark, docs):
+    rng = random.Random(9)
+    passage, bodies = cjk(rng, 600), [cjk(rng, n) for n in (100, 137, 301, 555)]
+    rows = [(i, b + passage + cjk(rng, 90 + 31 * i)) for i, b in enumerate(bodies)]
+    rows += [(8, "x" + rows[2][1])]
+    got = {r.doc_id: r for r in D.dedup_substrings(docs(rows)).collect()}
+    assert got[0].removed_bytes == 0
+    for i in (1, 2, 3):
+        assert 0.6 * 1800 <= got[i].removed_bytes <= 1800 and bodies[i] in got[i].text
+    assert got[8].removed_bytes >= 0.9 * len(rows[4][1].encode())
