@@ -33,7 +33,7 @@ def path_of(url: Column) -> Column:
 def redirect_target(url: Column) -> Column:
     """Where servers redirect by convention: https, the bare host, no fragment, no tracking parameters, no final slash."""
     u = F.regexp_replace(url, "#.*$", "")
-    u = F.regexp_replace(u, r"([?&])utm_[^&]*(&|$)", "$1")
+    u = F.regexp_replace(u, r"(?<=[?&])utm_[^&]*(&|$)", "")  # also neighbouring ones: the separator before is not consumed
     u = F.regexp_replace(u, "[?&]+$", "")
     u = F.regexp_replace(u, "(?i)^https?://(www\\.|m\\.)?", "https://")
     return F.regexp_replace(u, "/$", "")

@@ -88,6 +88,18 @@ def test_edges_of_pages(spark):
                    ("https://b.com/r", "https://c.org/z"), ("https://b.com/r", "https://d.org/"), ("https://d.org/", "https://d.org")}
 
 
+def test_neighbouring_tracking_parameters_go_at_once(spark):
+    tracked = {"http://a.org/p?utm_source=a&utm_medium=b": "https://a.org/p", "http://a.org/p?utm_source=a&utm_medium=b&utm_campaign=c": "https://a.org/p",
+               "http://a.org/p?x=1&utm_a=1&utm_b=2&utm_c=3&y=2&utm_d=4&utm_e=5#f": "https://a.org/p?x=1&y=2", "http://a.org/p?my_utm_x=1&autm_y=2": "https://a.org/p?my_utm_x=1&autm_y=2",
+               "http://a.org/?" + "utm_q=1&" * 20_000: "https://a.org"}
+    got = {r.src: r.dst for r in U.alias_edges(spark.createDataFrame([(u, None) for u in tracked], "url string, html string")).collect()}
+    assert got == tracked
+    pages = spark.createDataFrame([(1, "http://x.info/?utm_a=1&utm_b=2&utm_c=3", None), (2, "https://x.info", '<link rel=canonical href="http://b.com/de/1">')],
+                                  "page_id long, url string, html string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    assert {r.page_id: r.verdict for r in U.judge(pages, U.alias_edges(pages), rules).collect()} == {1: "block", 2: "block"}
+
+
 def test_empty_tables(spark):
     assert judged(spark, [], []) == []
     assert judged(spark, [(1, "http://a.org/")], []) == [(1, "a.org", "/", "org/", "allow")]
