@@ -38,10 +38,14 @@ def assessments_for_model(history: DataFrame, model_version: str) -> DataFrame:
 
 
 def dedupe_assessment(rows: DataFrame) -> DataFrame:
-    """One row per student: keeps the highest probability when a student appears twice."""
+    """One row per student: keeps the highest probability when a student appears twice.
+
+    Rows without an id are different unknown students and all stay.
+    """
     cols = [c for c in rows.columns if c != "student_id"]
     best = F.max_by(F.struct(*[F.col(c) for c in cols]), clean_double(P))
-    return rows.groupBy("student_id").agg(best.alias("_r")).select("student_id", "_r.*")
+    one = rows.filter("student_id is not null").groupBy("student_id").agg(best.alias("_r")).select("student_id", "_r.*")
+    return one.unionByName(rows.filter("student_id is null"))
 
 
 def as_assessment(risks: DataFrame, date, model_version: str, notes: str | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retentio.functions.bins import RISK_LEVELS
+from retentio.functions.bins import RISK_LEVELS, clean_double
 from retentio.operators import history as hs
 from retentio.operators import risk as rk
 from retentio.session import checkpoint_dir
@@ -72,11 +72,17 @@ class RiskHistory:
          .partitionBy("assessment_date").parquet(self.root))
 
     def merge(self, risks: DataFrame, date, model_version: str, notes: str | None = None) -> None:
-        """Add students to an assessment: rows of the same student are replaced, others of that date stay."""
+        """Add students to an assessment: rows of the same student are replaced, others of that date stay.
+
+        A row without an id replaces one stored row without an id that equals it in all columns,
+        ``model_version`` and ``notes`` included, so a batch sent again adds nothing; batches of
+        different unknown students are told apart by ``notes``.
+        """
         cols = [f.name for f in RISK_SCHEMA.fields]
         new = hs.as_assessment(risks, date, model_version, notes).select(*cols)
-        old = self.get(date).join(new.select("student_id"), "student_id", "left_anti").select(*cols)
-        both = old.unionByName(new)
+        stored_rows, unknown = self.get(date).select(*cols), "student_id is null"
+        old = stored_rows.filter(f"not ({unknown})").join(new.select("student_id"), "student_id", "left_anti").select(*cols)
+        both = old.unionByName(stored_rows.filter(unknown).exceptAll(new.filter(unknown))).unionByName(new)
         checkpoint_dir(self.spark)
         (both.checkpoint().write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("assessment_date").parquet(self.root))
@@ -90,14 +96,16 @@ class RiskHistory:
         """Store a whole history at once; only the dates present in ``history`` are replaced.
 
         Of several rows of one student and date the one with the largest probability stays
-        (the comparisons need one). Rows are rebalanced on the date before the partitioned write: AQE
+        (the comparisons need one); rows without an id all stay. Rows are rebalanced on the date before the partitioned write: AQE
         clusters each date into files of the advisory partition size and splits a hot date
         over several tasks, instead of one small file per (input task, date).
         """
         typed = history.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RISK_SCHEMA.fields])
         rest = [f.name for f in RISK_SCHEMA.fields if f.name not in ("student_id", "assessment_date")]
-        one = typed.groupBy("assessment_date", "student_id").agg(F.max(F.struct(*rest)).alias("r"))
-        (one.select("student_id", *[F.col(f"r.{c}").alias(c) for c in rest], "assessment_date")
+        best = F.max(F.struct(clean_double(hs.P).alias("_p"), *rest)).alias("r")
+        one = typed.filter("student_id is not null").groupBy("assessment_date", "student_id").agg(best)
+        one = one.select("student_id", *[F.col(f"r.{c}").alias(c) for c in rest], "assessment_date")
+        (one.unionByName(typed.filter("student_id is null"))
          .hint("rebalance", "assessment_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("assessment_date").parquet(self.root))
 

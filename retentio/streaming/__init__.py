@@ -26,12 +26,13 @@ def store_scores(scored_stream: DataFrame, history: RiskHistory, model_version:
                  trigger_once: bool = True):
     """Merge each micro-batch into the assessment of its processing date, student by student.
 
-    A batch of a day adds to the earlier ones; a repeated batch changes nothing.
+    A batch of a day adds to the earlier ones; a repeated batch changes nothing. ``notes`` holds
+    the batch's number, by which a repeated batch is known where students have no id.
     """
 
-    def batch(df: DataFrame, _epoch: int) -> None:
+    def batch(df: DataFrame, epoch: int) -> None:
         day = df.sparkSession.range(1).select(F.current_date()).first()[0]
-        history.merge(df, day, model_version)
+        history.merge(df, day, model_version, notes=f"batch {epoch}")
 
     w = scored_stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     if trigger_once:

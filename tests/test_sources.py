@@ -174,6 +174,25 @@ def test_write_all_keeps_one_row_per_student_and_date(spark, tmp):
     assert [(r["student_id"], r["dropout_probability_before"], r["risk_level_before"]) for r in got] == [("a", 0.6, "own")]
 
 
+def test_rows_without_an_id_all_stay(spark, tmp):
+    h = RiskHistory(spark, os.path.join(tmp, "risk"))
+    rows = [(None, 0.4, "2024-01-01"), (None, 0.4, "2024-01-01"), (None, 0.9, "2024-01-01"), ("a", float("nan"), "2024-01-01"), ("a", 0.3, "2024-01-01")]
+    df = spark.createDataFrame(rows, "student_id string, dropout_probability double, assessment_date string")
+    h.write_all(df.selectExpr("student_id", "dropout_probability", "1 as prediction", "'own' as risk_level", "'m' as model_version", "null as notes", "assessment_date"))
+    stored = lambda day: sorted(((r.student_id, r.dropout_probability) for r in h.get(day).collect()), key=str)
+    want = [("a", 0.3), (None, 0.4), (None, 0.4), (None, 0.9)]
+    assert stored("2024-01-01") == want
+    batch = df.select("student_id", "dropout_probability")
+    h.upsert(batch, "2024-01-08", "m")
+    assert stored("2024-01-08") == want
+    for _ in range(2):  # the second time it is sent again
+        h.merge(batch, "2024-01-15", "m", notes="batch 0")
+        assert stored("2024-01-15") == want
+    for _ in range(2):
+        h.merge(batch, "2024-01-15", "m", notes="batch 1")
+        assert stored("2024-01-15") == sorted(want + want[1:], key=str)
+
+
 def test_metrics_history_append_read(spark, tmp):
     m = MetricsHistory(spark, os.path.join(tmp, "mh"))
     m.append({"accuracy": 0.94, "confusion_matrix": [[1, 2], [3, 4]]}, "random_forest", {"size": 1000},

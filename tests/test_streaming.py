@@ -32,3 +32,15 @@ def test_batches_of_one_day_add_up(spark, tmp):
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
         store_scores(stream, hist, "m", os.path.join(tmp, attempt)).awaitTermination(120)
         assert hist.read().count() == 30
+
+
+def test_batches_with_lost_ids_add_up(spark, tmp):
+    src = os.path.join(tmp, "in")
+    rows = synthetic_students(spark, 30, 5).select(F.expr("case when student_id not like '%7' then student_id end").alias("student_id"),
+                                                   F.lit(0.4).alias("dropout_probability")).union(spark.sql("select null, 0.4D from range(6)"))
+    rows.repartition(3).write.parquet(src)
+    hist = RiskHistory(spark, os.path.join(tmp, "risk"))
+    for attempt in ("a", "b"):  # the second stream delivers everything again
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        store_scores(stream, hist, "m", os.path.join(tmp, attempt)).awaitTermination(120)
+        assert hist.read().count() == 36
