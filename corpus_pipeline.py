@@ -24,11 +24,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language go on: those that language ID finds none in (``und``) are rejected.
 
-    Prototypes are learned from the given documents' text and lang; a wrong or missing lang
-    is no reason to reject a document.
+    These are the documents without letters: the nearest of the learned languages is taken however
+    far it is, so no cosine rejects a document. Prototypes are learned from the given documents'
+    text and lang; a wrong or missing lang is no reason to reject a document, nor is it if
+    no document has one.
     """
     docs = docs.select(*COLUMNS)
-    found = langid.identify(docs, langid.fit_prototypes(docs))
+    found = langid.identify(docs, langid.fit_prototypes(docs), unlearned=langid.UNLEARNED)
     return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
 
 

@@ -25,6 +25,8 @@ from retentio.llm.common import held_out
 #: Training texts of a language, about: the classifier is fitted on a sample of this bound.
 TRAIN_ROWS = 2000
 UNKNOWN = "und"
+#: What callers can ask for texts with letters where no language was learned.
+UNLEARNED = "mis"
 GROUP = 64  # texts bundled at once
 SLICE = 4096  # distinct n-grams bound at once
 LETTERS = 8192  # letter vectors a worker keeps
@@ -123,7 +125,7 @@ def fit_prototypes(docs: DataFrame, rows: int = TRAIN_ROWS, dim: int = 1024, id_
     return {k: (v / n).astype(np.float32) for k, v in sorted(found.items()) if (n := np.linalg.norm(v)) > 0}
 
 
-def _predict(dim: int, model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _predict(dim: int, unlearned: str, model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     langs, protos = model.value
     letters = Letters(dim)
     for b in batches:
@@ -132,17 +134,18 @@ def _predict(dim: int, model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
             v = normalised(letters.bundle(texts[s : s + GROUP]))
             cos = v @ protos.T if langs else np.zeros((len(v), 1), np.float32)
             best = cos.argmax(axis=1)
-            some = v.any(axis=1) & bool(langs)
-            pred += [langs[i] if x else UNKNOWN for i, x in zip(best.tolist(), some.tolist(), strict=True)]
+            some = v.any(axis=1)
+            pred += [(langs[i] if langs else unlearned) if x else UNKNOWN for i, x in zip(best.tolist(), some.tolist(), strict=True)]
             score += np.where(some, cos[np.arange(len(v)), best].clip(0, 1), 0).astype(np.float64).tolist()
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = 1024, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = 1024, text_col: str = "text",
+             unlearned: str = UNKNOWN) -> DataFrame:
     """``docs`` with lang_pred and score (the largest cosine, 0 to 1), computed from the text alone.
 
-    A null text, or one without letters, has ``und`` and 0, and so has every text if no
-    language was learned; ties go to the language that sorts first. Rows and their other columns stay
+    A null text, or one without letters, has ``und`` and 0; if no language was learned, every
+    other text has ``unlearned`` and 0. Ties go to the language that sorts first. Rows and their other columns stay
     as they are; columns already called lang_pred or score are replaced.
     """
     kept = docs.drop("lang_pred", "score")
@@ -152,7 +155,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = 1024
     protos = np.stack(list(prototypes.values())) if langs else np.zeros((1, dim), np.float32)
     model = docs.sparkSession.sparkContext.broadcast((langs, protos))  # dim * 4 bytes per language
     schema = T.StructType([*packed.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    out = packed.mapInArrow(partial(_predict, dim, model), schema)
+    out = packed.mapInArrow(partial(_predict, dim, unlearned, model), schema)
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept.columns), "lang_pred", "score")
 
 

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import sentencepiece
 from test_decontam import slow as slow_decontam
@@ -62,3 +63,14 @@ def test_language_stage_keeps_clean_documents(spark):
     kept = {r.doc_id for r in P.language_id(spark, docs, SF).collect()}
     assert kept == {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
     assert langid.UNKNOWN == "und"
+
+
+def test_language_stage_keeps_documents_where_no_language_was_learned(spark, docs):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 0)
+    texts = ["some clean text", "漢字", "12 34", "", None, "x 1"]
+    for lang in (None, "en"):  # no label, or one that is held out
+        df = docs([(1000 + i, t, None) for i, t in enumerate(texts)] + [(held, "a held-out text", lang)])
+        assert langid.fit_prototypes(df) == {}
+        assert sorted(r.doc_id for r in P.language_id(spark, df, SF).collect()) == sorted([held, 1000, 1001, 1005])
+        found = {r.doc_id: r.lang_pred for r in langid.identify(df, {}, unlearned=langid.UNLEARNED).collect()}
+        assert (found[1000], found[1002], found[1004]) == ("mis", "und", "und")
