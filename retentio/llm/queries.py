@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import backoff_lm, decontam, langid, piece_fst, simhash, substring_dedup, topk, toxicity, url_filter, warc
+from retentio.llm import backoff_lm, decontam, langid, piece_fst, simhash, substring_dedup, token_files, topk, toxicity, url_filter, warc
 from retentio.llm.common import materialise, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +139,10 @@ def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "tokens")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_token_files(spark, path, with_ids=False).drop("ids")
