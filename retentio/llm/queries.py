@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import backoff_lm, decontam, langid, piece_fst, simhash, substring_dedup, token_files, topk, toxicity, url_filter, warc
+from retentio.llm import backoff_lm, decontam, langid, periodic_runs, piece_fst, simhash, substring_dedup, token_files, topk, toxicity, url_filter, warc
 from retentio.llm.common import materialise, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,41 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return token_files.read_token_files(spark, path, with_ids=False).drop("ids")
+
+
+#: CRC-32 of the decimal digits of doc_id, by its table of 256 remainders.
+CRC_TABLE = "list_transform(range(256), lambda r: list_reduce(range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), r))"
+CRC = ("xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint), "
+       "lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295)")
+
+
+@register(rf"""
+with c as materialized (select {CRC_TABLE} as crc_table),
+w as (select doc_id, {CRC} as h, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as ws from documents, c),
+a as (select doc_id, ws, h % 10 = 0 and len(ws) > 0 as tail, len(ws) as n, (h // 10) % greatest(len(ws), 1) as a,
+             1 + (len(ws) - (h // 10) % greatest(len(ws), 1)) // (3 + (h // 10) % 8) as p from w),
+d as materialized (select doc_id, n, case when tail then list_transform(range(n), lambda i: ws[1 + case when i < a then i else a + (i - a) % p end]) else ws end as ws from a),
+g as materialized (select doc_id, n, i, array_to_string(ws[i + 1:i + 5], ' ') as gram from d, unnest(range(0, n - 4)) as r(i)),
+q as (select x.doc_id, y.i - x.i as period, x.i from g x join g y on x.doc_id = y.doc_id and x.gram = y.gram and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+e as (select *, i - row_number() over (partition by doc_id, period order by i) as island from q),
+s as (select doc_id, min(i) as start, count(*) + 4 + period as length, period from e group by doc_id, period, island),
+t as (select * from s where length >= greatest(6, 4 * period)),
+f as materialized (select * from t where not exists (select 1 from t u where u.doc_id = t.doc_id and u.period < t.period and u.start <= t.start and u.start + u.length >= t.start + t.length)),
+o as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as runs,
+             first(struct_pack(start, length, period) order by length desc, start, period) as top from f group by doc_id),
+x as (select distinct doc_id, i from f, unnest(range(start + period, start + length)) as r(i)),
+k as (select d.doc_id, string_agg(ws[r.i + 1], ' ' order by r.i) as kept from d cross join unnest(range(0, n)) as r(i) left join x on x.doc_id = d.doc_id and x.i = r.i
+      where x.i is null group by d.doc_id)
+select d.doc_id, coalesce(n_runs, 0)::bigint as n_runs, top.start as start, top.length as length, top.period as period,
+       1000 * top.length // top.period as exponent_milli, sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+from d left join o using (doc_id) left join k using (doc_id)""")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(periodic_runs.with_periodic_tails(table(spark, sf_dir, "documents")))
+    # the greatest of (length, -start, -period)
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"),
+        (-F.col("top.period")).alias("period"), F.floor(1000 * F.col("top.length") / -F.col("top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))

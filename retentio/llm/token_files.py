@@ -47,25 +47,48 @@ HEAD = np.dtype([(n, "<i8") for n in ("shard", "section", "before", "documents",
 LENGTHS = (1 + ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3)).astype(np.int64)
 
 #: Tokens of one section, about: a longer document is a section of its own size.
-SECTION_TOKENS = 1 << 21
+SECTION_TOKENS = 1 << 20
 #: Sections of one file, at most.
 SECTIONS = 8
 #: Text bytes of one shard, at least; there are at most ``SHARDS`` shards.
 SHARD_BYTES, SHARDS = 32 << 20, 100_000
 #: Text bytes that are encoded at a time, and units of text that a worker remembers with their ids.
-ENCODE_BYTES, REMEMBERED = 8 << 20, 1 << 20
+ENCODE_BYTES, REMEMBERED = 8 << 20, 1 << 19
+#: Units that the library encodes in one call, at most.
+AT_ONCE = 1 << 14
 #: Units longer than this are not remembered.
 UNIT_CHARS = 64
 
 
 # ---- encoding -----------------------------------------------------------------------------
+#: Put where a text is cut; texts that hold it are encoded whole.
+CUT = "\x01"
+BLANK = r"\t-\r \x{85}\p{Z}"
+#: Pattern and what replaces it. A byte-level tokenizer with its usual pattern never joins a character that is no white space
+#: with white space behind it, a letter with a mark behind it, or a lone line break with what follows.
+CUTS = ((rf"([^{BLANK}])([ \n]+)", rf"\1{CUT}\2"), (r"([A-Za-z])([.,!?;:%$#&*]+)", rf"\1{CUT}\2"), (rf"{CUT}\n([^{BLANK}{CUT}])", CUT + "\n" + CUT + r"\1"))
+#: Letters below this have been letters in all versions of Unicode since.
+PLAIN = "\u0530"
+
+
+def byte_characters() -> dict[int, str]:
+    """The character for each byte in a byte-level vocabulary: printable ones stand for themselves, the others follow from U+0100 on."""
+    out, shifted = {}, 0
+    for b in range(256):
+        if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b:
+            out[b] = chr(b)
+        else:
+            out[b], shifted = chr(0x100 + shifted), shifted + 1
+    return out
+
+
 class Encoder:
     """Ids of texts by a tokenizer file of the ``tokenizers`` library, without special tokens added.
 
-    A byte-level tokenizer with its usual pattern and no normaliser never joins anything over a single space
-    between two characters that are no white space. Texts are cut there, and each distinct unit is encoded once per
-    batch or remembered. Texts with other spaces, and all texts under other tokenizers, are
-    encoded whole. Strings of special tokens within a text are ordinary text.
+    Under a byte-level tokenizer with its usual pattern and no normaliser texts are cut where the pattern never joins
+    them (``CUTS``), and each distinct unit is encoded once per batch, or remembered; units that are one
+    word go straight to the library's model. Under other tokenizers texts are encoded whole.
+    Strings of special tokens within a text are ordinary text.
     """
 
     def __init__(self, path: str, end_id: int | None):
@@ -77,73 +100,74 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         pre = config.get("pre_tokenizer") or {}
-        self.cuts = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not config.get("normalizer"))
+        self.cuts = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+                     and not config.get("normalizer") and not config.get("post_processor"))
+        self.model = Tokenizer(self.tokenizer.model)
+        self.bytes = byte_characters()
+        del self.bytes[0x0A]  # stands between words
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids of pieces that begin with a space
-        self.spaced[[i for p, i in vocabulary.items() if p.startswith("Ġ")]] = True
+        self.spaced[[i for p, i in vocabulary.items() if p.startswith(self.bytes[0x20])]] = True
         self.end = np.array([] if end_id is None else [end_id], "<u4")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of units that are a space and letters: one word of the tokenizer's pattern each."""
+        mapped = "\n".join(words).encode().decode("latin-1").translate(self.bytes).split("\n")
+        ids = np.array(self.model.encode_batch_fast([mapped], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        at = (4 * np.flatnonzero(self.spaced[ids])).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
 
     def units(self, units: list[str]) -> list[bytes]:
-        """Ids of each unit as it stands after a space; units hold no space and no white space at their ends."""
-        new = [u for u in units if u not in self.known]
-        found = self.known
+        known, older = self.known, self.older
+        out = [known.get(u) or older.get(u) for u in units]
+        new = [i for i, x in enumerate(out) if not x]
         if new:
-            ids = self.whole([" " + " ".join(new)])[0]
-            at = np.flatnonzero(self.spaced[ids]) * 4
-            raw = ids.tobytes()
-            made = {u: raw[a:b] for u, a, b in zip(new, at.tolist(), [*at[1:].tolist(), len(raw)], strict=True)}
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {u: found[u] for u in units if u in found}
-                found = self.known
-            found = found | made if len(made) > REMEMBERED else (found.update(made) or found)
-        out = [found[u] for u in units]
-        for u in new:
-            if len(u) > UNIT_CHARS:
-                self.known.pop(u, None)
+            one, other = [], []
+            for i in new:
+                u = units[i]
+                (one if u[:1] == " " and u[1:].isalpha() and max(u) < PLAIN else other).append(i)
+            for a in range(0, len(one), AT_ONCE):
+                for i, x in zip(one[a : a + AT_ONCE], self.words([units[i] for i in one[a : a + AT_ONCE]]), strict=True):
+                    out[i] = x
+            for i, x in zip(other, self.whole([units[i] for i in other]), strict=True):
+                out[i] = x
+        if len(known) > REMEMBERED // 2:  # two generations: what was used since the last change stays
+            self.older, self.known = known, {}
+            known = self.known
+        known.update((u, x) for u, x in zip(units, out, strict=True) if len(u) <= UNIT_CHARS)
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has; null is empty, the end id closes each."""
         n = len(texts)
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if not self.cuts or not n:
-            ids = [x for t in self.whole(texts.to_pylist()) for x in (t, self.end)]
-            counts = np.array([len(t) for t in ids], np.int64).reshape(n, 2).sum(axis=1)
-            return (np.concatenate(ids) if ids else self.end[:0]), counts
-        lists = pc.split_pattern(texts, " ")
-        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        index = coded.indices.to_numpy().astype(np.int64)
-        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words], bool)
-        first = bounds[:-1]
-        entries = self.units([w for w, o in zip(words, odd.tolist(), strict=True) if not o])
-        place = np.cumsum(~odd) - 1  # of a word among the entries
-        uneven = np.logical_or.reduceat(odd[index], first)
-        heads = sorted({words[i] for i in index[first[~uneven]].tolist()})
-        entry_of = {w: len(entries) + i for i, w in enumerate(heads)}
-        entries += [x.tobytes() for x in self.whole(heads)]
-        rest = np.flatnonzero(uneven)
-        use = np.where(odd[index], -1, place[index])
-        for d in rest.tolist():
-            use[bounds[d] : bounds[d + 1]] = -1
-        use[first[~uneven]] = [entry_of[words[i]] for i in index[first[~uneven]].tolist()]
-        use[first[uneven]] = len(entries) + np.arange(len(rest))
-        entries += [x.tobytes() for x in self.whole([texts[d].as_py() for d in rest.tolist()])]
-        # the end id after each text, then nothing for units that a whole text stands for
-        use = np.insert(use, bounds[1:], len(entries))
-        entries += [self.end.tobytes(), b""]
+        if not n:
+            return self.end[:0], np.zeros(0, np.int64)
+        if self.cuts and not pc.any(pc.match_substring(texts, CUT)).as_py():
+            cut = texts
+            for pattern, by in CUTS:
+                cut = pc.replace_substring_regex(cut, pattern, by)
+            lists = pc.split_pattern(cut, CUT)
+            bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            coded = lists.flatten().dictionary_encode()
+            entries = self.units(coded.dictionary.to_pylist())
+            index = coded.indices.to_numpy().astype(np.int64)
+        else:
+            entries, index, bounds = self.whole(texts.to_pylist()), np.arange(n), np.arange(n + 1)
+        index = np.insert(index, bounds[1:], len(entries))
+        entries.append(self.end.tobytes())
         sizes = np.array([len(e) for e in entries], np.int64) // 4
         flat = np.frombuffer(b"".join(entries), "<u4")
-        size = sizes[use]  # -1 is the last entry, which is empty
+        size = sizes[index]
         stop = np.cumsum(size)
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[use] - (stop - size), size) + np.arange(int(stop[-1]))]
-        ends = stop[bounds[1:] + np.arange(n)]
-        return ids, np.diff(ends, prepend=0)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[index] - (stop - size), size) + np.arange(int(stop[-1]))]
+        return ids, np.diff(stop[bounds[1:] + np.arange(n)], prepend=0)
 
 
 # ---- coding -------------------------------------------------------------------------------
