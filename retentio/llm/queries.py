@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import backoff_lm, decontam, langid, periodic_runs, piece_fst, simhash, substring_dedup, token_files, topk, toxicity, url_filter, warc
+from retentio.llm import backoff_lm, decontam, langid, periodic_runs, piece_fst, simhash, simplex_kmeans, substring_dedup, token_files, topk, toxicity, url_filter, warc
 from retentio.llm.common import materialise, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,28 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"),
         (-F.col("top.period")).alias("period"), F.floor(1000 * F.col("top.length") / -F.col("top.period")).cast("long").alias("exponent_milli"),
         F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def _kmeans_sql(k: int, rounds: int, size: int) -> str:
+    """Each round as two tables: the vectors' nearest centroids, and the centroids' floored means."""
+    ctes = [f"""e as materialized (select row_number() over () as r, vec_id, sha256('3:' || vec_id) as h,
+        list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+        where len(embedding) = {size} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+            f"v as materialized (select r, i, v[i] as x from e, unnest(range(1, {size + 1})) as t(i))",
+            "s as (select v, row_number() over (order by h, v) - 1 as cluster from e)",
+            f"c0 as materialized (select cluster, i, v[i] as c from s, unnest(range(1, {size + 1})) as t(i) where cluster < {k})"]
+    for n in range(rounds + 1):
+        ctes.append(f"""a{n} as materialized (select r, min((d, cluster)) as best from (
+            select r, cluster, sum((x - c) * (x - c))::bigint as d from v join c{n} using (i) group by r, cluster) group by r)""")
+        if n < rounds:
+            ctes.append(f"""m{n} as (select best[2] as cluster, i, sum(x)::bigint as s, count(*) as n from v join a{n} using (r) group by all),
+            c{n + 1} as materialized (select cluster, i, coalesce((s - ((s % n) + n) % n) // n, c)::bigint as c from c{n} left join m{n} using (cluster, i))""")
+    ctes.append(f"t as (select cluster, sha256(string_agg(c::varchar, ',' order by i)) as centroid_sha256 from c{rounds} group by cluster)")
+    return f"""with {", ".join(ctes)}
+select vec_id, best[2]::integer as cluster, best[1] as distance, (sum(best[1]) over (partition by best[2]))::bigint as cluster_inertia,
+       (sum(best[1]) over ())::bigint as inertia, centroid_sha256 from a{rounds} join e using (r) join t on t.cluster = best[2]"""
+
+
+@register(_kmeans_sql(8, 10, 64))
+def op13_simplex_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simplex_kmeans.cluster(table(spark, sf_dir, "embeddings"))
