@@ -28,7 +28,7 @@ import math
 import os
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -170,6 +170,12 @@ class Encoder:
         return ids, np.diff(stop[bounds[1:] + np.arange(n)], prepend=0)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, end_id: int | None) -> Encoder:
+    """The worker's encoder, with the units it remembers, from one task to the next."""
+    return Encoder(path, end_id)
+
+
 # ---- coding -------------------------------------------------------------------------------
 def rank_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids, the most frequent first (ties: the smaller), and the rank of each given id."""
@@ -258,7 +264,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sections(tokenizer: str, end_id: int | None, section_tokens: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(tokenizer, end_id)
+    encoder = encoder_of(tokenizer, end_id)
     shard, section, before = TaskContext.get().partitionId(), 0, 0
     held: list[tuple[list[int | None], np.ndarray, np.ndarray]] = []
     size = 0
