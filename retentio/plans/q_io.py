@@ -195,3 +195,25 @@ def q_csv_dialects(spark, sf):
      .option("encoding", "ISO-8859-1").csv(path))
     s.filter(~odd).write.mode("append").option("header", True).csv(path)
     return tb.read_table(spark, path, schema="student_id string, faculty string, age int")
+
+
+_NOTE = "'He said \"' || coalesce(faculty, 'none') || '\", ok; two' || chr(10) || 'lines, of ' || student_id || '\t'"
+_LONG = 199
+
+
+@register("csv_quoted", with_ctes(f"""
+SELECT student_id, age, length(note) AS note_length, md5(note) AS note_md5
+FROM (SELECT student_id, age, repeat({_NOTE}, CASE WHEN {_NUMBER} % {_LONG} = 0 THEN 20000 ELSE 1 END) AS note FROM students) s""", "students"))
+def q_csv_quoted(spark, sf):
+    """Students with notes of doubled quotes, separators and line breaks, some of 1 MB, written as CSV and read back.
+
+    A file of a few MB is read by several tasks, and a long note crosses their ends.
+    """
+    n = F.substring("student_id", 2, 20).cast("long")
+    note = F.concat(F.lit('He said "'), F.coalesce("faculty", F.lit("none")), F.lit('", ok; two\nlines, of '), "student_id", F.lit("\t"))
+    s = (fx.students(spark, sf).select("student_id", "age", note.alias("note"), F.when(n % _LONG == 0, 20000).otherwise(1).alias("times"))
+         .select("student_id", "age", F.expr("repeat(note, times)").alias("note")))
+    path = _scratch(spark, "students") + ".csv"
+    tb.write_table(s, path)
+    back = tb.read_table(spark, path, schema="student_id string, age int, note string")
+    return back.select("student_id", "age", F.length("note").cast("long").alias("note_length"), F.md5(F.col("note").cast("binary")).alias("note_md5"))

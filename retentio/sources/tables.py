@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from retentio.sources import quoted_csv
+
 # --- fixed values ----------------------------------------------------------------------------
 CSV_SEPARATORS = (",", ";", "\t")
 CP1251_UNDEFINED = "\x98"
@@ -64,7 +66,7 @@ def json_layouts(spark: SparkSession, path: str) -> dict[str, bool]:
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                                          F.monotonically_increasing_id().alias("line"), F.trim("value").alias("value"))
     heads = lines.filter("value <> ''").groupBy("file").agg(F.min_by("value", F.struct("block", "line")).alias("head")).collect()
-    return {r["file"]: r["head"].startswith("[") or not (r["head"].startswith("{") and r["head"].endswith("}"))
+    return {quoted_csv.path_of(r["file"]): r["head"].startswith("[") or not (r["head"].startswith("{") and r["head"].endswith("}"))
             for r in heads}
 
 
@@ -83,27 +85,48 @@ def read_json_auto(spark: SparkSession, path: str, schema: T.StructType | str |
     return _union([r.option("multiLine", kind).json([f for f, k in layouts.items() if k == kind]) for kind in (False, True)])
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """Files under ``path``, by a listing alone."""
+    listed = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+    return sorted(quoted_csv.path_of(r["file"]) for r in listed.collect())
+
+
+def _csv_files(spark: SparkSession, path: str) -> dict[str, tuple[str, str, bool]]:
+    """File -> (encoding, separator, whether it holds quotes), from one aggregate over all lines of all files."""
+    raw = F.col("value").cast("binary")
+    undefined = F.decode(raw, "ISO-8859-1").contains(CP1251_UNDEFINED)
+    # a doubled quote is two quoted parts side by side; "[^"]*" keeps no state per character, however long the field
+    plain = F.regexp_replace(F.decode(raw, "ISO-8859-1"), '"[^"]*"', "")
+    seps = [f"n{i}" for i in range(len(CSV_SEPARATORS))]
+    meta = F.col("_metadata")
+    lines = (spark.read.text(path).filter(F.length("value") > 0)
+             .select(meta["file_path"].alias("file"), F.struct(meta["file_block_start"], F.monotonically_increasing_id()).alias("place"),
+                     F.is_valid_utf8("value").alias("utf8"), undefined.alias("odd"), F.expr("contains(cast(value as binary), X'22')").alias("quoted"),
+                     *[(F.length(plain) - F.length(F.translate(plain, s, ""))).alias(n) for n, s in zip(seps, CSV_SEPARATORS)]))
+    shapes = lines.groupBy("file", *seps).agg(F.count(F.lit(1)).alias("lines"), F.min("place").alias("place"), F.min("utf8").alias("utf8"),
+                                              F.max("odd").alias("odd"), F.max("quoted").alias("quoted"))
+    # the header is the file's first line; lines within a quoted text seldom have as many separators
+    head = shapes.groupBy("file").agg(F.min_by(F.struct(*seps), "place").alias("head"), F.min("utf8").alias("utf8"), F.max("odd").alias("odd"),
+                                      F.max("quoted").alias("quoted"))
+    votes = [F.sum(F.when((F.col(n) > 0) & (F.col(n) == F.col(f"head.{n}")), F.col("lines"))) for n in seps]
+    found = (shapes.select("file", *seps, "lines").join(head, "file").groupBy("file")
+             .agg(F.first("utf8").alias("utf8"), F.first("odd").alias("odd"), F.first("quoted").alias("quoted"),
+                  F.max("head").alias("head"), F.array(*votes).alias("votes")).collect())
+    out = {}
+    for r in found:
+        best = max((v, r["head"][n], -i) for i, (v, n) in enumerate(zip([v or 0 for v in r["votes"]], seps)))
+        out[quoted_csv.path_of(r["file"])] = ("utf-8" if r["utf8"] else "latin1" if r["odd"] else "cp1251", CSV_SEPARATORS[-best[2]] if best[0] else ",", r["quoted"])
+    return out
+
+
 def csv_dialects(spark: SparkSession, path: str) -> dict[str, tuple[str, str]]:
     """File -> (encoding, separator), from one aggregate over all lines of all files.
 
     Encoding: UTF-8 if every line is valid UTF-8; else cp1251, or latin1 if a byte is not
-    defined in cp1251. Separator: the candidate that cuts the most lines into the same number
-    (> 1) of fields, more fields first, ',' if none does; separators between quotes do not count.
+    defined in cp1251. Separator: the candidate that cuts the most lines into as many fields (> 1) as
+    the header, more fields first, ',' if none does; separators between quotes do not count.
     """
-    raw = F.col("value").cast("binary")
-    undefined = F.decode(raw, "ISO-8859-1").contains(CP1251_UNDEFINED)
-    plain = F.regexp_replace(F.decode(raw, "ISO-8859-1"), '"(?:[^"]|"")*"', "")
-    counts = F.array(*[F.struct(F.lit(i).alias("sep"), (F.length(plain) - F.length(F.translate(plain, s, ""))).alias("n"))
-                       for i, s in enumerate(CSV_SEPARATORS)])
-    lines = (spark.read.text(path).filter(F.length("value") > 0)
-             .select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("utf8"), undefined.alias("odd"),
-                     F.explode(counts).alias("c")))
-    shapes = lines.groupBy("file", "c").agg(F.count(F.lit(1)).alias("lines"), F.min("utf8").alias("utf8"), F.max("odd").alias("odd"))
-    best = (shapes.groupBy("file").agg(F.min("utf8").alias("utf8"), F.max("odd").alias("odd"),
-                                       F.max(F.when(F.col("c.n") > 0, F.struct("lines", "c.n", (-F.col("c.sep")).alias("sep")))).alias("best"))
-            .collect())
-    return {r["file"]: ("utf-8" if r["utf8"] else "latin1" if r["odd"] else "cp1251",
-                        CSV_SEPARATORS[-r["best"]["sep"]] if r["best"] else ",") for r in best}
+    return {file: (encoding, sep) for file, (encoding, sep, _) in _csv_files(spark, path).items()}
 
 
 def _from_cp1251(text: Column) -> Column:
@@ -116,17 +139,27 @@ def read_csv_auto(spark: SparkSession, path: str, schema: T.StructType | str | N
                   encoding: str | None = None, sep: str | None = None) -> DataFrame:
     """CSV with a header, encoding and separator detected file by file unless both are given.
 
-    Files of different dialects are read apart and united by column name.
+    Files of different dialects are read apart and united by column name. Quoted fields may hold separators, doubled
+    quotes and line breaks, as common readers take them; files in which a record goes over several lines are
+    cut into records by :mod:`retentio.sources.quoted_csv`, all splits of a file at once.
     """
-    found = csv_dialects(spark, path) if encoding is None or sep is None else {}
+    if encoding is None or sep is None:
+        found = _csv_files(spark, path)
+    else:
+        found = dict.fromkeys(_files(spark, path), (encoding, sep, True))
     groups: dict[tuple[str, str], list[str]] = {}
-    for file, (e, s) in found.items():
+    for file, (e, s, _) in found.items():
         groups.setdefault((encoding or e, sep or s), []).append(file)
-    if len(groups) <= 1:
-        groups = {next(iter(groups), (encoding or "utf-8", sep or ",")): [path]}
     parts = []
-    for (e, s), files in sorted(groups.items()):
-        r = spark.read.option("header", True).option("sep", s).option("encoding", "UTF-8" if e == "utf-8" else "ISO-8859-1")
+    for (e, s), files in sorted(groups.items()) or [((encoding or "utf-8", sep or ","), [])]:
+        quoted = [f for f in files if found[f][2]]
+        spanning = set(quoted_csv.spanning_files(spark, quoted, s)) if quoted else set()
+        if spanning:
+            parts.append(quoted_csv.read_spanning(spark, sorted(spanning), s, e, schema, infer_schema))
+            if len(spanning) == len(files):
+                continue
+        files = [f for f in files if f not in spanning] if spanning or len(groups) > 1 else [path]
+        r = spark.read.option("header", True).option("sep", s).option("escape", '"').option("encoding", "UTF-8" if e == "utf-8" else "ISO-8859-1")
         r = r.schema(schema) if schema is not None else r.option("inferSchema", infer_schema)
         df = r.csv(files)
         if e == "cp1251":  # by a translation: the JVM's own decoder needs a session-wide setting
@@ -143,7 +176,9 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "o
     fmt = fmt or table_format(path)
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).option("encoding", "UTF-8").option("sep", sep).csv(path)
+        # quotes are doubled, and white space at the ends of a value stays
+        (w.option("header", True).option("encoding", "UTF-8").option("sep", sep).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     elif fmt == "json":
         w.json(path)
     else:
