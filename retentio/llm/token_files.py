@@ -125,22 +125,28 @@ class Encoder:
 
     def units(self, units: list[str]) -> list[bytes]:
         known, older = self.known, self.older
-        out = [known.get(u) or older.get(u) for u in units]
-        new = [i for i, x in enumerate(out) if not x]
-        if new:
-            one, other = [], []
-            for i in new:
-                u = units[i]
-                (one if u[:1] == " " and u[1:].isalpha() and max(u) < PLAIN else other).append(i)
-            for a in range(0, len(one), AT_ONCE):
-                for i, x in zip(one[a : a + AT_ONCE], self.words([units[i] for i in one[a : a + AT_ONCE]]), strict=True):
-                    out[i] = x
-            for i, x in zip(other, self.whole([units[i] for i in other]), strict=True):
+        out = list(map(known.get, units))
+        one, other, add = [], [], []
+        for i in [i for i, x in enumerate(out) if not x]:
+            u = units[i]
+            if x := older.get(u):
                 out[i] = x
+                add.append(i)
+            elif u[:1] == " " and u[1:].isalpha() and (u.isascii() or max(u) < PLAIN):
+                one.append(i)
+            else:
+                other.append(i)
+        for a in range(0, len(one), AT_ONCE):
+            for i, x in zip(one[a : a + AT_ONCE], self.words([units[i] for i in one[a : a + AT_ONCE]]), strict=True):
+                out[i] = x
+        for i, x in zip(other, self.whole([units[i] for i in other]), strict=True):
+            out[i] = x
         if len(known) > REMEMBERED // 2:  # two generations: what was used since the last change stays
             self.older, self.known = known, {}
             known = self.known
-        known.update((u, x) for u, x in zip(units, out, strict=True) if len(u) <= UNIT_CHARS)
+        for i in (*add, *one, *other):
+            if len(units[i]) <= UNIT_CHARS:
+                known[units[i]] = out[i]
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
