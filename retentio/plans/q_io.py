@@ -21,6 +21,7 @@ from retentio.session import scratch_path
 from retentio.sources import fixtures as fx
 from retentio.sources import tables as tb
 from retentio.sources.history import MetricsHistory, RiskHistory
+from retentio.sources.json_array import write_json_arrays
 
 
 def _scratch(spark, name: str) -> str:
@@ -201,6 +202,14 @@ _NOTE = "'He said \"' || coalesce(faculty, 'none') || '\", ok; two' || chr(10) |
 _LONG = 199
 
 
+def _with_notes(students, *columns):
+    """Ids, some columns, and notes of quotes, separators and line breaks; some are 1 MB long."""
+    n = F.substring("student_id", 2, 20).cast("long")
+    note = F.concat(F.lit('He said "'), F.coalesce("faculty", F.lit("none")), F.lit('", ok; two\nlines, of '), "student_id", F.lit("\t"))
+    times = F.when(n % _LONG == 0, 20000).otherwise(1)
+    return students.select("student_id", *columns, note.alias("note"), times.alias("times")).select("student_id", *columns, F.expr("repeat(note, times)").alias("note"))
+
+
 @register("csv_quoted", with_ctes(f"""
 SELECT student_id, age, length(note) AS note_length, md5(note) AS note_md5
 FROM (SELECT student_id, age, repeat({_NOTE}, CASE WHEN {_NUMBER} % {_LONG} = 0 THEN 20000 ELSE 1 END) AS note FROM students) s""", "students"))
@@ -209,11 +218,21 @@ def q_csv_quoted(spark, sf):
 
     A file of a few MB is read by several tasks, and a long note crosses their ends.
     """
-    n = F.substring("student_id", 2, 20).cast("long")
-    note = F.concat(F.lit('He said "'), F.coalesce("faculty", F.lit("none")), F.lit('", ok; two\nlines, of '), "student_id", F.lit("\t"))
-    s = (fx.students(spark, sf).select("student_id", "age", note.alias("note"), F.when(n % _LONG == 0, 20000).otherwise(1).alias("times"))
-         .select("student_id", "age", F.expr("repeat(note, times)").alias("note")))
+    s = _with_notes(fx.students(spark, sf), "age")
     path = _scratch(spark, "students") + ".csv"
     tb.write_table(s, path)
     back = tb.read_table(spark, path, schema="student_id string, age int, note string")
     return back.select("student_id", "age", F.length("note").cast("long").alias("note_length"), F.md5(F.col("note").cast("binary")).alias("note_md5"))
+
+
+@register("json_array_roundtrip", with_ctes(f"""
+SELECT student_id, round(gpa, 6) AS gpa, CAST(age AS BIGINT) AS age, length(note) AS note_length, md5(note) AS note_md5
+FROM (SELECT student_id, gpa, age, '{{ "' || repeat({_NOTE}, CASE WHEN {_NUMBER} % {_LONG} = 0 THEN 20000 ELSE 1 END) || '}}, [' AS note FROM students) s""", "students"))
+def q_json_array_roundtrip(spark, sf):
+    """Students with notes that hold quotes and braces, written as JSON arrays and read back; types are inferred, files are read by several tasks."""
+    s = _with_notes(fx.students(spark, sf), "age", "gpa").withColumn("note", F.concat(F.lit('{ "'), "note", F.lit("}, [")))
+    path = _scratch(spark, "students") + ".json"
+    write_json_arrays(s, path)
+    note = F.col("note")
+    return rounded(tb.read_table(spark, path).select("student_id", "gpa", "age", F.length(note).cast("long").alias("note_length"),
+                                                     F.md5(note.cast("binary")).alias("note_md5")))

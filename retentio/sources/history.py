@@ -25,6 +25,7 @@ from retentio.functions.bins import RISK_LEVELS, clean_double
 from retentio.operators import history as hs
 from retentio.operators import risk as rk
 from retentio.session import checkpoint_dir
+from retentio.sources.json_array import read_json_array
 
 RISK_SCHEMA = T.StructType([
     T.StructField("student_id", T.StringType()),
@@ -180,5 +181,5 @@ class MetricsHistory:
 
     @staticmethod
     def read_documents(spark: SparkSession, path: str) -> DataFrame:
-        """Read a JSON array of entries (one multi-line document) with the history schema."""
-        return spark.read.schema(HISTORY_SCHEMA).option("multiLine", True).json(path)
+        """Entries of files that each are a JSON array, with the history schema; a file is read by several tasks."""
+        return read_json_array(spark, path, HISTORY_SCHEMA)

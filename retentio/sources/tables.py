@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retentio.sources import quoted_csv
+from retentio.sources import json_array, quoted_csv
 
 # --- fixed values ----------------------------------------------------------------------------
 CSV_SEPARATORS = (",", ";", "\t")
@@ -57,32 +57,55 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def json_layouts(spark: SparkSession, path: str) -> dict[str, bool]:
-    """File -> True for a JSON document (an array of records, or one record spread over lines),
-    False for JSON lines (one complete record per line, Spark's own output).
+LINES, DOCUMENT, ARRAY = "lines", "document", "array"
+
 
-    Each file is judged by its own first non-blank line, found by one aggregate over the files.
+def json_kinds(spark: SparkSession, path: str) -> dict[str, str]:
+    """File -> ``ARRAY`` (an array of records), ``DOCUMENT`` (one record spread over lines) or ``LINES`` (one
+    complete record per line, Spark's own output).
+
+    A file that begins with a bracket is an array, whatever the length of its lines; others are judged by their
+    first non-blank line.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                                         F.monotonically_increasing_id().alias("line"), F.trim("value").alias("value"))
-    heads = lines.filter("value <> ''").groupBy("file").agg(F.min_by("value", F.struct("block", "line")).alias("head")).collect()
-    return {quoted_csv.path_of(r["file"]): r["head"].startswith("[") or not (r["head"].startswith("{") and r["head"].endswith("}"))
-            for r in heads}
+    place = F.struct("block", F.monotonically_increasing_id().alias("line"))
+    first = F.ltrim(F.regexp_replace(F.col("value").cast("string"), "^[\\s\ufeff]+", ""))
+    heads = (json_array.segments(spark, path).select("file", place.alias("place"), F.substring(first, 1, 1).alias("value")).filter("value <> ''")
+             .groupBy("file").agg(F.min_by("value", "place").alias("head")).collect())
+    kinds = {quoted_csv.path_of(r["file"]): ARRAY for r in heads if r["head"] == "["}
+    rest = [p for r in heads if (p := quoted_csv.path_of(r["file"])) not in kinds]
+    if rest:
+        meta = F.col("_metadata")
+        lines = spark.read.text(rest).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.trim("value").alias("value"))
+        found = lines.select("file", "value", place.alias("place")).filter("value <> ''").groupBy("file").agg(F.min_by("value", "place").alias("head"))
+        for r in found.collect():
+            kinds[quoted_csv.path_of(r["file"])] = LINES if r["head"].startswith("{") and r["head"].endswith("}") else DOCUMENT
+    return kinds
+
+
+def json_layouts(spark: SparkSession, path: str) -> dict[str, bool]:
+    """File -> True for a JSON document (an array of records, or one record spread over lines), False for JSON lines."""
+    return {file: kind != LINES for file, kind in json_kinds(spark, path).items()}
 
 
 def read_json_auto(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                    document: bool | None = None) -> DataFrame:
-    """JSON lines and JSON documents, told apart file by file; ``document`` skips that.
+    """JSON lines, arrays and documents, told apart file by file; ``document`` skips that.
 
-    A document is parsed by one task; large inputs should be JSON lines.
+    Arrays are cut into records by :mod:`retentio.sources.json_array`, all splits of a file at once; a
+    single record spread over lines is parsed by one task.
     """
     r = spark.read if schema is None else spark.read.schema(schema)
     if document is not None:
         return r.option("multiLine", document).json(path)
-    layouts = json_layouts(spark, path)
-    if len(set(layouts.values())) <= 1:
-        return r.option("multiLine", any(layouts.values())).json(path)
-    return _union([r.option("multiLine", kind).json([f for f, k in layouts.items() if k == kind]) for kind in (False, True)])
+    kinds = json_kinds(spark, path)
+    parts = []
+    for kind in (LINES, DOCUMENT, ARRAY):
+        files = [f for f, k in kinds.items() if k == kind]
+        if kind == ARRAY and files:
+            parts.append(json_array.read_json_array(spark, files, schema))
+        elif files:
+            parts.append(r.option("multiLine", kind == DOCUMENT).json(path if len(files) == len(kinds) else files))
+    return _union(parts) if parts else r.json(path)
 
 
 def _files(spark: SparkSession, path: str) -> list[str]:
