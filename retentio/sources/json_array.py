@@ -139,19 +139,19 @@ def array_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
     An array that does not end is an error; elements that are no objects give no row.
     """
-    starts = split_starts(spark, paths)
+    starts = split_starts(spark, paths).orderBy("file", "block").collect()  # of splits, not of records
     # behind a whole array comes the brace that each last segment is given
-    ends = starts.groupBy("file").agg(F.max_by(F.struct("inside_end", "depth_end"), "block").alias("e"))
-    broken = ends.filter("e.inside_end or e.depth_end <> -1").select("file").limit(5).collect()
+    ends = {r["file"]: (r["inside_end"], r["depth_end"]) for r in starts}
+    broken = [f for f, e in ends.items() if e != (False, -1)]
     if broken:
-        raise ValueError(f"files that are no whole arrays: {[r['file'] for r in broken]}")
-    known = starts.select("file", "block", "length", "inside", "depth", F.lit(True).alias("known"))
-    # one row per split; the order of a split's segments must stay, which a broadcast keeps
+        raise ValueError(f"files that are no whole arrays: {broken[:5]}")
+    known = spark.createDataFrame([(r["file"], r["block"], r["length"], r["inside"], r["depth"], True) for r in starts],
+                                  "file string, block long, length long, inside boolean, depth long, known boolean")
+    # the order of a split's segments must stay, which a broadcast keeps
     lines = segments(spark, paths).join(F.broadcast(known), ["file", "block", "length"], "left")
     found = lines.mapInArrow(_records, RECORDS)
-    crossing = starts.filter((F.col("block") > 0) & (F.col("inside") | (F.col("depth") > BETWEEN)))
     whole = found.filter(F.col("part") == WHOLE).select(F.col("record").cast("string").alias("record"))
-    if crossing.isEmpty():
+    if not any(r["block"] and (r["inside"] or r["depth"] > BETWEEN) for r in starts):
         return whole
     pieces = found.filter(F.col("part") != WHOLE)
     # a split's end of a record comes before its start of another

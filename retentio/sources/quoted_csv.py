@@ -163,12 +163,12 @@ def records(spark: SparkSession, paths: list[str], sep: str, encoding: str = "ut
 
     A file that ends inside quotes is an error. If no record crosses a split, nothing is shuffled.
     """
-    states = quote_states(spark, paths, sep)
-    split = states.agg(F.max("length")).first()[0] or 1
-    cut = states.groupBy("file").agg(F.max_by("ends", "block").alias("ends")).filter("ends").select("file").limit(5).collect()
-    if cut:
-        raise ValueError(f"files end inside quotes: {[r['file'] for r in cut]}")
-    inside = frozenset((r["file"], r["block"]) for r in states.filter("starts").select("file", "block").collect())  # of splits, not of rows
+    states = quote_states(spark, paths, sep).orderBy("file", "block").collect()  # of splits, not of rows
+    split = max((r["length"] for r in states), default=1)
+    ends = {r["file"]: r["ends"] for r in states}
+    if any(ends.values()):
+        raise ValueError(f"files end inside quotes: {[f for f, e in ends.items() if e][:5]}")
+    inside = frozenset((r["file"], r["block"]) for r in states if r["starts"])
     found = _lines(spark, paths).mapInArrow(partial(_records, sep.encode(), encoding, inside, split), RECORDS)
     whole = found.filter(F.col("part") == WHOLE).select("file", "first", "record")
     if not inside:
@@ -222,7 +222,7 @@ def read_spanning(spark: SparkSession, files: list[str], sep: str, encoding: str
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     headers: dict[tuple[str, ...], list[str]] = {}
-    for r in rows.filter("first").select("file", "record").collect():  # a record per file
+    for r in rows.filter("first").select("file", "record").limit(len(files)).collect():  # a record per file
         headers.setdefault(header_names(spark, r["record"], sep) if schema is None else (), []).append(r["file"])
     body = rows.filter(~F.col("first"))
     parts = [parse(body if len(headers) == 1 else body.filter(F.col("file").isin(own)), list(names), sep, schema) for names, own in sorted(headers.items())]
