@@ -46,63 +46,70 @@ def _first_k(rows: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) -> tup
     return rows[keep], ids[keep], dist[keep]
 
 
+def nearest(Q: np.ndarray, qids: np.ndarray, X: np.ndarray, pids: np.ndarray, k: int, metric: str,
+            exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, point id, distance) of the k nearest of the points ``X`` to each of ``Q``, by (distance, id)."""
+    if not len(Q) or not len(X):
+        return qids[:0], pids[:0], np.empty(0)
+    # distances do not change with the origin: near the data's centre the expansion loses least
+    centre = X.mean(axis=0)
+    Qc, Xc = Q - centre, X - centre
+    xx = (Xc * Xc).sum(axis=1)
+    out_q, out_p, out_d = [], [], []
+    kk = min(k + (1 if exclude_self else 0), len(pids))
+    # queries per chunk so that one chunk's distance matrix holds ~CELL_VALUES numbers
+    per = len(pids) if metric == "euclidean" else X.size
+    step = max(1, CELL_VALUES // max(1, per))
+    for s in range(0, len(qids), step):
+        q, qc = Q[s:s + step], Qc[s:s + step]
+        if metric == "euclidean":
+            qq = (qc * qc).sum(axis=1)
+            d = np.maximum(qq[:, None] + xx[None, :] - 2.0 * qc @ Xc.T, 0.0)  # squared
+            # bound of what rounding the expansion can lose
+            slack = 8.0 * np.finfo(np.float64).eps * (X.shape[1] + 4) * (qq + xx.max())[:, None]
+        else:  # manhattan
+            d = np.abs(q[:, None, :] - X[None, :, :]).sum(axis=2)
+            slack = 1e-12 * (1.0 + np.abs(d).max(axis=1, keepdims=True))
+        if exclude_self:
+            d = np.where(qids[s:s + step, None] == pids[None, :], np.inf, d)
+        # every point that may be within the k-th distance is a candidate; exact distances are
+        # taken of a bounded number of candidates at a time, and of each query the k best by
+        # (distance, neighbour id) stay, the order of the final ranking
+        kth = np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]
+        rows, cols = np.nonzero((d <= kth + 2.0 * slack) & np.isfinite(d))
+        del d
+        n = np.bincount(rows, minlength=len(q))
+        ends = np.cumsum(n)
+        most = max(1, CELL_VALUES // (4 * X.shape[1]))
+        lo = 0
+        while lo < len(q):
+            first = ends[lo] - n[lo]
+            hi = max(lo + 1, int(np.searchsorted(ends, first + most, side="right")))
+            best = []
+            for c in range(first, ends[hi - 1], most):  # more than one turn only for a single query
+                r, p = rows[c:min(c + most, ends[hi - 1])], cols[c:min(c + most, ends[hi - 1])]
+                diff = q[r] - X[p]
+                dist = np.sqrt((diff * diff).sum(axis=1)) if metric == "euclidean" else np.abs(diff).sum(axis=1)
+                best.append(_first_k(r, pids[p], dist, k))
+            r, p, dist = _first_k(*(np.concatenate(x) for x in zip(*best)), k) if best else (rows[:0], pids[:0], np.empty(0))
+            out_q.append(qids[s:s + step][r])
+            out_p.append(p)
+            out_d.append(dist)
+            lo = hi
+    return np.concatenate(out_q), np.concatenate(out_p), np.concatenate(out_d)
+
+
+def stacked(frame: pd.DataFrame) -> np.ndarray:
+    return np.stack(frame["_v"].to_numpy()).astype(np.float64) if len(frame) else np.empty((0, 0))
+
+
+def found(q: np.ndarray, p: np.ndarray, d: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": q.astype("int64"), "neighbor_id": p.astype("int64"), "distance": d.astype("float64")})
+
+
 def _topk_cell(k: int, metric: str, exclude_self: bool):
     def fn(qp: pd.DataFrame, pp: pd.DataFrame) -> pd.DataFrame:
-        if qp.empty or pp.empty:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "neighbor_id": pd.Series([], dtype="int64"),
-                                 "distance": pd.Series([], dtype="float64")})
-        Q = np.stack(qp["_v"].to_numpy()).astype(np.float64)
-        X = np.stack(pp["_v"].to_numpy()).astype(np.float64)
-        qids = qp["_id"].to_numpy()
-        pids = pp["_id"].to_numpy()
-        # distances do not change with the origin: near the data's centre the expansion loses least
-        centre = X.mean(axis=0)
-        Qc, Xc = Q - centre, X - centre
-        xx = (Xc * Xc).sum(axis=1)
-        out_q, out_p, out_d = [], [], []
-        kk = min(k + (1 if exclude_self else 0), len(pids))
-        # queries per chunk so that one chunk's distance matrix holds ~CELL_VALUES numbers
-        per = len(pids) if metric == "euclidean" else X.size
-        step = max(1, CELL_VALUES // max(1, per))
-        for s in range(0, len(qids), step):
-            q, qc = Q[s:s + step], Qc[s:s + step]
-            if metric == "euclidean":
-                qq = (qc * qc).sum(axis=1)
-                d = np.maximum(qq[:, None] + xx[None, :] - 2.0 * qc @ Xc.T, 0.0)  # squared
-                # bound of what rounding the expansion can lose
-                slack = 8.0 * np.finfo(np.float64).eps * (X.shape[1] + 4) * (qq + xx.max())[:, None]
-            else:  # manhattan
-                d = np.abs(q[:, None, :] - X[None, :, :]).sum(axis=2)
-                slack = 1e-12 * (1.0 + np.abs(d).max(axis=1, keepdims=True))
-            if exclude_self:
-                d = np.where(qids[s:s + step, None] == pids[None, :], np.inf, d)
-            # every point that may be within the k-th distance is a candidate; exact distances are
-            # taken of a bounded number of candidates at a time, and of each query the k best by
-            # (distance, neighbour id) stay, the order of the final ranking
-            kth = np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]
-            rows, cols = np.nonzero((d <= kth + 2.0 * slack) & np.isfinite(d))
-            del d
-            n = np.bincount(rows, minlength=len(q))
-            ends = np.cumsum(n)
-            most = max(1, CELL_VALUES // (4 * X.shape[1]))
-            lo = 0
-            while lo < len(q):
-                first = ends[lo] - n[lo]
-                hi = max(lo + 1, int(np.searchsorted(ends, first + most, side="right")))
-                best = []
-                for c in range(first, ends[hi - 1], most):  # more than one turn only for a single query
-                    r, p = rows[c:min(c + most, ends[hi - 1])], cols[c:min(c + most, ends[hi - 1])]
-                    diff = q[r] - X[p]
-                    dist = np.sqrt((diff * diff).sum(axis=1)) if metric == "euclidean" else np.abs(diff).sum(axis=1)
-                    best.append(_first_k(r, pids[p], dist, k))
-                r, p, dist = _first_k(*(np.concatenate(x) for x in zip(*best)), k) if best else (rows[:0], pids[:0], np.empty(0))
-                out_q.append(qids[s:s + step][r])
-                out_p.append(p)
-                out_d.append(dist)
-                lo = hi
-        return pd.DataFrame({"query_id": np.concatenate(out_q).astype("int64"),
-                             "neighbor_id": np.concatenate(out_p).astype("int64"),
-                             "distance": np.concatenate(out_d).astype("float64")})
+        return found(*nearest(stacked(qp), qp["_id"].to_numpy(), stacked(pp), pp["_id"].to_numpy(), k, metric, exclude_self))
 
     return fn
 
