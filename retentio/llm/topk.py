@@ -34,14 +34,20 @@ from retentio.llm.common import materialise
 LISTS = 4
 #: Vectors and queries of a block: a task compares a pair of blocks.
 ROWS, QUERIES = 4096, 1024
+#: Blocks whose best are merged at a time.
+MERGED = 256
 EXACT = float(1 << 53)
+#: Components beyond count as this; scores beyond a long as the nearest long.
+LIMIT = float(1 << 50)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def scaled(vector: Column, by: float = 256.0) -> Column:
-    """floor(by * x) of each component; null where the vector or a component is null or not finite."""
+    """floor(by * x) of each component, within +-``LIMIT``; null where the vector or a component is null or not finite."""
     v = vector.cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(v.isNotNull() & ~bad, F.transform(v, lambda x: F.floor(x * by).cast("double")))
+    within = lambda x: F.greatest(F.least(x * by, F.lit(LIMIT)), F.lit(-LIMIT))
+    return F.when(v.isNotNull() & ~bad, F.transform(v, lambda x: F.floor(within(x)).cast("double")))
 
 
 def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -57,34 +63,47 @@ def slices(dim: int, lists: int = LISTS) -> list[slice]:
     return [slice(a, b) for a, b in zip(at, at[1:], strict=False)]
 
 
+def copies(ids: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Of sorted rows, the number of each among those equal to it."""
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (v[1:] != v[:-1]).any(axis=1)
+    return np.arange(len(ids)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(ids) else np.zeros(0, np.int64)
+
+
 class Cell:
-    """A block of queries and a block of candidates; ids are sorted, a query is no candidate of itself."""
+    """A block of queries and a block of candidates, both sorted by id and components; a query's own row is no candidate of it."""
 
     def __init__(self, q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray):
         self.q_ids, self.q, self.v_ids, self.v = q_ids, q, v_ids, v
         self.lists = [products(q[:, s], v[:, s]) for s in slices(q.shape[1])]
-        self.other = q_ids[:, None] != v_ids[None, :]
+        self.other = np.ones((len(q_ids), len(v_ids)), bool)
+        r, c = np.nonzero(q_ids[:, None] == v_ids[None, :])
+        # of rows equal in all that is read, the first is the first query's own, and so on
+        own = (copies(q_ids, q)[r] == copies(v_ids, v)[c]) & (q[r] == v[c]).all(axis=1)
+        self.other[r[own], c[own]] = False
 
     def whole(self, row: int, at: np.ndarray) -> np.ndarray:
         return sum(x[row, at] for x in self.lists)
 
     def gather(self, k: int) -> Iterator[tuple[int, list, list]]:
-        """Phase 1: per query, the best whole scores among the list heads, and each list's lowest entry."""
+        """Phase 1: per query row, the best whole scores among the list heads, and each list's lowest entry."""
         for r in range(len(self.q_ids)):
             mine = np.flatnonzero(self.other[r])
             if not len(mine):
                 continue
             entries = [x[r, mine] for x in self.lists]
-            heads = np.unique(np.concatenate([mine[np.argsort(-e, kind="stable")[:k]] for e in entries]))
+            n = min(k, len(mine)) - 1
+            heads = np.unique(np.concatenate([mine[np.argpartition(-e, n)[: n + 1]] for e in entries]))
             scores = sorted((int(x) for x in self.whole(r, heads)), reverse=True)[:k]
-            yield int(self.q_ids[r]), scores, [int(e.min()) for e in entries]
+            # a cutoff may be too low, never too high; any number will do for a list's lowest entry
+            yield r, [min(x, MOST) for x in scores if x >= LEAST], [min(max(int(e.min()), LEAST), MOST) for e in entries]
 
     def resolve(self, k: int, cutoff: dict[int, tuple[int | None, list[int]]]) -> Iterator[tuple[int, int, int]]:
-        """Phases 2 and 3: query, candidate and score of the block's best k that reach the cutoff."""
+        """Phases 2 and 3: query row, candidate and score of the block's best k that reach the cutoff."""
         for r in range(len(self.q_ids)):
-            if int(self.q_ids[r]) not in cutoff:
+            if r not in cutoff:
                 continue
-            least, low = cutoff[int(self.q_ids[r])]
+            least, low = cutoff[r]
             mine = np.flatnonzero(self.other[r])
             if least is not None:
                 share = (least - sum(low)) / len(low)
@@ -93,19 +112,17 @@ class Cell:
                 sums = np.where(enough, above, share).sum(axis=0) + sum(low)
                 mine = mine[enough.any(axis=0) & (sums >= least - 1e-6 * (1 + abs(least)))]
             scores = self.whole(r, mine)
-            best = np.lexsort((self.v_ids[mine], -scores))[:k]
-            for i in best.tolist():
+            best = np.lexsort((self.v_ids[mine], -scores))[:k] if scores.dtype != object else sorted(range(len(mine)), key=lambda i: (-scores[i], self.v_ids[mine[i]]))[:k]
+            for i in best:
                 if least is None or scores[i] >= least:
-                    yield int(self.q_ids[r]), int(self.v_ids[mine[i]]), int(scores[i])
+                    yield r, int(self.v_ids[mine[i]]), int(scores[i])
 
 
 def _pack(t: pa.Table) -> pa.Table:
-    """The vectors of one block as one row: ids and components."""
-    v = {}
-    for i, x in zip(t.column("id").to_pylist(), t.column("v").to_pylist(), strict=True):
-        v[i] = min(x, v.get(i, x))
-    ids = np.array(sorted(v), np.int64)
-    data = np.array([v[i] for i in ids.tolist()], np.float64)
+    """The vectors of one block as one row: ids and components, sorted by both."""
+    rows = sorted(zip(t.column("id").to_pylist(), t.column("v").to_pylist(), strict=True))
+    ids = np.array([i for i, _ in rows], np.int64)
+    data = np.array([v for _, v in rows], np.float64)
     return pa.table({"dim": t.column("dim")[:1], "block": t.column("block")[:1], "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())})
 
 
@@ -117,16 +134,25 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Cell]]:
             yield row, Cell(q_ids, q, v_ids, v)
 
 
+ROW = {"dim": pa.int32(), "q_block": pa.int32(), "q_row": pa.int32(), "merge": pa.int32()}
+
+
 def _gather(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row, cell in _cells(batches):
-        rows = [(row["dim"], row["q_block"], *x) for x in cell.gather(k)]
-        yield _columns(rows, {"dim": pa.int32(), "q_block": pa.int32(), "query_id": pa.int64(), "scores": pa.list_(pa.int64()), "low": pa.list_(pa.int64())})
+        rows = [(row["dim"], row["q_block"], r, row["v_block"] // MERGED, *x) for r, *x in cell.gather(k)]
+        yield _columns(rows, ROW | {"scores": pa.list_(pa.int64()), "low": pa.list_(pa.int64())})
 
 
 def _resolve(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row, cell in _cells(batches):
-        cutoff = {c["query_id"]: (c["cutoff"], c["low"]) for c in row["cutoffs"] or []}
-        yield _columns(list(cell.resolve(k, cutoff)), {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()})
+        cutoff = {c["q_row"]: (c["cutoff"], c["low"]) for c in row["cutoffs"] or []}
+        rows = [(row["dim"], row["q_block"], r, row["v_block"] // MERGED, int(cell.q_ids[r]), i, *_ordered(x)) for r, i, x in cell.resolve(k, cutoff)]
+        yield _columns(rows, ROW | {"query_id": pa.int64(), "vec_id": pa.int64(), "high": pa.int64(), "rest": pa.int64()})
+
+
+def _ordered(score: int) -> tuple[int, int]:
+    """A score of any size as two longs that order as it does."""
+    return score >> 62, score & ((1 << 62) - 1)
 
 
 def _columns(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -143,11 +169,11 @@ def _blocks(rows: DataFrame, size: int, n: int) -> DataFrame:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest inner products of each query row.
 
-    Components are floor(256 x). Candidates are all vectors of the query's length but its own
-    row; ties go to the smaller vec_id; fewer candidates give fewer rows. Vectors that are null or
-    hold null or non-finite components, and null ids, take no part. Rows that
-    share an id are one vector (the smallest). Other columns are not read. Components must
-    keep scores within a long.
+    Components are floor(256 x). Candidates are all rows of the query's length but the query's own; rows that share an
+    id are rows of their own, as queries and as candidates. Ties go to the smaller vec_id; fewer candidates
+    give fewer rows, an empty table none. Vectors that are null or hold null or non-finite components, and null ids,
+    take no part. Other columns are not read. Components beyond +-2^50 count as 2^50; scores are compared exactly
+    and given as the nearest long.
     """
     own = vectors.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col)).alias("v"), is_query.alias("asks")).filter("id is not null and v is not null")
     packed = own.select("id", "v", F.size("v").alias("dim"), "asks")
@@ -160,13 +186,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     # blocks meet blocks, never rows: each query block with each block of vectors of its length
     pairs = held.select("dim", "v_block").join(asked.select("dim", "q_block"), "dim").repartition(max(1, min(n_cells, 100_000)), "dim", "q_block", "v_block")
     cells = pairs.join(asked, ["dim", "q_block"]).join(held, ["dim", "v_block"])
-    lists = cells.mapInArrow(partial(_gather, k), "dim int, q_block int, query_id long, scores array<long>, low array<long>")
+    row, row_ddl = ["dim", "q_block", "q_row"], "dim int, q_block int, q_row int, merge int"
+    lists = cells.mapInArrow(partial(_gather, k), f"{row_ddl}, scores array<long>, low array<long>")
     best = F.slice(F.sort_array(F.flatten(F.collect_list("scores")), False), 1, k)  # k scores of each block
     low = F.array(*(F.min(F.col("low")[i]) for i in range(LISTS)))
-    found = lists.groupBy("dim", "q_block", "query_id").agg(best.alias("best"), low.alias("low"))
-    cutoff = F.when(F.size("best") >= k, F.element_at("best", -1))
-    sent = materialise(found.groupBy("dim", "q_block").agg(F.collect_list(F.struct("query_id", cutoff.alias("cutoff"), "low")).alias("cutoffs")), "cutoffs")
-    resolved = cells.join(sent, ["dim", "q_block"]).mapInArrow(partial(_resolve, k), "query_id long, vec_id long, score long")
-    order = F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i"))
-    first = resolved.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(order)), 1, k).alias("top"))  # k rows of each block
-    return first.select("query_id", F.posexplode("top").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    found = lists
+    for by in ([*row, "merge"], row):  # of so many blocks at a time, so that no list grows with the table
+        found = found.groupBy(*by).agg(best.alias("scores"), low.alias("low"))
+    cutoff = F.when(F.size("scores") >= k, F.element_at("scores", -1))
+    sent = materialise(found.groupBy("dim", "q_block").agg(F.collect_list(F.struct("q_row", cutoff.alias("cutoff"), "low")).alias("cutoffs")), "cutoffs")
+    resolved = cells.join(sent, ["dim", "q_block"]).mapInArrow(partial(_resolve, k), f"{row_ddl}, query_id long, vec_id long, high long, rest long")
+    order = F.struct((-F.col("high")).alias("h"), (-F.col("rest")).alias("r"), F.col("vec_id").alias("i"))
+    first = resolved.select(*row, "merge", "query_id", F.array(order).alias("top"))
+    for by in ([*row, "query_id", "merge"], [*row, "query_id"]):
+        first = first.groupBy(*by).agg(F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, k).alias("top"))  # k rows of each block
+    high, rest = -F.col("x.h"), -F.col("x.r")
+    score = F.when(high >= 2, F.lit(MOST)).when(high < -2, F.lit(LEAST)).otherwise(high * F.lit(1 << 62) + rest)
+    return first.select("query_id", F.posexplode("top").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), score.alias("score"))

@@ -9,17 +9,13 @@ from retentio.llm import topk as K
 
 
 def slow(rows, k=5, asks=lambda i: i % 3 == 0):
-    vectors = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        w = [math.floor(256 * x) for x in v]
-        vectors[i] = min(w, vectors.get(i, w))
+    clip = lambda x: math.floor(max(min(256 * x, 2.0**50), -(2.0**50)))
+    vectors = [(i, [clip(x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in vectors.items():
+    for n, (q, a) in enumerate(vectors):
         if asks(q):
-            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in vectors.items() if i != q and len(b) == len(a))[:k]
-            out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(vectors) if m != n and len(b) == len(a))[:k]
+            out += [(q, r, i, min(max(-s, K.LEAST), K.MOST)) for r, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
 
@@ -58,7 +54,22 @@ def test_uniform_threshold_keeps_every_candidate_at_the_cutoff():
     cell = K.Cell(np.arange(1000, 1020), q, np.arange(500), v)
     gathered = {i: (s, low) for i, s, low in cell.gather(5)}
     for r in range(20):
-        scores, low = gathered[1000 + r]
-        got = list(cell.resolve(5, {1000 + r: (scores[-1], low)}))
+        scores, low = gathered[r]
+        got = list(cell.resolve(5, {r: (scores[-1], low)}))
         want = sorted((-int(s), i) for i, s in enumerate(q[r] @ v.T))[:5]
         assert [(i, s) for _, i, s in got] == [(i, -s) for s, i in want]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"rows": 2, "queries": 1}])
+def test_rows_that_share_an_id_are_rows_of_their_own(spark, sizes, monkeypatch):
+    monkeypatch.setattr(K, "MERGED", 2)
+    rows = [(3, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (2, [1.5, 0.0]), (3, [1.0, 0.0]), (3, [9.0, 0.0]), (6, [1.0, 1.0])] + [(7, [1.0, 0.5])] * 9
+    got = found(spark, rows, **sizes)
+    assert got == slow(rows)
+    assert (3, 1, 3, 256 * 256 * 9) in got and (6, 2, 1, 256 * 256 * 3) in got
+
+
+def test_components_of_any_size_have_a_defined_result(spark):
+    rows = [(3, [1e300, 1.0]), (6, [-1e300, 2.0]), (9, [1e15, -1e15]), (12, [1e300, 1e300]), (4, [1e300, 1e300]), (5, [-1e300, 1e300]), (1, [1.0, 1.0]), (2, [1e10, -1e9]), (7, [0.0, 0.0])]
+    assert found(spark, rows) == slow(rows)
+    assert found(spark, rows, k=2, rows=2, queries=1) == slow(rows, 2)
