@@ -43,12 +43,12 @@ def patterns_of(words: list[bytes], window: int) -> list[bytes]:
 class Matcher:
     """The automaton over the windows of items, given as (item_id, text) pairs."""
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int):
-        holders: dict[bytes, set[int]] = {}
+    def __init__(self, items: list[tuple[int | None, bytes]], window: int):
+        holders: dict[bytes, set[int | None]] = {}
         for item, text in items:
             for p in patterns_of(words_of(text), window):
                 holders.setdefault(p, set()).add(item)
-        self.items = [tuple(sorted(s)) for s in holders.values()]
+        self.items = [tuple(sorted(i for i in s if i is not None)) for s in holders.values()]  # an item without an id is found all the same
         self.sizes = [p.count(b" ") - 1 for p in holders]
         self.automaton = ahocorasick.Automaton()
         for n, p in enumerate(holders):
@@ -107,13 +107,14 @@ def _scan(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                                          [*names, "n_words", "items", "spans"])
 
 
-def _batches_of_items(benchmark: DataFrame, most: int) -> list[list[tuple[int, bytes]]]:
-    """Items with words, in groups of at most about ``most`` bytes, by one sum over the benchmark."""
-    usable = benchmark.filter("item_id is not null and text is not null")
+def _batches_of_items(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int | None, bytes]]]:
+    """Items with words, in groups of at most about ``most`` bytes, by one sum over the benchmark; one group at a time."""
+    usable = benchmark.filter("text is not null")
     size = int(usable.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0)
     groups = max(1, -(-size // most))
     dealt = usable.withColumn("g", F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)))
-    return [[(r.item_id, r.text.encode()) for r in dealt.filter(F.col("g") == g).collect()] for g in range(groups)]
+    for g in range(groups):
+        yield [(r.item_id, r.text.encode()) for r in dealt.filter(F.col("g") == g).collect()]
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -122,31 +123,32 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
     spans   maximal runs of words inside occurrences: first_word, end_word (word numbers, end
             exclusive), start, end (characters of the original text, end exclusive)
-    Null texts have no words; items with null id or without words are never found; items that
-    share an id count as one; repeated rows keep their rows; other columns are not read.
+    Null texts have no words, items without words are never found; words of an item with a null id are in spans, and it has no
+    id to give; items that share an id count as one; repeated rows keep their rows; an empty table gives no
+    row, an empty benchmark no spans; very long texts are scanned whole. Other columns are not read.
     """
     texts = documents_of(docs, id_col, text_col)
     bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     span = "array<struct<first_word:long,end_word:long,start:long,end:long>>"
     # an item of k words has up to k windows of `window` words: about that many times its bytes
-    groups = _batches_of_items(bench, max(1, automaton_bytes // window))
     sc = docs.sparkSession.sparkContext
-    if len(groups) == 1:
-        return texts.mapInArrow(partial(_scan, sc.broadcast((groups[0], window))), f"doc_id long, n_words long, items array<long>, spans {span}")
+    shared = [sc.broadcast((g, window)) for g in _batches_of_items(bench, max(1, automaton_bytes // window))]
+    if len(shared) == 1:
+        return texts.mapInArrow(partial(_scan, shared[0]), f"doc_id long, n_words long, items array<long>, spans {span}")
     found = None
     keyed = texts.withColumn("hash", F.xxhash64("text"))
-    for g in groups:
-        part = keyed.mapInArrow(partial(_scan, sc.broadcast((g, window))), f"doc_id long, hash long, n_words long, items array<long>, spans {span}")
+    for one in shared:
+        part = keyed.mapInArrow(partial(_scan, one), f"doc_id long, hash long, n_words long, items array<long>, spans {span}")
         found = part if found is None else found.unionByName(part)
     # every row comes once per group of items; equal rows have equal findings, so their copies are counted
     merged = found.groupBy("doc_id", "hash", "n_words").agg(
-        (F.count(F.lit(1)) / len(groups)).cast("int").alias("copies"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        (F.count(F.lit(1)) / len(shared)).cast("int").alias("copies"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     return merged.select("doc_id", "n_words", "items", _united("spans").alias("spans"), F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 10, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """The rows of ``docs`` in which no item occurs, all columns as they are; null texts stay."""
+    """The rows of ``docs`` in which no item occurs, with an id or without, all columns as they are; null texts stay."""
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     sc, left = docs.sparkSession.sparkContext, docs
     for g in _batches_of_items(bench, max(1, automaton_bytes // window)):

@@ -17,14 +17,14 @@ def slow(text, items, window=10):
     hit, ids = set(), set()
     for item, t in items:
         iw = WORD.findall(low(t))
-        if item is None or not iw:
+        if not iw:
             continue
         n = min(len(iw), window)
         wins = {tuple(iw[i:i + n]) for i in range(len(iw) - n + 1)}
         for i in range(len(words) - n + 1):
             if tuple(words[i:i + n]) in wins:
                 hit.update(range(i, i + n))
-                ids.add(item)
+                ids |= {item} - {None}
     return len(words), sorted(ids), hit, [found[i][1:] for i in sorted(hit)]
 
 
@@ -52,7 +52,7 @@ def make(spark, docs):
         if i % 2:
             body[5:5] = [w.title() for w in rng.choice(items[:12])[1].split()] * rng.randint(1, 2)
         rows.append((i, rng.choice([" ", ", ", "\n"]).join(body)))
-    rows += [(90, None), (91, ""), (92, "…—"), (None, items[4][1]), (3, rows[3][1]), (3, "zwölf ärzte 3X"), (93, "Zwölf Ärzte 3x"), (94, "ab " * 30_000)]
+    rows += [(90, None), (91, ""), (92, "…—"), (None, items[4][1]), (95, "x a b c y"), (3, rows[3][1]), (3, "zwölf ärzte 3X"), (93, "Zwölf Ärzte 3x"), (94, "ab " * 30_000)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     return docs(rows).selectExpr("doc_id", "text", "1 as items", "2 as spans", "3 as hash"), rows, bench, items
 
@@ -71,3 +71,11 @@ def test_empty_tables(spark, docs):
     df, rows, bench, _ = make(spark, docs)
     assert D.find_benchmark(df.limit(0), bench).collect() == []
     check(D.find_benchmark(df, bench.limit(0)), rows, [])
+
+
+def test_item_without_an_id_is_found_and_rejects(spark, docs):
+    bench = spark.createDataFrame([(None, "one two three"), (4, "four five")], "item_id long, text string")
+    df = docs([(1, "zero One, two three four"), (2, "four five"), (3, "clean"), (4, None)])
+    got = {r.doc_id: (r["items"], [(s.first_word, s.end_word) for s in r.spans]) for r in D.find_benchmark(df, bench).collect()}
+    assert got == {1: ([], [(1, 4)]), 2: ([4], [(0, 2)]), 3: ([], []), 4: ([], [])}
+    assert sorted(r.doc_id for r in D.without_benchmark(df, bench).collect()) == [3, 4]
