@@ -72,7 +72,7 @@ URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 @register(rf"""
 with recursive rules(host, path, verdict) as (values {", ".join(map(str, URL_RULES))}),
 e as (select distinct url as src, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''),
-        '([?&])utm_[^&]*(&|$)', '\1', 'g'), '[?&]+$', ''), '^(?i:https?)://(?i:www\.|m\.)?', 'https://'), '/$', '') as dst from pages where contains(url, '://')),
+        '([?&])(?:utm_[^&]*(?:&|$))+', '\1', 'g'), '[?&]+$', ''), '^(?i:https?)://(?i:www\.|m\.)?', 'https://'), '/$', '') as dst from pages where contains(url, '://')),
 u as (select src as url from e union select dst from e),
 p as (select url, translate(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') as host,
       regexp_extract(url, '://([^/?#]*)([^?#]*)', 2) as path from u),
@@ -87,7 +87,8 @@ from pages left join b on pages.url = b.url left join i on pages.url = i.url""")
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    return url_filter.judge(pages, url_filter.alias_edges(pages), rules)
+    edges = materialise(url_filter.alias_edges(pages), "edges")  # they are read for the components and for the nodes
+    return url_filter.judge(pages, edges, rules)
 
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
@@ -96,7 +97,7 @@ ITEM_WORDS = "coalesce(regexp_extract_all(" + LOWER("text") + r", '[^\x00-\x2F\x
 
 @register(f"""
 with d as (select doc_id, {ITEM_WORDS} as ws from documents),
-b as (select item_id, {ITEM_WORDS} as ws from benchmark where item_id is not null),
+b as (select item_id, {ITEM_WORDS} as ws from benchmark),
 p as (select distinct item_id, least(len(ws), 10) as n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') as win
       from b, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) as r(i) where len(ws) > 0),
 dw as (select doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') as win

@@ -17,8 +17,13 @@ from retentio.llm.components import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = "://([^/?#]*)([^?#]*)"
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>;]+)"""
+#: Comments (one that does not end goes to the end), and the tags that name other urls. A tag holds no ``<``, so a page is cut in one pass.
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+TAG = r"(?i)(<(?:link|meta|base)\s[^<>]*>)"
+CANONICAL = r"""(?is)^<link\s(?:[^>]*[\s"'])?rel\s*=\s*["']?canonical\b"""
+REFRESH = r"""(?is)^<meta\s(?:[^>]*[\s"'])?http-equiv\s*=\s*["']?refresh\b"""
+HREF = r"""(?is)[\s"']href\s*=\s*["']?([^"'\s>]+)"""
+REFRESH_URL = r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+(?:;[^"'\s>;]+)*)"""
 
 
 def host_of(url: Column) -> Column:
@@ -39,22 +44,52 @@ def redirect_target(url: Column) -> Column:
     return F.regexp_replace(u, "/$", "")
 
 
+def without_dots(url: Column) -> Column:
+    """A full url whose path has no ``.`` and ``..`` segments."""
+    path = F.regexp_replace(F.regexp_extract(url, "^[^?#]*?://[^/?#]*/([^?#]*)", 1), r"(^|/)(\.\.?)$", "$1$2/")
+    segments = F.reverse(F.split(path, "/"))
+    state = lambda skip, out: F.struct(skip.alias("skip"), out.alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:  # from the last segment: ".." takes the next one that is no dot
+        return (F.when(s == "..", state(acc["skip"] + 1, acc["out"])).when(s == ".", acc)
+                .when(acc["skip"] > 0, state(acc["skip"] - 1, acc["out"])).otherwise(state(acc["skip"], F.concat(F.lit("/"), s, acc["out"]))))
+
+    out = F.aggregate(segments, state(F.lit(0), F.lit("")), step, lambda acc: acc["out"])
+    out = F.when(out == "", F.lit("/")).otherwise(out)
+    found = F.concat(F.regexp_extract(url, "^([^?#]*?://[^/?#]*)", 1), out, F.regexp_extract(url, "(?s)^[^?#]*(.*)$", 1))
+    return F.when(url.rlike(r"^[^?#]*?://[^/?#]*/(?:[^?#]*/)?\.\.?(?:[/?#]|$)"), found).otherwise(url)
+
+
 def absolute(href: Column, base: Column) -> Column:
     """A link of the page ``base`` as a full url."""
     scheme = F.regexp_extract(base, "^([^:/?#]+):", 1)
     root = F.regexp_extract(base, "^([^:/?#]+://[^/?#]*)", 1)
     folder = F.regexp_extract(base, "^([^:/?#]+://[^/?#]*(?:[^?#]*/)?)", 1)
     folder = F.when(folder.endswith("/") & (folder != F.concat(scheme, F.lit("://"))), folder).otherwise(F.concat(root, F.lit("/")))
-    return (F.when(href.contains("://"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-            .when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(folder, href)))
+    full = (F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
+            .when(href.startswith("/"), F.concat(root, href)).when(href.startswith("?"), F.concat(F.regexp_extract(base, "^([^?#]*)", 1), href))
+            .otherwise(F.concat(folder, href)))
+    return without_dots(full)
+
+
+def attribute(tag: Column, pattern: str) -> Column:
+    """A link in a tag, character references of ``&`` decoded; empty without one."""
+    return F.regexp_replace(F.regexp_extract(tag, pattern, 1), "(?i)&(?:amp|#38|#x26);", "&")
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst): conventional redirects, refreshes and canonical links of pages with a full url."""
+    """(src, dst): conventional redirects, refreshes and canonical links of pages with a full url.
+
+    Tags inside comments do not count; relative links start from the page's first ``<base href>``, if it has one.
+    """
     rows = pages.select(F.col(url_col).cast("string").alias("src"), F.col(html_col).cast("string").alias("html")).filter(F.col("src").contains("://"))
-    html = F.coalesce("html", F.lit(""))
-    links = F.when(html.rlike("(?i)canonical|refresh"), F.concat(F.regexp_extract_all(html, F.lit(CANONICAL)), F.regexp_extract_all(html, F.lit(REFRESH))))
-    found = rows.select("src", F.explode(links).alias("href")).select("src", absolute(F.col("href"), F.col("src")).alias("dst"))
+    named = rows.filter(F.col("html").rlike("(?i)canonical|refresh"))
+    tags = named.select("src", F.regexp_extract_all(F.regexp_replace("html", COMMENT, ""), F.lit(TAG)).alias("tags"))
+    first = F.get(F.filter("tags", lambda t: t.rlike("(?i)^<base\\s") & (attribute(t, HREF) != "")), F.lit(0))
+    based = tags.withColumn("base", F.when(first.isNotNull(), absolute(attribute(first, HREF), F.col("src"))).otherwise(F.col("src")))
+    each = based.select("src", "base", F.explode("tags").alias("tag"))
+    href = F.when(F.col("tag").rlike(CANONICAL), attribute(F.col("tag"), HREF)).when(F.col("tag").rlike(REFRESH), attribute(F.col("tag"), REFRESH_URL))
+    found = each.select("src", "base", href.alias("href")).filter("href <> ''").select("src", absolute(F.col("href"), F.col("base")).alias("dst"))
     usual = rows.select("src", redirect_target(F.col("src")).alias("dst"))
     linked = found.unionByName(found.select(F.col("dst").alias("src"), redirect_target(F.col("dst")).alias("dst")))
     return usual.unionByName(linked).filter("src <> dst").distinct()

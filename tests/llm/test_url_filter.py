@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from retentio.llm import url_filter as U
 
@@ -88,6 +89,28 @@ def test_edges_of_pages(spark):
                    ("https://b.com/r", "https://c.org/z"), ("https://b.com/r", "https://d.org/"), ("https://d.org/", "https://d.org")}
 
 
+def test_links_are_read_as_browsers_do(spark):
+    def link(href, rest=""):
+        return f'{rest}<link rel="canonical" href="{href}">'
+    pages = {"https://b.org/a/b/c?q": (link("http://b.org/?x=1&amp;y=2&#38;z"), "http://b.org/?x=1&y=2&z"), "https://b.org/a/b/d": (link("../z"), "https://b.org/a/z"),
+             "https://b.org/a/b/e": (link("./../../../z/."), "https://b.org/z/"), "https://b.org/a/f": ("<!-- " + link("http://evil.org/") + " -->" + link("/ok"), "https://b.org/ok"),
+             "https://b.org/a/g": (link("x/y", '<base target=_top><base href="/root/">'), "https://b.org/root/x/y"), "https://b.org/a/h": (link("?p=2"), "https://b.org/a/h?p=2"),
+             "https://b.org/a/i": (link("i2?u=a/../b"), "https://b.org/a/i2?u=a/../b"), "https://b.org/a/j": ("<!-- never closed " + link("http://evil.org/"), None),
+             "https://b.org/a/k": ('<a data-x=1 rel=canonical href="/no">refresh</a>', None), "https://b.org/a/l": (link("//c.org/../p/./q"), "https://c.org/p/q")}
+    edges = U.alias_edges(spark.createDataFrame([(u, h) for u, (h, _) in pages.items()], "url string, html string")).collect()
+    got = {u: {r.dst for r in edges if r.src == u} - {"https://b.org/a/b/c"} for u in pages}
+    assert got == {u: {d} if d else set() for u, (_, d) in pages.items()}
+
+
+def test_hostile_pages_take_linear_time(spark):
+    texts = ["<link " * 170_000 + "canonical", "<link rel=canonical " + "x" * 1_000_000, "<!--" * 250_000 + "canonical", "<meta " + "url=" * 250_000 + "refresh>",
+             "<link " + "rel " * 250_000 + "canonical>", "<link rel=canonical " + "href " * 200_000 + ">"]
+    pages = spark.createDataFrame([(f"http://h{i}.org/x", t) for i, t in enumerate(texts)], "url string, html string")
+    start = time.time()
+    assert U.alias_edges(pages).count() == len(texts)
+    assert time.time() - start < 30
+
+
 def test_neighbouring_tracking_parameters_go_at_once(spark):
     tracked = {"http://a.org/p?utm_source=a&utm_medium=b": "https://a.org/p", "http://a.org/p?utm_source=a&utm_medium=b&utm_campaign=c": "https://a.org/p",
                "http://a.org/p?x=1&utm_a=1&utm_b=2&utm_c=3&y=2&utm_d=4&utm_e=5#f": "https://a.org/p?x=1&y=2", "http://a.org/p?my_utm_x=1&autm_y=2": "https://a.org/p?my_utm_x=1&autm_y=2",
