@@ -34,6 +34,8 @@ HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-E
 DATE = b"2024-01-01T00:00:00Z"
 #: Records of one file, at most; with ``segment_bytes`` this bounds what one task unpacks.
 RECORDS = 4096
+#: Bytes of a gzip file that are unpacked at a time.
+GZIP_BYTES = 1 << 16
 
 
 # ---- writing ------------------------------------------------------------------------------
@@ -112,7 +114,11 @@ def _name(id_col: str):
 
 # ---- reading ------------------------------------------------------------------------------
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of an archive: headers (names in lower case) and block."""
+    """The records of an archive: headers (names in lower case) and block.
+
+    What is no record comes with the header ``error`` and its bytes, up to where the next record
+    begins; so does a record without a type, an identifier or a usable length.
+    """
     at, n = 0, len(data)
     while True:
         while data.startswith(b"\r\n", at):
@@ -121,24 +127,59 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             return
         end = data.find(END, at)
         if not data.startswith(b"WARC/", at) or end < 0:
-            raise ValueError(f"no record at byte {at}")
+            at, start = _next_record(data, at), at
+            yield {"error": "no record"}, data[start:at]
+            continue
         fields = {}
         for line in data[at:end].split(b"\r\n")[1:]:
             k, _, v = line.partition(b":")
             fields[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
-        start = end + len(END)
-        at = start + int(fields["content-length"])
+        start, length = end + len(END), fields.get("content-length", "")
+        missing = [k for k in ("warc-type", "warc-record-id") if not fields.get(k)]
+        wrong = [k for k in ("warc-segment-number", "warc-segment-total-length") if not _number(fields.get(k, "0"))]
+        if not _number(length):
+            at = _next_record(data, start - 2)
+            fields["error"] = "no usable content-length"
+        else:
+            at = start + int(length)
+            if at > n:
+                fields["error"] = "cut short"
+            elif missing or wrong:
+                fields["error"] = "no usable " + ", ".join(missing + wrong)
         yield fields, data[start:at]
 
 
-def gunzip(data: bytes) -> bytes:
-    """All members of a gzip file; anything else as it is."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data) + d.flush())
-        data = d.unused_data
-    return b"".join(out) if out else data
+def _number(text: str) -> bool:
+    return text.isascii() and text.isdigit() and len(text) < 18
+
+
+def _next_record(data: bytes, at: int) -> int:
+    """Where the next record behind a place begins, or the end."""
+    found = data.find(b"\nWARC/", at)
+    return len(data) if found < 0 else found + 1
+
+
+def gunzip(data: bytes) -> tuple[bytes, int]:
+    """All members of a gzip file, and how many are damaged (what they give up to the fault is kept); anything else as it is."""
+    if data[:2] != b"\x1f\x8b":
+        return data, 0
+    out, damaged, at, n, view = [], 0, 0, len(data), memoryview(data)
+    while 0 <= at < n:
+        d, pos, good = zlib.decompressobj(31), at, False
+        try:
+            while pos < n and not d.eof:  # by parts: what lies behind a member is not copied with it
+                out.append(d.decompress(view[pos : pos + GZIP_BYTES]))
+                pos += GZIP_BYTES
+            good = d.eof
+        except zlib.error:
+            pass
+        if good:
+            at = min(pos, n) - len(d.unused_data)
+            if at >= n or data[at : at + 2] == b"\x1f\x8b":
+                continue
+        damaged += 1
+        at = data.find(b"\x1f\x8b\x08", at + (not good))
+    return b"".join(out), damaged
 
 
 def payload_of(block: bytes) -> bytes | None:
@@ -164,8 +205,8 @@ def payload_of(block: bytes) -> bytes | None:
 
 
 _FIELDS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "digest": "warc-payload-digest"}
-PARSED = ", ".join(f"{k} string" for k in _FIELDS) + ", origin string, number int, total long, block binary"
-_ARROW = {**dict.fromkeys(_FIELDS, pa.string()), "origin": pa.string(), "number": pa.int32(), "total": pa.int64(), "block": pa.binary()}
+PARSED = ", ".join(f"{k} string" for k in _FIELDS) + ", error string, origin string, number long, total long, block binary"
+_ARROW = {**dict.fromkeys(_FIELDS, pa.string()), "error": pa.string(), "origin": pa.string(), "number": pa.int64(), "total": pa.int64(), "block": pa.binary()}
 
 
 def _parse(segments: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,15 +214,19 @@ def _parse(segments: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         for i in range(b.num_rows):
             rows: list[tuple] = []
             size = 0
-            for f, block in parse(gunzip(b.column("content")[i].as_py())):
-                number = f.get("warc-segment-number")
-                if (number is not None) != segments or f["warc-type"] == "warcinfo":
+            data, damaged = gunzip(b.column("content")[i].as_py())
+            if damaged and not segments:
+                rows += [(*[None] * len(_FIELDS), "damaged gzip member", None, None, None, b"")] * damaged
+            for f, block in parse(data):
+                error = f.get("error")
+                number = None if error else f.get("warc-segment-number")
+                if (number is not None) != segments or (f.get("warc-type") == "warcinfo" and not error):
                     continue
                 values = [f.get(k) for k in _FIELDS.values()]
                 values[0], values[3] = (v and v.strip("<>") for v in (values[0], values[3]))
-                origin = f.get("warc-segment-origin-id", f["warc-record-id"]).strip("<>")
-                total = f.get("warc-segment-total-length")
-                rows.append((*values, origin, number and int(number), total and int(total), block))
+                origin = (f.get("warc-segment-origin-id") or f.get("warc-record-id") or "").strip("<>")
+                total = None if error else f.get("warc-segment-total-length")
+                rows.append((*values, error, origin, number and int(number), total and int(total), block))
                 size += len(block)
                 if size > 8 << 20:
                     yield _batch(rows)
@@ -200,24 +245,35 @@ def reassemble(segments: pa.Table) -> pa.Table:
     first = rows[0] if rows[0]["number"] == 1 else dict.fromkeys(rows[0], None) | {"record_id": rows[0]["origin"], "record_type": "response", "origin": rows[0]["origin"]}
     block = b"".join(r["block"] for r in rows)
     whole = [r["number"] for r in rows] == list(range(1, len(rows) + 1)) and rows[-1]["total"] == len(block)
-    return pa.Table.from_pylist([first | {"total": len(block), "block": block if whole else None}], pa.schema(list(_ARROW.items())))
+    error = None if whole else "segments missing or of another length"
+    return pa.Table.from_pylist([first | {"total": len(block), "block": block if whole else None, "error": error}], pa.schema(list(_ARROW.items())))
+
+
+def _digest(text: str | None) -> str | None:
+    """Hex of a SHA-1 in base 32; null if it is none."""
+    try:
+        return base64.b32decode(text[5:]).hex() if text and text.startswith("sha1:") else None
+    except ValueError:
+        return None
 
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        types, blocks, digests = (b.column(n).to_pylist() for n in ("record_type", "block", "digest"))
-        payload = [None if x is None or t == "revisit" else payload_of(x) for t, x in zip(types, blocks, strict=True)]
-        hexes = [base64.b32decode(d[5:]).hex() if d and d.startswith("sha1:") else None for d in digests]
-        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("record_id", "record_type", "target_uri", "refers_to")), pa.array(hexes, pa.string()), pa.array(payload, pa.binary())],
-                                         ["record_id", "record_type", "target_uri", "refers_to", "digest", "payload"])
+        types, blocks, digests, errors = (b.column(n).to_pylist() for n in ("record_type", "block", "digest", "error"))
+        payload = [None if x is None or e or t == "revisit" else payload_of(x) for t, x, e in zip(types, blocks, errors, strict=True)]
+        framing = [e or ("damaged framing" if p is None and t == "response" else None) for t, p, e in zip(types, payload, errors, strict=True)]
+        columns = {n: b.column(n) for n in ("record_id", "record_type", "target_uri", "refers_to")}
+        yield pa.RecordBatch.from_pydict(columns | {"digest": pa.array(map(_digest, digests), pa.string()), "payload": pa.array(payload, pa.binary()), "error": pa.array(framing, pa.string())})
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, record_type, target_uri, refers_to, digest (hex SHA-1), payload of each record under ``path``.
+    """record_id, record_type, target_uri, refers_to, digest (hex SHA-1), payload, error of each record under ``path``.
 
-    Continuations are joined to their origin. The payload is null for revisits, and for records
-    whose segments do not add up or whose chunked framing is cut short. A record
-    that occurs again with the same identifier is returned as often as its first segment is there.
+    Continuations are joined to their origin. The payload is null for revisits, and for records with an ``error``:
+    without a type, an identifier or a usable length, cut short, with segments that do not add up, or in
+    damaged framing. Bytes that are no record, and damaged gzip members, are rows with an error too;
+    the reader goes on behind them. A record that occurs again with the same
+    identifier is returned as often as its first segment is there. An archive without records gives no row.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").option("recursiveFileLookup", "true").load(path).select("content")
     whole = files.mapInArrow(partial(_parse, False), PARSED)
@@ -227,7 +283,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     copies = parts.filter("number = 1").groupBy("origin").agg(F.count(F.lit(1)).cast("int").alias("copies")).withColumnRenamed("origin", "o")
     again = joined.join(copies, F.col("origin") == F.col("o"), "left").withColumn("c", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)))))
     records = whole.unionByName(again.select(whole.columns))
-    return records.mapInArrow(_payloads, "record_id string, record_type string, target_uri string, refers_to string, digest string, payload binary")
+    return records.mapInArrow(_payloads, "record_id string, record_type string, target_uri string, refers_to string, digest string, payload binary, error string")
 
 
 def resolved(records: DataFrame) -> DataFrame:

@@ -100,3 +100,39 @@ def test_chunked_framing():
     for cut in (b"3\r\nab", b"", b"zz\r\n", b"3\r\nabc\r\n"):
         assert W.payload_of(head + cut) is None
     assert W.payload_of(b"HTTP/1.1 200 OK\r\n\r\nplain") == b"plain" and W.payload_of(b"no head") is None
+
+
+def plain(name, payload=b"payload"):
+    return W.record(b"response", name, W.HEAD + W.chunked(payload, 64))
+
+
+def test_bad_records_are_rows_with_an_error_and_the_others_come(spark, tmp_path):
+    good = [plain(b"n:%d" % i) for i in range(9)]
+    cut = lambda old, new: plain(b"bad:x").replace(old, new)
+    bad = [cut(b"Content-Length", b"Content-Size"), cut(b"WARC-Type", b"WARC-Kind"), cut(b"WARC/1.1", b"JUNK"), cut(b"Content-Length: ", b"Content-Length: -"),
+           cut(b"WARC-Record-ID", b"X"), cut(b"Content-Length", b"WARC-Segment-Number: one\r\nContent-Length"), cut(b"0\r\n\r\n", b"zz\r\n\r")]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "part-0.txt").write_bytes(W.END.join(x for p in zip(good, bad) for x in p) + W.END + good[7] + W.END + good[8][:-3])
+    got = W.read_archives(spark, str(tmp_path / "a")).collect()
+    assert sorted(r.record_id for r in got if not r.error) == [f"n:{i}" for i in range(8)]
+    assert all(bytes(r.payload) == b"payload" for r in got if not r.error)
+    errors = sorted(r.error for r in got if r.error)
+    assert errors == sorted(["no usable content-length"] * 2 + ["no usable warc-type", "no record", "no usable warc-record-id", "no usable warc-segment-number", "damaged framing", "cut short"])
+    assert all(r.payload is None for r in got if r.error)
+
+
+def test_damaged_gzip_members(spark, tmp_path):
+    members = [gzip.compress(plain(b"n:%d" % i, random.Random(i).randbytes(3000)) + W.END) for i in range(5)]
+    members[1] = members[1][:1500] + b"\xff" * 40 + members[1][1540:]
+    members[3] = members[3][:100]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "part-0.txt.gz").write_bytes(b"".join(members))
+    (tmp_path / "a" / "part-1.txt.gz").write_bytes(b"")
+    got = W.read_archives(spark, str(tmp_path / "a")).collect()
+    assert {"n:0", "n:2", "n:4"} <= {r.record_id for r in got if not r.error}
+    assert sum(r.error == "damaged gzip member" for r in got) >= 2 and not {"n:1", "n:3"} & {r.record_id for r in got if not r.error}
+
+
+def test_many_members_take_linear_time():
+    data = gzip.compress(b"x" * 50) * 200_000
+    assert W.gunzip(data) == (b"x" * 10_000_000, 0)
