@@ -368,11 +368,12 @@ class KNNModel(Model, _ClfParams, CompositeModelIO):
 # ------------------------------------------------------------------------------------------
 # Stacking: rf + gb + lr -> lr on out-of-fold probabilities
 # ------------------------------------------------------------------------------------------
-def _base_estimators(seed: int):
+def _base_estimators(seed: int, n_rows: int):
+    """The base models; the regression's penalty is that of C = 1: 1 / (C * rows)."""
     return [
         ("rf", RandomForestClassifier(numTrees=100, maxDepth=30, seed=seed)),
         ("gb", GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=3, seed=seed)),
-        ("lr", LogisticRegression(maxIter=100, regParam=0.0, standardization=False)),
+        ("lr", LogisticRegression(maxIter=100, regParam=1.0 / max(n_rows, 1), standardization=False)),
     ]
 
 
@@ -407,7 +408,7 @@ class StackingClassifier(Estimator, _ClfParams, CompositeModelIO):
         from concurrent.futures import ThreadPoolExecutor
 
         def fit_on(tr):
-            return [(n, e.copy().setFeaturesCol("_f").setLabelCol("_y").fit(tr)) for n, e in _base_estimators(seed)]
+            return [(n, e.copy().setFeaturesCol("_f").setLabelCol("_y").fit(tr)) for n, e in _base_estimators(seed, tr.count())]
 
         # the k fold fits and the final refit are independent jobs: run them concurrently
         with ThreadPoolExecutor(max_workers=k + 1) as ex:
@@ -420,7 +421,7 @@ class StackingClassifier(Estimator, _ClfParams, CompositeModelIO):
             part = _apply_base(fitted, data.filter(F.col("fold") == f), "_f").select("_key", "_y", "_rf_p", "_gb_p", "_lr_p")
             oof = part if oof is None else oof.unionByName(part)
         meta_in = VectorAssembler(inputCols=["_rf_p", "_gb_p", "_lr_p"], outputCol="_meta").transform(oof)
-        meta = LogisticRegression(featuresCol="_meta", labelCol="_y", maxIter=100).fit(meta_in)
+        meta = LogisticRegression(featuresCol="_meta", labelCol="_y", maxIter=100, regParam=1.0 / max(data.count(), 1), standardization=False).fit(meta_in)
         data.unpersist()
         model = StackingModel(featuresCol=fcol, predictionCol=self.getPredictionCol(), probabilityCol=self.getProbabilityCol())
         model._base, model._meta = base, meta

@@ -4,8 +4,7 @@ Names and defaults follow the reference's model list; Spark equivalents:
 logistic regression (C -> regParam = 1 / (C * n)), random forest (100 trees, unlimited
 depth -> Spark's maximum 30), gradient boosting (100 rounds, step 0.1, depth 3), AdaBoost
 (50 stumps), SVM (rbf, Platt probabilities), kNN (k = 5), decision tree, a neural network
-with one hidden layer of 100 (Spark's MLP has sigmoid hidden units and no L2 term), and
-stacking (rf + gb + lr -> lr).
+with one hidden layer of 100 (relu, L2 term, Adam), and stacking (rf + gb + lr -> lr).
 """
 
 from __future__ import annotations
@@ -19,11 +18,11 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
 
 from retentio.ml.estimators import AdaBoostClassifier, KNNClassifier, SVMClassifier, StackingClassifier
+from retentio.ml.neural import NeuralNetworkClassifier
 
 # --- fixed values: model names, grids and defaults -----------------------------------------------
 MAX_DEPTH = 30  # Spark's limit; stands for "unlimited"
@@ -61,8 +60,8 @@ def make_estimator(name: str, *, n_features: int, n_rows: int, label: str = "lab
                                       minInstancesPerNode=max(1, params.get("min_samples_split", 2) // 2),
                                       impurity=params.get("criterion", "gini"), seed=seed, **common)
     if name == "neural_network":
-        hidden = list(params.get("hidden_layer_sizes", (100,)))
-        return MultilayerPerceptronClassifier(layers=[n_features, *hidden, 2], maxIter=1000, seed=seed, **common)
+        return NeuralNetworkClassifier(hidden=list(params.get("hidden_layer_sizes", (100,))), activation=params.get("activation", "relu"),
+                                       alpha=params.get("alpha", 0.0001), seed=seed, **common)
     if name == "stacking":
         return StackingClassifier(idCol=key_col, seed=seed, **common)
     raise ValueError(f"unknown model {name!r}; available: {', '.join(MODEL_NAMES)}")
@@ -79,7 +78,7 @@ PARAM_GRIDS: dict[str, dict[str, list]] = {
     "knn": {"n_neighbors": [3, 5, 7, 9], "weights": ["uniform", "distance"]},
     "decision_tree": {"max_depth": [None, 10, 20, 30], "min_samples_split": [2, 5, 10],
                       "criterion": ["gini", "entropy"]},
-    "neural_network": {"hidden_layer_sizes": [(50,), (100,), (50, 50)]},
+    "neural_network": {"hidden_layer_sizes": [(50,), (100,), (50, 50)], "activation": ["relu", "tanh"], "alpha": [0.0001, 0.001, 0.01]},
 }
 
 
