@@ -44,7 +44,7 @@ MAGIC = b"TIDS\x00\x01\r\n"
 MARKER = "\nTIDS-END\n"
 HEAD = np.dtype([(n, "<i8") for n in ("shard", "section", "before", "documents", "tokens", "ranks", "data")])
 #: Bytes of each of the four ranks that a control byte speaks of.
-LENGTHS = (1 + ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3)).astype(np.int64)
+LENGTHS = (1 + ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3)).astype("u1")
 
 #: Tokens of one section, about: a longer document is a section of its own size.
 SECTION_TOKENS = 1 << 20
@@ -64,9 +64,12 @@ UNIT_CHARS = 64
 #: Put where a text is cut; texts that hold it are encoded whole.
 CUT = "\x01"
 BLANK = r"\t-\r \x{85}\p{Z}"
-#: Pattern and what replaces it. A byte-level tokenizer with its usual pattern never joins a character that is no white space
-#: with white space behind it, a letter with a mark behind it, or a lone line break with what follows.
-CUTS = ((rf"([^{BLANK}])([ \n]+)", rf"\1{CUT}\2"), (r"([A-Za-z])([.,!?;:%$#&*]+)", rf"\1{CUT}\2"), (rf"{CUT}\n([^{BLANK}{CUT}])", CUT + "\n" + CUT + r"\1"))
+#: A byte-level tokenizer with its usual pattern never joins a character that is no white space with white space behind it, a
+#: lone line break with what follows, or a letter with a mark behind it. Texts are cut there: pattern and what replaces it.
+CUTS = ((rf"([^{BLANK}])([ \n]+)", rf"\1{CUT}\2"), (rf"{CUT}\n([^{BLANK}{CUT}])", CUT + "\n" + CUT + r"\1"))
+#: The same for texts without two blanks in a row, and the cut before marks.
+LONE = ((" ", CUT + " "), ("\n", CUT + "\n" + CUT))
+MARKS = (r"([A-Za-z])([.,!?;:%$#&*]+)", rf"\1{CUT}\2")
 #: Letters below this have been letters in all versions of Unicode since.
 PLAIN = "\u0530"
 
@@ -82,6 +85,20 @@ def byte_characters() -> dict[int, str]:
     return out
 
 
+def cut_texts(texts: pa.Array) -> pa.Array:
+    """Texts with ``CUT`` where they may be cut."""
+    paired = pc.match_substring_regex(texts, f"[{BLANK}]{{2}}")
+    cut = texts
+    for text, by in LONE:
+        cut = pc.replace_substring(cut, text, by)
+    if pc.any(paired).as_py():
+        some = texts.filter(paired)
+        for pattern, by in CUTS:
+            some = pc.replace_substring_regex(some, pattern, by)
+        cut = pc.replace_with_mask(cut, paired, some)
+    return pc.replace_substring_regex(cut, *MARKS)
+
+
 class Encoder:
     """Ids of texts by a tokenizer file of the ``tokenizers`` library, without special tokens added.
 
@@ -156,10 +173,7 @@ class Encoder:
         if not n:
             return self.end[:0], np.zeros(0, np.int64)
         if self.cuts and not pc.any(pc.match_substring(texts, CUT)).as_py():
-            cut = texts
-            for pattern, by in CUTS:
-                cut = pc.replace_substring_regex(cut, pattern, by)
-            lists = pc.split_pattern(cut, CUT)
+            lists = pc.split_pattern(cut_texts(texts), CUT)
             bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             coded = lists.flatten().dictionary_encode()
             entries = self.units(coded.dictionary.to_pylist())
@@ -214,7 +228,7 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` numbers of control and data bytes: lengths by table, places by their running sum."""
     lengths = LENGTHS[control].ravel()[:n]
-    start = np.cumsum(lengths) - lengths
+    start = np.cumsum(lengths, dtype=np.int64) - lengths
     padded = np.concatenate((data, np.zeros(4, "u1")))
     out = padded[start].astype(np.uint32)
     for k in range(1, int(lengths.max(initial=1))):
@@ -232,7 +246,7 @@ def section_bytes(shard: int, section: int, before: int, doc_ids: list[int | Non
     return b"".join((MAGIC, head.tobytes(), known.tobytes(), null.tobytes(), counts.astype("<u8").tobytes(), ranks.tobytes(), control, data))
 
 
-def sections_of(data: bytes) -> Iterator[tuple[np.void, list[int | None], np.ndarray, np.ndarray]]:
+def sections_of(data: bytes | memoryview) -> Iterator[tuple[np.void, list[int | None], np.ndarray, np.ndarray]]:
     """Head, document ids, tokens of each document, and ids of every section of a file."""
     at, marker = 0, MARKER.encode()
     while at < len(data):
@@ -325,7 +339,7 @@ DOCUMENT = "shard long, section long, place long, doc_id long, before long, n_to
 def _documents(with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for content in b.column("content"):
-            for head, doc_ids, counts, ids in sections_of(content.as_py()):
+            for head, doc_ids, counts, ids in sections_of(memoryview(content.as_buffer())):
                 n = len(doc_ids)
                 stop = np.cumsum(counts)
                 whole = ids.astype("<u4")
@@ -360,11 +374,11 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens of each section by the heads alone."""
     for b in batches:
         for content in b.column("content"):
-            heads = list(heads_of(content.as_py()))
+            heads = list(heads_of(memoryview(content.as_buffer())))
             yield pa.RecordBatch.from_pydict({k: pa.array([int(h[k]) for h in heads], pa.int64()) for k in ("shard", "tokens")})
 
 
-def heads_of(data: bytes) -> Iterator[np.void]:
+def heads_of(data: bytes | memoryview) -> Iterator[np.void]:
     """The heads of a file's sections, skipping what lies between."""
     at = 0
     while at < len(data):
