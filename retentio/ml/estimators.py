@@ -1,6 +1,7 @@
 """Classifiers that Spark ML lacks, built from Spark ML parts.
 
-* :class:`AdaBoostClassifier` — SAMME boosting of depth-1 trees with a weight column.
+* :class:`AdaBoostClassifier` — SAMME boosting of depth-1 trees with a weight column
+  (Spark's, which try up to 31 thresholds a column, or with ``exact`` all midpoints).
   One tree fit and one aggregate per round; the working table is persisted each round
   and checkpointed (reliably, in ``spark.checkpoint.dir``) every ``checkpointInterval``
   rounds so lineage stays short and a lost executor recomputes only a few rounds.
@@ -43,6 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentio.ml.composite import CompositeModelIO
+from retentio.ml.stumps import ExactStump
 from retentio.session import checkpoint_dir
 
 
@@ -66,14 +68,15 @@ class AdaBoostClassifier(Estimator, _ClfParams, CompositeModelIO):
     numRounds = Param(Params._dummy(), "numRounds", "boosting rounds", typeConverter=TypeConverters.toInt)
     learningRate = Param(Params._dummy(), "learningRate", "shrinkage of each round", typeConverter=TypeConverters.toFloat)
     maxDepth = Param(Params._dummy(), "maxDepth", "depth of each tree", typeConverter=TypeConverters.toInt)
+    exact = Param(Params._dummy(), "exact", "trees of depth 1 by exact split search", typeConverter=TypeConverters.toBoolean)
     checkpointInterval = Param(Params._dummy(), "checkpointInterval", "rounds between checkpoints",
                                typeConverter=TypeConverters.toInt)
 
     @keyword_only
     def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction",
-                 probabilityCol="probability", numRounds=50, learningRate=1.0, maxDepth=1, checkpointInterval=10, seed=42):
+                 probabilityCol="probability", numRounds=50, learningRate=1.0, maxDepth=1, exact=False, checkpointInterval=10, seed=42):
         super().__init__()
-        self._setDefault(numRounds=50, learningRate=1.0, maxDepth=1, checkpointInterval=10, seed=42)
+        self._setDefault(numRounds=50, learningRate=1.0, maxDepth=1, exact=False, checkpointInterval=10, seed=42)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "AdaBoostModel":
@@ -89,6 +92,8 @@ class AdaBoostClassifier(Estimator, _ClfParams, CompositeModelIO):
             dt = DecisionTreeClassifier(maxDepth=self.getOrDefault(self.maxDepth), weightCol="_w", featuresCol="features",
                                         labelCol="label", predictionCol="_p", probabilityCol="_pr",
                                         rawPredictionCol="_raw", seed=self.getOrDefault(self.seed) + m)
+            if self.getOrDefault(self.exact) and self.getOrDefault(self.maxDepth) == 1:
+                dt = ExactStump(weightCol="_w", predictionCol="_p")
             tree = dt.fit(cur)
             pred = tree.transform(cur).select("features", "label", "_w",
                                               (F.col("_p") != F.col("label")).cast("double").alias("_miss"))

@@ -25,7 +25,7 @@ EVAL_METRICS = ("accuracy", "precision", "recall", "f1_score")
 # risk history
 # ---------------------------------------------------------------------------------------------
 def assessment_dates(history: DataFrame) -> DataFrame:
-    """Sorted distinct assessment dates (a partition listing on a stored history)."""
+    """Sorted distinct assessment dates of any history (:meth:`RiskHistory.dates` lists those of a stored one)."""
     return history.select(DATE).distinct().orderBy(DATE)
 
 

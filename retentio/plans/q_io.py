@@ -236,3 +236,11 @@ def q_json_array_roundtrip(spark, sf):
     note = F.col("note")
     return rounded(tb.read_table(spark, path).select("student_id", "gpa", "age", F.length(note).cast("long").alias("note_length"),
                                                      F.md5(note.cast("binary")).alias("note_md5")))
+
+
+@register("risk_store_dates", with_ctes("SELECT DISTINCT assessment_date FROM risk_history", "risk_history"))
+def q_risk_store_dates(spark, sf):
+    """Dates of a stored history, from its directories alone."""
+    store = RiskHistory(spark, _scratch(spark, "risk-history"))
+    store.write_all(fx.risk_history(spark, sf))
+    return store.dates()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from retentio.functions.bins import risk_level
 from retentio.ml import train as tr
+from retentio.ml.stumps import best_splits
 from retentio.operators import features as fe
 from retentio.operators.knn import knn_join
 from retentio.operators.split import hash_unit_sql, stratified_split
@@ -227,3 +228,23 @@ def q_split_scored(spark, sf):
     model = tr.fit_pipeline(d.filter(F.col("split") == "train"), "decision_tree")
     raw = fx.students(spark, sf).join(d.select("student_id", "split"), "student_id")
     return tr.score_students(model, raw).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- exact splits ----------------------------------------------------------------------------------
+SPLIT_COLUMNS = ("age", "gpa", "credits", "absences", "total_classes")
+_CELLS = " UNION ALL ".join(f"SELECT {q(c)} AS feature, CAST({c} AS DOUBLE) AS value, CAST(dropout AS DOUBLE) AS y FROM students WHERE {c} IS NOT NULL" for c in SPLIT_COLUMNS)
+
+
+@register("best_splits", with_ctes("", "students").rstrip() + f""", cells AS ({_CELLS}),
+counts AS (SELECT feature, value, count(*) AS w, sum(y) AS y1 FROM cells GROUP BY 1, 2),
+sides AS (SELECT feature, value, lead(value) OVER v AS next, sum(w) OVER v AS lw, sum(y1) OVER v AS l1,
+                 sum(w) OVER (PARTITION BY feature) AS tw, sum(y1) OVER (PARTITION BY feature) AS t1
+          FROM counts WINDOW v AS (PARTITION BY feature ORDER BY value)),
+scored AS (SELECT *, round((2 * l1 * (lw - l1) / lw + 2 * (t1 - l1) * ((tw - lw) - (t1 - l1)) / (tw - lw)) / tw, 12) AS gini,
+                  (least(l1, lw - l1) + least(t1 - l1, (tw - lw) - (t1 - l1))) / tw AS error FROM sides WHERE next IS NOT NULL),
+best AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY gini, value) AS n FROM scored)
+SELECT feature, round((value + next) / 2, 6) AS threshold, round(gini, 6) AS gini, round(error, 6) AS error,
+       CAST(lw AS DOUBLE) AS left_weight, l1 AS left_ones, CAST(tw - lw AS DOUBLE) AS right_weight, t1 - l1 AS right_ones FROM best WHERE n = 1""")
+def q_best_splits(spark, sf):
+    """The exact best split of each numeric column of the students."""
+    return rounded(best_splits(fx.students(spark, sf), SPLIT_COLUMNS, "dropout"))

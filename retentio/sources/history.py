@@ -48,14 +48,14 @@ HISTORY_SCHEMA = T.StructType([
 ])
 
 
-def stored(spark: SparkSession, schema: T.StructType, load: Callable[[DataFrameReader], DataFrame]) -> DataFrame:
+def stored(spark: SparkSession, schema: T.StructType | None, load: Callable[[DataFrameReader], DataFrame]) -> DataFrame:
     """A stored table, empty where nothing has been stored yet; any other failure to open it is raised."""
     try:
-        return load(spark.read.schema(schema))
+        return load(spark.read if schema is None else spark.read.schema(schema))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema or T.StructType())
 
 
 class RiskHistory:
@@ -113,15 +113,25 @@ class RiskHistory:
     def read(self) -> DataFrame:
         return stored(self.spark, RISK_SCHEMA, lambda r: r.parquet(self.root))
 
-    def get(self, date) -> DataFrame:
-        """One assessment (partition-pruned); empty when the date is missing."""
-        return rk.assessment(self.read(), date)
+    def get(self, date=None) -> DataFrame:
+        """One assessment, the latest without a date; empty when the date is missing. Opens one partition."""
+        rows, day = self.read(), date or self.latest()
+        return rk.assessment(rows, day) if day is not None else rows.limit(0)
 
     def dates(self) -> DataFrame:
-        return hs.assessment_dates(self.read())
+        """Sorted dates that have rows, from the names of their directories: no data file is opened."""
+        files = stored(self.spark, None, lambda r: r.format("binaryFile").option("pathGlobFilter", "*.parquet").load(self.root))
+        if hs.DATE not in files.columns:
+            return self.spark.createDataFrame([], f"{hs.DATE} date")
+        return files.select(F.col(hs.DATE).cast("date").alias(hs.DATE)).distinct().orderBy(hs.DATE)
+
+    def latest(self) -> dt.date | None:
+        """The latest date that has rows, by the same listing."""
+        return self.dates().agg(F.max(hs.DATE)).first()[0]
 
     def summary(self, date=None) -> DataFrame:
-        return rk.risk_summary(self.read(), date)
+        """Summary of one assessment, the latest without a date; opens one partition."""
+        return rk.risk_summary(self.read(), date or self.latest())
 
     def changes(self, date_before, date_after, labels: Sequence[str] = RISK_LEVELS) -> DataFrame:
         return rk.risk_changes(self.read(), date_before, date_after, labels)

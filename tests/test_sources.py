@@ -233,3 +233,25 @@ def test_metrics_history_documents_format(spark, tmp):
 
     lg = {(r["model_version"], r["metric_name"]): r["metric_value"] for r in explode_metrics(entries).collect()}
     assert lg == {("random_forest", "accuracy"): 0.9, ("random_forest", "f1"): 0.85, ("knn", "accuracy"): 0.7}
+
+
+def test_dates_and_the_latest_assessment_open_one_partition(spark, tmp):
+    store = RiskHistory(spark, os.path.join(tmp, "risk"))
+    assert store.dates().collect() == [] and store.latest() is None and store.summary().count() == 0 and store.get().count() == 0
+    rows = spark.createDataFrame([("S1", 0.9), ("S2", 0.2)], "student_id string, dropout_probability double")
+    for day in ("2024-01-01", "2024-03-01", "2024-02-01"):
+        store.upsert(rows, day, "m")
+    store.upsert(rows.limit(0), "2024-03-01", "m")  # replaced by nothing: its date is gone
+    assert [str(r[0]) for r in store.dates().collect()] == ["2024-01-01", "2024-02-01"] and str(store.latest()) == "2024-02-01"
+    for part in os.listdir(os.path.join(tmp, "risk", "assessment_date=2024-01-01")):  # a file that cannot be read
+        if part.endswith(".parquet"):
+            with open(os.path.join(tmp, "risk", "assessment_date=2024-01-01", part), "wb") as f:
+                f.write(b"no parquet")
+            crc = os.path.join(tmp, "risk", "assessment_date=2024-01-01", f".{part}.crc")
+            if os.path.exists(crc):
+                os.remove(crc)
+    assert len(store.dates().collect()) == 2
+    s = store.summary().first()
+    assert (str(s["assessment_date"]), s["total_students"]) == ("2024-02-01", 2) and store.get().count() == 2
+    plan = store.get()._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(assessment_date" in plan
