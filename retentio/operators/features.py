@@ -182,15 +182,20 @@ def feature_names(df: DataFrame, col: str = "features") -> list[str]:
     for kind in ("numeric", "binary", "nominal"):
         for a in attrs.get(kind, []):
             slots.append((a["idx"], a["name"]))
-    names = [n for _, n in sorted(slots)]
-    out = []
-    for n in names:
-        n = n.replace("__num", "")
-        if "__ohe_" in n:
-            base, cat = n.split("__ohe_", 1)
-            n = f"{base.replace('__idx', '').replace('__imp', '')}_{cat}"
-        out.append(n)
-    return out
+    known = _slot_names(df)
+    return [known.get(n, n.removesuffix("__num")) for _, n in sorted(slots)]
+
+
+def _slot_names(df: DataFrame) -> dict[str, str]:
+    """Assembled slot name -> shown name, from the columns of the stages and their own metadata."""
+    known = {}
+    for f in df.schema.fields:
+        if f.name.endswith("__num"):
+            known[f.name] = f.name.removesuffix("__num")
+        elif f.name.endswith("__ohe"):
+            for attrs in f.metadata.get("ml_attr", {}).get("attrs", {}).values():
+                known |= {f"{f.name}_{a['name']}": f"{f.name.removesuffix('__ohe')}_{a['name']}" for a in attrs}
+    return known
 
 
 def feature_kinds(df: DataFrame, col: str = "features") -> list[str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PREVIEW_ROWS = 100
@@ -21,10 +21,9 @@ def profile_shape(df: DataFrame) -> DataFrame:
 def target_distribution(df: DataFrame, target: str = "dropout") -> DataFrame:
     """Count and % per target value, plus the overall rate of target = 1.
 
-    The per-value aggregate has one row per distinct target value (two for a binary
-    label), so the totals window over it is tiny.
+    The totals are scalar subqueries over one more aggregate, so a target of many values stays distributed.
     """
-    g = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(target) == 1).alias("_ones"))
-    w = Window.partitionBy()
-    return g.select(target, "n", (F.col("n") * 100.0 / F.sum("n").over(w)).alias("pct"),
-                    (F.sum("_ones").over(w) / F.sum("n").over(w)).alias("dropout_rate"))
+    g = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
+    ones = F.count_if(F.col(target) == 1) / F.count(F.lit(1))
+    total, rate = df.agg(F.count(F.lit(1))).scalar(), df.agg(ones).scalar()
+    return g.select(target, "n", (F.col("n") * 100.0 / total).alias("pct"), rate.alias("dropout_rate"))

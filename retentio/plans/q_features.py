@@ -27,6 +27,26 @@ def q_profile_shape(spark, sf):
     return profile_shape(fx.students(spark, sf))
 
 
+@register("preview", with_ctes("SELECT least(count(*), 100) AS n_rows, CAST(count(DISTINCT student_id) >= least(count(*), 100) AS INTEGER) AS from_table FROM students",
+                               "students"))
+def q_preview(spark, sf):
+    """The preview has a hundred rows, or all, and each is a row of the table."""
+    from retentio.operators.profile import preview
+
+    s = fx.students(spark, sf)
+    rows = preview(s).join(s.select("student_id"), "student_id", "left_semi")
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), (F.countDistinct("student_id") == F.count(F.lit(1))).cast("int").alias("from_table"))
+
+
+@register("encode_label", with_ctes("""
+SELECT student_id, CAST(CASE WHEN faculty IS NULL THEN (SELECT count(DISTINCT faculty) FROM students)
+                             ELSE (SELECT count(DISTINCT o.faculty) FROM students o WHERE o.faculty < s.faculty) END AS DOUBLE) AS faculty_index
+FROM students s""", "students"))
+def q_encode_label(spark, sf):
+    """Faculties as numbers in alphabetical order; a missing one comes last."""
+    return fe.encode_label(fx.students(spark, sf), "faculty").select("student_id", "faculty_index")
+
+
 @register("target_distribution", with_ctes("""
 SELECT dropout, CAST(count(*) AS BIGINT) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct,
        round(sum(count_if(dropout = 1)) OVER () * 1.0 / sum(count(*)) OVER (), 6) AS dropout_rate

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from retentio.functions.bins import EXTREME_RISK
 from retentio.operators import history as hs
 from retentio.operators import risk as rk
+from retentio.plans import reports
 from retentio.plans.oracle import q, risk_level_sql, with_ctes
 from retentio.plans.queries import register, rounded
 from retentio.sources import fixtures as fx
@@ -97,6 +98,21 @@ def q_student_risk_history(spark, sf):
     return rounded(_followed(spark, sf))
 
 
+@register("risk_trends", with_ctes(f"""
+SELECT 'series' AS part, assessment_date, student_id, round(dropout_probability, 6) AS value FROM risk_history
+WHERE student_id IN (SELECT student_id FROM risk_history WHERE dropout_probability >= {EXTREME_RISK})
+UNION ALL SELECT 'line', NULL, NULL, level FROM (VALUES {", ".join(f"({float(v)})" for v in reports.TREND_REFERENCE_LINES)}) l(level)""", "risk_history"))
+def q_risk_trends(spark, sf):
+    """Series of the students once at extreme risk, over all dates, and the lines between the levels."""
+    h = fx.risk_history(spark, sf)
+    chosen = rk.extreme_risk(h.select("student_id", "dropout_probability"), EXTREME_RISK).select("student_id")
+    made = reports.risk_trends(h, chosen)
+    series = made["series"].select(F.lit("series").alias("part"), "assessment_date", "student_id", F.col("dropout_probability").alias("value"))
+    lines = made["reference_lines"].select(F.lit("line").alias("part"), F.lit(None).cast("date").alias("assessment_date"),
+                                           F.lit(None).cast("string").alias("student_id"), F.col("level").alias("value"))
+    return rounded(series.unionByName(lines))
+
+
 @register("risk_pivot", with_ctes("SELECT student_id, " + ", ".join(
     f"round(avg(dropout_probability) FILTER (WHERE assessment_date = DATE '{d}'), 6) AS \"{d}\"" for d in FOLLOW_DATES)
     + f" FROM ({_FOLLOW_SQL}) f GROUP BY student_id", "risk_history"))

@@ -152,13 +152,23 @@ def q_risk_change_summary(spark, sf):
     return rounded(rk.risk_change_summary(fx.risk_history(spark, sf), DATE_BEFORE, DATE_AFTER))
 
 
-@register("top_changes", _with_pairs("""
-SELECT direction, CAST(position AS INTEGER) AS position, student_id, round(risk_change, 6) AS risk_change FROM (
+def _top_sql(n: int, places: int) -> str:
+    return f"""
+SELECT direction, CAST(position AS INTEGER) AS position, student_id, round(risk_change, {places}) AS risk_change FROM (
   SELECT 'improved' AS direction, row_number() OVER (ORDER BY risk_change, student_id) AS position, student_id, risk_change
-  FROM (SELECT * FROM pairs ORDER BY risk_change ASC, student_id ASC LIMIT 5) i
+  FROM (SELECT * FROM pairs ORDER BY risk_change ASC, student_id ASC LIMIT {n}) i
   UNION ALL
   SELECT 'deteriorated', row_number() OVER (ORDER BY risk_change, student_id), student_id, risk_change
-  FROM (SELECT * FROM pairs ORDER BY risk_change DESC, student_id DESC LIMIT 5) d) t"""))
+  FROM (SELECT * FROM pairs ORDER BY risk_change DESC, student_id DESC LIMIT {n}) d) t"""
+
+
+@register("top_changes_shown", _with_pairs(_top_sql(10, 3)))
+def q_top_changes_shown(spark, sf):
+    """The ten largest changes either way as reports show them: three places, in the order of the exact values."""
+    return rk.top_changes(rk.risk_changes(fx.risk_history(spark, sf), DATE_BEFORE, DATE_AFTER), 10, places=3)
+
+
+@register("top_changes", _with_pairs(_top_sql(5, 6)))
 def q_top_changes(spark, sf):
     c = rk.risk_changes(fx.risk_history(spark, sf), DATE_BEFORE, DATE_AFTER)
     return rounded(rk.top_changes(c, 5))

@@ -57,3 +57,13 @@ def test_hash_split_deterministic(spark):
     a = sp.stratified_split(df, "y", "key").filter(F.col("split") == "test").count()
     b = sp.stratified_split(df.repartition(5), "y", "key").filter(F.col("split") == "test").count()
     assert a == b and 10 < a < 70
+
+
+def test_names_of_columns_and_categories_that_look_like_stages(spark):
+    from retentio.operators import features as fe
+
+    rows = [(1.0, "a__num", 2.0, "x"), (2.0, "b__ohe_c", 3.0, "y__imp"), (4.0, "a__num", 5.0, "__idx")]
+    df = spark.createDataFrame(rows, "x__number double, kind string, y__num double, z__ohe_w string")
+    out = fe.fit_features(df, target=None, ids=()).transform(df)
+    assert fe.feature_names(out) == ["x__number", "y__num", "kind_a__num", "kind_b__ohe_c", "z__ohe_w___idx", "z__ohe_w_x", "z__ohe_w_y__imp"]
+    assert fe.feature_kinds(out) == ["numeric"] * 2 + ["onehot"] * 5
