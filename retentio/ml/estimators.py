@@ -28,6 +28,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     DecisionTreeClassificationModel,
     DecisionTreeClassifier,
+    GBTClassificationModel,
     GBTClassifier,
     LinearSVC,
     LinearSVCModel,
@@ -40,6 +41,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol, HasSeed
+from pyspark.ml.regression import DecisionTreeRegressionModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,28 @@ def p1(col: str = "probability") -> F.Column:
     return vector_to_array(F.col(col))[1]
 
 
+def _prefix_margins(df: DataFrame, trees: list, votes: list[tuple[float, float, float]], rounds: list[int], features: str) -> DataFrame:
+    """``_at<i>``: 1 where the first ``rounds[i]`` trees' votes, weight * (scale * prediction + shift), add up to more than 0."""
+    out, names, margin = df, [], F.lit(0.0)
+    at = {}
+    for n, (t, (weight, scale, shift)) in enumerate(zip(trees, votes, strict=True)):
+        t = t.copy()
+        t.setFeaturesCol(features).setPredictionCol(f"_tree{n}")
+        if not isinstance(t, DecisionTreeRegressionModel):
+            t.setProbabilityCol("").setRawPredictionCol("")
+        out = t.transform(out)
+        names.append(f"_tree{n}")
+    for i, r in enumerate(rounds):
+        margin = sum((F.lit(w) * (F.lit(s) * F.col(c) + F.lit(b)) for c, (w, s, b) in zip(names[:r], votes[:r], strict=True)), F.lit(0.0))
+        at[f"_at{i}"] = (margin > 0).cast("double")
+    return out.withColumns(at).drop(*names)
+
+
+def boosted_predictions_of(model: GBTClassificationModel, df: DataFrame, rounds: list[int], features: str = "features") -> DataFrame:
+    """The same for Spark's gradient boosting, whose first trees are those of a shorter boosting with the same seed."""
+    return _prefix_margins(df, list(model.trees), [(float(w), 1.0, 0.0) for w in model.treeWeights], rounds, features)
+
+
 # ------------------------------------------------------------------------------------------
 # AdaBoost (SAMME, binary)
 # ------------------------------------------------------------------------------------------
@@ -144,6 +168,13 @@ class AdaBoostModel(Model, _ClfParams, CompositeModelIO):
     def _restore(self, subs, payload, path):
         self._trees, self._alphas = subs, payload["alphas"]
 
+    def predictions_of(self, df: DataFrame, rounds: list[int]) -> DataFrame:
+        """Predictions ``_at0``, ``_at1``, ... of the first so many rounds, from one pass over the trees.
+
+        Boosting of n rounds begins with that of fewer, so each column equals that of a model of its rounds.
+        """
+        return _prefix_margins(df, self._trees, [(a, 2.0, -1.0) for a in self._alphas], rounds, self.getFeaturesCol())
+
     @property
     def featureImportances(self) -> DenseVector:
         """The trees' importances, weighted by the trees' votes."""
@@ -348,6 +379,28 @@ class KNNModel(Model, _ClfParams, CompositeModelIO):
 
         self._points = SparkSession.active().read.parquet(f"{path}/points")
 
+    def predictions_of(self, df: DataFrame, points: list[tuple[int, str]]) -> DataFrame:
+        """Predictions ``_at0``, ``_at1``, ... of several (k, weights), from one join with the largest k.
+
+        The first k of a query's neighbours are its k neighbours, so each column equals that of a model fitted for its point.
+        """
+        from retentio.operators.knn import knn_join
+
+        idc = self.getOrDefault(self.idCol)
+        nb = knn_join(df, self._points, k=max(k for k, _ in points), query_id=idc, point_id="_pid", features=self.getFeaturesCol(), point_features="_f")
+        nb = nb.join(self._points.select("_pid", "_y"), nb.neighbor_id == F.col("_pid"))
+        # zero distance: only the exact matches vote, and they are the first neighbours
+        zero = F.min("distance").over(Window.partitionBy("query_id")) == 0
+        near = F.when(zero, (F.col("distance") == 0).cast("double")).otherwise(F.lit(1.0) / F.col("distance"))
+        nb = nb.withColumn("_near", near)
+        sums = []
+        for i, (k, weights) in enumerate(points):
+            w = F.when(F.col("rank") <= k, F.col("_near") if weights == "distance" else F.lit(1.0))
+            sums.append((F.sum(w * F.col("_y")) / F.sum(w)).alias(f"_at{i}"))
+        votes = nb.groupBy("query_id").agg(*sums)
+        out = df.join(votes, df[idc].cast("bigint") == votes.query_id, "left").drop("query_id")
+        return out.withColumns({f"_at{i}": (F.coalesce(F.col(f"_at{i}"), F.lit(0.0)) > 0.5).cast("double") for i in range(len(points))})
+
     def _transform(self, df: DataFrame) -> DataFrame:
         from retentio.operators.knn import knn_join
 

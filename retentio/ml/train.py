@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentio.functions.bins import RISK_LEVELS, risk_level
-from retentio.ml.estimators import p1
+from retentio.ml.estimators import boosted_predictions_of, p1
 from retentio.ml.registry import grid_points, make_estimator
 from retentio.operators.evaluation import binary_metrics, roc_auc
 from retentio.operators.features import ID_NAMES, add_features, build_feature_pipeline, feature_kinds, feature_names
@@ -85,12 +85,45 @@ def cross_validate(data: DataFrame, model: str = "random_forest", k: int = 5, ta
     return spark.createDataFrame(rows, "fold int, accuracy double")
 
 
+#: Parameters of which the largest fit answers all: more rounds begin with fewer, more neighbours with the nearest.
+NESTED = {"knn": ("n_neighbors", "weights"), "adaboost": ("n_estimators",), "gradient_boosting": ("n_estimators",)}
+
+
+def nested_groups(model: str, grid: list[dict]) -> list[list[int]]:
+    """Grid points that one fit answers, the largest last in each group."""
+    nested = NESTED.get(model, ())
+    groups: dict[str, list[int]] = {}
+    for i, point in enumerate(grid):
+        rest = json.dumps({k: v for k, v in point.items() if k not in nested}, default=str) if nested else str(i)
+        groups.setdefault(rest, []).append(i)
+    size = lambda i: [grid[i].get(k, 0) for k in nested if k != "weights"]
+    return [sorted(g, key=size) for g in groups.values()]
+
+
+def _nested_f1(model: str, fitted, test: DataFrame, points: list[dict]) -> list[float]:
+    """F1 of each point from one fit and one pass over the test rows."""
+    if model == "knn":
+        pred = fitted.predictions_of(test, [(p["n_neighbors"], p["weights"]) for p in points])
+    elif model == "adaboost":
+        pred = fitted.predictions_of(test, [p["n_estimators"] for p in points])
+    else:
+        pred = boosted_predictions_of(fitted, test, [p["n_estimators"] for p in points])
+    y = F.col("label") == 1
+    cells = []
+    for i in range(len(points)):
+        hit = F.col(f"_at{i}") == 1
+        cells += [F.count_if(y & hit).alias(f"tp{i}"), F.count_if(~y & hit).alias(f"fp{i}"), F.count_if(y & ~hit).alias(f"fn{i}")]
+    r = pred.agg(*cells).first()
+    return [2 * r[f"tp{i}"] / n if (n := 2 * r[f"tp{i}"] + r[f"fp{i}"] + r[f"fn{i}"]) else 0.0 for i in range(len(points))]
+
+
 def tune(train_df: DataFrame, model: str, k: int = 3, target: str = "dropout", key: str = "student_id",
          seed: int = 42, parallelism: int = 4) -> tuple[dict, DataFrame]:
     """Grid search scored by the positive-class F1 over k stratified folds.
 
     The feature pipeline is fitted once per fold (on that fold's training part) and both
-    sides are cached; each grid point then fits only the estimator. Grid points run
+    sides are cached. Grid points that differ only in rounds, neighbours or their weighting share
+    one fit (``NESTED``), which is scored for all of them in one pass; each group runs
     concurrently (``parallelism`` Spark jobs at a time), like CrossValidator. Returns the
     best parameters and a DataFrame (params json, mean_f1).
     """
@@ -108,16 +141,26 @@ def tune(train_df: DataFrame, model: str, k: int = 3, target: str = "dropout", k
         width = xtr.schema["features"].metadata.get("ml_attr", {}).get("num_attrs") or len(xtr.first()["features"])
         folds.append((xtr, xte, int(width), xtr.count()))
 
-    def score(params):
-        f1s = []
+    def score(group):
+        """Mean F1 over the folds of each point of a group that shares its fits."""
+        total = [0.0] * len(group)
         for xtr, xte, width, n in folds:
-            est = make_estimator(model, n_features=width, n_rows=n, key_col=key, seed=seed, **params)
-            m = PipelineModel(stages=[est.fit(xtr)])
-            f1s.append(float(evaluate(m, xte)["f1"]))
-        return sum(f1s) / len(f1s)
-
+            largest = grid[group[-1]]
+            est = make_estimator(model, n_features=width, n_rows=n, key_col=key, seed=seed, **largest)
+            fitted = est.fit(xtr)
+            if len(group) == 1:
+                f1s = [float(evaluate(PipelineModel(stages=[fitted]), xte)["f1"])]
+            else:
+                f1s = _nested_f1(model, fitted, xte, [grid[i] for i in group])
+            total = [t + f for t, f in zip(total, f1s, strict=True)]
+        return [t / len(folds) for t in total]
+
+    groups = nested_groups(model, grid)
+    scores = [0.0] * len(grid)
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        scores = list(ex.map(score, grid))
+        for group, found in zip(groups, ex.map(score, groups), strict=True):
+            for i, f1 in zip(group, found, strict=True):
+                scores[i] = f1
     for xtr, xte, _, _ in folds:
         xtr.unpersist()
         xte.unpersist()

@@ -9,6 +9,7 @@ from retentio.functions.bins import risk_level
 from retentio.ml import train as tr
 from retentio.ml.stumps import best_splits
 from retentio.operators import features as fe
+from retentio.operators import knn_lsh
 from retentio.operators.knn import knn_join
 from retentio.operators.split import hash_unit_sql, stratified_split
 from retentio.plans.oracle import age_group_sql, q, risk_level_sql, with_ctes
@@ -151,6 +152,15 @@ def q_feature_names(spark, sf):
                                  "slot int, feature string, kind string")
 
 
+@register("knn_lsh")
+def q_knn_lsh(spark, sf):
+    """Five near neighbours of every vector by hash tables fitted to find 95 in 100 of a sample's nearest."""
+    v = fx.vectors(spark, sf)
+    args = {"point_id": "vec_id", "features": "embedding"}
+    lsh, _ = knn_lsh.fit_lsh(v, k=KNN_K, **args)
+    return rounded(knn_lsh.knn_lsh_join(v, v, lsh, k=KNN_K, query_id="vec_id", exclude_self=True, **args))
+
+
 # --- rows-only ML queries ------------------------------------------------------------------
 @register("score_students")
 def q_score_students(spark, sf):
