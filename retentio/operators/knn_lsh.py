@@ -4,8 +4,8 @@ Each of ``tables`` hash tables cuts ``hashes`` random projections into steps of
 projections for Euclidean, Cauchy for Manhattan distance); near points fall into one bucket. A point lies in its own
 bucket of each table; a query also looks into the ``probes`` buckets whose border is nearest to it. Candidates
 are ranked by their exact distances, inside the cell that holds their buckets, so only k rows per
-query leave a cell and no pair is ever a row. A bucket with more points than a block is dealt into several
-cells. A query that finds fewer than k points goes through the exact join.
+query leave a cell and no pair is ever a row. A bucket with more points or more queries than a cell may hold is dealt into
+several cells. A query that finds fewer than k points goes through the exact join.
 
 It is for callers who ask for it: :func:`retentio.operators.knn.knn_join` stays exact at every size. What
 recall the tables give depends on the data: :func:`fit_lsh` measures it on a sample, :func:`knn_recall` on a result.
@@ -30,6 +30,8 @@ from retentio.session import checkpoint_dir
 WIDTHS = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0, 4.0, 6.0, 8.0)
 #: Points and queries of the sample on which it measures.
 SAMPLE_POINTS, SAMPLE_QUERIES = 4096, 256
+#: A cell of buckets holds rows of many tables at once: this part of an exact join's block.
+CELL_SHARE = 4
 
 
 @dataclass(frozen=True)
@@ -121,8 +123,8 @@ def _bucket_cell(k: int, metric: str, exclude_self: bool):
     """The k best per query of a cell, bucket by bucket."""
     def fn(qp: pd.DataFrame, pp: pd.DataFrame) -> pd.DataFrame:
         Q, X, qids, pids = knn.stacked(qp), knn.stacked(pp), qp["_id"].to_numpy(), pp["_id"].to_numpy()
-        groups, parts = pp.groupby(["_key", "_part"], sort=False).indices, []
-        for key, rows in qp.groupby(["_key", "_part"], sort=False).indices.items():
+        groups, parts = pp.groupby(["_key", "_part", "_ask"], sort=False).indices, []
+        for key, rows in qp.groupby(["_key", "_part", "_ask"], sort=False).indices.items():
             mine = groups.get(key)
             if mine is not None:
                 parts.append(knn.nearest(Q[rows], qids[rows], X[mine], pids[mine], k, metric, exclude_self))
@@ -139,6 +141,24 @@ def _bucket_cell(k: int, metric: str, exclude_self: bool):
     return fn
 
 
+def dealt(held: DataFrame, asked: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_part`` and ``_ask``: of each bucket the parts of its points and of its queries, of about ``rows`` each.
+
+    Every part of the points meets every part of the queries. Only buckets with more than ``rows`` of either are dealt,
+    and there are at most as many of them as all rows by ``rows``.
+    """
+    one, none = F.lit(1), F.lit(0)
+    sizes = (held.select("_key", one.alias("p"), none.alias("q")).unionByName(asked.select("_key", none.alias("p"), one.alias("q")))
+             .groupBy("_key").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).filter((F.col("p") > rows) | (F.col("q") > rows)))
+    parts = lambda n: F.greatest(F.ceil(F.col(n) / rows), one).cast("int")
+    hot = F.broadcast(sizes.select("_key", parts("p").alias("_ps"), parts("q").alias("_qs")))
+    ps, qs = F.coalesce("_ps", one), F.coalesce("_qs", one)
+    own = lambda n: F.pmod(F.xxhash64("_id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(none, n - 1))
+    return (held.join(hot, "_key", "left").withColumn("_part", own(ps)).withColumn("_ask", every(qs)),
+            asked.join(hot, "_key", "left").withColumn("_ask", own(qs)).withColumn("_part", every(ps)))
+
+
 def knn_lsh_join(queries: DataFrame, points: DataFrame, lsh: Lsh, k: int = 5, query_id: str = "id", point_id: str = "id",
                  features: str = "features", exclude_self: bool = False, point_features: str | None = None, block_rows: int = 50_000) -> DataFrame:
     """For every query row, k near points, most of them the nearest: (query_id, rank, neighbor_id, distance).
@@ -154,17 +174,15 @@ def knn_lsh_join(queries: DataFrame, points: DataFrame, lsh: Lsh, k: int = 5, qu
     spread = lambda df, probes: (df.mapInPandas(_keyed(lsh, probes), schema)
                                  .select("_id", "_v", F.explode(F.array_distinct("_keys")).alias("_key")))
     held, asked = spread(p, 0), spread(q, lsh.probes)
-    n_p = points.count()
+    n_q, n_p = queries.count(), points.count()
     slots = spark.sparkContext.defaultParallelism
-    cells = min(max(knn.CELLS_PER_SLOT * slots, math.ceil(lsh.tables * n_p / block_rows)), knn.MAX_TASKS)
-    # a bucket of more than a block goes to several cells; there are at most tables * points / block_rows of them
-    hot = held.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_rows)
-    hot = F.broadcast(hot.select("_key", F.ceil(F.col("n") / block_rows).cast("int").alias("_parts")))
-    parts = F.coalesce("_parts", F.lit(1))
-    held = held.join(hot, "_key", "left").withColumn("_part", F.pmod(F.xxhash64("_id"), parts).cast("int")).drop("_parts")
-    asked = asked.join(hot, "_key", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    cell = F.pmod(F.xxhash64("_key", "_part"), F.lit(cells)).cast("int").alias("_cell")
-    held, asked = (df.select("_id", "_v", "_key", "_part", cell).repartition(cells, "_cell") for df in (held, asked))
+    # rows of either side that a bucket's cell holds at most; a cell of small buckets holds about as many of both together
+    rows = max(1, block_rows // CELL_SHARE)
+    all_rows = lsh.tables * (n_p + (1 + min(lsh.probes, len(lsh.moves()))) * n_q)
+    cells = min(max(knn.CELLS_PER_SLOT * slots, math.ceil(all_rows / rows)), knn.MAX_TASKS)
+    held, asked = dealt(held, asked, rows)
+    cell = F.pmod(F.xxhash64("_key", "_part", "_ask"), F.lit(cells)).cast("int").alias("_cell")
+    held, asked = (df.select("_id", "_v", "_key", "_part", "_ask", cell).repartition(cells, "_cell") for df in (held, asked))
     found = (asked.groupBy("_cell").cogroup(held.groupBy("_cell"))
              .applyInPandas(_bucket_cell(k, lsh.metric, exclude_self), "query_id bigint, neighbor_id bigint, distance double"))
     best = found.groupBy("query_id", "neighbor_id").agg(F.min("distance").alias("distance"))

@@ -66,6 +66,17 @@ def test_hot_bucket_is_dealt_into_cells(spark):
     assert {r["neighbor_id"] for r in got.filter("query_id < 400").collect()} == {0, 1, 2}
 
 
+def test_queries_of_a_hot_bucket_are_dealt_too(spark):
+    held = spark.createDataFrame([(i, 7) for i in range(90)] + [(i, 8) for i in range(5)], "_id long, _key long")
+    asked = spark.createDataFrame([(i, 7) for i in range(900)] + [(i, 8) for i in range(5)], "_id long, _key long")
+    h, a = L.dealt(held, asked, 30)
+    for side in (h, a):
+        sizes = {r["_key"]: r["most"] for r in side.groupBy("_key", "_part", "_ask").count().groupBy("_key").agg(F.max("count").alias("most")).collect()}
+        assert sizes[7] < 60 and sizes[8] == 5
+    meet = h.select("_key", "_part", "_ask", F.col("_id").alias("p")).join(a.select("_key", "_part", "_ask", F.col("_id").alias("q")), ["_key", "_part", "_ask"])
+    assert meet.count() == meet.distinct().count() == 90 * 900 + 25
+
+
 def test_probes_are_neighbouring_buckets_and_keys_do_not_depend_on_the_batch():
     lsh = L.Lsh(8, 1.0, tables=3, hashes=4, probes=6)
     x = np.random.default_rng(2).normal(0, 1, (50, 8))
