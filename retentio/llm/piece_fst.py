@@ -31,10 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retentio.llm.common import release_freed, slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words of one generation of remembered paths (a worker holds two), and pairs of pieces.
-WORDS, PAIRS = 1 << 19, 1 << 19
+#: Words of one generation of remembered paths, and pairs of pieces: about 70 MB a worker.
+WORDS, PAIRS = 1 << 18, 1 << 18
+#: Characters of the texts that are encoded at a time, about; the batches they come in may be far larger.
+SLICE_CHARS = 1 << 20
 NO_PAIRS: dict[str, bool] = {}
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # fixed values: piece types of the file format
 UNIGRAM, BPE = 1, 2  # fixed values: model types of the file format
@@ -45,35 +49,38 @@ codecs.register_error("piece", lambda e: ("�" * (e.end - e.start), e.end))
 class _Paths(dict):
     """word -> number of its path in this generation's arrays, found when it is first asked for.
 
-    A full generation becomes the former one: a word that is asked for again is copied from
-    it, the others are forgotten with it.
+    A full generation is followed by one that begins with the words that were asked for again, by a
+    later text; the others, most of which occur once, are forgotten.
     """
 
     def __init__(self, fst: PieceTransducer, former: _Paths | None = None):
         super().__init__()
-        self.fst, self.former = fst, former
-        if former is not None:
-            former.former = None
-        self.flat, self.at, self.size = array("i"), array("q"), array("q")
+        self.fst = fst
+        self.flat, self.at, self.size, self.again = array("i"), array("i"), array("i"), bytearray()
+        kept = [w for w, n in former.items() if former.again[n]] if former is not None else []
+        for word in kept if len(kept) <= WORDS // 2 else ():
+            self._put(word, former.ids(word))
 
     def ids(self, word: str) -> array:
         n = self[word]
         return self.flat[self.at[n] : self.at[n] + self.size[n]]
 
-    def __missing__(self, word: str) -> int:
-        if self.former is not None and word in self.former:
-            ids = self.former.ids(word)
-        else:
-            ids = self.fst._found(word)
+    def _put(self, word: str, ids: array | list[int]) -> int:
         self.at.append(len(self.flat))
         self.size.append(len(ids))
         self.flat.extend(ids)
+        self.again.append(0)
         self[word] = n = len(self.at) - 1
         return n
 
+    def __missing__(self, word: str) -> int:
+        return self._put(word, self.fst._found(word))
+
     def paths(self, words: list[str]) -> np.ndarray:
+        known = len(self.at)
         which = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return ragged(*(np.frombuffer(a, t) for a, t in ((self.flat, np.int32), (self.at, np.int64), (self.size, np.int64))), which)
+        np.frombuffer(self.again, np.uint8)[which[which < known]] = 1
+        return ragged(*(np.frombuffer(a, np.int32) for a in (self.flat, self.at, self.size)), which)
 
 
 class PieceTransducer:
@@ -274,8 +281,9 @@ def _transducer(shared) -> PieceTransducer:
 
 
 def _encode(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release_freed()  # of the stages that this worker ran before
     fst = _transducer(shared)
-    for b in batches:
+    for b in slices(batches, "text", SLICE_CHARS):
         ids, fallback, restored = [], [], []
         for text in b.column("text").to_pylist():
             if text is None:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import BLOCK_BYTES, KEYS, answers_of, ask_and_answer, block_count, blocks, buckets_of
+from retentio.llm.common import BLOCK_BYTES, KEYS, answers_of, ask_and_answer, block_count, blocks, buckets_of, release_freed
 
 WINDOW = 16
 #: Bytes without white space (a power of two) after which a boundary needs none.
@@ -153,6 +153,7 @@ class Chunks:
 
 
 def _ask(n: int, bits: int, longest: int, t: pa.Table) -> list[dict[str, np.ndarray]]:
+    release_freed()  # of the block before
     return Chunks(t, bits, longest).asked(n)
 
 
@@ -169,6 +170,7 @@ def _owned_elsewhere(asked: list[dict[str, np.ndarray]]) -> list[np.ndarray]:
 
 
 def _apply(bits: int, longest: int, min_words: int, min_bytes: int, t: pa.Table, answers: pa.Table) -> pa.Table:
+    release_freed()
     c = Chunks(t, bits, longest)
     got = answers_of(answers, "u1")
     s, e, n = c.removed(np.concatenate(got) if got else np.empty(0, np.uint8), min_words, min_bytes)
