@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from functools import partial
 from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,6 +68,21 @@ def _batch(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[bytes] | None]]:
+    """(file, block, length, size) and lines of each split in each batch; None for lines at a batch's end.
+
+    What is the same for all lines of a split becomes a Python value once, not once a line.
+    """
+    for b in batches:
+        if b.num_rows:
+            block, file = b.column("block").to_numpy(), b.column("file").dictionary_encode().indices.to_numpy()
+            cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (file[1:] != file[:-1])) + 1).tolist(), b.num_rows]
+            lines = b.column("line").to_pylist()
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                yield tuple(b.column(n)[s].as_py() for n in ("file", "block", "length", "size")), lines[s:e]
+        yield (), None
+
+
 SPLITS = "file string, block long, length long, after_out boolean, after_in boolean, opens_out boolean, opens_in boolean"
 
 
@@ -74,17 +90,25 @@ def _splits(sep: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     """Of each split: the state after it for either state before it, and whether a line then ends inside quotes."""
     last, state, opens = None, [False, True], [False, False]
     rows: list[tuple] = []
-    for b in batches:
-        for file, block, length, line in zip(*(b.column(n).to_pylist() for n in ("file", "block", "length", "line")), strict=True):
-            if (file, block, length) != last:
-                if last:
-                    rows.append((*last, *state, *opens))
-                last, state, opens = (file, block, length), [False, True], [False, False]
+    for split, lines in _runs(batches):
+        if lines is None:
+            yield _batch(SPLITS, rows)
+            rows = []
+            continue
+        if split[:3] != last:
+            if last:
+                rows.append((*last, *state, *opens))
+            last, state, opens = split[:3], [False, True], [False, False]
+        for line in lines:
             if QUOTE in line:
-                state = [inside_after(line, s, sep) for s in state]
-            opens = [a or s for a, s in zip(opens, state, strict=True)]
-        yield _batch(SPLITS, rows)
-        rows = []
+                out, inside = state
+                out = inside_after(line, out, sep)
+                # two starts that once agree agree from there on
+                state = [out, out if state[0] == inside else inside_after(line, inside, sep)]
+            if state[0]:
+                opens[0] = True
+            if state[1]:
+                opens[1] = True
     if last:
         yield _batch(SPLITS, [(*last, *state, *opens)])
 
@@ -136,23 +160,26 @@ def _records(sep: bytes, encoding: str, inside: frozenset[tuple[str, int]], spli
             first = False
         held = []
 
-    for b in batches:
-        for file, block, length, size, line in zip(*(b.column(n).to_pylist() for n in ("file", "block", "length", "size", "line")), strict=True):
-            if (file, block) != last:
-                if held:
-                    put(THROUGH if piece == CLOSE else OPEN)
-                if block % split or (length != split and block + length != size):
-                    raise RuntimeError(f"{file}: splits are not those of the first pass, read it again")
-                last, state, first = (file, block), (file, block) in inside, block == 0
-                piece = CLOSE if state else WHOLE
+    for place, lines in _runs(batches):
+        if lines is None:
+            yield _batch(RECORDS, out)
+            out = []
+            continue
+        file, block, length, size = place
+        if (file, block) != last:
+            if held:
+                put(THROUGH if piece == CLOSE else OPEN)
+            if block % split or (length != split and block + length != size):
+                raise RuntimeError(f"{file}: splits are not those of the first pass, read it again")
+            last, state, first = (file, block), (file, block) in inside, block == 0
+            piece = CLOSE if state else WHOLE
+        for line in lines:
             held.append(line)
             if QUOTE in line:
                 state = inside_after(line, state, sep)
             if not state:
                 put(piece)
                 piece = WHOLE
-        yield _batch(RECORDS, out)
-        out = []
     if held:
         put(THROUGH if piece == CLOSE else OPEN)
     yield _batch(RECORDS, out)
@@ -221,9 +248,9 @@ def read_spanning(spark: SparkSession, files: list[str], sep: str, encoding: str
     rows = records(spark, files, sep, encoding)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    headers: dict[tuple[str, ...], list[str]] = {}
-    for r in rows.filter("first").select("file", "record").limit(len(files)).collect():  # a record per file
-        headers.setdefault(header_names(spark, r["record"], sep) if schema is None else (), []).append(r["file"])
+    headers: dict[tuple[str, ...], list[str]] = {} if schema is None else {(): files}  # names are given: no pass for them
+    for r in rows.filter("first").select("file", "record").limit(len(files)).collect() if schema is None else ():  # a record per file
+        headers.setdefault(header_names(spark, r["record"], sep), []).append(r["file"])
     body = rows.filter(~F.col("first"))
     parts = [parse(body if len(headers) == 1 else body.filter(F.col("file").isin(own)), list(names), sep, schema) for names, own in sorted(headers.items())]
     out = parts[0]

@@ -11,7 +11,7 @@ import os
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,18 +123,18 @@ def _csv_files(spark: SparkSession, path: str) -> dict[str, tuple[str, str, bool
     seps = [f"n{i}" for i in range(len(CSV_SEPARATORS))]
     meta = F.col("_metadata")
     lines = (spark.read.text(path).filter(F.length("value") > 0)
-             .select(meta["file_path"].alias("file"), F.struct(meta["file_block_start"], F.monotonically_increasing_id()).alias("place"),
+             .select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("id"),
                      F.is_valid_utf8("value").alias("utf8"), undefined.alias("odd"), F.expr("contains(cast(value as binary), X'22')").alias("quoted"),
                      *[(F.length(plain) - F.length(F.translate(plain, s, ""))).alias(n) for n, s in zip(seps, CSV_SEPARATORS)]))
-    shapes = lines.groupBy("file", *seps).agg(F.count(F.lit(1)).alias("lines"), F.min("place").alias("place"), F.min("utf8").alias("utf8"),
-                                              F.max("odd").alias("odd"), F.max("quoted").alias("quoted"))
+    # numbers of lines first, places later: an aggregate that keeps structs sorts all lines
+    counts = lines.groupBy("file", "block", *seps).agg(F.count(F.lit(1)).alias("lines"), F.min("id").alias("id"), F.min("utf8").alias("utf8"),
+                                                       F.max("odd").alias("odd"), F.max("quoted").alias("quoted"))
     # the header is the file's first line; lines within a quoted text seldom have as many separators
-    head = shapes.groupBy("file").agg(F.min_by(F.struct(*seps), "place").alias("head"), F.min("utf8").alias("utf8"), F.max("odd").alias("odd"),
-                                      F.max("quoted").alias("quoted"))
+    of_file = Window.partitionBy("file")
+    shapes = counts.withColumn("head", F.min_by(F.struct(*seps), F.struct("block", "id")).over(of_file))
     votes = [F.sum(F.when((F.col(n) > 0) & (F.col(n) == F.col(f"head.{n}")), F.col("lines"))) for n in seps]
-    found = (shapes.select("file", *seps, "lines").join(head, "file").groupBy("file")
-             .agg(F.first("utf8").alias("utf8"), F.first("odd").alias("odd"), F.first("quoted").alias("quoted"),
-                  F.max("head").alias("head"), F.array(*votes).alias("votes")).collect())
+    found = (shapes.groupBy("file").agg(F.min("utf8").alias("utf8"), F.max("odd").alias("odd"), F.max("quoted").alias("quoted"),
+                                        F.max("head").alias("head"), F.array(*votes).alias("votes")).collect())
     out = {}
     for r in found:
         best = max((v, r["head"][n], -i) for i, (v, n) in enumerate(zip([v or 0 for v in r["votes"]], seps)))
