@@ -141,3 +141,12 @@ def test_written_text_comes_back_here_and_in_pandas(spark, tmp, sep):
     assert _cells(tb.read_table(spark, path, "id string, note string")) == want
     part = next(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".csv"))
     assert _pandas(part, sep=sep) == want
+
+
+def test_a_given_schema_needs_no_pass_for_headers(spark, tmp, monkeypatch):
+    path = os.path.join(tmp, "t.csv")
+    with open(path, "w", newline="") as f:
+        f.write('a,b\n1,"x\ny"\n2,"q ""r"", s\n\nt"\n3,plain\n')
+    monkeypatch.setattr(type(spark.range(1)), "limit", lambda *_: pytest.fail("a pass over all records for their headers"))
+    got = Q.read_spanning(spark, [path], ",", "utf-8", "a int, b string", True)
+    assert sorted(map(tuple, got.collect())) == [(1, "x\ny"), (2, 'q "r", s\n\nt'), (3, "plain")]
