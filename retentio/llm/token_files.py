@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm.common import documents_of
+from retentio.llm.common import documents_of, release_freed
 
 # fixed values of the format
 MAGIC = b"TIDS\x00\x01\r\n"
@@ -52,8 +52,8 @@ SECTION_TOKENS = 1 << 20
 SECTIONS = 8
 #: Text bytes of one shard, at least; there are at most ``SHARDS`` shards.
 SHARD_BYTES, SHARDS = 32 << 20, 100_000
-#: Text bytes that are encoded at a time, and units of text that a worker remembers with their ids.
-ENCODE_BYTES, REMEMBERED = 8 << 20, 1 << 19
+#: Text bytes that are encoded at a time, and units of text that a worker remembers with their ids, at most.
+ENCODE_BYTES, REMEMBERED = 3 << 20, 3 << 17
 #: Units that the library encodes in one call, at most.
 AT_ONCE = 1 << 14
 #: Units longer than this are not remembered.
@@ -143,10 +143,11 @@ class Encoder:
     def units(self, units: list[str]) -> list[bytes]:
         known, older = self.known, self.older
         out = list(map(known.get, units))
+        missing = [i for i, x in enumerate(out) if not x]
+        asked = [units[i] for i in missing]
         one, other, add = [], [], []
-        for i in [i for i, x in enumerate(out) if not x]:
-            u = units[i]
-            if x := older.get(u):
+        for i, u, x in zip(missing, asked, map(older.get, asked), strict=True):
+            if x:
                 out[i] = x
                 add.append(i)
             elif u[:1] == " " and u[1:].isalpha() and (u.isascii() or max(u) < PLAIN):
@@ -154,16 +155,17 @@ class Encoder:
             else:
                 other.append(i)
         for a in range(0, len(one), AT_ONCE):
-            for i, x in zip(one[a : a + AT_ONCE], self.words([units[i] for i in one[a : a + AT_ONCE]]), strict=True):
+            some = one[a : a + AT_ONCE]
+            for i, x in zip(some, self.words([units[i] for i in some]), strict=True):
                 out[i] = x
         for i, x in zip(other, self.whole([units[i] for i in other]), strict=True):
             out[i] = x
-        if len(known) > REMEMBERED // 2:  # two generations: what was used since the last change stays
+        new = [i for i in (*add, *one, *other) if len(units[i]) <= UNIT_CHARS][: REMEMBERED // 2]
+        if len(known) + len(new) > REMEMBERED // 2:  # two generations: what was used since the last change stays
             self.older, self.known = known, {}
             known = self.known
-        for i in (*add, *one, *other):
-            if len(units[i]) <= UNIT_CHARS:
-                known[units[i]] = out[i]
+        for i in new:
+            known[units[i]] = out[i]
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -176,17 +178,20 @@ class Encoder:
             lists = pc.split_pattern(cut_texts(texts), CUT)
             bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             coded = lists.flatten().dictionary_encode()
-            entries = self.units(coded.dictionary.to_pylist())
-            index = coded.indices.to_numpy().astype(np.int64)
+            distinct = pa.LargeListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+            entries = self.units(pc.binary_join(distinct, pa.scalar(CUT, pa.large_string()))[0].as_py().split(CUT))  # no unit holds it; far less work than a string each
+            index = coded.indices.to_numpy()
         else:
             entries, index, bounds = self.whole(texts.to_pylist()), np.arange(n), np.arange(n + 1)
         index = np.insert(index, bounds[1:], len(entries))
         entries.append(self.end.tobytes())
-        sizes = np.array([len(e) for e in entries], np.int64) // 4
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
         flat = np.frombuffer(b"".join(entries), "<u4")
         size = sizes[index]
         stop = np.cumsum(size)
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[index] - (stop - size), size) + np.arange(int(stop[-1]))]
+        total = int(stop[-1])
+        whole = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+        ids = flat[np.repeat(((np.cumsum(sizes) - sizes)[index] - (stop - size)).astype(whole), size) + np.arange(total, dtype=whole)]
         return ids, np.diff(stop[bounds[1:] + np.arange(n)], prepend=0)
 
 
@@ -293,6 +298,7 @@ def _sections(tokenizer: str, end_id: int | None, section_tokens: int, batches:
         nonlocal section, before, held, size
         made = section_bytes(shard, section, before, [d for h in held for d in h[0]], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]))
         section, before, held, size = section + 1, before + size, [], 0
+        release_freed()  # or what a section took stays with the worker, also while other stages run
         return pa.RecordBatch.from_pydict({"section": pa.array([made], pa.binary())})
 
     for b in _pieces(batches):
@@ -350,6 +356,7 @@ def _documents(with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
                     "shard": pa.array(np.full(n, head["shard"])), "section": pa.array(np.full(n, head["section"])), "place": pa.array(np.arange(n)),
                     "doc_id": pa.array(doc_ids, pa.int64()), "before": pa.array(int(head["before"]) + stop - counts), "n_tokens": pa.array(counts),
                     "ids_crc32": pa.array(crc, pa.int64()), "ids": pa.ListArray.from_arrays(offsets, values)})
+    release_freed()
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:

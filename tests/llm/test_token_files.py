@@ -41,6 +41,27 @@ def test_units_are_forgotten_without_a_change(monkeypatch):
         assert ids.tolist() == [i for t in texts for i in tokens(t)] and counts.sum() == len(ids)
 
 
+def test_generations_hold_no_more_than_they_may(monkeypatch):
+    monkeypatch.setattr(T, "REMEMBERED", 40)
+    encoder, tokens = T.Encoder(BYTES, None), slow_tokens()
+    for k in range(6):  # one batch has more distinct units than a generation holds, the others fill it
+        texts = [" ".join(f"w{k}x{i}" for i in range(300 if k == 2 else 9)), "red green"]
+        assert encoder.encode(pa.array(texts))[0].tolist() == [i for t in texts for i in tokens(t)]
+        assert len(encoder.known) <= 20 and len(encoder.older) <= 20
+
+
+def test_freed_memory_goes_back_with_each_section(monkeypatch):
+    class Task:
+        get = classmethod(lambda cls: cls)
+        partitionId = staticmethod(lambda: 0)
+
+    given = []
+    monkeypatch.setattr(T, "TaskContext", Task)
+    monkeypatch.setattr(T, "release_freed", lambda: given.append(1), raising=False)
+    b = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(6), pa.int64()), "text": pa.array(["one two three"] * 6)})
+    assert len(list(T._sections(BYTES, 2, 8, iter([b])))) == len(given) == 3
+
+
 @pytest.mark.parametrize("top", [1, 200, 300, 70_000, 1 << 25, (1 << 32) - 1])
 def test_numbers_round_trip(top):
     rng = np.random.default_rng(3)
