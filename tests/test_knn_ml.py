@@ -2,11 +2,13 @@ import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from retentio.ml import train as tr
 from retentio.ml.estimators import AdaBoostClassifier, KNNClassifier, StackingClassifier, SVMClassifier, p1
+from retentio.operators import knn
 from retentio.operators.knn import knn_join
 from retentio.sources.tables import synthetic_students
 
@@ -169,3 +171,34 @@ def test_grids_hold_no_equal_points():
     from retentio.ml.registry import grid_points
 
     assert len(grid_points("random_forest")) == 27 and len(grid_points("decision_tree")) == 18 and len(grid_points("knn")) == 8
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_cell_selects_among_minima_of_groups_only(monkeypatch, metric, exclude_self):
+    rng = np.random.default_rng(5)
+    X = np.concatenate((rng.normal(size=(1500, 4)), rng.integers(0, 3, (1500, 4)).astype(float)))  # the second half is full of ties
+    ids, q = rng.permutation(len(X)), rng.choice(len(X), 40, replace=False)
+    k, widths, partition = 3, [], np.partition
+
+    def counted(a, *args, **kwargs):
+        widths.append(a.shape[1])
+        return partition(a, *args, **kwargs)
+
+    monkeypatch.setattr(knn.np, "partition", counted)
+    got = list(zip(*(x.tolist() for x in knn.nearest(X[q], ids[q], X, ids, k, metric, exclude_self))))
+    assert max(widths) <= knn.GROUPS * (k + 1) < len(X) // 2
+    want = []
+    for i in q:
+        diff = X - X[i]
+        dist = np.sqrt((diff * diff).sum(axis=1)) if metric == "euclidean" else np.abs(diff).sum(axis=1)
+        best = sorted((d, p) for d, p in zip(dist.tolist(), ids.tolist()) if not (exclude_self and p == ids[i]))[:k]
+        want += [(int(ids[i]), p, d) for d, p in best]
+    assert sorted(got) == sorted(want)
+    # distances that are no numbers, or fewer points than groups: selected among all
+    assert len(knn.nearest(X[q], ids[q], X[:20], ids[:20], k, metric, False)[0]) == k * len(q)
+    odd = X.copy()
+    odd[7] = np.inf
+    with np.errstate(all="ignore"):
+        knn.nearest(X[q], ids[q], odd, ids, k, "manhattan", False)
+    assert widths[-1] == len(X)
