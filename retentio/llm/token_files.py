@@ -53,25 +53,26 @@ SECTIONS = 8
 #: Text bytes of one shard, at least; there are at most ``SHARDS`` shards.
 SHARD_BYTES, SHARDS = 32 << 20, 100_000
 #: Text bytes that are encoded at a time, and units of text that a worker remembers with their ids, at most.
-ENCODE_BYTES, REMEMBERED = 3 << 20, 3 << 17
+ENCODE_BYTES, REMEMBERED = 6 << 20, 3 << 17
 #: Units that the library encodes in one call, at most.
 AT_ONCE = 1 << 14
 #: Units longer than this are not remembered.
-UNIT_CHARS = 64
+UNIT_BYTES = 64
 
 
 # ---- encoding -----------------------------------------------------------------------------
-#: Put where a text is cut; texts that hold it are encoded whole.
-CUT = "\x01"
-BLANK = r"\t-\r \x{85}\p{Z}"
-#: A byte-level tokenizer with its usual pattern never joins a character that is no white space with white space behind it, a
-#: lone line break with what follows, or a letter with a mark behind it. Texts are cut there: pattern and what replaces it.
-CUTS = ((rf"([^{BLANK}])([ \n]+)", rf"\1{CUT}\2"), (rf"{CUT}\n([^{BLANK}{CUT}])", CUT + "\n" + CUT + r"\1"))
-#: The same for texts without two blanks in a row, and the cut before marks.
-LONE = ((" ", CUT + " "), ("\n", CUT + "\n" + CUT))
-MARKS = (r"([A-Za-z])([.,!?;:%$#&*]+)", rf"\1{CUT}\2")
-#: Letters below this have been letters in all versions of Unicode since.
-PLAIN = "\u0530"
+# What a byte of UTF-8 is to a byte-level tokenizer with its usual pattern. It never joins a character that is no white space with
+# white space behind it, a lone line break with what follows, or a letter with a mark behind it: texts are cut there.
+SPACE, BREAK, BLANK, LETTER, MARK, WIDE = (1 << k for k in range(6))
+KIND = np.zeros(256, "u1")
+for _kind, _bytes in ((SPACE, b" "), (BREAK, b"\n"), (BLANK, b"\t\n\x0b\x0c\r "), (MARK, b".,!?;:%$#&*"), (WIDE, bytes(range(0x80, 0x100))),
+                      (LETTER, b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")):
+    KIND[list(_bytes)] |= _kind
+#: White space of two and three bytes, and the bytes of the latter as numbers.
+WIDE_BLANKS = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANKS_2, BLANKS_3 = (np.array([int.from_bytes(c.encode(), "big") for c in WIDE_BLANKS if len(c.encode()) == n]) for n in (2, 3))
+#: Units that are one word of the pattern, with a space before it or none: letters below U+0530 have been letters in all versions of Unicode since.
+ONE_WORD = "^ ?[" + "".join(c for c in map(chr, range(0x530)) if c.isalpha()) + "]+$"
 
 
 def byte_characters() -> dict[int, str]:
@@ -85,32 +86,60 @@ def byte_characters() -> dict[int, str]:
     return out
 
 
-def cut_texts(texts: pa.Array) -> pa.Array:
-    """Texts with ``CUT`` where they may be cut."""
-    paired = pc.match_substring_regex(texts, f"[{BLANK}]{{2}}")
-    cut = texts
-    for text, by in LONE:
-        cut = pc.replace_substring(cut, text, by)
-    if pc.any(paired).as_py():
-        some = texts.filter(paired)
-        for pattern, by in CUTS:
-            some = pc.replace_substring_regex(some, pattern, by)
-        cut = pc.replace_with_mask(cut, paired, some)
-    return pc.replace_substring_regex(cut, *MARKS)
+def wide_blank(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether white space of more than one byte begins at each place."""
+    a, b, c = (data[np.minimum(at + k, len(data) - 1)].astype(np.int64) for k in range(3))
+    return np.isin(a << 8 | b, BLANKS_2) | np.isin(a << 16 | b << 8 | c, BLANKS_3)
+
+
+def cut_places(data: np.ndarray) -> np.ndarray:
+    """Before which bytes of texts in a row, as UTF-8, a text may be cut; the last of the flags is for the end."""
+    cut = np.zeros(len(data) + 1, bool)
+    kind = KIND[data]
+    before, here = kind[:-1], kind[1:]
+    cut[1:-1] = (here & (SPACE | BREAK) != 0) & (before & BLANK == 0)
+    last = np.flatnonzero(cut[1:-1] & (before & WIDE != 0)) + 1
+    two, three = np.maximum(last - 2, 0), np.maximum(last - 3, 0)
+    cut[last[wide_blank(data, two) & (data[two] == 0xC2) | wide_blank(data, three) & (data[three] >= 0xE1)]] = False
+    after = np.flatnonzero(cut[1:-1] & (here & BREAK != 0)) + 2  # behind a line break, if no white space follows
+    after = after[after < len(data)]
+    cut[after[(kind[after] & BLANK == 0) & ~wide_blank(data, after)]] = True
+    cut[1:-1] |= (here & MARK != 0) & (before & LETTER != 0)
+    return cut
+
+
+def array_of(kind: pa.DataType, offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    """The large strings or binaries that lie between ``offsets`` of ``data``."""
+    return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, "<i8")), pa.py_buffer(data)])
+
+
+def offsets_of(array: pa.Array) -> np.ndarray:
+    if not len(array):
+        return np.zeros(1, np.int64)
+    return np.frombuffer(array.buffers()[1], "<i8", len(array) + 1, 8 * array.offset)
+
+
+def bytes_of(array: pa.Array) -> np.ndarray:
+    """The bytes of large strings or binaries in a row."""
+    at, data = offsets_of(array), array.buffers()[2]
+    return np.frombuffer(data, "u1", int(at[-1] - at[0]), int(at[0])) if at[-1] > at[0] else np.zeros(0, "u1")
 
 
 class Encoder:
     """Ids of texts by a tokenizer file of the ``tokenizers`` library, without special tokens added.
 
     Under a byte-level tokenizer with its usual pattern and no normaliser texts are cut where the pattern never joins
-    them (``CUTS``), and each distinct unit is encoded once per batch, or remembered; units that are one
+    them (``cut_places``), and each distinct unit is encoded once per batch, or remembered; units that are one
     word go straight to the library's model. Under other tokenizers texts are encoded whole.
+    Units and their ids are Arrow arrays throughout: one dictionary encoding of the remembered units and a batch's
+    numbers them all, and a unit is a Python string only when the library is asked for it.
     Strings of special tokens within a text are ordinary text.
     """
 
     def __init__(self, path: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on every core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -120,53 +149,66 @@ class Encoder:
         self.cuts = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
                      and not config.get("normalizer") and not config.get("post_processor"))
         self.model = Tokenizer(self.tokenizer.model)
-        self.bytes = byte_characters()
-        del self.bytes[0x0A]  # stands between words
+        self.model.pre_tokenizer = CharDelimiterSplit("\n")
+        of_bytes = byte_characters()
+        self.bytes = np.array([ord(of_bytes[k]) for k in range(256)], "<u2")
+        self.bytes[0x0A] = 0x0A  # stands between words
+        self.space = of_bytes[0x20]
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids of pieces that begin with a space
-        self.spaced[[i for p, i in vocabulary.items() if p.startswith(self.bytes[0x20])]] = True
+        self.spaced[[i for p, i in vocabulary.items() if p.startswith(self.space)]] = True
         self.end = np.array([] if end_id is None else [end_id], "<u4")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of units that are a space and letters: one word of the tokenizer's pattern each."""
-        mapped = "\n".join(words).encode().decode("latin-1").translate(self.bytes).split("\n")
-        ids = np.array(self.model.encode_batch_fast([mapped], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
-        at = (4 * np.flatnonzero(self.spaced[ids])).tolist()
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
-
-    def units(self, units: list[str]) -> list[bytes]:
-        known, older = self.known, self.older
-        out = list(map(known.get, units))
-        missing = [i for i, x in enumerate(out) if not x]
-        asked = [units[i] for i in missing]
-        one, other, add = [], [], []
-        for i, u, x in zip(missing, asked, map(older.get, asked), strict=True):
-            if x:
-                out[i] = x
-                add.append(i)
-            elif u[:1] == " " and u[1:].isalpha() and (u.isascii() or max(u) < PLAIN):
-                one.append(i)
-            else:
-                other.append(i)
-        for a in range(0, len(one), AT_ONCE):
-            some = one[a : a + AT_ONCE]
-            for i, x in zip(some, self.words([units[i] for i in some]), strict=True):
-                out[i] = x
-        for i, x in zip(other, self.whole([units[i] for i in other]), strict=True):
-            out[i] = x
-        new = [i for i in (*add, *one, *other) if len(units[i]) <= UNIT_CHARS][: REMEMBERED // 2]
-        if len(known) + len(new) > REMEMBERED // 2:  # two generations: what was used since the last change stays
-            self.older, self.known = known, {}
-            known = self.known
-        for i in new:
-            known[units[i]] = out[i]
-        return out
+        # two generations of units, no unit in both, and the ids of each
+        self.known, self.known_ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.older, self.older_ids = self.known, self.known_ids
+
+    def whole(self, texts: list[str]) -> pa.Array:
+        ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return array_of(pa.large_binary(), 4 * np.cumsum([0, *map(len, ids)]), np.concatenate([self.end[:0], *ids]))
+
+    def words(self, units: pa.Array, spaced: bool) -> pa.Array:
+        """Ids of units that are one word of the tokenizer's pattern each: all begin with a space, or a space is put between them as a word."""
+        out, between = [], pa.scalar("\n" if spaced else "\n \n", pa.large_string())
+        for a in range(0, len(units), AT_ONCE):
+            some = units[a : a + AT_ONCE]
+            joined = bytes_of(pc.binary_join(pa.LargeListArray.from_arrays([0, len(some)], some), between))
+            mapped = self.bytes[joined].tobytes().decode("utf-16-le")
+            ids = np.array(self.model.encode_batch_fast([mapped if spaced else f"{self.space}\n{mapped}"], add_special_tokens=False)[0].ids, "<u4")
+            first = np.flatnonzero(self.spaced[ids])
+            if not spaced:
+                ids, first = np.delete(ids, first), first - np.arange(len(first))
+            out.append(array_of(pa.large_binary(), 4 * np.append(first, len(ids)), ids))
+        return pa.chunked_array(out, pa.large_binary()).combine_chunks()
+
+    def ids_of(self, units: pa.Array) -> pa.Array:
+        """Ids of distinct units, by the library."""
+        one = pc.match_substring_regex(units, ONE_WORD).to_numpy(zero_copy_only=False)
+        spaced = pc.starts_with(units, " ").to_numpy(zero_copy_only=False)
+        places = [np.flatnonzero(x) for x in (one & spaced, one & ~spaced, ~one)]
+        with_space, bare, other = (units.take(pa.array(x)) for x in places)
+        got = pa.concat_arrays([self.words(with_space, True), self.words(bare, False), self.whole(other.to_pylist())])
+        return got.take(pa.array(np.argsort(np.concatenate(places), kind="stable")))
+
+    def units(self, units: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Ids of the remembered units and of all distinct ones given, and the place of each given unit among them."""
+        n, m = len(self.known), len(self.known) + len(self.older)
+        coded = pa.chunked_array([self.known, self.older, units]).dictionary_encode().chunks  # none for an empty array
+        every = coded[-1].dictionary if coded else units
+        index = np.concatenate([np.zeros(0, np.int32), *(c.indices.to_numpy() for c in coded)])[m:]
+        ids = pa.concat_arrays([self.known_ids, self.older_ids, self.ids_of(every[m:])])
+        used = np.zeros(len(every), bool)
+        used[index] = True
+        size = REMEMBERED // 2
+        new = np.flatnonzero(used[n:] & (np.diff(offsets_of(every))[n:] <= UNIT_BYTES))[:size] + n
+        if n + len(new) > size:  # two generations: what was used since the last change stays
+            self.older, self.older_ids = self.known, self.known_ids
+            keep = new
+        else:
+            old = pa.array(np.flatnonzero(~used[n:m]) + n)
+            self.older, self.older_ids = every.take(old), ids.take(old)
+            keep = np.concatenate((np.arange(n), new))
+        self.known, self.known_ids = every.take(pa.array(keep)), ids.take(pa.array(keep))
+        return ids, index
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has; null is empty, the end id closes each."""
@@ -174,25 +216,19 @@ class Encoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not n:
             return self.end[:0], np.zeros(0, np.int64)
-        if self.cuts and not pc.any(pc.match_substring(texts, CUT)).as_py():
-            lists = pc.split_pattern(cut_texts(texts), CUT)
-            bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            coded = lists.flatten().dictionary_encode()
-            distinct = pa.LargeListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
-            entries = self.units(pc.binary_join(distinct, pa.scalar(CUT, pa.large_string()))[0].as_py().split(CUT))  # no unit holds it; far less work than a string each
-            index = coded.indices.to_numpy()
+        if self.cuts:
+            data, at = bytes_of(texts), offsets_of(texts)
+            at = at - at[0]
+            cut = cut_places(data)
+            cut[at] = True
+            places = np.flatnonzero(cut)
+            bounds = np.searchsorted(places, at)
+            entries, index = self.units(array_of(pa.large_string(), places, data))
         else:
             entries, index, bounds = self.whole(texts.to_pylist()), np.arange(n), np.arange(n + 1)
-        index = np.insert(index, bounds[1:], len(entries))
-        entries.append(self.end.tobytes())
-        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
-        flat = np.frombuffer(b"".join(entries), "<u4")
-        size = sizes[index]
-        stop = np.cumsum(size)
-        total = int(stop[-1])
-        whole = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
-        ids = flat[np.repeat(((np.cumsum(sizes) - sizes)[index] - (stop - size)).astype(whole), size) + np.arange(total, dtype=whole)]
-        return ids, np.diff(stop[bounds[1:] + np.arange(n)], prepend=0)
+        entries = pa.concat_arrays([entries, array_of(pa.large_binary(), np.array([0, self.end.nbytes]), self.end)])
+        taken = entries.take(pa.array(np.insert(index, bounds[1:], len(entries) - 1)))
+        return bytes_of(taken).view("<u4"), np.diff(offsets_of(taken)[bounds[1:] + np.arange(1, n + 1)] // 4, prepend=0)
 
 
 @lru_cache(maxsize=1)
@@ -226,8 +262,8 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     four = four.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
     used = int(extra.max(initial=0)) + 1
-    planes = values.astype("<u4").view("u1").reshape(-1, 4)[:, :used]
-    return control.astype("u1").tobytes(), planes[np.arange(used) <= extra[:, None]].tobytes()
+    planes = values.astype("<u4").view("u1").reshape(-1, 4)[:, :used].ravel()  # flat, as are the flags: a plain selection
+    return control.astype("u1").tobytes(), planes[(np.arange(used, dtype="u1") <= extra[:, None]).ravel()].tobytes()
 
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:

@@ -50,6 +50,43 @@ def test_generations_hold_no_more_than_they_may(monkeypatch):
         assert len(encoder.known) <= 20 and len(encoder.older) <= 20
 
 
+def test_words_go_to_the_model_whatever_stands_before_them(monkeypatch):
+    encoder, tokens, asked = T.Encoder(BYTES, 2), slow_tokens(), []
+    whole = encoder.whole
+    monkeypatch.setattr(encoder, "whole", lambda units: asked.extend(units) or whole(units))
+    texts = ["Thesen anen, heon.\nOuher Straße\nété 12", "", None, "one\x01 two", "Ouher"]
+    ids, counts = encoder.encode(pa.array(texts))
+    assert ids.tolist() == [i for t in texts for i in (*tokens(t), 2)] and counts.tolist() == [len(tokens(t)) + 1 for t in texts]
+    assert sorted(asked) == ["\n", " 12", ",", ".", "one\x01"]  # neither words nor, with U+0001 among them, whole texts
+    asked.clear()
+    assert encoder.encode(pa.array(texts))[0].tolist() == ids.tolist() and not asked
+
+
+def test_empty_texts_alone():
+    ids, counts = T.Encoder(BYTES, 2).encode(pa.array(["", None], pa.string()))
+    assert ids.tolist() == [2, 2] and counts.tolist() == [1, 1]
+
+
+def test_texts_are_cut_beside_single_blanks_only():
+    rng, tokens = random.Random(5), slow_tokens()
+    blanks = [" ", "\n", "\t", "\r", "\x0b", *T.WIDE_BLANKS]
+    others = ["a", "É", "中", "😀", "\x01", "\x1c", "\u2010", "\u3001", "Ā", ".", "'s", "7", "\u0301"]
+    assert all(b.isspace() for b in blanks) and T.KIND[0x1C] == 0
+    texts = ["".join(rng.choice(blanks if rng.random() < 0.4 else others) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    data = "".join(texts).encode()
+    places = np.flatnonzero(T.cut_places(np.frombuffer(data, "u1")))
+    white = "".join(blanks) + "\x0c"
+    for a in places.tolist():
+        left, right = data[:a].decode(), data[a:].decode()
+        assert ((left[-1] not in white and right[0] in " \n") or (left[-1] == "\n" and left[-2] not in white and right[0] not in white)
+                or (left[-1] in "as" and right[0] == "."))
+    spaces = [len("".join(x).encode()) for x in ("".join(texts)[:i] for i in range(1, 3000)) if x[-1] not in white and "".join(texts)[len(x)] in " \n"]
+    assert set(spaces) <= set(places.tolist())
+    ids, counts = T.Encoder(BYTES, None).encode(pa.array(texts).slice(7))
+    stop = np.cumsum(counts)
+    assert [ids[e - n : e].tolist() for e, n in zip(stop, counts)] == [tokens(t) for t in texts[7:]]
+
+
 def test_freed_memory_goes_back_with_each_section(monkeypatch):
     class Task:
         get = classmethod(lambda cls: cls)
