@@ -24,7 +24,7 @@ def test_kernel_features_are_dealt_by_their_bytes_and_fits_wait(spark, monkeypat
             return out
 
     monkeypatch.setattr(estimators, "LinearSVC", Watched)
-    est = estimators.SVMClassifier(numFourierFeatures=32, maxIter=20, plattFolds=2)
+    est = estimators.SVMClassifier(numFourierFeatures=32, maxIter=5, plattFolds=2)
     p = [r["p"] for r in est.fit(x).transform(x).orderBy("row_id").select(estimators.p1().alias("p")).collect()]
     assert seen == [2, 2, 2]
     size = 8 * 240 * 32
